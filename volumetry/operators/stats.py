@@ -27,14 +27,16 @@ def crosstab(df: DataFrame, rows: str, cols: str, values: Sequence[str] | None =
 
 
 def inventory(df: DataFrame, *columns: str) -> DataFrame:
-    """Sorted distinct values and their number for each column, as one long table."""
+    """Distinct values of each column with their counts, as one long table ``(column, entry, n)``."""
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("entry")) for c in columns
     ])).alias("_e")).select("_e.*").where(F.col("entry").isNotNull())
-    return long.distinct().groupBy("column").agg(
-        F.count(F.lit(1)).alias("n_distinct"),
-        F.array_join(F.sort_array(F.collect_list("entry")), ",").alias("entries"),
-    )
+    return long.groupBy("column", "entry").agg(F.count(F.lit(1)).alias("n"))
+
+
+def distinct_counts(df: DataFrame, *columns: str) -> DataFrame:
+    """How many distinct values each column has."""
+    return inventory(df, *columns).groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
 
 
 def moments(df: DataFrame, keys: Sequence[str], value: str = "value", where: Keep = finite,

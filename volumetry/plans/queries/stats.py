@@ -93,15 +93,19 @@ def value_counts(spark, d):
     return stats.value_counts(days, "event_type", "day")
 
 
-@query("inventory", f"""with {fx.CAT}
-  select 'subject' as "column", count(distinct subject) as n_distinct,
-    string_agg(distinct subject, ',' order by subject) as entries from cat
-  union all select 'session', count(distinct session), string_agg(distinct session, ',' order by session) from cat
-  union all select 'modality', count(distinct modality), string_agg(distinct modality, ',' order by modality) from cat
-  union all select 'field_strength', count(distinct field_strength),
-    string_agg(distinct field_strength, ',' order by field_strength) from cat""")
+COLUMNS = ("subject", "session", "modality", "field_strength")
+
+
+@query("inventory", f"with {fx.CAT} " + " union all ".join(
+    f"select '{c}' as \"column\", {c} as entry, count(*) as n from cat group by {c}" for c in COLUMNS))
 def inventory(spark, d):
-    return stats.inventory(fx.catalog(spark, d), "subject", "session", "modality", "field_strength")
+    return stats.inventory(fx.catalog(spark, d), *COLUMNS)
+
+
+@query("distinct_counts", f"with {fx.CAT} " + " union all ".join(
+    f"select '{c}' as \"column\", count(distinct {c}) as n_distinct from cat" for c in COLUMNS))
+def distinct_counts(spark, d):
+    return stats.distinct_counts(fx.catalog(spark, d), *COLUMNS)
 
 
 @query("crosstab", """select c_mktsegment, count(*) filter (where c_nationkey = 0) as "0",
@@ -147,13 +151,13 @@ def histogram_density(spark, d):
 @query("histogram_cdf", f"""with {fx.LINES}, {hist_sql('field_strength', 'lines', 256)},
   g as (select field_strength, lo, hi, cast(unnest(range(256)) as int) as bin from wide),
   f as (select field_strength, bin, coalesce(h.n, 0) as n, g.lo, g.hi from g left join h using (field_strength, bin))
-  select field_strength, bin, n, round(lo + (hi-lo)*bin/256.0, 4) as left_edge,
+  select field_strength, bin, n, round(lo + (hi-lo)*bin/256.0, 3) as left_edge,
     round(sum(n) over (partition by field_strength order by bin) / sum(n) over (partition by field_strength), 9) as cdf
   from f""")
 def histogram_cdf(spark, d):
     hist = stats.histogram(fx.line_samples(spark, d), ["field_strength"], n=256, dense=True)
     out = stats.cdf(hist, ["field_strength"], 256)
-    return out.withColumns({"left_edge": F.round("left_edge", 4), "cdf": F.round("cdf", 9)})
+    return out.withColumns({"left_edge": F.round("left_edge", 3), "cdf": F.round("cdf", 9)})
 
 
 @query("batch_stats", """select label as batch, count(*) as n, round(avg(v),6) as mean,
