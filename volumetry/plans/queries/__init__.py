@@ -1,5 +1,5 @@
 """One module per family of operators; importing it registers the queries."""
 
-from volumetry.plans.queries import cohort, cohort_splits, history, stats  # noqa: F401
+from volumetry.plans.queries import cohort, cohort_splits, history, intensity, quality, stats  # noqa: F401
 
-FLAGSHIP = "volume_stats"
+FLAGSHIP = "qc_metrics"
