@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from volumetry.config import NORMALIZATIONS, check_choice
 from volumetry.operators.ordering import percentiles
 from volumetry.schema import attach, finite, positive, samples, voxels
+from volumetry.session import cut_lineage
 
 
 def clip(v: Column, lo: Column, hi: Column) -> Column:
@@ -53,7 +54,8 @@ def normalize(df: DataFrame, keys: Sequence[str] = ("volume_id",), value: str =
     keys = list(keys)
     v = F.col(value).cast("double")
     if clip_range:
-        limits = clip_limits(df, keys, value, *clip_range, mask=mask, groups=groups)
+        # one small row per volume, read by every later pass: stored once instead of planned thrice
+        limits = cut_lineage(clip_limits(df, keys, value, *clip_range, mask=mask, groups=groups))
         based = attach(df, limits, keys, groups)
         v = clip(v, F.col("clip_lo"), F.col("clip_hi"))
     else:

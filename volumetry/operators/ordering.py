@@ -38,57 +38,53 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, ps: Sequence[flo
             .agg(F.count(F.lit(1)).alias("n"),
                  F.percentile_approx(F.col(value).cast("double"), probs, accuracy).alias("pct"))
         )
-    flat = samples(kept, value).where(where(F.col(value)))
-    bounds = flat.groupBy(*keys).agg(
-        F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi")
-    )
-    cell = cell_of(F.col(value).cast("double"), F.col("_lo"), F.col("_hi"), CELLS)
+    v = F.col(value).cast("double")
+    bounds = samples(kept, value).where(where(F.col(value))).groupBy(*keys).agg(
+        F.min(v).alias("_lo"), F.max(v).alias("_hi"))
+    cell = cell_of(v, F.col("_lo"), F.col("_hi"), CELLS)
+    shares = F.expr("array(" + ", ".join(f"{p / 100.0!r}D" for p in ps) + ")")
+
+    def place(q: Column, n: Column) -> Column:
+        return q * (n - 1).cast("double")
+
+    def ranks(n: Column) -> Column:
+        return F.array_distinct(F.flatten(F.transform(shares, lambda q: F.array(
+            F.floor(place(q, n)).cast("long"), F.ceil(place(q, n)).cast("long")))))
 
     def in_cells(params: DataFrame) -> DataFrame:
         joined = samples(attach(kept, params, keys, groups, "inner"), value)
         return joined.where(where(F.col(value))).withColumn("_cell", cell)
 
+    # pass 2: how many values fall into each cell, and which cells hold an asked rank
     counts = in_cells(bounds).groupBy(*keys, "_cell").agg(
-        F.count(F.lit(1)).alias("_c"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")
-    )
+        F.count(F.lit(1)).alias("_c"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
     running = counts.select(
         *keys, "_cell", "_c", "_lo", "_hi",
         F.coalesce(F.sum("_c").over(_before(keys, "_cell")), F.lit(0)).alias("_start"),
-        F.sum("_c").over(Window.partitionBy(*keys)).alias("n"),
-    )
-    place = [F.lit(p / 100.0) * (F.col("n") - 1).cast("double") for p in ps]
-    ranks = F.array(*[f(x).cast("long") for x in place for f in (F.floor, F.ceil)])
-    hits = F.filter(F.array_distinct(ranks),
-                    lambda r: (r >= F.col("_start")) & (r < F.col("_start") + F.col("_c")))
-    wanted = running.withColumn("_hits", hits).where(F.size("_hits") > 0)
-    per_group = wanted.groupBy(*keys).agg(
-        F.collect_list("_cell").alias("_cells"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")
-    )
-    merged = (
-        in_cells(per_group).where(F.array_contains("_cells", F.col("_cell")))
-        .groupBy(*keys, "_cell", F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_m"))
-    )
-    marks = wanted.select(*keys, "_cell", "_start", "_hits", "n")
-    marks_rows = None if groups is None else max(groups, 1) * 2 * len(ps)
-    cell_keys = keys + ["_cell"]
-    ordered = attach(merged, marks, cell_keys, marks_rows, "inner").withColumn(
-        "_from", F.col("_start") + F.coalesce(F.sum("_m").over(_before(cell_keys, "_v")), F.lit(0))
-    )
-    found = ordered.select(*keys, "n", "_v", F.explode(F.filter(
-        "_hits", lambda r: (r >= F.col("_from")) & (r < F.col("_from") + F.col("_m"))
-    )).alias("_r"))
-    at = found.groupBy(*keys).agg(
-        F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_at")
-    )
+        F.sum("_c").over(Window.partitionBy(*keys)).alias("n"))
+    holds = F.exists(ranks(F.col("n")), lambda r: (r >= F.col("_start")) & (r < F.col("_start") + F.col("_c")))
+    wanted = running.where(holds).groupBy(*keys).agg(
+        F.collect_list("_cell").alias("_cells"), F.collect_list("_start").alias("_starts"),
+        F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.max("n").alias("n"))
+    # pass 3: only values of those cells, merged into counts, ordered cell by cell
+    at = F.array_position("_cells", F.col("_cell")).cast("int")
+    merged = in_cells(wanted).withColumn("_i", at).where(F.col("_i") > 0).groupBy(
+        *keys, "_cell", v.alias("_v")).agg(
+        F.count(F.lit(1)).alias("_m"), F.max(F.element_at("_starts", F.col("_i"))).alias("_start"),
+        F.max("n").alias("n"))
+    first = F.col("_start") + F.coalesce(F.sum("_m").over(_before(keys + ["_cell"], "_v")), F.lit(0))
+    found = merged.withColumn("_from", first).select(*keys, "n", "_v", F.explode(F.filter(
+        ranks(F.col("n")), lambda r: (r >= F.col("_from")) & (r < F.col("_from") + F.col("_m")))).alias("_r"))
+    picked = found.groupBy(*keys).agg(
+        F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_at"))
     if not keys:
-        at = at.where(F.col("n").isNotNull())
+        picked = picked.where(F.col("n").isNotNull())
 
     def interpolate(pos: Column) -> Column:
         low, high = (F.element_at("_at", f(pos).cast("long")) for f in (F.floor, F.ceil))
         return low + (high - low) * (pos - F.floor(pos))
 
-    return at.select(*keys, "n", F.array(*[interpolate(x) for x in place]).alias("pct"))
+    return picked.select(*keys, "n", F.transform(shares, lambda q: interpolate(place(q, F.col("n")))).alias("pct"))
 
 
 def running_sums(df: DataFrame, keys: Sequence[str], value: str, measures: dict[str, Column],

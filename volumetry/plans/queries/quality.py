@@ -9,6 +9,7 @@ from volumetry.plans import fixtures as fx
 from volumetry.plans.queries.stats import hist_sql
 from volumetry.plans.registry import query
 from volumetry.schema import voxels
+from volumetry.session import cut_lineage
 
 MASKED = """m as (select *, (x between 1 and 2 and y between 1 and 2 and z between 1 and 2) as in_mask from pos)"""
 
@@ -175,7 +176,8 @@ def _limits(method: str) -> str:
 
 
 def _qc(spark, d):
-    return qc.qc_metrics(fx.packed(spark, d), groups=fx.volume_count(spark, d))
+    """The metric table is stored before it is judged: outlier rules read it several times."""
+    return cut_lineage(qc.qc_metrics(fx.packed(spark, d), groups=fx.volume_count(spark, d)))
 
 
 @query("outliers_iqr", f"with {fx.VOX}, {qc_sql('vox')}, {_limits('iqr')} select volume_id, reason from rs")
@@ -217,7 +219,7 @@ def _dist_sql() -> str:
 
 @query("qc_distributions", f"with {fx.LINES}, {qc_sql('lines')}, {_limits('iqr')} {_dist_sql()}")
 def qc_distributions(spark, d):
-    table = qc.qc_metrics(fx.line_samples(spark, d), groups=fx.supplier_count(spark, d))
+    table = cut_lineage(qc.qc_metrics(fx.line_samples(spark, d), groups=fx.supplier_count(spark, d)))
     flagged = qc.flag_outliers(table, qc.detect_outliers(table))
     out = qc.qc_distributions(flagged, ["snr", "foreground_fraction", "mean_intensity", "std_intensity"])
     return out.select("metric", "which", "bin", "n")
