@@ -124,11 +124,11 @@ def kernel(sigma: Column, reach: int) -> Column:
     scale = F.lit(math.sqrt(0.5)) / sigma
     tail = F.floor(F.greatest(sigma * 4.0, F.lit(0.5)) + 0.5)
 
-    def weight(k: int) -> Column:
+    def weight(k: Column) -> Column:
         mass = (_erf(scale * (k + 0.5)) - _erf(scale * (k - 0.5))) * 0.5
-        return F.when(F.abs(F.lit(k)) <= tail, F.greatest(mass, F.lit(0.0))).otherwise(F.lit(0.0))
+        return F.when(F.abs(k) <= tail, F.greatest(mass, F.lit(0.0))).otherwise(F.lit(0.0))
 
-    return F.array(*[weight(k) for k in range(-reach, reach + 1)])
+    return F.transform(F.sequence(F.lit(-reach), F.lit(reach)), weight)
 
 
 def smooth_axis(rows: DataFrame, axis: str, weights: str, reach: int, keys: Sequence[str] = ("volume_id",),

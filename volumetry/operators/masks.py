@@ -21,8 +21,9 @@ MAX_ROUNDS = 64
 def threshold_mask(df: DataFrame, p: float = 10.0, keys: Sequence[str] = ("volume_id",), value: str = "value",
                    groups: int | None = None) -> DataFrame:
     """``in_mask``: above the p-th percentile of positive samples; nothing in an empty volume."""
-    cut = percentiles(df, keys, value, [p], lambda v: positive(v) & finite(v), groups).select(
-        *keys, F.col("pct")[0].alias("_cut"))
+    # one small row per volume, stored because the set and its background both read it
+    cut = cut_lineage(percentiles(df, keys, value, [p], lambda v: positive(v) & finite(v), groups).select(
+        *keys, F.col("pct")[0].alias("_cut")))
     v = F.col(value).cast("double")
     rows = voxels(attach(df, cut, keys, groups), value)
     return rows.withColumn("in_mask", F.coalesce((v > F.col("_cut")) & ~F.isnan(v), F.lit(False))).drop("_cut")
