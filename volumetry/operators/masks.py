@@ -91,7 +91,7 @@ def _stars(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     keys = list(keys)
     smaller = lambda e: e.select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(
         F.col("u") != F.col("v")).distinct()
-    state, cur = None, cut_lineage(smaller(edges))
+    cur = smaller(edges)
     for _ in range(MAX_ROUNDS):
         both = cur.unionByName(cur.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(*keys, "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -100,13 +100,20 @@ def _stars(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
         floor = large.groupBy(*keys, "u").agg(F.min("v").alias("m"))
         small = large.join(floor, [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
         cur = cut_lineage(smaller(small.unionByName(floor.withColumnRenamed("m", "v"))))
-        check = cur.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*keys, "u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if (check["n"], check["s"]) == state:
+        if _settled(cur, keys):
             return cur
-        state = (check["n"], check["s"])
     raise RuntimeError(f"components did not settle within {MAX_ROUNDS} rounds")
 
 
+def _settled(edges: DataFrame, keys: list[str]) -> bool:
+    """True when every node has one edge and no centre has one: the edges are stars."""
+    ends = edges.select(*keys, F.explode(F.array(
+        F.struct(F.col("u").alias("node"), F.lit(1).alias("out")), F.struct(F.col("v").alias("node"), F.lit(0).alias("out"))
+    )).alias("_e")).select(*keys, "_e.*")
+    per = ends.groupBy(*keys, "node").agg(F.sum("out").alias("out"), F.min("out").alias("least"))
+    return per.where((F.col("out") > 1) | ((F.col("out") == 1) & (F.col("least") == 0))).isEmpty()
+
+
 def components(rows: DataFrame, keys: Sequence[str] = ("volume_id",)) -> DataFrame:
     """Runs with the ``label`` of their component: its first run in grid order."""
     r = cut_lineage(runs(rows, keys))

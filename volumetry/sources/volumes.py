@@ -21,6 +21,10 @@ from volumetry.schema import BRICK_SIDE
 SAMPLE_TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4", 1024: "i8", 1280: "u8"}
 HEADER_BYTES = 348
 
+# A batch handed back to Spark is bounded in samples and in rows.
+HELD_SAMPLES = 4_000_000
+HELD_ROWS = 4096
+
 DECODED = ("volume_id long, shape array<int>, spacing array<double>, affine array<array<double>>, brick int, "
            "origin array<int>, dims array<int>, value array<float>, error string")
 
@@ -78,25 +82,36 @@ def decode(content: bytes) -> tuple[dict, np.ndarray]:
 
 def decode_volumes(files: DataFrame, side: int = BRICK_SIDE) -> DataFrame:
     """``(volume_id, content)`` rows to brick rows; every brick carries its header."""
-    def rows(volume_id: int, content: bytes) -> Iterator[dict]:
+    names = [c.split()[0] for c in DECODED.split(", ")]
+
+    def rows(volume_id: int, content: bytes) -> Iterator[tuple]:
         try:
             head, cube = decode(bytes(content))
         except Exception as e:  # noqa: BLE001 - a bad file becomes a row
-            yield {"volume_id": volume_id, "brick": 0, "error": f"{type(e).__name__}: {e}"}
+            yield volume_id, None, None, None, 0, None, None, None, f"{type(e).__name__}: {e}"
             return
         starts = [(x, y, z) for x in range(0, cube.shape[0], side) for y in range(0, cube.shape[1], side)
                   for z in range(0, cube.shape[2], side)]
         for i, (x, y, z) in enumerate(starts):
             part = cube[x:x + side, y:y + side, z:z + side]
-            yield {"volume_id": volume_id, "shape": list(cube.shape), "spacing": head["spacing"], "affine": head["affine"],
-                   "brick": i, "origin": [x, y, z], "dims": list(part.shape), "value": part.reshape(-1), "error": None}
+            yield (volume_id, list(cube.shape), head["spacing"], head["affine"], i, [x, y, z], list(part.shape),
+                   part.reshape(-1), None)
+
+    def frame(held: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame({n: pd.Series([r[i] for r in held], dtype="object") for i, n in enumerate(names)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in DECODED.split(", ")]
+        held, size = [], 0
         for pdf in batches:
             for volume_id, content in zip(pdf["volume_id"], pdf["content"]):
-                for row in rows(volume_id, content):  # one brick at a time keeps the Python worker small
-                    yield pd.DataFrame([row], columns=names)
+                for row in rows(volume_id, content):
+                    held.append(row)
+                    size += 0 if row[7] is None else len(row[7])
+                    if size >= HELD_SAMPLES or len(held) >= HELD_ROWS:  # keeps the Python worker small
+                        yield frame(held)
+                        held, size = [], 0
+        if held:
+            yield frame(held)
 
     return files.select("volume_id", "content").mapInPandas(run, DECODED)
 
