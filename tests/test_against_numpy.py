@@ -173,8 +173,9 @@ def test_mask_pipeline(spark, seed):
     assert mask_rows(dense.where("in_mask")) == {i: sets(m) for i, m in on.items()}
     assert mask_rows(masks.fill_holes(dense, h)) == {i: sets(npo.fill_holes(m)) for i, m in on.items()}
     assert mask_rows(masks.largest_component(dense.where("in_mask"))) == {i: sets(npo.largest(m)) for i, m in on.items()}
-    labels = masks.components(dense.where("in_mask")).groupBy("volume_id").agg(F.countDistinct("label")).collect()
-    assert {r[0]: r[1] for r in labels} == {i: npo.label(m).max() for i, m in on.items()}
+    for side in (2, 3, 64):  # many bricks or one
+        labels = masks.components(dense.where("in_mask"), side=side).groupBy("volume_id").agg(F.countDistinct("label")).collect()
+        assert {r[0]: r[1] for r in labels} == {i: npo.label(m).max() for i, m in on.items()}
     got = mask_rows(masks.simple_mask(packed(spark, cubes), h))
     want = {i: sets(npo.simple_mask(v)) for i, v in cubes.items()}
     assert got == {i: s for i, s in want.items() if s}
@@ -187,7 +188,7 @@ def test_long_thin_component_settles(spark):
     m[1::4, 8, 4] = True
     m[3::4, 0, 4] = True
     rows = spark.createDataFrame([(1, *p) for p in sets(m)], "volume_id long, x int, y int, z int")
-    labelled = masks.components(rows)
+    labelled = masks.components(rows, side=2)
     assert labelled.select("label").distinct().count() == 1 == npo.label(m).max()
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from volumetry.operators.ordering import running_sums
 from volumetry.operators.stats import aggregate_metrics, histogram
-from volumetry.schema import BROADCAST_ROWS, attach, voxels
+from volumetry.schema import BROADCAST_ROWS, attach, combine, voxels
 
 # Stabilisers of the structural similarity index, and the report thresholds.
 SSIM_K1, SSIM_K2 = 0.01, 0.03
@@ -129,7 +129,7 @@ def ssim(df: DataFrame, keys: Sequence[str] = ("pair_id",), others: Sequence[str
         return ((2 * u * t + c1) * (2 * cov + c2)) / ((u * u + t * t + c1) * (var_o + var_t + c2))
 
     scored = cur.groupBy(*keys).agg(*[F.avg(index(o)).alias(f"ssim_{o}") for o in others])
-    return attach(box.select(*keys), scored, keys, groups)
+    return combine(box.select(*keys), scored, keys, groups)
 
 
 def evaluate(df: DataFrame, generated: Column, keys: Sequence[str] = ("pair_id",), win: int = 7,
@@ -141,7 +141,7 @@ def evaluate(df: DataFrame, generated: Column, keys: Sequence[str] = ("pair_id",
         F.avg(F.abs(a - b)).alias("l1_input"), F.avg(F.abs(g - b)).alias("l1_generated"),
         F.avg((a - b) * (a - b)).alias("_ma"), F.avg((g - b) * (g - b)).alias("_mg"),
         (F.max(b) - F.min(b)).alias("_range"))
-    out = attach(agg, ssim(rows, keys, ["a", "g"], "b", win, groups=groups), keys, groups)
+    out = combine(agg, ssim(rows, keys, ["a", "g"], "b", win, groups=groups), keys, groups)
     psnr_a, psnr_g = _decibel(F.col("_ma"), F.col("_range")), _decibel(F.col("_mg"), F.col("_range"))
     return out.select(
         *keys, psnr_a.alias("psnr_input"), psnr_g.alias("psnr_generated"), (psnr_g - psnr_a).alias("psnr_improvement"),
@@ -159,7 +159,7 @@ def consistency(df: DataFrame, keys: Sequence[str] = ("pair_id",), groups: int |
     ends = (F.col("a") == F.col("a_min")).cast("int") + (F.col("a") == F.col("a_max")).cast("int")
     second = pair_voxels(attach(df, base, keys, groups)).groupBy(*keys).agg(
         far("a").alias("a_outlier_ratio"), far("b").alias("b_outlier_ratio"), F.avg(ends).alias("saturation_ratio"))
-    return attach(base, second, keys, groups)
+    return combine(base, second, keys, groups)
 
 
 def ks_2samp(df: DataFrame, keys: Sequence[str] = ("pair_id",), groups: int | None = None) -> DataFrame:

@@ -9,7 +9,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from volumetry.config import check_choice
@@ -115,28 +117,22 @@ class HarmonizerModel:
     def _histogram(self, df: DataFrame, keys: list[str], value: str, groups: int | None) -> DataFrame:
         """Per volume: reference CDF read in the source CDF, giving a new value for each source bin.
 
-        The map of a volume is one array of ``bins`` values joined to its packed rows; samples find
-        their bin by arithmetic. Where the first step of the source CDF has no width the result is null.
+        The map of a volume is one array of ``bins`` values, made from its histogram and joined to its
+        packed rows; samples find their bin by arithmetic.
         """
         g, n = self.group, self.bins
         other = df.where(F.col(g).isNull() | (F.col(g) != self.reference))
-        source = cdf(histogram(other, keys, value, n, _kept, groups, dense=True), keys, n)
-        points = source.groupBy(*keys).agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("bin", "left_edge", "cdf"))), lambda s: s.left_edge).alias("_e"),
-            F.transform(F.array_sort(F.collect_list(F.struct("bin", "left_edge", "cdf"))), lambda s: s.cdf).alias("_c"))
-        ref = self.table.select(F.col("bin").alias("_i"), F.col("cdf").alias("_x"))
-        # place of each reference share among the source shares: count the smaller ones in one sort
-        asked = points.select(*keys).crossJoin(F.broadcast(ref)).withColumn("_own", F.lit(0))
-        known = source.select(*keys, F.lit(None).cast("int").alias("_i"), F.col("cdf").alias("_x"), F.lit(1).alias("_own"))
-        order = Window.partitionBy(*keys).orderBy("_x", "_own").rowsBetween(Window.unboundedPreceding, 0)
-        placed = asked.unionByName(known).withColumn("_smaller", F.sum("_own").over(order)).where(F.col("_i").isNotNull())
-        idx = F.least(F.greatest(F.col("_smaller"), F.lit(1)), F.lit(n - 1)).cast("int")
-        e, c = F.col("_e"), F.col("_c")
-        width = c[idx] - c[idx - 1]
-        matched = e[idx - 1] + (F.col("_x") - c[idx - 1]) * (e[idx] - e[idx - 1]) / F.when(width != 0, width)
-        maps = attach(placed, points, keys, None if groups is None else groups * n, "inner").groupBy(*keys).agg(
-            F.transform(F.array_sort(F.collect_list(F.struct(F.col("_i"), matched.alias("_m")))), lambda s: s._m).alias("_map"),
-            F.min(e[0]).alias("_lo"), F.min(e[1] - e[0]).alias("_w"))
+        shares = np.array([r["cdf"] for r in self.table.orderBy("bin").collect()])  # one value per bin of the model
+
+        @F.pandas_udf("array<double>")
+        def source_map(bins: pd.Series, counts: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
+            return pd.Series([_bin_map(*v, shares) for v in zip(bins, counts, lo, hi)])
+
+        found = histogram(other, keys, value, n, _kept, groups).groupBy(*keys).agg(
+            F.collect_list("bin").alias("_b"), F.collect_list("n").alias("_n"),
+            F.min("lo").alias("_lo"), F.max("hi").alias("_hi"))
+        maps = found.select(*keys, source_map("_b", "_n", "_lo", "_hi").alias("_map"), "_lo",
+                            ((F.col("_hi") - F.col("_lo")) / n).alias("_w"))
         rows = voxels(attach(df, maps, keys, None if groups is None else groups * n), value)
         v = F.col(value).cast("double")
         seg = F.least(F.greatest(F.floor((v - F.col("_lo")) / F.col("_w")), F.lit(0)), F.lit(n - 2)).cast("int")
@@ -161,6 +157,21 @@ class HarmonizerModel:
         return cls(s["method"], s["reference"], s["group"], s["bins"])._settle(spark.read.parquet(f"{path}/model"))
 
 
+def _bin_map(bins: np.ndarray, counts: np.ndarray, lo: float, hi: float, shares: np.ndarray) -> list[float | None]:
+    """New value of each left bin edge: the source edge read at the reference share, linear between
+    edges and extended past them; null where the source share makes no step."""
+    n = len(shares)
+    full = np.zeros(n)
+    full[np.asarray(bins)] = counts
+    cdf = np.cumsum(full) / full.sum()
+    edges = lo + (hi - lo) * np.arange(n) / n
+    at = np.clip(np.searchsorted(cdf, shares), 1, n - 1)
+    step = cdf[at] - cdf[at - 1]
+    slope = (edges[at] - edges[at - 1]) / np.where(step == 0, 1.0, step)
+    new = edges[at - 1] + (shares - cdf[at - 1]) * slope
+    return [None if s == 0 else float(v) for s, v in zip(step, new)]
+
+
 def harmonize_report(stages: dict[str, DataFrame], by: Sequence[str], value: str = "value") -> DataFrame:
     """Mean of positive samples per stage and group."""
     out = None

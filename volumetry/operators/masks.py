@@ -5,11 +5,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from volumetry.operators.ordering import percentiles
-from volumetry.schema import attach, finite, positive, voxels
+from volumetry.schema import BRICK_SIDE, attach, finite, positive, voxels
 from volumetry.session import cut_lineage
 
 XYZ = ("x", "y", "z")
@@ -63,25 +65,54 @@ def dilate(rows: DataFrame, volumes: DataFrame, n: int = 1, keys: Sequence[str]
     return cur.drop("shape")
 
 
-def runs(rows: DataFrame, keys: Sequence[str] = ("volume_id",)) -> DataFrame:
-    """Joins voxels that follow each other on a line into runs ``z0..z1``; a window holds one line.
-    ``node`` orders runs as their first voxels come in the grid."""
-    line = Window.partitionBy(*keys, "x", "y").orderBy("z")
-    island = F.col("z") - F.row_number().over(line)
-    out = rows.select(*keys, *XYZ).withColumn("_g", island).groupBy(*keys, "x", "y", "_g").agg(
-        F.min("z").alias("z0"), F.max("z").alias("z1")).drop("_g")
+def runs(rows: DataFrame, keys: Sequence[str] = ("volume_id",), side: int = BRICK_SIDE) -> DataFrame:
+    """Joins voxels that follow each other on a line of a brick into runs ``z0..z1``; a window holds
+    one such line. ``node`` orders runs as their first voxels come in the grid."""
+    part = F.floor(F.col("z") / side).cast("int")
+    line = Window.partitionBy(*keys, "x", "y", "bz").orderBy("z")
+    marked = rows.select(*keys, *XYZ).withColumn("bz", part).withColumn("_g", F.col("z") - F.row_number().over(line))
+    out = marked.groupBy(*keys, "x", "y", "bz", "_g").agg(F.min("z").alias("z0"), F.max("z").alias("z1")).drop("_g")
     place = lambda c, bits: F.shiftleft(F.col(c).cast("long"), bits)
-    return out.withColumn("node", place("x", 2 * ORDER_BITS) + place("y", ORDER_BITS) + F.col("z0"))
-
-
-def _touching(r: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Edges between runs of neighbouring lines that share a z; an equality join on the line."""
-    ahead = F.array(F.struct((F.col("x") + 1).alias("x"), F.col("y").alias("y")),
-                    F.struct(F.col("x").alias("x"), (F.col("y") + 1).alias("y")))
-    left = r.select(*keys, "z0", "z1", F.col("node").alias("v"), F.explode(ahead).alias("_l")).select(
-        *keys, F.col("z0").alias("_a0"), F.col("z1").alias("_a1"), "v", "_l.x", "_l.y")
-    right = r.select(*keys, "x", "y", "z0", "z1", F.col("node").alias("u"))
-    met = left.join(right, [*keys, "x", "y"]).where((F.col("z0") <= F.col("_a1")) & (F.col("z1") >= F.col("_a0")))
+    brick = lambda c: F.floor(F.col(c) / side).cast("int")
+    return out.withColumns({
+        "node": place("x", 2 * ORDER_BITS) + place("y", ORDER_BITS) + F.col("z0"), "bx": brick("x"), "by": brick("y")})
+
+
+def _label_brick(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Smallest run number of each component inside one brick; a brick is bounded, a volume is not."""
+    pdf = pdf.sort_values("node", ignore_index=True)
+    x, y, z0, z1 = (pdf[c].to_numpy() for c in ("x", "y", "z0", "z1"))
+    parent = np.arange(len(pdf))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    lines: dict[tuple[int, int], list[int]] = {}
+    for i in range(len(pdf)):
+        for before in ((x[i] - 1, y[i]), (x[i], y[i] - 1)):
+            for j in lines.get(before, ()):
+                if z0[j] <= z1[i] and z1[j] >= z0[i]:
+                    a, b = root(i), root(j)
+                    parent[max(a, b)] = min(a, b)
+        lines.setdefault((x[i], y[i]), []).append(i)
+    node = pdf["node"].to_numpy()
+    return pdf.assign(part=[node[root(i)] for i in range(len(pdf))])
+
+
+def _crossing(r: DataFrame, keys: Sequence[str], side: int) -> DataFrame:
+    """Edges between parts of neighbouring bricks: runs on a face meet the runs of the next line that
+    share a z, or the run that goes on behind the face; equality joins on the line."""
+    last = lambda c: F.col(c) % side == side - 1
+    step = lambda dx, dy, a, b: F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), a.alias("a0"), b.alias("a1"))
+    ahead = F.array_compact(F.array(
+        F.when(last("x"), step(1, 0, F.col("z0"), F.col("z1"))), F.when(last("y"), step(0, 1, F.col("z0"), F.col("z1"))),
+        F.when(last("z1"), step(0, 0, F.col("z1") + 1, F.col("z1") + 1))))
+    left = r.select(*keys, F.col("part").alias("v"), F.explode(ahead).alias("_l")).select(*keys, "v", "_l.*")
+    right = r.select(*keys, "x", "y", "z0", "z1", F.col("part").alias("u"))
+    met = left.join(right, [*keys, "x", "y"]).where((F.col("z0") <= F.col("a1")) & (F.col("z1") >= F.col("a0")))
     return met.select(*keys, "u", "v")
 
 
@@ -91,7 +122,9 @@ def _stars(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     keys = list(keys)
     smaller = lambda e: e.select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(
         F.col("u") != F.col("v")).distinct()
-    cur = smaller(edges)
+    cur = cut_lineage(smaller(edges))
+    if _settled(cur, keys):
+        return cur
     for _ in range(MAX_ROUNDS):
         both = cur.unionByName(cur.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(*keys, "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -114,11 +147,16 @@ def _settled(edges: DataFrame, keys: list[str]) -> bool:
     return per.where((F.col("out") > 1) | ((F.col("out") == 1) & (F.col("least") == 0))).isEmpty()
 
 
-def components(rows: DataFrame, keys: Sequence[str] = ("volume_id",)) -> DataFrame:
-    """Runs with the ``label`` of their component: its first run in grid order."""
-    r = cut_lineage(runs(rows, keys))
-    star = _stars(_touching(r, keys), keys).select(*keys, F.col("u").alias("node"), F.col("v").alias("_top"))
-    return r.join(star, [*keys, "node"], "left").withColumn("label", F.coalesce("_top", "node")).drop("_top")
+def components(rows: DataFrame, keys: Sequence[str] = ("volume_id",), side: int = BRICK_SIDE) -> DataFrame:
+    """Runs with the ``label`` of their component: its first run in grid order. Bricks are labelled
+    by themselves; only the parts that touch across brick faces take part in the rounds."""
+    keys = list(keys)
+    r = runs(rows, keys, side)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in r.schema) + ", part long"
+    parts = cut_lineage(r.groupBy(*keys, "bx", "by", "bz").applyInPandas(_label_brick, schema))
+    star = _stars(_crossing(parts, keys, side), keys).select(*keys, F.col("u").alias("part"), F.col("v").alias("_top"))
+    return parts.join(star, [*keys, "part"], "left").select(
+        *keys, "x", "y", "z0", "z1", F.coalesce("_top", "part").alias("label"))
 
 
 def _voxels_of(r: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from volumetry.config import NORMALIZATIONS, check_choice
 from volumetry.operators.ordering import percentiles
-from volumetry.schema import attach, finite, positive, samples, voxels
+from volumetry.schema import attach, combine, finite, positive, samples, voxels
 from volumetry.session import cut_lineage
 
 
@@ -96,7 +96,7 @@ def display_window(df: DataFrame, keys: Sequence[str] = ("volume_id",), value: s
     window = percentiles(df, keys, value, [1.0, 99.0], lambda c: (c != 0) & finite(c), groups).select(
         *keys, F.col("pct")[0].alias("window_low"), F.col("pct")[1].alias("window_high"))
     full = samples(df.select(*keys, value), value).groupBy(*keys).agg(F.min(v).alias("min"), F.max(v).alias("max"))
-    return attach(full, window, keys, groups)
+    return combine(full, window, keys, groups)
 
 
 def scale_slice(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from volumetry.functions.binning import cell_of
-from volumetry.schema import BROADCAST_ROWS, attach, finite, samples
+from volumetry.schema import BROADCAST_ROWS, attach, combine, finite, samples
 
 CELLS = 1024
 HASH_BUCKETS = 4096  # three hex digits of an md5
@@ -62,18 +62,21 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, ps: Sequence[flo
         *keys, "_cell", "_c", "_lo", "_hi",
         F.coalesce(F.sum("_c").over(_before(keys, "_cell")), F.lit(0)).alias("_start"),
         F.sum("_c").over(Window.partitionBy(*keys)).alias("n"))
-    holds = F.exists(ranks(F.col("n")), lambda r: (r >= F.col("_start")) & (r < F.col("_start") + F.col("_c")))
-    wanted = running.where(holds).groupBy(*keys).agg(
+    held = F.filter(ranks(F.col("n")), lambda r: (r >= F.col("_start")) & (r < F.col("_start") + F.col("_c")))
+    wanted = running.withColumn("_held", held).where(F.size("_held") > 0).groupBy(*keys).agg(
         F.collect_list("_cell").alias("_cells"), F.collect_list("_start").alias("_starts"),
+        F.collect_list(F.array_min("_held")).alias("_firsts"), F.collect_list(F.array_max("_held")).alias("_lasts"),
         F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.max("n").alias("n"))
     # pass 3: only values of those cells, merged into counts, ordered cell by cell
     at = F.array_position("_cells", F.col("_cell")).cast("int")
+    pick = lambda c: F.max(F.element_at(c, F.col("_i")))
     merged = in_cells(wanted).withColumn("_i", at).where(F.col("_i") > 0).groupBy(
         *keys, "_cell", v.alias("_v")).agg(
-        F.count(F.lit(1)).alias("_m"), F.max(F.element_at("_starts", F.col("_i"))).alias("_start"),
-        F.max("n").alias("n"))
+        F.count(F.lit(1)).alias("_m"), pick("_starts").alias("_start"), pick("_firsts").alias("_first"),
+        pick("_lasts").alias("_last"), F.max("n").alias("n"))
     first = F.col("_start") + F.coalesce(F.sum("_m").over(_before(keys + ["_cell"], "_v")), F.lit(0))
-    found = merged.withColumn("_from", first).select(*keys, "n", "_v", F.explode(F.filter(
+    near = (F.col("_from") <= F.col("_last")) & (F.col("_from") + F.col("_m") > F.col("_first"))
+    found = merged.withColumn("_from", first).where(near).select(*keys, "n", "_v", F.explode(F.filter(
         ranks(F.col("n")), lambda r: (r >= F.col("_from")) & (r < F.col("_from") + F.col("_m")))).alias("_r"))
     picked = found.groupBy(*keys).agg(
         F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_at"))
@@ -110,7 +113,7 @@ def running_sums(df: DataFrame, keys: Sequence[str], value: str, measures: dict[
     )
     cell_keys = keys + ["_cell"]
     rows_bound = None if groups is None else max(groups, 1) * CELLS
-    joined = attach(fine, starts, cell_keys, rows_bound, "inner")
+    joined = combine(fine, starts, cell_keys, rows_bound, "inner")
     within = _before(cell_keys, value)
     return joined.select(
         *keys, value, *measures, *[f"{k}_total" for k in measures],
@@ -133,7 +136,7 @@ def hash_rank(df: DataFrame, digest: Column, ties: Sequence[str], keys: Sequence
         *([F.sum("_c").over(Window.partitionBy(*keys)).alias(total)] if total else []),
     )
     bucket_keys = keys + ["_bucket"]
-    joined = attach(marked, starts, bucket_keys, None if keys else HASH_BUCKETS, "inner")
+    joined = combine(marked, starts, bucket_keys, None if keys else HASH_BUCKETS, "inner")
     local = Window.partitionBy(*bucket_keys).orderBy("_digest", *ties)
     return joined.withColumn(name, F.row_number().over(local) + F.col("_start")).drop(
         "_digest", "_bucket", "_start"
@@ -153,7 +156,7 @@ def hash_sample(df: DataFrame, digest: Column, ties: Sequence[str], n: int,
         F.coalesce(F.sum("_c").over(_before(keys, "_bucket")), F.lit(0)).alias("_start"),
     ).where(F.col("_start") < n)
     bucket_keys = keys + ["_bucket"]
-    near = attach(marked, starts, bucket_keys, None if keys else HASH_BUCKETS, "inner")
+    near = combine(marked, starts, bucket_keys, None if keys else HASH_BUCKETS, "inner")
     local = Window.partitionBy(*bucket_keys).orderBy("_digest", *ties)
     ranked = near.withColumn("_rn", F.row_number().over(local) + F.col("_start"))
     return ranked.where(F.col("_rn") <= n).drop("_digest", "_bucket", "_start", "_rn")

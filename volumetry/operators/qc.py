@@ -16,7 +16,7 @@ from volumetry.config import check_choice
 from volumetry.functions.binning import bin_center, bin_of, widened
 from volumetry.operators.ordering import percentiles, running_sums
 from volumetry.operators.stats import histogram, unpivot
-from volumetry.schema import attach, finite, positive, samples, voxels
+from volumetry.schema import attach, combine, finite, positive, samples, voxels
 
 BINS = 256
 OUTLIER_METRICS = ("snr", "cnr", "entropy", "foreground_fraction", "mean_intensity", "std_intensity")
@@ -92,7 +92,7 @@ def cnr(df: DataFrame, keys: Sequence[str] = ("volume_id",), value: str = "value
 
     tissue = inside.groupBy(*keys).agg(band(GREY_BAND).alias("_g"), band(WHITE_BAND).alias("_w"))
     noise = df.groupBy(*keys).agg(F.stddev_pop(F.when(~F.col(mask), F.col(value).cast("double"))).alias("_s"))
-    joined = attach(noise, tissue, keys, groups)
+    joined = combine(noise, tissue, keys, groups)
     return joined.select(*keys, _ratio(F.abs(F.col("_g") - F.col("_w")), F.col("_s")).alias("cnr"))
 
 
@@ -142,7 +142,7 @@ def artifacts(df: DataFrame, keys: Sequence[str] = ("volume_id",), value: str =
     extreme = far.groupBy(*keys).agg(F.coalesce(F.bool_or(
         _kept(v) & (F.abs(v - F.col("_mean")) > F.lit(EXTREME_STD) * F.col("_std"))), F.lit(False)
     ).alias("has_outliers"))
-    return attach(base, extreme, keys, groups).select(
+    return combine(base, extreme, keys, groups).select(
         *keys, "has_nan", "has_inf", "has_negative", "is_empty", "has_outliers")
 
 
@@ -170,7 +170,7 @@ def qc_metrics(df: DataFrame, keys: Sequence[str] = ("volume_id",), value: str =
     )
     cut = _otsu_of(hist, keys, BINS)
     # signal and background moments from the half bins, merged by the parallel variance rule
-    placed = attach(hist, cut, keys, groups, "inner")
+    placed = combine(hist, cut, keys, groups, "inner")
     center = bin_center(F.col("bin").cast("double"), F.col("lo"), F.col("hi"), BINS)
     below, same = center < F.col("threshold"), center == F.col("threshold")
     zero = F.lit(0.0)
@@ -183,7 +183,7 @@ def qc_metrics(df: DataFrame, keys: Sequence[str] = ("volume_id",), value: str =
         F.bool_or("far").alias("has_outliers"), _entropy_of(BINS).alias("entropy"),
     )
     mean_noise = F.col("_sb") / F.when(F.col("_nb") > 0, F.col("_nb"))
-    around = attach(placed, agg.select(*keys, mean_noise.alias("_mb"), "_nb"), keys, groups, "inner")
+    around = combine(placed, agg.select(*keys, mean_noise.alias("_mb"), "_nb"), keys, groups, "inner")
 
     def spread(h: str) -> Column:
         return F.coalesce(F.col(f"n_{h}") * (F.col(f"v_{h}") + F.pow(F.col(f"m_{h}") - F.col("_mb"), 2)), zero)
@@ -191,7 +191,7 @@ def qc_metrics(df: DataFrame, keys: Sequence[str] = ("volume_id",), value: str =
     m2 = F.when(below, spread("low") + spread("high")).when(same, spread("low")).otherwise(zero)
     noise = around.groupBy(*keys).agg(
         F.sqrt(F.sum(m2) / F.when(F.max("_nb") > 0, F.max("_nb"))).alias("_otsu_noise"))
-    joined = attach(attach(base, agg, keys, groups), noise, keys, groups)
+    joined = combine(combine(base, agg, keys, groups), noise, keys, groups)
     otsu_snr = _ratio(F.col("_ss") / F.when(F.col("_ns") > 0, F.col("_ns")), F.col("_otsu_noise"))
     nan = F.lit(float("nan"))
     out = joined.select(
@@ -204,10 +204,10 @@ def qc_metrics(df: DataFrame, keys: Sequence[str] = ("volume_id",), value: str =
         F.coalesce("has_outliers", F.lit(False)).alias("has_outliers"),
     )
     if mask:
-        out = attach(out, cnr(df, keys, value, mask, groups), keys, groups)
+        out = combine(out, cnr(df, keys, value, mask, groups), keys, groups)
     else:
         out = out.withColumn("cnr", zero)
-    return attach(out, volumes, keys, groups) if volumes is not None else out
+    return combine(out, volumes, keys, groups) if volumes is not None else out
 
 
 def _weighted(half: str) -> Column:

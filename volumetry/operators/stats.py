@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from volumetry.functions.binning import bin_edge, bin_of, widened
 from volumetry.operators.ordering import Keep, percentiles
-from volumetry.schema import attach, finite, samples
+from volumetry.schema import attach, combine, finite, samples
 
 
 def nonzero(v: Column) -> Column:
@@ -57,7 +57,7 @@ def volume_stats(df: DataFrame, keys: Sequence[str] = ("volume_id",), value: str
     keep = lambda v: where(v) & finite(v)
     base = moments(df, keys, value, keep)
     order = percentiles(df, keys, value, [50.0, 1.0, 99.0], keep, groups).drop("n")
-    joined = attach(base, order, keys, groups)
+    joined = combine(base, order, keys, groups)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return joined.select(
         *keys, "n", *[zero(F.col(c)).alias(c) for c in ("mean", "std", "min", "max")],
@@ -73,7 +73,7 @@ def cohort_stats(df: DataFrame, by: Sequence[str] = ("split",), value: str = "va
     volumes = df.groupBy(*by, volume).agg(F.lit(1).alias("_one")).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_volumes")
     )
-    return attach(pooled, volumes, by, groups)
+    return combine(pooled, volumes, by, groups)
 
 
 def first_volumes(df: DataFrame, volumes: DataFrame, n: int, by: Sequence[str] = (),
@@ -101,7 +101,7 @@ def describe_exact(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     long = unpivot(df, columns)
     base = moments(long, ["metric"], sample_std=True)
     order = percentiles(long, ["metric"], "value", [25.0, 50.0, 75.0], groups=len(columns)).drop("n")
-    return attach(base, order, ["metric"], len(columns)).select(
+    return combine(base, order, ["metric"], len(columns)).select(
         "metric", F.col("n").alias("count"), "mean", "std", "min",
         F.col("pct")[0].alias("q25"), F.col("pct")[1].alias("q50"), F.col("pct")[2].alias("q75"), "max",
     )

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from volumetry.session import cut_lineage
+
 BRICK_SIDE = 64
 
 # A parameter table is broadcast only when its caller can bound its rows by this number
@@ -115,7 +117,20 @@ def bricks(df: DataFrame, keys: Sequence[str] = ("volume_id",), value: str = "va
 
 def attach(df: DataFrame, params: DataFrame, keys: Sequence[str], rows: int | None = None,
            how: str = "left") -> DataFrame:
-    """Join a parameter table. ``rows`` is a proven upper bound of its row count, if known."""
+    """Joins parameters to the rows of a volume or sample table.
+
+    ``rows`` is an upper bound of the parameter rows that the caller can prove. Without one the
+    parameters are stored first: the planner then knows their size and broadcasts them, or shuffles
+    both sides, before any sample is moved.
+    """
+    if keys and rows is None:
+        params = cut_lineage(params, "params")
+    return combine(df, params, keys, rows, how)
+
+
+def combine(df: DataFrame, params: DataFrame, keys: Sequence[str], rows: int | None = None,
+            how: str = "left") -> DataFrame:
+    """The same join between two tables of the same small kind; nothing is stored."""
     if not keys:  # a single row of parameters for the whole table
         return df.crossJoin(F.broadcast(params))
     small = rows is not None and rows <= BROADCAST_ROWS
