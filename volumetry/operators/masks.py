@@ -5,8 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,11 +77,11 @@ def runs(rows: DataFrame, keys: Sequence[str] = ("volume_id",), side: int = BRIC
         "node": place("x", 2 * ORDER_BITS) + place("y", ORDER_BITS) + F.col("z0"), "bx": brick("x"), "by": brick("y")})
 
 
-def _label_brick(pdf: pd.DataFrame) -> pd.DataFrame:
+def _label_brick(rows: pa.Table) -> pa.Table:
     """Smallest run number of each component inside one brick; a brick is bounded, a volume is not."""
-    pdf = pdf.sort_values("node", ignore_index=True)
-    x, y, z0, z1 = (pdf[c].to_numpy() for c in ("x", "y", "z0", "z1"))
-    parent = np.arange(len(pdf))
+    rows = rows.sort_by("node")
+    x, y, z0, z1 = (rows.column(c).to_numpy().tolist() for c in ("x", "y", "z0", "z1"))
+    parent = list(range(len(x)))
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -91,15 +90,15 @@ def _label_brick(pdf: pd.DataFrame) -> pd.DataFrame:
         return i
 
     lines: dict[tuple[int, int], list[int]] = {}
-    for i in range(len(pdf)):
+    for i in range(len(x)):
         for before in ((x[i] - 1, y[i]), (x[i], y[i] - 1)):
             for j in lines.get(before, ()):
                 if z0[j] <= z1[i] and z1[j] >= z0[i]:
                     a, b = root(i), root(j)
                     parent[max(a, b)] = min(a, b)
         lines.setdefault((x[i], y[i]), []).append(i)
-    node = pdf["node"].to_numpy()
-    return pdf.assign(part=[node[root(i)] for i in range(len(pdf))])
+    node = rows.column("node").to_numpy()
+    return rows.append_column("part", pa.array([node[root(i)] for i in range(len(x))], pa.int64()))
 
 
 def _crossing(r: DataFrame, keys: Sequence[str], side: int) -> DataFrame:
@@ -153,7 +152,7 @@ def components(rows: DataFrame, keys: Sequence[str] = ("volume_id",), side: int
     keys = list(keys)
     r = runs(rows, keys, side)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in r.schema) + ", part long"
-    parts = cut_lineage(r.groupBy(*keys, "bx", "by", "bz").applyInPandas(_label_brick, schema))
+    parts = cut_lineage(r.groupBy(*keys, "bx", "by", "bz").applyInArrow(_label_brick, schema))
     star = _stars(_crossing(parts, keys, side), keys).select(*keys, F.col("u").alias("part"), F.col("v").alias("_top"))
     return parts.join(star, [*keys, "part"], "left").select(
         *keys, "x", "y", "z0", "z1", F.coalesce("_top", "part").alias("label"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,14 +76,15 @@ def tile_model(model: Callable[[np.ndarray], np.ndarray], size: Sequence[int], v
     """Wraps a model on dense tiles for ``tiled_apply``; one Arrow batch per tile of bounded size."""
     shape = tuple(size)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(AXES), ignore_index=True)
-        cube = pdf[value].to_numpy(dtype="float64").reshape(shape)
-        return pdf.assign(**{value: np.asarray(model(cube), dtype="float64").reshape(-1)})
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in AXES])
+        cube = rows.column(value).to_numpy().reshape(shape)
+        made = np.asarray(model(cube), dtype="float64").reshape(-1)
+        return rows.set_column(rows.schema.get_field_index(value), value, pa.array(made))
 
     def apply(rows: DataFrame, keys: list[str]) -> DataFrame:
         picked = rows.select(*keys, *AXES, F.col(value).cast("double").alias(value))
-        return picked.groupBy(*keys).applyInPandas(run, picked.schema)
+        return picked.groupBy(*keys).applyInArrow(run, picked.schema)
 
     return apply
 
