@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from volumetry.operators.ordering import running_sums
 from volumetry.operators.stats import aggregate_metrics, histogram
 from volumetry.schema import BROADCAST_ROWS, attach, combine, voxels
+from volumetry.session import cut_lineage
 
 # Stabilisers of the structural similarity index, and the report thresholds.
 SSIM_K1, SSIM_K2 = 0.01, 0.03
@@ -96,8 +97,14 @@ def normalize_sides(df: DataFrame, keys: Sequence[str] = ("pair_id",), groups: i
     return rows.withColumns(scaled).drop("_lo_a", "_hi_a", "_lo_b", "_hi_b")
 
 
+def _box(target: str) -> list[Column]:
+    """Value range of the target and the last index of each axis."""
+    return [(F.max(target) - F.min(target)).alias("_range"), *[F.max(c).alias(f"_n{c}") for c in "xyz"]]
+
+
 def ssim(df: DataFrame, keys: Sequence[str] = ("pair_id",), others: Sequence[str] = ("a",), target: str = "b",
-         win: int = 7, span: float | None = None, groups: int | None = None) -> DataFrame:
+         win: int = 7, span: float | None = None, groups: int | None = None,
+         box: DataFrame | None = None) -> DataFrame:
     """Mean structural similarity of each of ``others`` with ``target``; null if the grid is too small.
 
     Local means are separable: three moving averages along lines of the grid. A window partition is
@@ -105,8 +112,8 @@ def ssim(df: DataFrame, keys: Sequence[str] = ("pair_id",), others: Sequence[str
     """
     half, keys = win // 2, list(keys)
     rows = pair_voxels(df)
-    box = rows.groupBy(*keys).agg(
-        (F.max(target) - F.min(target)).alias("_range"), *[F.max(c).alias(f"_n{c}") for c in "xyz"])
+    if box is None:
+        box = cut_lineage(rows.groupBy(*keys).agg(*_box(target)), "box")
     names = [*others, target]
     products = {f"{c}_{c}": F.col(c) * F.col(c) for c in names} | {f"{c}_t": F.col(c) * F.col(target) for c in others}
     cur = attach(rows, box, keys, groups, "inner").withColumns(products)
@@ -139,9 +146,10 @@ def evaluate(df: DataFrame, generated: Column, keys: Sequence[str] = ("pair_id",
     a, b, g = F.col("a"), F.col("b"), F.col("g")
     agg = rows.groupBy(*keys).agg(
         F.avg(F.abs(a - b)).alias("l1_input"), F.avg(F.abs(g - b)).alias("l1_generated"),
-        F.avg((a - b) * (a - b)).alias("_ma"), F.avg((g - b) * (g - b)).alias("_mg"),
-        (F.max(b) - F.min(b)).alias("_range"))
-    out = combine(agg, ssim(rows, keys, ["a", "g"], "b", win, groups=groups), keys, groups)
+        F.avg((a - b) * (a - b)).alias("_ma"), F.avg((g - b) * (g - b)).alias("_mg"), *_box("b"))
+    agg = cut_lineage(agg, "errors")
+    box = agg.select(*keys, "_range", "_nx", "_ny", "_nz")
+    out = combine(agg, ssim(rows, keys, ["a", "g"], "b", win, groups=groups, box=box), keys, groups)
     psnr_a, psnr_g = _decibel(F.col("_ma"), F.col("_range")), _decibel(F.col("_mg"), F.col("_range"))
     return out.select(
         *keys, psnr_a.alias("psnr_input"), psnr_g.alias("psnr_generated"), (psnr_g - psnr_a).alias("psnr_improvement"),
@@ -155,6 +163,7 @@ def consistency(df: DataFrame, keys: Sequence[str] = ("pair_id",), groups: int |
     base = rows.groupBy(*keys).agg(*[
         f(c).alias(f"{c}_{n}") for c in ("a", "b")
         for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg), ("std", F.stddev_pop))])
+    base = cut_lineage(base, "sides")
     far = lambda c: F.avg((F.abs(F.col(c) - F.col(f"{c}_mean")) > OUTLIER_STD * F.col(f"{c}_std")).cast("int"))
     ends = (F.col("a") == F.col("a_min")).cast("int") + (F.col("a") == F.col("a_max")).cast("int")
     second = pair_voxels(attach(df, base, keys, groups)).groupBy(*keys).agg(

@@ -18,7 +18,7 @@ from volumetry.config import check_choice
 from volumetry.functions.binning import bin_of
 from volumetry.operators.ordering import percentiles
 from volumetry.operators.stats import cdf, histogram
-from volumetry.schema import attach, finite, positive, samples, voxels
+from volumetry.schema import attach, finite, positive, samples, voxels, with_row
 from volumetry.session import cut_lineage
 
 METHODS = ("histogram", "zscore", "quantile")
@@ -95,12 +95,12 @@ class HarmonizerModel:
         steps = self.table.select(g, F.posexplode(F.slice("vals", 1, last)).alias("_j", "_x0"), "vals").select(
             g, "_j", "_x0", F.col("vals")[F.col("_j") + 1].alias("_x1"), F.col("vals")[0].alias("_min"),
             F.col("vals")[last].alias("_max")).where(F.col("_x1") > F.col("_x0"))
-        steps = steps.crossJoin(F.broadcast(reference)).select(
+        steps = with_row(steps, reference).select(
             g, "_x0", "_x1", F.col("_ref")[F.col("_j")].alias("_y0"), F.col("_ref")[F.col("_j") + 1].alias("_y1"),
             F.explode(F.sequence(cell(F.col("_x0")), cell(F.col("_x1")))).alias("_cell"))
         ref_ends = self.table.where(F.col(g) == self.reference).select(
             F.col("vals")[0].alias("_ref_min"), F.col("vals")[last].alias("_ref_max"))
-        ends = ends.crossJoin(F.broadcast(ref_ends))
+        ends = with_row(ends, ref_ends)
         flat = voxels(attach(df, ends, [g], self.rows), value).withColumn("_cell", F.when(
             positive(v) & (v >= F.col("_min")) & (v < F.col("_max")), cell(v)))
         # every fitted group has at most LOOKUP cells plus one more row per step

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from volumetry.operators.ordering import percentiles
-from volumetry.schema import BRICK_SIDE, attach, finite, positive, voxels
+from volumetry.schema import BRICK_SIDE, attach, finite, is_packed, positive, voxels
 from volumetry.session import cut_lineage
 
 XYZ = ("x", "y", "z")
@@ -31,7 +31,13 @@ def threshold_mask(df: DataFrame, p: float = 10.0, keys: Sequence[str] = ("volum
 
 
 def apply_mask(df: DataFrame, mask: DataFrame, keys: Sequence[str] = ("volume_id",), value: str = "value") -> DataFrame:
-    """Samples outside the set become 0. ``mask`` is a table of voxels."""
+    """Samples outside the set become 0. ``mask`` is a table of voxels, or of bricks with values > 0
+    inside, cut like those of ``df``; bricks are joined as bricks."""
+    if value in mask.columns and is_packed(mask, value) and is_packed(df, value):
+        side = mask.select(*keys, "origin", F.col(value).alias("_m"))
+        joined = df.join(side, [*keys, "origin"], "left")
+        return joined.withColumn(value, F.when(F.col("_m").isNull(), F.transform(value, lambda v: v * 0)).otherwise(
+            F.zip_with(value, "_m", lambda v, m: F.when(m > 0, v).otherwise(v * 0)))).drop("_m")
     on = [*keys, *XYZ]
     marked = mask.select(*on).withColumn("_in", F.lit(1.0))
     rows = voxels(df, value).join(marked, on, "left")

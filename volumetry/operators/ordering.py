@@ -21,14 +21,16 @@ HASH_BUCKETS = 4096  # three hex digits of an md5
 Keep = Callable[[Column], Column]
 
 
-def _before(keys: Sequence[str], order: str) -> Window:
+def before(keys: Sequence[str], order: str) -> Window:
+    """All rows of the group that come before the current one."""
     return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, ps: Sequence[float],
                 where: Keep = finite, groups: int | None = None, exact: bool = True,
-                accuracy: int = 10_000) -> DataFrame:
-    """``(keys..., n, pct)``: linear-interpolated percentiles as an array in the order of ``ps``."""
+                accuracy: int = 10_000, bounds: DataFrame | None = None) -> DataFrame:
+    """``(keys..., n, pct)``: linear-interpolated percentiles as an array in the order of ``ps``.
+    ``bounds`` (``keys..., _lo, _hi``) saves a pass where the ends of the kept values are known."""
     keys = list(keys)
     kept = df.select(*keys, value)
     if not exact:
@@ -39,8 +41,9 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, ps: Sequence[flo
                  F.percentile_approx(F.col(value).cast("double"), probs, accuracy).alias("pct"))
         )
     v = F.col(value).cast("double")
-    bounds = samples(kept, value).where(where(F.col(value))).groupBy(*keys).agg(
-        F.min(v).alias("_lo"), F.max(v).alias("_hi"))
+    if bounds is None:
+        bounds = samples(kept, value).where(where(F.col(value))).groupBy(*keys).agg(
+            F.min(v).alias("_lo"), F.max(v).alias("_hi"))
     cell = cell_of(v, F.col("_lo"), F.col("_hi"), CELLS)
     shares = F.expr("array(" + ", ".join(f"{p / 100.0!r}D" for p in ps) + ")")
 
@@ -60,7 +63,7 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, ps: Sequence[flo
         F.count(F.lit(1)).alias("_c"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
     running = counts.select(
         *keys, "_cell", "_c", "_lo", "_hi",
-        F.coalesce(F.sum("_c").over(_before(keys, "_cell")), F.lit(0)).alias("_start"),
+        F.coalesce(F.sum("_c").over(before(keys, "_cell")), F.lit(0)).alias("_start"),
         F.sum("_c").over(Window.partitionBy(*keys)).alias("n"))
     held = F.filter(ranks(F.col("n")), lambda r: (r >= F.col("_start")) & (r < F.col("_start") + F.col("_c")))
     wanted = running.withColumn("_held", held).where(F.size("_held") > 0).groupBy(*keys).agg(
@@ -74,7 +77,7 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, ps: Sequence[flo
         *keys, "_cell", v.alias("_v")).agg(
         F.count(F.lit(1)).alias("_m"), pick("_starts").alias("_start"), pick("_firsts").alias("_first"),
         pick("_lasts").alias("_last"), F.max("n").alias("n"))
-    first = F.col("_start") + F.coalesce(F.sum("_m").over(_before(keys + ["_cell"], "_v")), F.lit(0))
+    first = F.col("_start") + F.coalesce(F.sum("_m").over(before(keys + ["_cell"], "_v")), F.lit(0))
     near = (F.col("_from") <= F.col("_last")) & (F.col("_from") + F.col("_m") > F.col("_first"))
     found = merged.withColumn("_from", first).where(near).select(*keys, "n", "_v", F.explode(F.filter(
         ranks(F.col("n")), lambda r: (r >= F.col("_from")) & (r < F.col("_from") + F.col("_m")))).alias("_r"))
@@ -107,14 +110,14 @@ def running_sums(df: DataFrame, keys: Sequence[str], value: str, measures: dict[
     per_cell = fine.groupBy(*keys, "_cell").agg(*[F.sum(k).alias(f"_{k}") for k in measures])
     starts = per_cell.select(
         *keys, "_cell",
-        *[F.coalesce(F.sum(f"_{k}").over(_before(keys, "_cell")), F.lit(0)).alias(f"_{k}_start")
+        *[F.coalesce(F.sum(f"_{k}").over(before(keys, "_cell")), F.lit(0)).alias(f"_{k}_start")
           for k in measures],
         *[F.sum(f"_{k}").over(Window.partitionBy(*keys)).alias(f"{k}_total") for k in measures],
     )
     cell_keys = keys + ["_cell"]
     rows_bound = None if groups is None else max(groups, 1) * CELLS
     joined = combine(fine, starts, cell_keys, rows_bound, "inner")
-    within = _before(cell_keys, value)
+    within = before(cell_keys, value)
     return joined.select(
         *keys, value, *measures, *[f"{k}_total" for k in measures],
         *[(F.col(f"_{k}_start") + F.coalesce(F.sum(k).over(within), F.lit(0))).alias(f"{k}_before")
@@ -132,7 +135,7 @@ def hash_rank(df: DataFrame, digest: Column, ties: Sequence[str], keys: Sequence
     counts = marked.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
     starts = counts.select(
         *keys, "_bucket",
-        F.coalesce(F.sum("_c").over(_before(keys, "_bucket")), F.lit(0)).alias("_start"),
+        F.coalesce(F.sum("_c").over(before(keys, "_bucket")), F.lit(0)).alias("_start"),
         *([F.sum("_c").over(Window.partitionBy(*keys)).alias(total)] if total else []),
     )
     bucket_keys = keys + ["_bucket"]
@@ -153,7 +156,7 @@ def hash_sample(df: DataFrame, digest: Column, ties: Sequence[str], n: int,
     counts = marked.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
     starts = counts.select(
         *keys, "_bucket",
-        F.coalesce(F.sum("_c").over(_before(keys, "_bucket")), F.lit(0)).alias("_start"),
+        F.coalesce(F.sum("_c").over(before(keys, "_bucket")), F.lit(0)).alias("_start"),
     ).where(F.col("_start") < n)
     bucket_keys = keys + ["_bucket"]
     near = combine(marked, starts, bucket_keys, None if keys else HASH_BUCKETS, "inner")

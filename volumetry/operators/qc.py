@@ -17,6 +17,7 @@ from volumetry.functions.binning import bin_center, bin_of, widened
 from volumetry.operators.ordering import percentiles, running_sums
 from volumetry.operators.stats import histogram, unpivot
 from volumetry.schema import attach, combine, finite, positive, samples, voxels
+from volumetry.session import cut_lineage
 
 BINS = 256
 OUTLIER_METRICS = ("snr", "cnr", "entropy", "foreground_fraction", "mean_intensity", "std_intensity")
@@ -136,7 +137,7 @@ def artifacts(df: DataFrame, keys: Sequence[str] = ("volume_id",), value: str =
               groups: int | None = None) -> DataFrame:
     """Flags of a volume; ``has_outliers`` means a positive sample beyond ten population std."""
     flat = samples(df.select(*keys, value), value)
-    base = _base(flat, keys, value, None)
+    base = cut_lineage(_base(flat, keys, value, None), "artifacts")
     v = F.col(value).cast("double")
     far = samples(attach(df.select(*keys, value), base.select(*keys, "_mean", "_std"), keys, groups), value)
     extreme = far.groupBy(*keys).agg(F.coalesce(F.bool_or(
@@ -152,7 +153,8 @@ def qc_metrics(df: DataFrame, keys: Sequence[str] = ("volume_id",), value: str =
     keys = list(keys)
     v = F.col(value).cast("double")
     source = df.select(*keys, value, *([mask] if mask else []))
-    base = _base(samples(source, value), keys, value, mask)
+    # both tables are small and read again below: stored, so that samples are read exactly twice
+    base = cut_lineage(_base(samples(source, value), keys, value, mask), "qc-base")
     lo, hi = widened(F.col("_lo"), F.col("_hi"))
     params = base.select(*keys, lo.alias("lo"), hi.alias("hi"), "_mean", "_std")
     rows = samples(attach(df.select(*keys, value), params, keys, groups, "inner"), value).where(_kept(v))
@@ -163,11 +165,11 @@ def qc_metrics(df: DataFrame, keys: Sequence[str] = ("volume_id",), value: str =
         x = F.when(side, v)
         return [F.count(x).alias(f"n_{name}"), F.avg(x).alias(f"m_{name}"), F.var_pop(x).alias(f"v_{name}")]
 
-    hist = rows.groupBy(*keys, at.alias("bin")).agg(
+    hist = cut_lineage(rows.groupBy(*keys, at.alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
         F.bool_or(F.abs(v - F.col("_mean")) > F.lit(EXTREME_STD) * F.col("_std")).alias("far"),
         *half(~upper, "low"), *half(upper, "high"),
-    )
+    ), "qc-bins")
     cut = _otsu_of(hist, keys, BINS)
     # signal and background moments from the half bins, merged by the parallel variance rule
     placed = combine(hist, cut, keys, groups, "inner")

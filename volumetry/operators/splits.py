@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from volumetry.config import check_ratios
+from volumetry.functions.binning import cell_of
 from volumetry.functions.hashing import digest
-from volumetry.operators.ordering import hash_rank
+from volumetry.operators.ordering import CELLS, before, hash_rank
+from volumetry.schema import with_row
 
 SPLITS = ("train", "val", "test")
 
@@ -66,7 +68,7 @@ def split_summary(df: DataFrame, subject: str = "subject", split: str = "split")
     per = df.groupBy(split, subject).agg(F.count(F.lit(1)).alias("_n")).groupBy(split).agg(
         F.sum("_n").alias("n_samples"), F.count(F.lit(1)).alias("n_subjects"))
     total = per.agg(F.sum("n_samples").alias("_total"))
-    return per.crossJoin(F.broadcast(total)).withColumn(
+    return with_row(per, total).withColumn(
         "share", F.col("n_samples") / F.col("_total")).drop("_total")
 
 
@@ -81,16 +83,11 @@ def to_batches(df: DataFrame, size: int, key: str, shuffle: bool = True, seed: i
 
 def range_rank(df: DataFrame, key: str) -> DataFrame:
     """``row_number`` in the order of a numeric key without one global sort."""
-    from pyspark.sql import Window
-
-    from volumetry.functions.binning import cell_of
-    from volumetry.operators.ordering import CELLS, _before
-
     v = F.col(key).cast("double")
     bounds = df.agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
-    celled = df.crossJoin(F.broadcast(bounds)).withColumn("_cell", cell_of(v, F.col("_lo"), F.col("_hi"), CELLS))
+    celled = with_row(df, bounds).withColumn("_cell", cell_of(v, F.col("_lo"), F.col("_hi"), CELLS))
     counts = celled.groupBy("_cell").agg(F.count(F.lit(1)).alias("_c"))
-    starts = counts.select("_cell", F.coalesce(F.sum("_c").over(_before([], "_cell")), F.lit(0)).alias("_start"))
+    starts = counts.select("_cell", F.coalesce(F.sum("_c").over(before([], "_cell")), F.lit(0)).alias("_start"))
     local = Window.partitionBy("_cell").orderBy(key)
     return celled.join(F.broadcast(starts), "_cell").withColumn(
         "rn", F.row_number().over(local) + F.col("_start")).drop("_cell", "_lo", "_hi", "_start")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from volumetry.functions.binning import bin_edge, bin_of, widened
 from volumetry.operators.ordering import Keep, percentiles
 from volumetry.schema import attach, combine, finite, samples
+from volumetry.session import cut_lineage
 
 
 def nonzero(v: Column) -> Column:
@@ -55,8 +56,9 @@ def volume_stats(df: DataFrame, keys: Sequence[str] = ("volume_id",), value: str
                  where: Keep = nonzero, groups: int | None = None) -> DataFrame:
     """Statistics record over nonzero values; an empty volume keeps zeros and null p01/p99."""
     keep = lambda v: where(v) & finite(v)
-    base = moments(df, keys, value, keep)
-    order = percentiles(df, keys, value, [50.0, 1.0, 99.0], keep, groups).drop("n")
+    base = cut_lineage(moments(df, keys, value, keep), "moments")
+    ends = base.where(F.col("n") > 0).select(*keys, F.col("min").alias("_lo"), F.col("max").alias("_hi"))
+    order = percentiles(df, keys, value, [50.0, 1.0, 99.0], keep, groups, bounds=ends).drop("n")
     joined = combine(base, order, keys, groups)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return joined.select(
@@ -127,6 +129,8 @@ def histogram(df: DataFrame, keys: Sequence[str], value: str = "value", n: int =
     )
     lo, hi = widened(F.col("_lo"), F.col("_hi"))
     bounds = raw.select(*keys, lo.alias("lo"), hi.alias("hi"))
+    if dense:
+        bounds = cut_lineage(bounds, "bounds")
     rows = samples(attach(kept, bounds, keys, groups, "inner"), value).where(keep(F.col(value)))
     counts = rows.groupBy(*keys, bin_of(v, F.col("lo"), F.col("hi"), n).alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), *extra

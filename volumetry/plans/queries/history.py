@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from volumetry.operators import splits, tracking
 from volumetry.plans import fixtures as fx
 from volumetry.plans.registry import query
+from volumetry.schema import with_row
 from volumetry.sources.tables import table
 
 
@@ -88,8 +89,8 @@ def kfold_run(spark, d):
     rows = []
 
     def score(train, val):
-        one = train.agg(F.count(F.lit(1)).alias("n_train"), F.avg("c_acctbal").alias("_t")).crossJoin(
-            val.agg(F.count(F.lit(1)).alias("n_val"), F.avg("c_acctbal").alias("_v")))
+        one = with_row(train.agg(F.count(F.lit(1)).alias("n_train"), F.avg("c_acctbal").alias("_t")),
+                       val.agg(F.count(F.lit(1)).alias("n_val"), F.avg("c_acctbal").alias("_v")))
         return {"plan": one.select("n_train", "n_val", F.round(F.col("_t") - F.col("_v"), 6).alias("gap"))}
 
     for r in splits.run_kfold(cust, 3, score):

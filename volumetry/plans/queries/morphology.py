@@ -32,6 +32,20 @@ def apply_mask(spark, d):
     return masks.apply_mask(df, inside).withColumn("value", F.round("value", 6))
 
 
+@query("apply_mask_bricks", f"""with {fx.POS}, {fx.CAT}, pairs as (select a.volume_id as input_id, b.volume_id as target_id
+    from cat a join cat b on a.subject = b.subject and a.modality = b.modality and a.session = 'ses-1' and b.session = 'ses-2')
+  select p.volume_id, p.x, p.y, p.z, round(case when m.value > 0 then p.value else 0 end, 6) as value
+  from pairs join pos p on p.volume_id = input_id join pos m on m.volume_id = target_id and m.x = p.x and m.y = p.y and m.z = p.z""")
+def apply_mask_bricks(spark, d):
+    """Each first session masked by the positive part of the second, brick by brick."""
+    from volumetry.plans.queries.pairs import pairs
+    df, found = fx.packed_pos(spark, d), pairs(spark, d)
+    mine = df.join(found.select(F.col("input_id").alias("volume_id")), "volume_id")
+    other = df.join(found.select(F.col("target_id").alias("volume_id"), "input_id"), "volume_id").drop("volume_id")
+    out = voxels(masks.apply_mask(mine, other.withColumnRenamed("input_id", "volume_id")))
+    return out.withColumn("value", F.round(F.col("value").cast("double"), 6))
+
+
 @query("mask_erode", f"""with {fx.VOX}, st as (select volume_id, x, y, z from vox where value > -0.15), {OFF}
   select volume_id, cast(x+dx as int) as x, cast(y+dy as int) as y, cast(z+dz as int) as z from st, o group by all having count(*) = 7""")
 def mask_erode(spark, d):

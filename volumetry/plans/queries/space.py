@@ -119,6 +119,18 @@ def mid_slices(spark, d):
     return out.withColumn("value", F.round(F.col("value").cast("double"), 6))
 
 
+@query("scale_slice", f"""with {fx.VOX}, sl as (select volume_id, 'sagittal' as plane, x, y, z, value from vox where x = 2
+  union all select volume_id, 'coronal', x, y, z, value from vox where y = 2
+  union all select volume_id, 'axial', x, y, z, value from vox where z = 2),
+  e as (select volume_id, plane, min(value) as lo, max(value) as hi from sl group by 1, 2)
+  select volume_id, plane, x, y, z, round(case when hi > lo then (value-lo)/(hi-lo) else value end, 6) as value
+  from sl join e using (volume_id, plane)""")
+def scale_slice(spark, d):
+    from volumetry.operators.normalize import scale_slice as scale
+    slices = grid.mid_slices(fx.packed(spark, d), fx.headers(spark, d), groups=fx.volume_count(spark, d))
+    return scale(slices, ["volume_id", "plane"]).withColumn("value", F.round("value", 6))
+
+
 def turned(spark, d):
     """Headers with an affine that depends on the label: LAS or PSR axes."""
     row = lambda *v: F.array(*[F.lit(float(x)) for x in v])

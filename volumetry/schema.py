@@ -131,12 +131,18 @@ def attach(df: DataFrame, params: DataFrame, keys: Sequence[str], rows: int | No
 def combine(df: DataFrame, params: DataFrame, keys: Sequence[str], rows: int | None = None,
             how: str = "left") -> DataFrame:
     """The same join between two tables of the same small kind; nothing is stored."""
-    if not keys:  # a single row of parameters for the whole table
-        return df.crossJoin(F.broadcast(params))
+    if not keys:
+        return with_row(df, params)
     small = rows is not None and rows <= BROADCAST_ROWS
     return df.join(F.broadcast(params) if small else params, list(keys), how)
 
 
+def with_row(df: DataFrame, params: DataFrame) -> DataFrame:
+    """Adds the columns of a one-row table as a scalar subquery: no join, no shuffle."""
+    row = params.select(F.struct(*params.columns).alias("_row")).scalar()
+    return df.withColumn("_row", row).select(*df.columns, "_row.*")
+
+
 def finite(v: Column) -> Column:
     return v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))
 
