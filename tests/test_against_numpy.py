@@ -120,12 +120,17 @@ def test_pair_scores(spark):
     packed_pairs = evaluate.pair_bricks(pair_table(spark), packed(spark, CUBES))
     metrics = {r["pair_id"]: r for r in evaluate.pair_metrics(packed_pairs).collect()}
     sim = {r["pair_id"]: r["ssim_a"] for r in evaluate.ssim(packed_pairs, win=5).collect()}
+    # the same through bricks of side 3 that exchange halos, with a generated side
+    cut = evaluate.ssim(evaluate.pair_voxels(packed_pairs), generated=lambda a, b: (a + b) / 2, win=5, side=3)
+    halo = {r["pair_id"]: r for r in cut.collect()}
     for p in (0, 1):
         a, b = CUBES[p], CUBES[p + 1]
         mse = ((a - b) ** 2).mean()
         assert metrics[p]["l1"] == pytest.approx(abs(a - b).mean())
         assert metrics[p]["psnr"] == pytest.approx(10 * np.log10((b.max() - b.min()) ** 2 / mse))
         assert sim[p] == pytest.approx(npo.ssim(a, b, 5), rel=1e-7)
+        assert halo[p]["ssim_a"] == pytest.approx(sim[p], rel=1e-7)
+        assert halo[p]["ssim_g"] == pytest.approx(npo.ssim((a + b) / 2, b, 5), rel=1e-7)
 
 
 def test_ks_statistic(spark):
@@ -192,8 +197,10 @@ def test_long_thin_component_settles(spark):
     assert labelled.select("label").distinct().count() == 1 == npo.label(m).max()
 
 
-def test_smooth(spark):
-    got = cubes_of(augment.rand_smooth(packed(spark, CUBES), p=1.1))
+@pytest.mark.parametrize("form", ["packed", "bricks"])
+def test_smooth(spark, form):
+    df = packed(spark, CUBES)
+    got = cubes_of(augment.rand_smooth(df if form == "packed" else voxels(df), p=1.1, side=64 if form == "packed" else 6))
     ids = spark.createDataFrame([(i,) for i in CUBES], "volume_id long")
     for r in ids.select("volume_id", *[between(0.5, 1.5, 42, F.col("volume_id"), "smooth", c).alias(c) for c in "xyz"]).collect():
         np.testing.assert_allclose(got[r[0]], npo.smooth(CUBES[r[0]], (r["x"], r["y"], r["z"])), rtol=1e-5, atol=1e-4)

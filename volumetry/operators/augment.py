@@ -6,12 +6,14 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from volumetry.config import AugmentConfig
 from volumetry.functions.hashing import between, normal, uniform, whole_between
-from volumetry.schema import attach, samples, voxels
+from volumetry.operators.stencil import line_sums, stencil
+from volumetry.schema import BRICK_SIDE, attach, bricks, is_packed, samples, voxels
 
 AXES = ("x", "y", "z")
 Step = Callable[[DataFrame], DataFrame]
@@ -131,30 +133,33 @@ def kernel(sigma: Column, reach: int) -> Column:
     return F.transform(F.sequence(F.lit(-reach), F.lit(reach)), weight)
 
 
-def smooth_axis(rows: DataFrame, axis: str, weights: str, reach: int, keys: Sequence[str] = ("volume_id",),
-                value: str = "value") -> DataFrame:
-    """Weighted sum along one axis, zero outside the grid; a window holds one line of a volume."""
-    line = Window.partitionBy(*keys, *[c for c in AXES if c != axis]).orderBy(axis)
-    v = F.col(value).cast("double")
-    total = F.lit(0.0)
-    for k in range(-reach, reach + 1):
-        moved = F.lag(v, k, 0.0).over(line) if k else v
-        total = total + F.col(weights)[k + reach] * moved
-    return rows.withColumn(value, total)
+def _smooth_block(axes: Sequence[str], reach: int):
+    still = np.zeros(2 * reach + 1)
+    still[reach] = 1.0
+
+    def run(blocks: dict[str, np.ndarray], params: dict[str, object]) -> dict[str, np.ndarray]:
+        taps = [np.array(params[f"_k{c}"]) if c in axes else still for c in AXES]
+        return {"value": line_sums(np.nan_to_num(blocks["value"]), taps)}
+
+    return run
 
 
 def rand_smooth(df: DataFrame, p: float = 0.2, sigma: tuple[float, float] = (0.5, 1.5), seed: int = 42,
-                key: str = "volume_id", value: str = "value", axes: Sequence[str] = AXES) -> DataFrame:
-    """Gaussian smoothing with a sigma of its own per volume and axis; untouched volumes skip it."""
+                key: str = "volume_id", value: str = "value", axes: Sequence[str] = AXES,
+                side: int = BRICK_SIDE) -> DataFrame:
+    """Gaussian smoothing with a sigma of its own per volume and axis, zero outside the grid. Bricks
+    exchange halos; volumes that are not drawn skip it."""
     parts = (seed, F.col(key), "smooth")
     reach = int(max(sigma[1] * 4.0, 0.5) + 0.5)
     marked = df.withColumn("_hit", _gate(p, *parts))
     calm = voxels(marked.where(~F.col("_hit")).drop("_hit"), value).withColumn(value, F.col(value).cast("double"))
+    busy = marked.where("_hit").drop("_hit")
+    rest = [c for c in calm.columns if c not in (*AXES, value)]
+    packed = busy if is_packed(df, value) else bricks(busy, rest, value, side)
     kernels = {f"_k{c}": kernel(between(*sigma, *parts, c), reach) for c in axes}
-    busy = voxels(marked.where("_hit").drop("_hit").withColumns(kernels), value)
-    for c in axes:
-        busy = smooth_axis(busy, c, f"_k{c}", reach, [key], value)
-    return busy.drop(*kernels).unionByName(calm)
+    done = stencil(packed.withColumnRenamed(value, "value").withColumns(kernels), _smooth_block(axes, reach),
+                   {"value": "array<double>"}, reach, rest, ["value"], list(kernels), side)
+    return voxels(done).withColumnRenamed("value", value).unionByName(calm)
 
 
 def _affine_params(cfg: AugmentConfig, seed: int, key: str) -> dict[str, Column]:

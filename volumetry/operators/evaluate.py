@@ -6,14 +6,16 @@ single samples, so per-pair parameters are joined to bricks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from volumetry.operators.ordering import running_sums
 from volumetry.operators.stats import aggregate_metrics, histogram
-from volumetry.schema import BROADCAST_ROWS, attach, combine, voxels
+from volumetry.operators.stencil import line_sums, stencil
+from volumetry.schema import BRICK_SIDE, BROADCAST_ROWS, attach, bricks, combine, voxels
 from volumetry.session import cut_lineage
 
 # Stabilisers of the structural similarity index, and the report thresholds.
@@ -23,18 +25,20 @@ MAX_OUTLIER_RATIO, MAX_SATURATION, MIN_KS_PVALUE = 0.01, 0.1, 0.01
 GOOD_PSNR, GOOD_SSIM = 25.0, 0.85
 KS_TERMS = 100
 
+Made = Callable[[Column, Column], Column]  # the generated value of a sample from both sides
+
 EVAL_FIRST = ("subject", "psnr_input", "psnr_generated", "psnr_improvement",
               "ssim_input", "ssim_generated", "ssim_improvement")
 
 
-def pair_bricks(pairs: DataFrame, bricks: DataFrame, value: str = "value", n_pairs: int | None = None,
+def pair_bricks(pairs: DataFrame, packed: DataFrame, value: str = "value", n_pairs: int | None = None,
                 keys: Sequence[str] = ("pair_id",)) -> DataFrame:
     """Packed pairs: ``pairs`` has ``input_id`` and ``target_id``; bricks meet on their origin."""
     small = n_pairs is not None and n_pairs <= BROADCAST_ROWS
 
     def side(ident: str, name: str) -> DataFrame:
         ids = pairs.select(*keys, F.col(ident).alias("volume_id"))
-        joined = bricks.join(F.broadcast(ids) if small else ids, "volume_id")
+        joined = packed.join(F.broadcast(ids) if small else ids, "volume_id")
         return joined.select(*keys, "origin", "dims", F.col(value).alias(name))
 
     both = side("input_id", "a").join(side("target_id", "b"), [*keys, "origin", "dims"])
@@ -97,59 +101,71 @@ def normalize_sides(df: DataFrame, keys: Sequence[str] = ("pair_id",), groups: i
     return rows.withColumns(scaled).drop("_lo_a", "_hi_a", "_lo_b", "_hi_b")
 
 
-def _box(target: str) -> list[Column]:
-    """Value range of the target and the last index of each axis."""
-    return [(F.max(target) - F.min(target)).alias("_range"), *[F.max(c).alias(f"_n{c}") for c in "xyz"]]
-
+def _sides(df: DataFrame, keys: list[str], generated: Made | None, side: int) -> DataFrame:
+    """Packed arrays ``a``, ``b`` and, where made, ``g``."""
+    if "ab" in df.columns:
+        made = [F.transform("ab", lambda s: generated(s["a"].cast("double"), s["b"].cast("double"))).alias("g")] if generated else []
+        return df.select(*keys, "origin", "dims", F.col("ab.a").alias("a"), F.col("ab.b").alias("b"), *made)
+    rows = df.withColumn("g", generated(F.col("a"), F.col("b"))) if generated else df
+    return bricks(rows, keys, ["a", "b", "g"] if generated else ["a", "b"], side)
 
-def ssim(df: DataFrame, keys: Sequence[str] = ("pair_id",), others: Sequence[str] = ("a",), target: str = "b",
-         win: int = 7, span: float | None = None, groups: int | None = None,
-         box: DataFrame | None = None) -> DataFrame:
-    """Mean structural similarity of each of ``others`` with ``target``; null if the grid is too small.
 
-    Local means are separable: three moving averages along lines of the grid. A window partition is
-    one line of one volume, so no task ever holds more than the extent of a grid.
-    """
-    half, keys = win // 2, list(keys)
-    rows = pair_voxels(df)
-    if box is None:
-        box = cut_lineage(rows.groupBy(*keys).agg(*_box(target)), "box")
-    names = [*others, target]
-    products = {f"{c}_{c}": F.col(c) * F.col(c) for c in names} | {f"{c}_t": F.col(c) * F.col(target) for c in others}
-    cur = attach(rows, box, keys, groups, "inner").withColumns(products)
-    measures = [*names, *products]
-    for axis in "zyx":
-        line = Window.partitionBy(*keys, *[c for c in "xyz" if c != axis]).orderBy(axis).rowsBetween(-half, half)
-        cur = cur.withColumns({m: F.avg(m).over(line) for m in measures}).where(
-            (F.col(axis) >= half) & (F.col(axis) <= F.col(f"_n{axis}") - half))
+def _brick_similarity(others: tuple[str, ...], win: int):
+    """Sum and number of similarity values of one padded brick; windows that leave the grid are NaN."""
     size = float(win**3)
-    scale = F.lit(size / (size - 1.0))
-    width = F.lit(float(span)) if span is not None else F.col("_range")
-    c1, c2 = F.pow(F.lit(SSIM_K1) * width, 2), F.pow(F.lit(SSIM_K2) * width, 2)
-    t = F.col(target)
-    var_t = scale * (F.col(f"{target}_{target}") - t * t)
-
-    def index(o: str) -> Column:
-        u = F.col(o)
-        var_o = scale * (F.col(f"{o}_{o}") - u * u)
-        cov = scale * (F.col(f"{o}_t") - u * t)
-        return ((2 * u * t + c1) * (2 * cov + c2)) / ((u * u + t * t + c1) * (var_o + var_t + c2))
-
-    scored = cur.groupBy(*keys).agg(*[F.avg(index(o)).alias(f"ssim_{o}") for o in others])
-    return combine(box.select(*keys), scored, keys, groups)
-
-
-def evaluate(df: DataFrame, generated: Column, keys: Sequence[str] = ("pair_id",), win: int = 7,
+    even = [np.full(win, 1.0 / win)] * 3
+
+    def run(blocks: dict[str, np.ndarray], params: dict[str, object]) -> dict[str, object]:
+        width = float(params["_range"])
+        c1, c2 = (SSIM_K1 * width) ** 2, (SSIM_K2 * width) ** 2
+        scale = size / (size - 1.0)
+        t = blocks["b"]
+        mean_t = line_sums(t, even)
+        var_t = scale * (line_sums(t * t, even) - mean_t**2)
+        out: dict[str, object] = {"n": int(np.isfinite(mean_t).sum())}
+        for o in others:
+            v = blocks[o]
+            mean = line_sums(v, even)
+            var, cov = scale * (line_sums(v * v, even) - mean**2), scale * (line_sums(v * t, even) - mean * mean_t)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                index = ((2 * mean * mean_t + c1) * (2 * cov + c2)) / ((mean**2 + mean_t**2 + c1) * (var + var_t + c2))
+            out[o] = float(np.nansum(index))
+        return out
+
+    return run
+
+
+def ssim(df: DataFrame, keys: Sequence[str] = ("pair_id",), generated: Made | None = None, win: int = 7,
+         span: float | None = None, groups: int | None = None, ranges: DataFrame | None = None,
+         side: int = BRICK_SIDE) -> DataFrame:
+    """Mean structural similarity of ``a`` (and of the generated side) with ``b``; null where the grid
+    is smaller than the window. Windows are uniform with sample covariance. Bricks exchange halos of
+    ``win // 2`` and each gives one sum and one count. ``ranges`` holds ``_range`` of b where known."""
+    keys = list(keys)
+    sides = _sides(df, keys, generated, side)
+    if span is not None:
+        ranged = sides.withColumn("_range", F.lit(float(span)))
+    else:
+        if ranges is None:
+            ranges = pair_voxels(df).groupBy(*keys).agg((F.max("b") - F.min("b")).alias("_range"))
+        ranged = attach(sides, ranges, keys, groups, "inner")
+    others = ("a", "g") if generated else ("a",)
+    per_brick = stencil(ranged, _brick_similarity(others, win), {"n": "long", **{o: "double" for o in others}},
+                        win // 2, keys, ["b", *others], ["_range"], side)
+    return per_brick.groupBy(*keys).agg(*[
+        F.when(F.sum("n") > 0, F.sum(o) / F.sum("n")).alias(f"ssim_{o}") for o in others])
+
+
+def evaluate(df: DataFrame, generated: Made, keys: Sequence[str] = ("pair_id",), win: int = 7,
              groups: int | None = None) -> DataFrame:
     """Input against target, generated against target, and the improvement between them."""
-    rows = pair_voxels(df).withColumn("g", generated)
+    rows = pair_voxels(df).withColumn("g", generated(F.col("a"), F.col("b")))
     a, b, g = F.col("a"), F.col("b"), F.col("g")
-    agg = rows.groupBy(*keys).agg(
+    agg = cut_lineage(rows.groupBy(*keys).agg(
         F.avg(F.abs(a - b)).alias("l1_input"), F.avg(F.abs(g - b)).alias("l1_generated"),
-        F.avg((a - b) * (a - b)).alias("_ma"), F.avg((g - b) * (g - b)).alias("_mg"), *_box("b"))
-    agg = cut_lineage(agg, "errors")
-    box = agg.select(*keys, "_range", "_nx", "_ny", "_nz")
-    out = combine(agg, ssim(rows, keys, ["a", "g"], "b", win, groups=groups, box=box), keys, groups)
+        F.avg((a - b) * (a - b)).alias("_ma"), F.avg((g - b) * (g - b)).alias("_mg"),
+        (F.max(b) - F.min(b)).alias("_range")), "errors")
+    out = combine(agg, ssim(df, keys, generated, win, groups=groups, ranges=agg.select(*keys, "_range")), keys, groups)
     psnr_a, psnr_g = _decibel(F.col("_ma"), F.col("_range")), _decibel(F.col("_mg"), F.col("_range"))
     return out.select(
         *keys, psnr_a.alias("psnr_input"), psnr_g.alias("psnr_generated"), (psnr_g - psnr_a).alias("psnr_improvement"),
@@ -207,10 +223,10 @@ def eval_aggregate(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return aggregate_metrics(df, columns)
 
 
-def eval_histograms(df: DataFrame, generated: Column, keys: Sequence[str] = ("pair_id",), bins: int = 100,
+def eval_histograms(df: DataFrame, generated: Made, keys: Sequence[str] = ("pair_id",), bins: int = 100,
                     groups: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Histograms of input, target and generated samples, and their mean and std."""
-    rows = pair_voxels(df).withColumn("g", generated)
+    rows = pair_voxels(df).withColumn("g", generated(F.col("a"), F.col("b")))
     long = rows.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(n).alias("role"), F.col(c).alias("value")) for n, c in (("input", "a"), ("target", "b"), ("generated", "g"))
     ])).alias("_s")).select(*keys, "_s.*")

@@ -18,8 +18,8 @@ def packed_pairs(spark, d):
     return evaluate.pair_bricks(pairs(spark, d), fx.packed(spark, d), n_pairs=fx.volume_count(spark, d))
 
 
-def generated():
-    return (F.col("a") + F.col("b")) / 2
+def generated(a, b):
+    return (a + b) / 2
 
 
 def rounded(df, digits, *columns):
@@ -104,7 +104,7 @@ EVAL = ("psnr_input", "psnr_generated", "psnr_improvement", "ssim_input", "ssim_
 
 
 def evaluated(spark, d):
-    return evaluate.evaluate(packed_pairs(spark, d), generated(), win=3, groups=fx.volume_count(spark, d))
+    return evaluate.evaluate(packed_pairs(spark, d), generated, win=3, groups=fx.volume_count(spark, d))
 
 
 @query("eval_improvement", f"with {fx.PAIRS}, {GEN} select pair_id, " + ", ".join(f"round({c},6) as {c}" for c in EVAL) + " from ev")
@@ -170,5 +170,5 @@ def consistency_warnings(spark, d):
   select pair_id, role, cast(least(floor((v-lo)/(hi-lo)*100), 99) as int) as bin, count(*) as n,
     round(max(mean),6) as mean, round(max(std),6) as std from r join e using (pair_id, role) group by 1, 2, 3""")
 def eval_histograms(spark, d):
-    hist, stats = evaluate.eval_histograms(packed_pairs(spark, d), generated(), groups=fx.volume_count(spark, d))
+    hist, stats = evaluate.eval_histograms(packed_pairs(spark, d), generated, groups=fx.volume_count(spark, d))
     return rounded(hist.join(stats, ["pair_id", "role"]).drop("lo", "hi"), 6, "mean", "std")

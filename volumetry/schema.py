@@ -97,21 +97,22 @@ def voxels(df: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
-def bricks(df: DataFrame, keys: Sequence[str] = ("volume_id",), value: str = "value",
+def bricks(df: DataFrame, keys: Sequence[str] = ("volume_id",), value: str | Sequence[str] = "value",
            side: int = BRICK_SIDE) -> DataFrame:
     """Pack long rows of dense volumes; a group never holds more than ``side**3`` samples."""
+    names = [value] if isinstance(value, str) else list(value)
     cell = lambda c: F.floor(F.col(c) / side).cast("int")
     keyed = df.withColumns({"bx": cell("x"), "by": cell("y"), "bz": cell("z")})
     packed = keyed.groupBy(*keys, "bx", "by", "bz").agg(
         *[F.min(c).alias(f"_{c}0") for c in "xyz"],
         *[F.max(c).alias(f"_{c}1") for c in "xyz"],
-        F.sort_array(F.collect_list(F.struct("x", "y", "z", value))).alias("_cells"),
+        F.sort_array(F.collect_list(F.struct("x", "y", "z", *names))).alias("_cells"),
     )
     return packed.select(
         *keys,
         F.array(*[F.col(f"_{c}0") for c in "xyz"]).alias("origin"),
         F.array(*[F.col(f"_{c}1") - F.col(f"_{c}0") + 1 for c in "xyz"]).alias("dims"),
-        F.col(f"_cells.{value}").alias(value),
+        *[F.col(f"_cells.{n}").alias(n) for n in names],
     )
 
 
