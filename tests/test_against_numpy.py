@@ -11,7 +11,7 @@ from volumetry.functions.hashing import between
 from volumetry.operators import augment, evaluate, grid, masks, ordering, qc, stats, tiles
 from volumetry.operators.harmonize import HarmonizerModel
 from volumetry.operators.normalize import normalize
-from volumetry.schema import voxels
+from volumetry.schema import bricks, voxels
 
 CUBES = random_cubes()
 
@@ -147,8 +147,9 @@ def test_tiles(spark):
     got = cubes_of(tiles.tiled_apply(packed(spark, CUBES), h, tiles.demean(), (4, 4, 4), 0.5))
     near(got, {i: npo.tiled_demean(v, 4, 2) for i, v in CUBES.items()})
     near(cubes_of(tiles.tiled_apply(packed(spark, CUBES), h, tiles.identity, (4, 4, 4), 0.5)), CUBES)
-    model = tiles.tile_model(lambda cube: cube - cube.mean(), (4, 4, 4))
-    near(cubes_of(tiles.tiled_apply(packed(spark, CUBES), h, model, (4, 4, 4), 0.5)), got)
+    for side in (3, 64):  # several bricks, and tiles across them
+        df = bricks(voxels(packed(spark, CUBES)), side=side)
+        near(cubes_of(voxels(tiles.tiled_model(df, h, lambda cube: cube - cube.mean(), (4, 4, 4), 0.5, side=side))), got)
 
 
 def test_resample_matches_interpolation(spark):

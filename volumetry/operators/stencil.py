@@ -48,30 +48,38 @@ def stencil(packed: DataFrame, fn: Block, outputs: Mapping[str, str], reach: int
 def _cutter(columns: list[str], values: list[str], reach: int, side: int):
     def slabs(row: dict) -> Iterator[dict]:
         origin, dims = row["origin"], row["dims"]
-        cubes = {v: np.asarray(row[v]).reshape(dims) for v in values}
         for off in OFFSETS:
             if not all(o == 0 or (o == 1 and n >= side) or (o == -1 and s > 0) for o, n, s in zip(off, dims, origin)):
                 continue
             cut = [(0, n) if o == 0 else (max(n - reach, 0), n) if o == 1 else (0, min(reach, n)) for o, n in zip(off, dims)]
-            part = tuple(slice(*c) for c in cut)
-            yield {**row, "center": False, **{b: row[b] + o for b, o in zip(("bx", "by", "bz"), off)},
-                   "origin": [s + c[0] for s, c in zip(origin, cut)], "dims": [b - a for a, b in cut],
-                   **{v: cubes[v][part].reshape(-1) for v in values}}
+            yield part_of(row, cut, values) | {"center": False} | {b: row[b] + o for b, o in zip(("bx", "by", "bz"), off)}
 
+    return scatter(columns, values, slabs)
+
+
+def part_of(row: dict, cut: Sequence[tuple[int, int]], values: Sequence[str]) -> dict:
+    """The box ``cut`` of a brick row, with its own origin and dims."""
+    place = tuple(slice(*c) for c in cut)
+    return {**row, "origin": [s + c[0] for s, c in zip(row["origin"], cut)], "dims": [b - a for a, b in cut],
+            **{v: np.asarray(row[v]).reshape(row["dims"])[place].reshape(-1) for v in values}}
+
+
+def scatter(columns: Sequence[str], values: Sequence[str], pieces: Callable[[dict], Iterator[dict]],
+            schema: pa.Schema | None = None):
+    """A ``mapInArrow`` function that turns each brick row into pieces, in batches of bounded size."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held, size = [], 0
+            held, size, kind = [], 0, schema or batch.schema
             for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                row = {c: one.column(c)[0].values.to_numpy() if c in values else one.column(c)[0].as_py() for c in columns}
-                for piece in slabs(row):
+                row = {c: batch.column(c)[i].values.to_numpy() if c in values else batch.column(c)[i].as_py() for c in columns}
+                for piece in pieces(row):
                     held.append(piece)
                     size += len(piece[values[0]]) * len(values)
                     if size >= HELD_SAMPLES:
-                        yield pa.RecordBatch.from_pylist(held, schema=batch.schema)
+                        yield pa.RecordBatch.from_pylist(held, schema=kind)
                         held, size = [], 0
             if held:
-                yield pa.RecordBatch.from_pylist(held, schema=batch.schema)
+                yield pa.RecordBatch.from_pylist(held, schema=kind)
 
     return run
 

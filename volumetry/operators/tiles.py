@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from volumetry.functions.hashing import whole_between
-from volumetry.schema import attach, voxels
+from volumetry.operators.stencil import part_of, scatter
+from volumetry.schema import BRICK_SIDE, attach, voxels
 
 AXES = ("x", "y", "z")
 TILE = ["x0", "y0", "z0"]
@@ -72,21 +74,82 @@ def tiled_apply(df: DataFrame, volumes: DataFrame, fn: Callable[[DataFrame, list
         F.coalesce(F.avg("_t"), F.max("_i")).alias(value))
 
 
-def tile_model(model: Callable[[np.ndarray], np.ndarray], size: Sequence[int], value: str = "value"):
-    """Wraps a model on dense tiles for ``tiled_apply``; one Arrow batch per tile of bounded size."""
-    shape = tuple(size)
-
+PIECE = "volume_id long, {} int, {} int, {} int, origin array<int>, dims array<int>, value array<double>"
+PIECE_ARROW = [("origin", pa.list_(pa.int32())), ("dims", pa.list_(pa.int32())), ("value", pa.list_(pa.float64()))]
+
+
+def tiled_model(packed: DataFrame, volumes: DataFrame, model: Callable[[np.ndarray], np.ndarray], size: Sequence[int],
+                overlap: float = 0.5, groups: int | None = None, side: int = BRICK_SIDE) -> DataFrame:
+    """Applies a model to dense tiles and averages overlaps, brick by brick; returns bricks.
+
+    Bricks send each tile the box they share with it, a group of one tile runs the model and sends
+    its result back to the bricks below it, a group of one brick averages. Arrays travel, never
+    single samples, and no group is larger than a tile or a brick with its tiles. A model that is
+    loaded at import or kept in a module lives once per Python worker.
+    """
+    size, step = tuple(size), strides(size, overlap)
+    home = attach(packed.select("volume_id", "origin", "dims", F.col("value").cast("array<double>").alias("value")),
+                  volumes.select("volume_id", "shape"), ["volume_id"], groups, "inner")
+    to_tiles = home.mapInArrow(_to_tiles(home.columns, size, step), PIECE.format(*TILE))
+    made = to_tiles.groupBy("volume_id", *TILE).applyInArrow(_run_tile(model, size, side), PIECE.format("bx", "by", "bz"))
+    at = lambda i: F.floor(F.col("origin")[i] / side).cast("int")
+    inputs = home.select("volume_id", at(0).alias("bx"), at(1).alias("by"), at(2).alias("bz"), "origin", "dims", "value",
+                         F.lit(True).alias("input"))
+    every = inputs.unionByName(made.withColumn("input", F.lit(False)))
+    return every.groupBy("volume_id", "bx", "by", "bz").applyInArrow(
+        _average, "volume_id long, origin array<int>, dims array<int>, value array<double>")
+
+
+def _to_tiles(columns: list[str], size: tuple[int, ...], step: list[int]):
+    def pieces(row: dict) -> Iterator[dict]:
+        spans = []
+        for o, n, total, p, s in zip(row["origin"], row["dims"], row["shape"], size, step):
+            first, last = max(0, -((p - 1 - o) // s)), min((o + n - 1) // s, (total - p) // s if total >= p else -1)
+            spans.append([k * s for k in range(first, last + 1)])
+        for start in product(*spans):
+            cut = [(max(t - o, 0), min(t + p - o, n)) for t, p, o, n in zip(start, size, row["origin"], row["dims"])]
+            part = part_of(row, cut, ["value"])
+            yield {"volume_id": row["volume_id"], **dict(zip(TILE, start)), **{c: part[c] for c in ("origin", "dims", "value")}}
+
+    kind = pa.schema([("volume_id", pa.int64()), *[(t, pa.int32()) for t in TILE], *PIECE_ARROW])
+    return scatter(columns, ["value"], pieces, kind)
+
+
+def _run_tile(model: Callable[[np.ndarray], np.ndarray], size: tuple[int, ...], side: int):
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([(c, "ascending") for c in AXES])
-        cube = rows.column(value).to_numpy().reshape(shape)
-        made = np.asarray(model(cube), dtype="float64").reshape(-1)
-        return rows.set_column(rows.schema.get_field_index(value), value, pa.array(made))
-
-    def apply(rows: DataFrame, keys: list[str]) -> DataFrame:
-        picked = rows.select(*keys, *AXES, F.col(value).cast("double").alias(value))
-        return picked.groupBy(*keys).applyInArrow(run, picked.schema)
-
-    return apply
+        start = [rows.column(t)[0].as_py() for t in TILE]
+        cube = np.zeros(size)
+        for i in range(rows.num_rows):
+            origin, dims = rows.column("origin")[i].as_py(), rows.column("dims")[i].as_py()
+            place = tuple(slice(o - s, o - s + n) for o, s, n in zip(origin, start, dims))
+            cube[place] = rows.column("value")[i].values.to_numpy().reshape(dims)
+        whole = {"origin": start, "dims": list(size), "value": np.asarray(model(cube), dtype="float64").reshape(-1)}
+        spans = [range(s // side, (s + p - 1) // side + 1) for s, p in zip(start, size)]
+        out = []
+        for brick in product(*spans):
+            cut = [(max(b * side - s, 0), min((b + 1) * side - s, p)) for b, s, p in zip(brick, start, size)]
+            out.append(part_of(whole, cut, ["value"]) | {"volume_id": rows.column("volume_id")[0].as_py()}
+                       | dict(zip(("bx", "by", "bz"), brick)))
+        return pa.Table.from_pylist(out, schema=pa.schema(
+            [("volume_id", pa.int64()), *[(b, pa.int32()) for b in ("bx", "by", "bz")], *PIECE_ARROW]))
+
+    return run
+
+
+def _average(rows: pa.Table) -> pa.Table:
+    home = int(np.flatnonzero(rows.column("input").to_numpy())[0])
+    start, dims = rows.column("origin")[home].as_py(), rows.column("dims")[home].as_py()
+    total, count = np.zeros(dims), np.zeros(dims)
+    for i in range(rows.num_rows):
+        if i != home:
+            origin, size = rows.column("origin")[i].as_py(), rows.column("dims")[i].as_py()
+            place = tuple(slice(o - s, o - s + n) for o, s, n in zip(origin, start, size))
+            total[place] += rows.column("value")[i].values.to_numpy().reshape(size)
+            count[place] += 1
+    given = rows.column("value")[home].values.to_numpy().reshape(dims)
+    out = np.where(count > 0, total / np.maximum(count, 1), given)
+    return pa.table({"volume_id": rows.column("volume_id").slice(home, 1), "origin": rows.column("origin").slice(home, 1),
+                     "dims": rows.column("dims").slice(home, 1), "value": pa.array([out.reshape(-1)], pa.list_(pa.float64()))})
 
 
 def identity(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from volumetry.operators import evaluate, grid, tiles
 from volumetry.plans import fixtures as fx
 from volumetry.plans.queries.pairs import packed_pairs
 from volumetry.plans.registry import query
+from volumetry.schema import voxels
 
 TILES = """s as (select cast(unnest([0, 1]) as int) as s)"""
 VOXT = fx.VOX + """, s as (select cast(unnest([0, 1]) as int) as s), tm as (select v.*, a.s as x0, b.s as y0, c.s as z0 from vox v
@@ -54,8 +55,9 @@ def tiled_demean(spark, d):
   from vox join m using (volume_id)""")
 def tiled_model(spark, d):
     """A model on whole tiles in Python; samples outside every tile keep their input."""
-    model = tiles.tile_model(lambda cube: cube * 2 - cube.mean(), (3, 3, 3))
-    out = tiles.tiled_apply(fx.packed(spark, d), fx.headers(spark, d), model, (3, 3, 3), 0.0, groups=fx.volume_count(spark, d))
+    bricks = tiles.tiled_model(fx.packed(spark, d), fx.headers(spark, d), lambda cube: cube * 2 - cube.mean(), (3, 3, 3), 0.0,
+                               groups=fx.volume_count(spark, d))
+    out = voxels(bricks)
     return out.withColumn("value", F.round("value", 6))
 
 
