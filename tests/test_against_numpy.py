@@ -230,3 +230,26 @@ def test_rot90_matches_numpy(spark):
     got = cubes_of(augment.rand_rot90(packed(spark, cubes), heads(spark, cubes), p=1.1))
     for i, v in cubes.items():
         assert any(np.allclose(got[i], np.rot90(v, k)) for k in (1, 2, 3))
+
+
+def test_rot90_headers_follow_the_samples(spark):
+    cubes = random_cubes(6, (3, 4, 2), 9)
+    h = heads(spark, cubes)
+    got = cubes_of(augment.rand_rot90(packed(spark, cubes), h, p=1.1))
+    shapes = {r[0]: tuple(r[1]) for r in augment.rot90_headers(h, p=1.1).select("volume_id", "shape").collect()}
+    assert shapes == {i: v.shape for i, v in got.items()}
+
+
+def test_affine_moves_both_sides_together(spark):
+    rows = voxels(packed(spark, CUBES)).withColumnRenamed("value", "a").withColumn("b", F.col("a") * 2)
+    cfg = AugmentConfig(affine_prob=1.1)
+    out = augment.rand_affine(rows, heads(spark, CUBES), cfg, value="a", also=("b",))
+    assert out.count() == sum(c.size for c in CUBES.values())
+    assert out.where(F.abs(F.col("b") - 2 * F.col("a")) > 1e-9).isEmpty()
+
+
+def test_qc_of_a_cohort_where_some_masks_are_missing(spark):
+    rows = qc.with_mask(packed(spark, CUBES), F.when(F.col("volume_id") > 0, F.col("x") > 2))
+    got = {r["volume_id"]: r for r in qc.qc_metrics(rows, mask="in_mask").collect()}
+    assert not got[0]["has_mask"] and got[1]["has_mask"] and got[0]["cnr"] == 0
+    assert got[0]["snr"] == pytest.approx(npo.snr(CUBES[0]), rel=1e-6)

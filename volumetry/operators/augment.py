@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -36,12 +37,21 @@ def rand_flip(df: DataFrame, volumes: DataFrame, p: float = 0.5, axis: int = 0,
     return rows.withColumn(c, turned).drop("shape", "_hit")
 
 
+def _turns(p: float, seed: int, key: str) -> Column:
+    parts = (seed, F.col(key), "rot90")
+    return F.when(_gate(p, *parts), whole_between(1, 3, *parts, "turns")).otherwise(F.lit(0))
+
+
+def rot90_headers(volumes: DataFrame, p: float = 0.5, seed: int = 42, key: str = "volume_id") -> DataFrame:
+    """Headers after ``rand_rot90``: odd turns swap the first two extents."""
+    s = F.col("shape")
+    return volumes.withColumn("shape", F.when(_turns(p, seed, key) % 2 == 1, F.array(s[1], s[0], s[2])).otherwise(s))
+
+
 def rand_rot90(df: DataFrame, volumes: DataFrame, p: float = 0.5, seed: int = 42, key: str = "volume_id",
                value: str = "value", groups: int | None = None) -> DataFrame:
     """One to three quarter turns in the plane of the first two axes."""
-    parts = (seed, F.col(key), "rot90")
-    turns = F.when(_gate(p, *parts), whole_between(1, 3, *parts, "turns")).otherwise(F.lit(0))
-    rows = voxels(_with_shape(df, volumes, key, groups).withColumn("_k", turns), value)
+    rows = voxels(_with_shape(df, volumes, key, groups).withColumn("_k", _turns(p, seed, key)), value)
     x, y, k = F.col("x"), F.col("y"), F.col("_k")
     fx, fy = F.col("shape")[0] - 1 - x, F.col("shape")[1] - 1 - y
     new_x = F.when(k == 1, fy).when(k == 2, fx).when(k == 3, y).otherwise(x)
@@ -183,15 +193,19 @@ def _affine_params(cfg: AugmentConfig, seed: int, key: str) -> dict[str, Column]
 
 
 def rand_affine(df: DataFrame, volumes: DataFrame, cfg: AugmentConfig | None = None, seed: int = 42,
-                key: str = "volume_id", value: str = "value", groups: int | None = None) -> DataFrame:
+                key: str = "volume_id", value: str = "value", groups: int | None = None,
+                also: Sequence[str] = ()) -> DataFrame:
     """Small rotation, shift and scaling about the centre, trilinear, border samples repeated. Each
-    target sample asks for eight clamped corners; corners meet their samples by equality."""
+    target sample asks for eight clamped corners; corners meet their samples by equality. ``also``
+    names further values of long rows that move together with ``value``."""
     cfg = cfg or AugmentConfig()
+    values = [value, *also]
     marked = df.withColumn("_hit", _gate(cfg.affine_prob, seed, F.col(key), "affine"))
-    calm = voxels(marked.where(~F.col("_hit")).drop("_hit"), value).withColumn(value, F.col(value).cast("double"))
+    calm = voxels(marked.where(~F.col("_hit")).drop("_hit"), value).withColumns(
+        {v: F.col(v).cast("double") for v in values})
     moving = marked.where("_hit").drop("_hit")
-    source = voxels(moving, value).select(key, *AXES, F.col(value).cast("double").alias("_v"))
-    rest = [c for c in calm.columns if c not in (*AXES, value)]
+    source = voxels(moving, value).select(key, *AXES, *[F.col(v).cast("double").alias(f"_v_{v}") for v in values])
+    rest = [c for c in calm.columns if c not in (*AXES, *values)]
     based = _with_shape(moving, volumes, key, groups).withColumns(_affine_params(cfg, seed, key))
     rows = voxels(based, value).select(*rest, *AXES, "shape", "_mx", "_my", "_mz")
     center = [(F.col("shape")[i] - 1) / 2.0 for i in range(3)]
@@ -215,7 +229,8 @@ def rand_affine(df: DataFrame, volumes: DataFrame, cfg: AugmentConfig | None = N
     asked = rows.select(*rest, *AXES, F.explode(F.array(*corners)).alias("_c")).select(*rest, *AXES, "_c.*").where("_w > 0")
     met = asked.join(source.withColumnsRenamed({c: f"_c{c}" for c in AXES}), [key, *[f"_c{c}" for c in AXES]])
     extra = [c for c in rest if c != key]
-    out = met.groupBy(key, *AXES).agg(F.sum(F.col("_w") * F.col("_v")).alias(value), *[F.first(c).alias(c) for c in extra])
+    out = met.groupBy(key, *AXES).agg(*[F.sum(F.col("_w") * F.col(f"_v_{v}")).alias(v) for v in values],
+                                      *[F.first(c).alias(c) for c in extra])
     return out.unionByName(calm)
 
 
@@ -257,14 +272,20 @@ def compose(steps: Sequence[Step]) -> Step:
     return run
 
 
+PAIRED_AFFINE = AugmentConfig(translate=(5.0, 5.0, 5.0), scale=(0.0, 0.0, 0.0))
+
+
 def augment_pairs(rows: DataFrame, volumes: DataFrame, p: float = 0.5, seed: int = 42, key: str = "pair_id",
-                  groups: int | None = None) -> DataFrame:
+                  groups: int | None = None, affine: AugmentConfig | None = PAIRED_AFFINE) -> DataFrame:
     """Spatial steps move both sides together (one coordinate for ``a`` and ``b``); intensity steps
     change the input ``a`` only. ``rows`` are long pairs."""
     spatial = {"seed": seed, "key": key, "value": "a", "groups": groups}
     tone = {"seed": seed, "key": key, "value": "a"}
     out = rand_flip(rows, volumes, p, 0, **spatial)
     out = rand_rot90(out, volumes, p, **spatial)
+    if affine:
+        turned = rot90_headers(volumes, p, seed, key)
+        out = rand_affine(out, turned, replace(affine, affine_prob=p), also=("b",), **spatial)
     out = rand_scale(out, p, 0.1, **tone)
     out = rand_shift(out, p, 0.1, **tone)
     return rand_noise(out, p * 0.5, 0.01, **tone)

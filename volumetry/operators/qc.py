@@ -121,7 +121,7 @@ def _base(rows: DataFrame, keys: Sequence[str], value: str, mask: str | None) ->
     pos = F.when(_kept(v), v)
     extra = []
     if mask:
-        extra = [F.avg(F.when(F.col(mask), v)).alias("_signal"),
+        extra = [F.bool_or(F.col(mask).isNotNull()).alias("_has"), F.avg(F.when(F.col(mask), v)).alias("_signal"),
                  F.stddev_pop(F.when(~F.col(mask), v)).alias("_noise")]
     return rows.groupBy(*keys).agg(
         F.avg((v != 0).cast("int")).alias("foreground_fraction"),
@@ -149,7 +149,8 @@ def artifacts(df: DataFrame, keys: Sequence[str] = ("volume_id",), value: str =
 
 def qc_metrics(df: DataFrame, keys: Sequence[str] = ("volume_id",), value: str = "value",
                mask: str | None = None, volumes: DataFrame | None = None, groups: int | None = None) -> DataFrame:
-    """One row of quality metrics per volume, with the columns of ``volumes`` joined in."""
+    """One row of quality metrics per volume, with the columns of ``volumes`` joined in. ``mask`` is a
+    boolean column of long rows; a volume where it is null has no mask and falls back to Otsu."""
     keys = list(keys)
     v = F.col(value).cast("double")
     source = df.select(*keys, value, *([mask] if mask else []))
@@ -198,15 +199,15 @@ def qc_metrics(df: DataFrame, keys: Sequence[str] = ("volume_id",), value: str =
     nan = F.lit(float("nan"))
     out = joined.select(
         *keys,
-        (_ratio(F.col("_signal"), F.col("_noise")) if mask else otsu_snr).alias("snr"),
+        (F.when(F.col("_has"), _ratio(F.col("_signal"), F.col("_noise"))).otherwise(otsu_snr) if mask else otsu_snr).alias("snr"),
         F.coalesce("entropy", zero).alias("entropy"), "foreground_fraction",
         F.coalesce("_mean", zero).alias("mean_intensity"), F.coalesce("_std", zero).alias("std_intensity"),
         F.when(F.col("has_nan"), nan).otherwise(F.col("min_intensity")).alias("min_intensity"),
-        "max_intensity", F.lit(bool(mask)).alias("has_mask"), "has_nan", "has_inf", "has_negative", "is_empty",
+        "max_intensity", (F.col("_has") if mask else F.lit(False)).alias("has_mask"), "has_nan", "has_inf", "has_negative", "is_empty",
         F.coalesce("has_outliers", F.lit(False)).alias("has_outliers"),
     )
     if mask:
-        out = combine(out, cnr(df, keys, value, mask, groups), keys, groups)
+        out = combine(out, cnr(df, keys, value, mask, groups), keys, groups).withColumn("cnr", F.coalesce("cnr", zero))
     else:
         out = out.withColumn("cnr", zero)
     return combine(out, volumes, keys, groups) if volumes is not None else out

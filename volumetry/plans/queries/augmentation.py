@@ -127,6 +127,14 @@ def aug_train_only(spark, d):
     * sqrt(-2.0 * ln(1.0 - {dr('noise', 'x', 'y', 'z', repr('radius'), key='pair_id')}))
     * cos(2 * pi() * {dr('noise', 'x', 'y', 'z', repr('angle'), key='pair_id')}), 6) as a, round(b, 6) as b from t""")
 def aug_paired(spark, d):
+    heads = fx.headers(spark, d).select(F.col("volume_id").alias("pair_id"), "shape")
+    rows = evaluate.pair_voxels(packed_pairs(spark, d))
+    return rounded(augment.augment_pairs(rows, heads, groups=fx.volume_count(spark, d), affine=None), "a", "b")
+
+
+@query("aug_paired_affine")
+def aug_paired_affine(spark, d):
+    """The full paired chain; the affine step has no SQL here and is checked against numpy."""
     heads = fx.headers(spark, d).select(F.col("volume_id").alias("pair_id"), "shape")
     rows = evaluate.pair_voxels(packed_pairs(spark, d))
     return rounded(augment.augment_pairs(rows, heads, groups=fx.volume_count(spark, d)), "a", "b")
