@@ -160,10 +160,10 @@ HFIT = """rb as (select min(value) as lo, max(value) as hi from {src} where valu
 
 
 @query("hist_fit", f"""with {fx.LINES}, {HFIT.format(src='lines')}
-  select 'A' as field_strength, bin, round(left_edge, 3) as left_edge, round(cdf, 9) as cdf from rc""")
+  select 'A' as field_strength, bin, left_edge, round(cdf, 9) as cdf from rc""")
 def hist_fit(spark, d):
     model = harmonize.HarmonizerModel("histogram", "A").fit(fx.line_samples(spark, d))
-    return model.table.withColumns({"left_edge": F.round("left_edge", 3), "cdf": F.round("cdf", 9)})
+    return model.table.withColumn("cdf", F.round("cdf", 9))
 
 
 @query("hist_match", f"""with {fx.LINES}, {HFIT.format(src='lines')},

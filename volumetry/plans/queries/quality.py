@@ -29,10 +29,9 @@ def masked(spark, d):
     return voxels(fx.packed_pos(spark, d)).withColumn("in_mask", inside)
 
 
-@query("otsu", f"""with {fx.LINES}, {otsu_sql('lines')} select volume_id, round(threshold, 3) as threshold from ot""")
+@query("otsu", f"""with {fx.LINES}, {otsu_sql('lines')} select volume_id, threshold from ot""")
 def otsu(spark, d):
-    out = qc.otsu(fx.line_samples(spark, d), groups=fx.supplier_count(spark, d))
-    return out.withColumn("threshold", F.round("threshold", 3))
+    return qc.otsu(fx.line_samples(spark, d), groups=fx.supplier_count(spark, d))
 
 
 SNR = """sn as (select volume_id, coalesce(avg(case when value > threshold then value end)

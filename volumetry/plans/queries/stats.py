@@ -33,24 +33,24 @@ def volume_moments(spark, d):
 
 
 @query("percentiles", f"""with {fx.LINES}
-  select field_strength, count(*) as n, round(quantile_cont(value, 0.005),4) as p005,
-    round(quantile_cont(value, 0.01),4) as p01, round(median(value),4) as p50,
-    round(quantile_cont(value, 0.99),4) as p99, round(quantile_cont(value, 0.995),4) as p995
+  select field_strength, count(*) as n, round(quantile_cont(value, 0.005),6) as p005,
+    round(quantile_cont(value, 0.01),6) as p01, round(median(value),6) as p50,
+    round(quantile_cont(value, 0.99),6) as p99, round(quantile_cont(value, 0.995),6) as p995
   from lines group by field_strength""")
 def percentiles(spark, d):
     ps = {"p005": 0.5, "p01": 1.0, "p50": 50.0, "p99": 99.0, "p995": 99.5}
     out = ordering.percentiles(fx.line_samples(spark, d), ["field_strength"], "value", list(ps.values()))
-    return out.select("field_strength", "n", *[F.round(F.col("pct")[i], 4).alias(k) for i, k in enumerate(ps)])
+    return out.select("field_strength", "n", *[F.round(F.col("pct")[i], 6).alias(k) for i, k in enumerate(ps)])
 
 
 @query("percentiles_per_volume", f"""with {fx.LINES}
-  select volume_id, count(*) as n, round(quantile_cont(value, 0.01),4) as p01,
-    round(median(value),4) as p50, round(quantile_cont(value, 0.99),4) as p99
+  select volume_id, count(*) as n, round(quantile_cont(value, 0.01),6) as p01,
+    round(median(value),6) as p50, round(quantile_cont(value, 0.99),6) as p99
   from lines group by volume_id""")
 def percentiles_per_volume(spark, d):
     out = ordering.percentiles(fx.line_samples(spark, d), ["volume_id"], "value", [1.0, 50.0, 99.0],
                                groups=fx.supplier_count(spark, d))
-    return out.select("volume_id", "n", *[F.round(F.col("pct")[i], 4).alias(k)
+    return out.select("volume_id", "n", *[F.round(F.col("pct")[i], 6).alias(k)
                                           for i, k in enumerate(("p01", "p50", "p99"))])
 
 
@@ -151,13 +151,13 @@ def histogram_density(spark, d):
 @query("histogram_cdf", f"""with {fx.LINES}, {hist_sql('field_strength', 'lines', 256)},
   g as (select field_strength, lo, hi, cast(unnest(range(256)) as int) as bin from wide),
   f as (select field_strength, bin, coalesce(h.n, 0) as n, g.lo, g.hi from g left join h using (field_strength, bin))
-  select field_strength, bin, n, round(lo + (hi-lo)*bin/256.0, 3) as left_edge,
+  select field_strength, bin, n, lo + (hi-lo)*bin/256.0 as left_edge,
     round(sum(n) over (partition by field_strength order by bin) / sum(n) over (partition by field_strength), 9) as cdf
   from f""")
 def histogram_cdf(spark, d):
     hist = stats.histogram(fx.line_samples(spark, d), ["field_strength"], n=256, dense=True)
     out = stats.cdf(hist, ["field_strength"], 256)
-    return out.withColumns({"left_edge": F.round("left_edge", 3), "cdf": F.round("cdf", 9)})
+    return out.withColumn("cdf", F.round("cdf", 9))
 
 
 @query("batch_stats", """select label as batch, count(*) as n, round(avg(v),6) as mean,
