@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -34,14 +35,23 @@ def local_session(cores: int | str = 8, app: str = "volumetry", memory: str = "8
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a new one only where unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir`` of the session, or the checkpoint
+    folder set on its context. Only a session on one machine (``local[...]``), where neither is set,
+    gets a temporary folder; a cluster without one is an error, as executors would not see each
+    other's files. The caller's checkpoint setting is left alone."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="volumetry-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir()
+    if configured:
+        return configured
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if sc.applicationId not in _LOCAL:
+        _LOCAL[sc.applicationId] = tempfile.TemporaryDirectory(prefix="volumetry-")
+    return _LOCAL[sc.applicationId].name
+
+
+# One temporary folder per local session; gone when the process ends.
+_LOCAL: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -49,6 +59,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table that ``scratch_path`` named, once nothing reads it any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Writes a table into the shared folder and reads it back. Later plans start from the stored
     rows and survive a lost executor; the planner sees their true size, so a join broadcasts the
