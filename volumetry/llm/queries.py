@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volumetry.llm import bpe, simhash
+from volumetry.llm import bpe, decontam, rules, simhash
 
 RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -34,6 +34,44 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query("op1_decontaminate", r"""
+WITH d AS (SELECT row_number() OVER () rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM documents),
+  b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM benchmark),
+  bw AS (SELECT DISTINCT item_id, l, array_to_string(w[i:i + l - 1], ' ') k FROM
+      (SELECT item_id, w, least(len(w), 10) l, unnest(range(1, len(w) - least(len(w), 10) + 2)) i FROM b WHERE len(w) > 0)),
+  dw AS (SELECT rid, i, l, array_to_string(w[i:i + l - 1], ' ') k FROM
+      (SELECT rid, w, l, unnest(range(1, len(w) - l + 2)) i FROM d, (SELECT DISTINCT l FROM bw) WHERE len(w) >= l)),
+  m AS (SELECT rid, i, l, item_id FROM dw JOIN bw USING (l, k)),
+  h AS (SELECT rid, count(DISTINCT p) n_hit FROM (SELECT rid, unnest(range(i, i + l)) p FROM m) GROUP BY rid),
+  t AS (SELECT rid, count(*) n_items, sha256(string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR))) s
+      FROM (SELECT DISTINCT rid, item_id FROM m) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items,
+  coalesce(s, sha256('')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)
+""")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontam.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    hits = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        F.col("n_words").cast("long").alias("n_words"),
+        hits.cast("long").alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (hits > 0).alias("contaminated"),
+    )
+
+
+@query("op2_rules")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    learned = rules.fit(rules.labelled(docs, table(spark, folder, "labels")))
+    out = rules.judged(docs.select("doc_id", "text"), learned)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept")
+
+
 @query("op4_bpe")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     coded = bpe.round_trip(table(spark, folder, "documents"), word_vocabulary(), keep=["doc_id"])
