@@ -1,6 +1,6 @@
 """Benchmark decontamination by winnowing, in DataFrame functions only.
 
-Words are hashed once; every run of ``gram`` words has a hash of its own. Of each ``window + 1 - gram``
+Words are hashed once; every run of ``gram`` words gets a hash from them. Of each ``window + 1 - gram``
 neighbouring run hashes the smallest is kept (ties all), so two texts that share ``window`` words keep a
 common run inside that span. Kept runs of the documents meet those of the benchmark in one join; each
 meeting is then extended word by word to both sides, and a span of ``window`` words or more is a hit.
@@ -12,7 +12,8 @@ looked up (only for lengths that occur, at most ``window - 1``).
 
 Rows are made with ``explode_outer``: for ``explode`` the planner adds a filter on the size of the array
 and pushes it below the columns it is made of, which then are computed anew for each element.
-Windows are read by position (``get``), never cut out with ``slice``, which copies its whole array.
+Neighbours are brought together by shifted copies of whole arrays; ``slice`` inside a lambda would copy
+the array for each element.
 
 Scale: a document row makes its kept runs and one row of its own totals, which pass the join and meet in
 one sum per document; texts are not shuffled. The planner sends the benchmark side to the executors if
@@ -25,11 +26,13 @@ out.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 10
-GRAM = 5
+GRAM = 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # ASCII besides digits and letters parts words; everything beyond ASCII is a part of one.
 GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -37,44 +40,51 @@ GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 def words(text: Column) -> Column:
     """Words of a text, A-Z in lower case; none for null."""
-    spaced = F.regexp_replace(F.coalesce(text, F.lit("")), GAPS, " ")
-    return F.array_remove(F.split(F.translate(spaced, UPPER, LOWER), " "), "")
+    plain = F.octet_length(text) == F.char_length(text)
+    lower = F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    return F.array_remove(F.split(F.coalesce(lower, F.lit("")), GAPS), "")
+
 
+def sliding(df: DataFrame, column: str, width: int, both: Callable[[Column, Column], Column]) -> DataFrame:
+    """Replaces an array by ``both`` over each ``width`` neighbours, in as many projections as doubling
+    takes; ends where the neighbours do. ``both`` may see overlapping parts, so it must not mind."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        rest = F.greatest(F.size(column) - step, F.lit(0))
+        df = df.withColumn(column, F.zip_with(F.slice(column, 1, rest), F.slice(column, step + 1, rest), both))
+        have += step
+    return df
 
-def run_hashes(hashes: Column, length: int) -> Column:
-    """Hash of each run of ``length`` words; none if there are fewer words."""
-    def made(i: Column) -> Column:
-        return F.xxhash64(F.lit(length), *[F.get(hashes, i + k) for k in range(length)])
 
-    return F.when(F.size(hashes) >= length, F.transform(F.sequence(F.lit(0), F.size(hashes) - length), made)).otherwise(
-        F.array().cast("array<bigint>"))
+def with_runs(df: DataFrame, out: str, length: int) -> DataFrame:
+    """Adds the hash of each run of ``length`` words: the hash of its two halves, which overlap if the
+    length is no power of two."""
+    return sliding(df.withColumn(out, F.col("_hashes")), out, length, lambda a, b: F.xxhash64(a, b))
 
 
-def prepared(df: DataFrame, keep: list[str], text: str, window: int, gram: int) -> DataFrame:
-    """Word hashes, run hashes and the smallest run hash of each window, one projection after another."""
-    width = window - gram + 1
+def hashed(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     out = df.select(*keep, words(F.col(text)).alias("_words"))
-    out = out.select(*keep, F.size("_words").alias("n_words"), F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"))
-    out = out.withColumn("_runs", run_hashes(F.col("_hashes"), gram))
-    lowest = F.transform(F.sequence(F.lit(0), F.size("_runs") - width), lambda i: F.least(*[F.get("_runs", i + k) for k in range(width)]))
-    return out.withColumn("_low", F.when(F.size("_runs") >= width, lowest).otherwise(F.array().cast("array<bigint>")))
+    return out.select(*keep, F.size("_words").alias("n_words"), F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"))
 
 
 def anchored(df: DataFrame, keep: list[str], window: int, gram: int) -> DataFrame:
-    """``_kept``: hash, position and words around of each run that is smallest in a window. A run is one if
-    it equals the largest of the smallest hashes of the windows that hold it."""
+    """Adds ``_kept`` to ``hashed`` rows: hash, position and words around of each run that is smallest in a
+    window. A run is one if it equals the largest of the smallest hashes of the windows that hold it."""
     width, side = window - gram + 1, window - gram
+    out = with_runs(df, "_runs", gram)
+    out = sliding(out.withColumn("_top", F.col("_runs")), "_top", width, lambda a, b: F.least(a, b))
+    ends = F.array_repeat(F.lit(-(1 << 63)), width - 1)
+    out = out.withColumn("_top", F.when(F.size("_top") > 0, F.concat(ends, F.col("_top"), ends)).otherwise(F.array().cast("array<bigint>")))
+    out = sliding(out, "_top", width, lambda a, b: F.greatest(a, b))
 
-    def smallest(h: Column, p: Column) -> Column:
-        around = F.greatest(*[F.get("_low", p - k) for k in range(width)])
-        return F.when(h == around, F.struct(h.alias("hash"), p.alias("at")))
-
-    def full(r: Column) -> Column:
-        near = F.array(*[F.get("_hashes", r["at"] + k) for k in range(-side, gram + side)])
-        return F.struct(r["hash"].alias("hash"), r["at"].alias("at"), near.alias("near"))
+    def full(p: Column) -> Column:
+        near = F.array(*[F.get("_hashes", p + k) for k in range(-side, gram + side)])
+        return F.struct(F.get("_runs", p).alias("hash"), p.alias("at"), near.alias("near"))
 
-    some = F.filter(F.transform("_runs", smallest), lambda r: r.isNotNull())
-    return df.select(*keep, "n_words", "_hashes", F.transform(some, full).alias("_kept"))
+    places = F.filter(F.transform("_runs", lambda h, p: F.when(h == F.get("_top", p), p)), lambda p: p.isNotNull())
+    out = out.withColumn("_places", F.when(F.size("_top") > 0, places))
+    return out.select(*keep, F.transform("_places", full).alias("_kept"))
 
 
 def extended(a: Column, b: Column, window: int, gram: int) -> tuple[Column, Column]:
@@ -91,27 +101,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     """One row per document: ``doc_id, text_hash, n_words, spans`` (disjoint hit spans of words, start and
     end) and ``items`` (sorted names of the items with a window in it). ``text_hash`` tells rows of one id
     apart."""
-    items = prepared(benchmark.select(F.col(item_id).alias("item"), F.col(item_text).alias("text")), ["item"], "text", window, gram)
+    items = hashed(benchmark.select(F.col(item_id).alias("item"), F.col(item_text).alias("text")), ["item"], "text")
     short = items.where(f"n_words between 1 and {window - 1}")
     lengths = sorted(r[0] for r in short.select("n_words").distinct().collect())  # window - 1 numbers at most
 
     keys = ["doc_id", "text_hash"]
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("text_hash"), F.col(text).alias("text"))
-    made = prepared(rows, keys, "text", window, gram)
-    kept = anchored(made, keys, window, gram)
+    made = hashed(rows, keys, "text")
     nothing = F.lit(None).cast("array<bigint>")
-    total = F.struct(F.xxhash64("text_hash", "doc_id").alias("hash"), F.lit(-1).alias("at"), nothing.alias("near"))
-    runs = [F.array(total), F.col("_kept")]
+    plain = lambda h, p: F.struct(h.alias("hash"), p.alias("at"), nothing.alias("near"))
     for n in lengths:
-        plain = lambda h, p: F.struct(h.alias("hash"), p.alias("at"), nothing.alias("near"))
-        runs.append(F.transform(run_hashes(F.col("_hashes"), n), plain))
-    probes = kept.select(*keys, "n_words", F.explode_outer(F.concat(*runs)).alias("r")).select(*keys, "n_words", "r.*")
+        made = with_runs(made, f"_of_{n}", n)
+    also = [f"_of_{n}" for n in lengths]
+    kept = anchored(made, [*keys, "n_words", *also], window, gram)
+    total = F.struct(F.xxhash64("text_hash", "doc_id").alias("hash"), F.lit(-1).alias("at"), nothing.alias("near"))
+    none = F.array().cast("array<struct<hash:bigint,at:int,near:array<bigint>>>")
+    runs = F.concat(F.array(total), F.coalesce("_kept", none), *[F.transform(c, plain) for c in also])
+    probes = kept.select(*keys, "n_words", F.explode_outer(runs).alias("r")).select(*keys, "n_words", "r.*")
 
     long = anchored(items.where(f"n_words >= {window}"), ["item"], window, gram)
-    known = long.select("item", F.explode_outer("_kept").alias("r")).where("r is not null").select(F.col("r.hash").alias("hash"), F.col("r.near").alias("item_near"), "item", F.lit(0).alias("length"))
+    known = long.select("item", F.explode_outer("_kept").alias("r")).where("r is not null").select(
+        F.col("r.hash").alias("hash"), F.col("r.near").alias("item_near"), "item", F.lit(0).alias("length"))
     for n in lengths:
-        whole = F.xxhash64(F.lit(n), *[F.get("_hashes", F.lit(k)) for k in range(n)])
-        known = known.union(short.where(F.col("n_words") == n).select(whole.alias("hash"), nothing.alias("item_near"), "item", F.lit(n).alias("length")))
+        whole = with_runs(short.where(F.col("n_words") == n), "_whole", n)
+        known = known.union(whole.select(F.get("_whole", F.lit(0)), nothing, "item", F.lit(n)))
     # one row per run, however many items and places hold it
     known = known.groupBy("hash", "length", "item_near").agg(F.collect_set(F.coalesce(F.col("item").cast("string"), F.lit(""))).alias("names"))
 

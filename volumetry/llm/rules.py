@@ -10,6 +10,8 @@ CASE expression, so applying it is a projection of the scan.
 The rows to learn from are bounded (``SAMPLE`` rows, those with the smallest hash of their id); all
 statistics of all documents are computed, on whole texts.
 
+Windows of three words are compared by 64-bit hashes within one text.
+
 Rules: null is a text without words. A document without label, or with a null one, is not learned from;
 if a document has several labels each counts. Without both kinds of labels the list is empty and the
 base rule alone decides. Repeated rows are rows like any other. Columns of other names pass through; an
@@ -33,9 +35,8 @@ PRECISION = 0.9  # of a rule, on the rows kept apart for pruning
 SUPPORT = 5  # rows of low quality that a rule covers at least when grown
 CONDITIONS = 4
 RULES = 16
-SPACE = r"[\x09-\x0D]"
 # statistics that rules may use; shares are of words, lines or characters
-FEATURES = ("n_words", "symbol_share", "dup_line_share", "repeat_share", "mean_word", "upper_share", "digit_share", "distinct_share")
+FEATURES = ("n_words", "symbol_share", "dup_line_share", "repeat_share", "mean_word", "digit_share", "distinct_share")
 
 
 def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
@@ -44,36 +45,39 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *FEATURES]
     keep = [c for c in df.columns if c not in made]
     body = F.coalesce(F.col(text), F.lit(""))
-    spaced = F.translate(body, "\t\n\x0b\x0c\r", "     ")
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = df.select(*keep, F.array_remove(F.split(spaced, " "), "").alias("_words"), lines.alias("_lines"),
-                    (F.char_length(body) - F.char_length(F.translate(body, "#*$%&|<>", ""))).alias("n_symbols"),
-                    (F.char_length(body) - F.char_length(F.translate(body, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).alias("_upper"),
-                    (F.char_length(body) - F.char_length(F.translate(body, "0123456789", ""))).alias("_digits"))
-    windows = F.when(F.size("_words") >= 3, F.transform(
-        F.sequence(F.lit(0), F.size("_words") - 3),
-        lambda i: F.struct(F.concat_ws(" ", F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)).alias("w"), i.alias("at"))))
-    out = out.withColumn("_windows", F.array_sort(windows))
-    # equal windows are neighbours now; the place of each is kept if the one before or after is its equal
+
+    def counted(characters: str, pattern: str) -> Column:
+        """Most texts have none, which a search tells for less than a count."""
+        return F.when(body.rlike(pattern), F.char_length(body) - F.char_length(F.translate(body, characters, ""))).otherwise(0)
+
+    out = df.select(*keep, F.array_remove(F.split(body, r"[\x20\x09-\x0D]+"), "").alias("_words"), lines.alias("_lines"),
+                    counted("#*$%&|<>", r"[#*$%&|<>]").alias("n_symbols"), counted("0123456789", r"[0-9]").alias("_digits"))
+    out = out.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
+    rest = lambda c, k: F.greatest(F.size(c) - k, F.lit(0))
+    shifted = lambda a, b, k, n: F.zip_with(F.slice(a, 1, n), F.slice(b, k + 1, n), lambda x, y: F.xxhash64(x, y))
+    out = out.withColumn("_two", shifted("_hashes", "_hashes", 1, rest("_hashes", 1)))
+    out = out.withColumn("_three", shifted("_two", "_hashes", 2, rest("_hashes", 2)))
+    # only texts with equal windows are looked at further; sorted, equal windows are neighbours
+    again = F.size("_three") > F.size(F.array_distinct("_three"))
+    out = out.withColumn("_windows", F.when(again, F.array_sort(F.transform("_three", lambda h, i: F.struct(h.alias("w"), i.alias("at"))))))
     pairs = F.zip_with(F.slice("_windows", 1, F.size("_windows") - 1), F.slice("_windows", 2, F.size("_windows")),
                        lambda a, b: F.when(a["w"] == b["w"], F.array(a["at"], b["at"])))
-    twice = F.when(F.size("_windows") >= 2, F.flatten(F.filter(pairs, lambda p: p.isNotNull())))
+    twice = F.when(F.col("_windows").isNotNull(), F.flatten(F.filter(pairs, lambda p: p.isNotNull())))
     out = out.withColumn("_twice", F.array_sort(F.array_distinct(F.coalesce(twice, F.array().cast("array<int>")))))
     # a window covers three words, less those that the next one covers too
     steps = F.zip_with("_twice", F.slice("_twice", 2, F.greatest(F.size("_twice"), F.lit(1))), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)))
     covered = F.aggregate(steps, F.lit(0), lambda s, x: s + x)
-    n = F.size("_words")
     out = out.select(
-        *keep, n.cast("long").alias("n_words"), F.char_length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        *keep, F.size("_words").cast("long").alias("n_words"), F.char_length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.col("n_symbols").cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         covered.cast("long").alias("n_repeat_words"),
-        "_upper", "_digits", F.size("_lines").alias("_n_lines"), F.size(F.array_distinct("_words")).alias("_distinct"))
+        "_digits", F.size("_lines").alias("_n_lines"), F.size(F.array_distinct("_hashes")).alias("_distinct"))
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
     shares = {"symbol_share": share("n_symbols", "n_words"), "dup_line_share": share("n_dup_lines", "_n_lines"),
               "repeat_share": share("n_repeat_words", "n_words"), "mean_word": share("word_chars", "n_words"),
-              "upper_share": share("_upper", "word_chars"), "digit_share": share("_digits", "word_chars"),
-              "distinct_share": share("_distinct", "n_words")}
+              "digit_share": share("_digits", "word_chars"), "distinct_share": share("_distinct", "n_words")}
     out = out.withColumns(shares)
     # one struct, made into columns by a generator of one row: a filter on them stays above it, so it is
     # never pushed into the lambdas that the counts are made of
