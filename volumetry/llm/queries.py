@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volumetry.llm import bpe, decontam, rules, simhash
+from volumetry.llm import bpe, chat, decontam, langid, markup, maxent, packing, rules, secret, simhash
 
 RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -87,3 +87,70 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.classes(table(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def remainder(parts: int):
+    """crc32 of the id as text, modulo ``parts``; -1 for a null id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts, F.lit(-1))
+
+
+@query("op3_markup")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    found = markup.extract(table(spark, folder, "pages"), keep=["page_id", "url"])
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query("op5_secrets")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = secret.scan(docs, secret.train(docs), keep=["doc_id"])
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    shown = lambda spans: F.array_join(F.transform(
+        spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+        F.sha2(shown(F.filter("spans", lambda s: s["kind"] != "markov")), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+
+
+@query("op6_chat", r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') r, coalesce(text, '') t FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+  e AS (SELECT *, length(regexp_replace(r, '[\\|]', '..', 'g')) + length(regexp_replace(t, '[\\|]', '..', 'g')) n FROM c)
+SELECT conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn, r, t)) turns_sha256,
+  CAST(coalesce(sum(length(t)) FILTER (r = 'assistant'), 0) AS BIGINT) loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY turn, r, t) FILTER (r = 'assistant'), '')) loss_sha256,
+  CAST(sum(n + 13) AS BIGINT) formatted_chars
+FROM e GROUP BY conv_id
+""")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    out = chat.conversations(chat.chain(rows))
+    turns, loss = chat.read_back(F.col("formatted")), chat.loss_text(F.col("formatted"), F.col("loss_spans"))
+    read = out.select(F.col("tree").alias("conv_id"), turns.alias("turns"), loss.alias("loss"), F.char_length("formatted").alias("n"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.col("n").cast("long").alias("formatted_chars"))
+
+
+@query("op7_langid")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = langid.train(docs.where(remainder(4) != 2))
+    found = langid.predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@query("op9_maxent")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model, scored = maxent.fit_and_score(docs.where(remainder(5) != 1), docs)
+    return scored.select("doc_id", (remainder(5) == 1).alias("held_out"), "n_tokens", "n_known",
+                         F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+@query("op10_pack")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(bpe.encode(table(spark, folder, "documents"), word_vocabulary(), keep=["doc_id"]))
