@@ -32,7 +32,7 @@ RAW = {"script", "style", "textarea", "title"}  # text up to their end tag is no
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "blockquote", "body", "br", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption",
          "figure", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "ol", "p", "pre", "search",
-         "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", *SKIP}
+         "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "head", "form", "nav", "footer", "aside", "dialog", "menu"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 # names of parts beside the article, as whole words of class, id, role or aria-label
 BESIDE = re.compile(
