@@ -16,7 +16,6 @@ from volumetry.session import cut_lineage
 XYZ = ("x", "y", "z")
 CROSS = ((0, 0, 0), (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1))
 ORDER_BITS = 21  # a grid axis has fewer than 2**21 samples
-MAX_ROUNDS = 64
 
 
 def threshold_mask(df: DataFrame, p: float = 10.0, keys: Sequence[str] = ("volume_id",), value: str = "value",
@@ -130,7 +129,7 @@ def _stars(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     cur = cut_lineage(smaller(edges))
     if _settled(cur, keys):
         return cur
-    for _ in range(MAX_ROUNDS):
+    while True:
         both = cur.unionByName(cur.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(*keys, "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = smaller(both.where(F.col("v") > F.col("u")).join(low, [*keys, "u"]).select(
@@ -140,7 +139,6 @@ def _stars(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
         cur = cut_lineage(smaller(small.unionByName(floor.withColumnRenamed("m", "v"))))
         if _settled(cur, keys):
             return cur
-    raise RuntimeError(f"components did not settle within {MAX_ROUNDS} rounds")
 
 
 def _settled(edges: DataFrame, keys: list[str]) -> bool:

@@ -78,15 +78,6 @@ def cohort_stats(df: DataFrame, by: Sequence[str] = ("split",), value: str = "va
     return combine(pooled, volumes, by, groups)
 
 
-def first_volumes(df: DataFrame, volumes: DataFrame, n: int, by: Sequence[str] = (),
-                  volume: str = "volume_id") -> DataFrame:
-    """Rows of the first ``n`` volumes of each group; ranked on the header table only."""
-    ranked = volumes.withColumn(
-        "_rn", F.row_number().over(Window.partitionBy(*by).orderBy(volume))
-    ).where(F.col("_rn") <= n).select(volume)
-    return df.join(ranked, volume, "left_semi")
-
-
 def shape_census(volumes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """How many volumes have which grid."""
     text = F.array_join(F.transform("shape", lambda s: s.cast("string")), "x")

@@ -67,18 +67,13 @@ def cohort_stats(spark, d):
     return rounded(out, 6, "mean", "std", "min", "max", "median", "p01", "p99")
 
 
-@query("cohort_stats_capped", f"""with {fx.CAT}, {fx.VOX},
-  first as (select volume_id from (select volume_id, row_number() over (partition by modality
-    order by volume_id) as rn from cat) q where rn <= 100)
+@query("cohort_stats_modality", f"""with {fx.CAT}, {fx.VOX}
   select c.modality, count(*) as n, count(distinct v.volume_id) as n_volumes,
     round(avg(value),6) as mean, round(stddev_pop(value),6) as std, round(median(value),6) as median
-  from vox v join cat c using (volume_id) where value <> 0 and volume_id in (select volume_id from first)
-  group by c.modality""")
-def cohort_stats_capped(spark, d):
-    cat = fx.catalog(spark, d).select("volume_id", "modality")
-    labelled = fx.packed(spark, d).join(cat, "volume_id")
-    first = stats.first_volumes(labelled, cat, 100, ["modality"])
-    out = stats.cohort_stats(first, ["modality"]).select("modality", "n", "n_volumes", "mean", "std", "median")
+  from vox v join cat c using (volume_id) where value <> 0 group by c.modality""")
+def cohort_stats_modality(spark, d):
+    labelled = fx.packed(spark, d).join(fx.catalog(spark, d).select("volume_id", "modality"), "volume_id")
+    out = stats.cohort_stats(labelled, ["modality"]).select("modality", "n", "n_volumes", "mean", "std", "median")
     return rounded(out, 6, "mean", "std", "median")
 
 
@@ -108,11 +103,13 @@ def distinct_counts(spark, d):
     return stats.distinct_counts(fx.catalog(spark, d), *COLUMNS)
 
 
-@query("crosstab", """select c_mktsegment, count(*) filter (where c_nationkey = 0) as "0",
-  count(*) filter (where c_nationkey = 1) as "1", count(*) filter (where c_nationkey = 2) as "2"
-  from customer group by c_mktsegment""")
+NATIONS = range(25)
+
+
+@query("crosstab", "select c_mktsegment, " + ", ".join(
+    f'count(*) filter (where c_nationkey = {n}) as "{n}"' for n in NATIONS) + " from customer group by c_mktsegment")
 def crosstab(spark, d):
-    return stats.crosstab(table(spark, d, "customer"), "c_mktsegment", "c_nationkey", [0, 1, 2])
+    return stats.crosstab(table(spark, d, "customer"), "c_mktsegment", "c_nationkey", list(NATIONS))
 
 
 @query("crosstab_sessions", f"""with {fx.CAT}
