@@ -6,7 +6,7 @@ rounds every leaf has met its ancestors up to ``2**k - 1`` steps away and every
 are ranked by the mean score of their nodes; each chosen one becomes one conversation.
 
 Template: ``<|role|>``, new line, text, ``<|end|>``, new line per turn. A backslash goes before each
-backslash and bar of a role or text, so no text can hold a control string, and taking the backslashes
+backslash, bar and > of a role or text, so no text can hold a control string, and taking the backslashes
 away again gives the text back. The loss mask is a list of spans of the output, one per assistant turn.
 
 Rules: null text and role are empty. A null tree id is a key like any other. A node whose parent is
@@ -26,7 +26,7 @@ END = "<|end|>\n"
 
 
 def escape(text: Column) -> Column:
-    return F.regexp_replace(text, r"([\\|])", r"\\$1")
+    return F.regexp_replace(text, r"([\\|>])", r"\\$1")
 
 
 def unescape(text: Column) -> Column:
@@ -107,7 +107,7 @@ def read_back(formatted: Column) -> Column:
     cut = F.lit("|>\n")
 
     def turn(p: Column) -> Column:
-        at = F.instr(p, cut)  # bars of a role have a backslash before them, so the first plain end is the right one
+        at = F.instr(p, cut)  # a role's own > has a backslash before it, so the first end is the right one
         return F.struct(unescape(F.substring(p, F.lit(3), at - 3)).alias("role"), unescape(F.substring(p, at + 3, F.char_length(p))).alias("text"))
 
     return F.transform(pieces, turn)

@@ -115,7 +115,7 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_chat", r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') r, coalesce(text, '') t FROM conversations
     UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
-  e AS (SELECT *, length(regexp_replace(r, '[\\|]', '..', 'g')) + length(regexp_replace(t, '[\\|]', '..', 'g')) n FROM c)
+  e AS (SELECT *, length(regexp_replace(r, '[\\|>]', '..', 'g')) + length(regexp_replace(t, '[\\|>]', '..', 'g')) n FROM c)
 SELECT conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn, r, t)) turns_sha256,
   CAST(coalesce(sum(length(t)) FILTER (r = 'assistant'), 0) AS BIGINT) loss_chars,
   sha256(coalesce(string_agg(t, '' ORDER BY turn, r, t) FILTER (r = 'assistant'), '')) loss_sha256,
