@@ -36,7 +36,7 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 MARK = "[SECRET]"
 
 SAMPLE = 20_000
-MARGIN = 0.7  # nats per character
+MARGIN = 0.9  # nats per character
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
 CLASSES = len(ALPHABET) + 1  # and the edge of a string
 PLACE = np.full(128, -1, "int64")
