@@ -1,4 +1,4 @@
-"""Arrow batches in tasks: pieces of bounded size in, some columns kept, new ones added."""
+"""Arrow batches in tasks: pieces of bounded size in, some columns kept, new ones added; samples by hash."""
 
 from __future__ import annotations
 
@@ -6,11 +6,21 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Text bytes that one call of a function sees; a longer single text is a piece of its own.
 PIECE_BYTES = 8 << 20
+HASHES = 1 << 62  # steps of a sampled share; fine enough for any number of rows
+
+
+def chosen(value: Column, sample: int, total: int) -> Column:
+    """Whether a 64-bit hash is in the share that keeps about ``sample`` of ``total`` values; all of them
+    if there are no more."""
+    if total <= sample:
+        return F.lit(True)
+    return F.pmod(value, F.lit(HASHES)) < F.lit(HASHES * sample // total)
 
 
 def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:

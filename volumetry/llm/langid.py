@@ -2,8 +2,8 @@
 
 Each text is the mean embedding of its runs of two and three characters (lower case), hashed into
 ``BUCKETS`` rows; a linear layer gives one logit per language. Both are trained by stochastic gradient
-descent in numpy on a bounded sample of labelled rows (``SAMPLE``: those with the smallest hash of their
-text, whole texts). A fifth of the sample is held apart to fit the temperature of the softmax and the
+descent in numpy on a bounded sample of labelled texts (``SAMPLE``: different texts with the smallest
+hashes; copies count once, so a large group of copies doesn't fill the sample). A fifth of the sample is held apart to fit the temperature of the softmax and the
 score below which a prediction is rejected. Every whole text is then scored in the tasks with the
 product of both layers (buckets x languages).
 
@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from volumetry.llm.batches import add_columns, pieces
+from volumetry.llm.batches import add_columns, chosen, pieces
 
 BUCKETS = 1 << 15
 SIZE = 16
 SAMPLE = 2_000
-EPOCHS = 6
 BATCH = 32
+STEPS = 300  # gradient steps, whatever the size of the sample
 RATE = 4.0
 TRUST = 0.99  # share of right answers among the accepted ones, on the rows held apart
 LETTER = re.compile(r"[^\W\d_]")
@@ -66,14 +66,15 @@ class Model:
 
 
 def descend(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, n: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Embeddings, weights and bias after some epochs over (buckets, shares) rows."""
+    """Embeddings, weights and bias after ``STEPS`` steps, in epochs over (buckets, shares) rows."""
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.1, (BUCKETS, SIZE)).astype("float32")
     out = rng.normal(0, 0.1, (SIZE, n)).astype("float32")
     bias = np.zeros(n, "float32")
-    for epoch in range(EPOCHS):
+    epochs = -(-STEPS * BATCH // len(rows))
+    for epoch in range(epochs):
         order = rng.permutation(len(rows))
-        rate = RATE * (1 - epoch / EPOCHS)
+        rate = RATE * (1 - epoch / epochs)
         for start in range(0, len(order), BATCH):
             chosen = order[start:start + BATCH]
             at = np.concatenate([rows[i][0] for i in chosen])
@@ -115,10 +116,11 @@ def calibrated(model: Model, texts: list[np.ndarray], target: np.ndarray) -> Mod
 
 
 def train(rows: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE, seed: int = 7) -> Model:
-    """Learns from at most about ``sample`` rows with a language and a letter."""
+    """Learns from about ``sample`` different texts with a language and a letter."""
     good = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null and text is not null")
-    share = min(1.0, sample / max(1, good.count()))
-    some = good.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
+    different = good.agg(F.approx_count_distinct(F.xxhash64("text", "lang"))).first()[0]
+    # copies merge before the shuffle, so what is moved is the sample
+    some = good.where(chosen(F.xxhash64("text"), sample, different)).dropDuplicates(["text", "lang"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -80,7 +80,7 @@ SCHEMA = ("part int, shard int, row int, n_tokens int, n_segments int, ids binar
 
 
 def pack(df: DataFrame, doc_id: str = "doc_id", ids: str = "ids", length: int = LENGTH, shard: int = SHARD) -> DataFrame:
-    """Packs ``(doc_id, ids)``. Ids and positions take two bytes each where they fit, else four."""
+    """Packs ``(doc_id, ids)``. Ids and positions take four bytes each."""
     def packed(held: list[tuple[int, np.ndarray]], part: int, number: int) -> pa.RecordBatch:
         parts = [(doc, at, a[at:at + length]) for doc, a in held for at in range(0, len(a), length)]
         rows = best_fit([len(p[2]) for p in parts], length)

@@ -27,6 +27,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from volumetry.llm.batches import chosen
 from volumetry.session import cut_lineage
 
 SAMPLE = 20_000
@@ -120,9 +121,8 @@ def verdict(rules: list[Rule]) -> Column:
 def labelled(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """Statistics of at most about ``sample`` labelled documents: those with a small hash of their id."""
     good = labels.where("quality is not null and doc_id is not null").select("doc_id", F.col("quality").alias("_good"))
-    share = min(1.0, sample / max(1, good.count()))
-    chosen = lambda df: df.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    some = chosen(docs.select("doc_id", F.col(text).alias("text"))).join(chosen(good), "doc_id")
+    small = chosen(F.xxhash64("doc_id"), sample, good.count())
+    some = docs.select("doc_id", F.col(text).alias("text")).where(small).join(good.where(small), "doc_id")
     return with_statistics(some).select("doc_id", "_good", *FEATURES)
 
 

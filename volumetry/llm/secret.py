@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from volumetry.llm.batches import add_columns, pieces
+from volumetry.llm.batches import add_columns, chosen, pieces
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -107,9 +107,7 @@ def spans(text: str | None, model: Markov) -> list[tuple[int, int, str]]:
 
 def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Markov:
     """Counts of both models over about ``sample`` documents."""
-    share = min(1.0, sample / max(1, df.count()))
-    some = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(
-        F.pmod(F.coalesce(F.xxhash64("doc_id"), F.lit(0)), F.lit(1_000_000)) < int(share * 1_000_000))
+    some = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(chosen(F.xxhash64("doc_id"), sample, df.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [np.zeros(CLASSES**3, "int64"), np.zeros(CLASSES**3, "int64")]
