@@ -192,6 +192,19 @@ def test_maxent(spark, odd, none):
     assert total == pytest.approx(np.ones(3), abs=1e-4)
 
 
+def test_rank_file(spark, odd, none):
+    import public_tokenizers as public
+
+    path = public.path("byte_bpe_multi_50k.tiktoken")
+    with open(path) as f:
+        use = packing.encoder(f.read(), public.PATTERN)
+    for text in (" " * 1_500_000 + "x", "a\n" + "\t" * 9000 + " b", "<|endoftext|>", "", None):
+        assert use.decode(packing.text_ids(use, text)) == (text or "")
+    got = packing.encode(odd, path, public.PATTERN).collect()
+    assert len(got) == odd.count() and all(use.decode(r.ids) == (r.text or "") for r in got)
+    assert packing.pack(packing.encode(none, path, public.PATTERN)).count() == 0
+
+
 def test_packing(spark):
     rows = [(1, list(range(25))), (2, [1] * 10), (3, []), (4, None), (None, [9] * 3), (1, list(range(25))), (5, [7] * 7)]
     got = packing.pack(spark.createDataFrame(rows, "doc_id long, ids array<int>").coalesce(1), length=10).collect()

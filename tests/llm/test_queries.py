@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from volumetry.llm import queries, simhash
+from volumetry.llm import packing, queries, simhash
 from volumetry.llm.batches import PIECE_BYTES
 
 TABLES = "documents pages benchmark labels conversations"
@@ -149,10 +149,13 @@ def test_op9(spark, data, docs):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
-def test_op10(spark, data):
-    from volumetry.llm import bpe
+def test_op10(spark, data, docs):
+    import public_tokenizers
 
-    whole = {r.doc_id: r.ids for r in bpe.encode(spark.read.parquet(f"{data}/documents.parquet"), queries.word_vocabulary(), keep=["doc_id"]).collect()}
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")) as f:
+        use = packing.encoder(f.read(), public_tokenizers.PATTERN)
+    whole = {i: use.encode_ordinary(d["text"] or "") for i, d in docs.items()}
+    assert all(use.decode(ids) == (docs[i]["text"] or "") for i, ids in whole.items())
     parts, rows = {}, queries.RUNS["op10_pack"](spark, data).collect()
     for r in rows:
         ids, places = np.frombuffer(r.ids, "<i4"), np.frombuffer(r.position_ids, "<i4")

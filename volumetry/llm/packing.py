@@ -9,16 +9,26 @@ A result row is one row of the matrix: little-endian ids and positions (restarti
 binary, cumulative segment lengths from 0, and document and offset of each segment. Which documents share
 a row depends on the partitions; that every token is there once, in order, does not. Documents without
 ids (null or empty) have no tokens to place and appear in no row. Repeated documents are packed each.
+
+``encode`` makes the ids from a file of ranks with the tiktoken library; ids of other encoders do as well.
 """
 
 from __future__ import annotations
 
+import base64
+import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from volumetry.llm.batches import add_columns
+from volumetry.llm.bpe import lists, send
 
 LENGTH = 2048
 SHARD = 1 << 20
@@ -75,6 +85,42 @@ def best_fit(lengths: list[int], length: int) -> list[list[int]]:
     return rows
 
 
+BLANK = re.compile(r"\s{4096}")
+_LOADED: dict[str, tiktoken.Encoding] = {}
+
+
+def encoder(ranks: str, pattern: str) -> tiktoken.Encoding:
+    """One encoder a worker process, from lines of a token in base 64 and its rank."""
+    name = hashlib.sha256(f"{pattern}\n{ranks}".encode()).hexdigest()
+    if name not in _LOADED:
+        table = {base64.b64decode(a): int(b) for a, b in map(str.split, filter(None, ranks.splitlines()))}
+        _LOADED[name] = tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=table, special_tokens={})
+    return _LOADED[name]
+
+
+def text_ids(use: tiktoken.Encoding, text: str | None) -> np.ndarray:
+    """Ids of a whole text. The library's pattern fails on a million blanks in a row, so texts are cut
+    after every 4096 blanks on end; the ids still decode to the text."""
+    at, parts = 0, []
+    for m in BLANK.finditer(text or ""):
+        parts.append(text[at:m.end()])
+        at = m.end()
+    parts.append((text or "")[at:])
+    ids = [use.encode_to_numpy(p, disallowed_special=()) for p in parts]
+    return np.concatenate(ids).astype("int32")
+
+
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", keep: list[str] | None = None) -> DataFrame:
+    """Adds the ids of every whole text; null has none. Strings of control tokens are ordinary text."""
+    sent = send(df, path)
+
+    def run(texts: list) -> list[pa.Array]:
+        use = encoder(sent.value, pattern)
+        return [lists([text_ids(use, t) for t in texts])]
+
+    return add_columns(df, text, [T.StructField(out, T.ArrayType(T.IntegerType()))], run, keep)
+
+
 SCHEMA = ("part int, shard int, row int, n_tokens int, n_segments int, ids binary, position_ids binary, "
           "cu_seqlens array<int>, doc_ids array<bigint>, starts array<int>")
 

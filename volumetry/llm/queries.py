@@ -153,4 +153,7 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op10_pack")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(bpe.encode(table(spark, folder, "documents"), word_vocabulary(), keep=["doc_id"]))
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return packing.pack(packing.encode(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN, keep=["doc_id"]))
