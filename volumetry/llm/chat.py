@@ -56,7 +56,8 @@ def paths(nodes: DataFrame) -> DataFrame:
         known = jumps.where("above is not null")
         more = way.join(known, ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), (F.col("up") + (1 << k)).alias("up"))
         second = known.select("tree", F.col("node").alias("above"), F.col("above").alias("next"))
-        jumps = jumps.join(second, ["tree", "above"], "left").select("tree", "node", F.col("next").alias("above"))
+        # a node whose ancestor that far up is missing takes no part in later rounds
+        jumps = known.join(second, ["tree", "above"]).select("tree", "node", F.col("next").alias("above"))
         way = way.union(more)
     return way
 
