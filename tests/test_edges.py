@@ -6,12 +6,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests import numpy_oracles as npo
 from tests.volumes import cubes_of, heads, packed
 from volumetry.config import Config, PreprocessConfig, SplitConfig
-from volumetry.operators import catalog, evaluate, qc, splits, stats, tiles, tracking
+from volumetry.operators import augment, catalog, evaluate, qc, splits, stats, tiles, tracking
 from volumetry.operators.harmonize import HarmonizerModel
 from volumetry.operators.normalize import normalize
 from volumetry.operators.stats import histogram
+from volumetry.schema import bricks, voxels
 
 ODD = {
     0: np.zeros((2, 2, 2)), 1: np.full((2, 2, 2), 5.0), 2: -np.ones((2, 2, 2)),
@@ -150,3 +152,52 @@ def test_best_epoch_takes_the_first_minimum(spark):
     log = spark.createDataFrame([("m", e, v) for e, v in enumerate([3.0, 1.0, 1.0, 2.0])], "metric string, epoch int, value double")
     assert tracking.best_epoch(log).first()["best_epoch"] == 1
     assert [r["is_best"] for r in tracking.mark_best(log).orderBy("epoch").collect()] == [True, True, False, False]
+
+
+def cube_pair(spark, a, b, side=64):
+    df = packed(spark, {0: a, 1: b})
+    whole = bricks(voxels(df), side=side)
+    pairs = spark.createDataFrame([(0, 0, 1)], "pair_id long, input_id long, target_id long")
+    return evaluate.pair_bricks(pairs, whole)
+
+
+@pytest.mark.parametrize("side", [4, 64])
+def test_pairs_of_unequal_grids_have_no_scores(spark, side):
+    rng = np.random.default_rng(3)
+    a, b = rng.random((8, 8, 8)), rng.random((8, 8, 6))
+    both = cube_pair(spark, a, b, side)
+    row = evaluate.pair_metrics(both).first()
+    assert (row["shape_match"], row["l1"], row["mse"], row["psnr"]) == (False, None, None, None)
+    assert evaluate.ssim(both, win=3, side=side).first()["ssim_a"] is None
+    sides = evaluate.consistency(both).first()
+    assert sides["a_mean"] == pytest.approx(a.mean()) and sides["b_mean"] == pytest.approx(b.mean())
+    assert evaluate.ks_2samp(both).first()["ks_statistic"] <= 1
+
+
+@pytest.mark.parametrize("side", [4, 64])
+def test_similarity_of_nan_and_flat_volumes_is_nan(spark, side):
+    rng = np.random.default_rng(4)
+    a, b = rng.random((8, 8, 8)), rng.random((8, 8, 8))
+    hole, flat = a.copy(), np.full((8, 8, 8), 2.0)
+    hole[1, 2, 3] = np.nan
+    assert math.isnan(evaluate.ssim(cube_pair(spark, hole, b, side), win=3, side=side).first()["ssim_a"])
+    assert math.isnan(evaluate.ssim(cube_pair(spark, b, hole, side), win=3, side=side).first()["ssim_a"])
+    assert math.isnan(evaluate.ssim(cube_pair(spark, flat, flat, side), win=3, side=side).first()["ssim_a"])
+
+
+def test_smoothing_keeps_nan(spark):
+    cube = np.ones((9, 9, 9))
+    cube[4, 4, 4] = np.nan
+    got = cubes_of(augment.rand_smooth(packed(spark, {0: cube}), p=1.1))[0]
+    assert np.isnan(got[4, 4, 4]) and np.isfinite(got[0, 0, 0])
+
+
+def test_a_generated_side_of_its_own(spark):
+    rng = np.random.default_rng(5)
+    a, b, g = (rng.random((6, 6, 6)) for _ in range(3))
+    pairs = spark.createDataFrame([(0, 0, 1)], "pair_id long, input_id long, target_id long")
+    both = evaluate.pair_bricks(pairs, packed(spark, {0: a, 1: b}), generated=packed(spark, {0: g}))
+    row = evaluate.evaluate(both, win=3).first()
+    assert row["l1_generated"] == pytest.approx(abs(g - b).mean())
+    assert row["ssim_generated"] == pytest.approx(npo.ssim(g, b, 3), rel=1e-7)
+    assert row["ssim_input"] == pytest.approx(npo.ssim(a, b, 3), rel=1e-7)

@@ -149,7 +149,9 @@ def _smooth_block(axes: Sequence[str], reach: int):
 
     def run(blocks: dict[str, np.ndarray], params: dict[str, object]) -> dict[str, np.ndarray]:
         taps = [np.array(params[f"_k{c}"]) if c in axes else still for c in AXES]
-        return {"value": line_sums(np.nan_to_num(blocks["value"]), taps)}
+        padded, inside = np.zeros(blocks["value"].shape), params["_inside"]
+        padded[inside] = blocks["value"][inside]  # only the padding is zero; a NaN sample stays one
+        return {"value": line_sums(padded, taps)}
 
     return run
 

@@ -1,12 +1,15 @@
 """Scores of volume pairs: errors, PSNR, SSIM, distribution checks and reports.
 
 Pairs are joined brick by brick and stay packed (``ab``: array of structs) until a statistic needs
-single samples, so per-pair parameters are joined to bricks.
+single samples, so per-pair parameters are joined to bricks. A brick without an equal partner stays,
+with the other side null: a pair of unequal grids has null scores, its one-sided statistics are whole.
+NaN samples make the scores of their pair NaN.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -32,17 +35,23 @@ EVAL_FIRST = ("subject", "psnr_input", "psnr_generated", "psnr_improvement",
 
 
 def pair_bricks(pairs: DataFrame, packed: DataFrame, value: str = "value", n_pairs: int | None = None,
-                keys: Sequence[str] = ("pair_id",)) -> DataFrame:
-    """Packed pairs: ``pairs`` has ``input_id`` and ``target_id``; bricks meet on their origin."""
+                keys: Sequence[str] = ("pair_id",), generated: DataFrame | None = None) -> DataFrame:
+    """Packed pairs: ``pairs`` has ``input_id`` and ``target_id``; bricks meet on their origin and dims.
+    ``generated`` are bricks with the id of the input volume, a third side ``g``."""
     small = n_pairs is not None and n_pairs <= BROADCAST_ROWS
 
-    def side(ident: str, name: str) -> DataFrame:
+    def side(ident: str, name: str, packed: DataFrame = packed) -> DataFrame:
         ids = pairs.select(*keys, F.col(ident).alias("volume_id"))
         joined = packed.join(F.broadcast(ids) if small else ids, "volume_id")
         return joined.select(*keys, "origin", "dims", F.col(value).alias(name))
 
-    both = side("input_id", "a").join(side("target_id", "b"), [*keys, "origin", "dims"])
-    return both.select(*keys, "origin", "dims", F.arrays_zip("a", "b").alias("ab"))
+    sides = {"a": side("input_id", "a"), "b": side("target_id", "b")}
+    if generated is not None:
+        sides["g"] = side("input_id", "g", generated)
+    every = reduce(lambda l, r: l.join(r, [*keys, "origin", "dims"], "full"), sides.values())
+    n = F.coalesce(*[F.array_size(c) for c in sides])
+    filled = [F.coalesce(F.col(c), F.array_repeat(F.lit(None).cast(every.schema[c].dataType.elementType), n)).alias(c) for c in sides]
+    return every.select(*keys, "origin", "dims", F.arrays_zip(*filled).alias("ab"))
 
 
 def pair_voxels(df: DataFrame) -> DataFrame:
@@ -51,7 +60,19 @@ def pair_voxels(df: DataFrame) -> DataFrame:
         return df
     flat = voxels(df, "ab")
     rest = [c for c in flat.columns if c != "ab"]
-    return flat.select(*rest, F.col("ab.a").cast("double").alias("a"), F.col("ab.b").cast("double").alias("b"))
+    return flat.select(*rest, *[F.col(f"ab.{c}").cast("double").alias(c) for c in _names(df)])
+
+
+def _names(df: DataFrame) -> list[str]:
+    """Sides of a pair table: ``a``, ``b`` and perhaps ``g``."""
+    held = df.schema["ab"].dataType.elementType.names if "ab" in df.columns else df.columns
+    return [c for c in ("a", "b", "g") if c in held]
+
+
+def _with_generated(df: DataFrame, generated: Made | None) -> DataFrame:
+    """Long rows with ``g``: made by the function, or a side of its own."""
+    rows = pair_voxels(df)
+    return rows.withColumn("g", generated(F.col("a"), F.col("b"))) if generated else rows
 
 
 def shape_check(pairs: DataFrame, volumes: DataFrame) -> DataFrame:
@@ -68,13 +89,19 @@ def _decibel(mse: Column, span: Column) -> Column:
         F.lit(10.0) * F.log10(span * span / F.when(mse != 0, mse)))
 
 
+def _whole(x: Column, y: Column) -> Column:
+    """Whether every sample of the group has both sides."""
+    return F.count(x - y) == F.count(F.lit(1))
+
+
 def pair_metrics(df: DataFrame, keys: Sequence[str] = ("pair_id",), a: str = "a", b: str = "b",
                  span: float | None = None) -> DataFrame:
-    """L1, MSE and PSNR in one aggregation; the range is that of the target unless given."""
+    """L1, MSE and PSNR in one aggregation; the range is that of the target unless given. ``n`` counts
+    samples with both sides; where some have one only, ``shape_match`` is false and the scores are null."""
     x, y = F.col(a), F.col(b)
     agg = pair_voxels(df).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.abs(x - y)).alias("l1"), F.avg((x - y) * (x - y)).alias("mse"),
-        (F.max(y) - F.min(y)).alias("_range"))
+        F.count(x - y).alias("n"), _whole(x, y).alias("shape_match"), F.when(_whole(x, y), F.avg(F.abs(x - y))).alias("l1"),
+        F.when(_whole(x, y), F.avg((x - y) * (x - y))).alias("mse"), (F.max(y) - F.min(y)).alias("_range"))
     width = F.lit(float(span)) if span is not None else F.col("_range")
     return agg.withColumn("psnr", _decibel(F.col("mse"), width)).drop("_range")
 
@@ -92,26 +119,39 @@ def normalized_metrics(df: DataFrame, keys: Sequence[str] = ("pair_id",), groups
     return pair_metrics(normalize_sides(df, keys, groups, eps), keys, span=1.0)
 
 
+def normalized_ssim(df: DataFrame, keys: Sequence[str] = ("pair_id",), win: int = 7, groups: int | None = None,
+                    eps: float = 1e-8, side: int = BRICK_SIDE) -> DataFrame:
+    """Structural similarity for range 1 of the sides scaled the same way; packed pairs stay packed."""
+    return ssim(normalize_sides(df, keys, groups, eps), keys, None, win, span=1.0, groups=groups, side=side)
+
+
 def normalize_sides(df: DataFrame, keys: Sequence[str] = ("pair_id",), groups: int | None = None,
                     eps: float = 1e-8) -> DataFrame:
     ends = pair_voxels(df).groupBy(*keys).agg(
         *[f(c).alias(f"_{n}_{c}") for c in ("a", "b") for n, f in (("lo", F.min), ("hi", F.max))])
-    rows = pair_voxels(attach(df, ends, keys, groups))
-    scaled = {c: (F.col(c) - F.col(f"_lo_{c}")) / (F.col(f"_hi_{c}") - F.col(f"_lo_{c}") + eps) for c in ("a", "b")}
-    return rows.withColumns(scaled).drop("_lo_a", "_hi_a", "_lo_b", "_hi_b")
+    based = attach(df, ends, keys, groups)
+    scaled = lambda v, c: (v.cast("double") - F.col(f"_lo_{c}")) / (F.col(f"_hi_{c}") - F.col(f"_lo_{c}") + eps)
+    if "ab" in df.columns:
+        out = based.withColumn("ab", F.transform("ab", lambda s: F.struct(*[scaled(s[c], c).alias(c) for c in ("a", "b")])))
+    else:
+        out = based.withColumns({c: scaled(F.col(c), c) for c in ("a", "b")})
+    return out.drop("_lo_a", "_hi_a", "_lo_b", "_hi_b")
 
 
 def _sides(df: DataFrame, keys: list[str], generated: Made | None, side: int) -> DataFrame:
-    """Packed arrays ``a``, ``b`` and, where made, ``g``."""
+    """Packed arrays ``a``, ``b`` and, where made or given, ``g``; null where a side is missing."""
     if "ab" in df.columns:
-        made = [F.transform("ab", lambda s: generated(s["a"].cast("double"), s["b"].cast("double"))).alias("g")] if generated else []
-        return df.select(*keys, "origin", "dims", F.col("ab.a").alias("a"), F.col("ab.b").alias("b"), *made)
-    rows = df.withColumn("g", generated(F.col("a"), F.col("b"))) if generated else df
-    return bricks(rows, keys, ["a", "b", "g"] if generated else ["a", "b"], side)
+        sides = {c: F.col(f"ab.{c}") for c in _names(df)}
+        if generated:
+            sides["g"] = F.transform("ab", lambda s: generated(s["a"].cast("double"), s["b"].cast("double")))
+        return df.select(*keys, "origin", "dims", *[F.when(~F.exists(v, F.isnull), v).alias(c) for c, v in sides.items()])
+    rows = _with_generated(df, generated)
+    return bricks(rows, keys, _names(rows), side)
 
 
 def _brick_similarity(others: tuple[str, ...], win: int):
-    """Sum and number of similarity values of one padded brick; windows that leave the grid are NaN."""
+    """Sum and number of similarity values of one padded brick, over the windows inside the grid. NaN
+    samples, and flat pairs of range 0, make the sum NaN."""
     size = float(win**3)
     even = [np.full(win, 1.0 / win)] * 3
 
@@ -119,17 +159,21 @@ def _brick_similarity(others: tuple[str, ...], win: int):
         width = float(params["_range"])
         c1, c2 = (SSIM_K1 * width) ** 2, (SSIM_K2 * width) ** 2
         scale = size / (size - 1.0)
-        t = blocks["b"]
+        inside = params["_inside"]
+        n = int(np.prod([max(s.stop - s.start - win + 1, 0) for s in inside]))
+        if n == 0:
+            return {"n": 0, **{o: 0.0 for o in others}}
+        t = blocks["b"][inside]
         mean_t = line_sums(t, even)
         var_t = scale * (line_sums(t * t, even) - mean_t**2)
-        out: dict[str, object] = {"n": int(np.isfinite(mean_t).sum())}
+        out: dict[str, object] = {"n": n}
         for o in others:
-            v = blocks[o]
+            v = blocks[o][inside]
             mean = line_sums(v, even)
             var, cov = scale * (line_sums(v * v, even) - mean**2), scale * (line_sums(v * t, even) - mean * mean_t)
             with np.errstate(divide="ignore", invalid="ignore"):
                 index = ((2 * mean * mean_t + c1) * (2 * cov + c2)) / ((mean**2 + mean_t**2 + c1) * (var + var_t + c2))
-            out[o] = float(np.nansum(index))
+            out[o] = float(index.sum())
         return out
 
     return run
@@ -139,7 +183,8 @@ def ssim(df: DataFrame, keys: Sequence[str] = ("pair_id",), generated: Made | No
          span: float | None = None, groups: int | None = None, ranges: DataFrame | None = None,
          side: int = BRICK_SIDE) -> DataFrame:
     """Mean structural similarity of ``a`` (and of the generated side) with ``b``; null where the grid
-    is smaller than the window. Windows are uniform with sample covariance. Bricks exchange halos of
+    is smaller than the window or the grids differ, NaN where a sample is NaN or both sides are flat.
+    Windows are uniform with sample covariance. Bricks exchange halos of
     ``win // 2`` and each gives one sum and one count. ``ranges`` holds ``_range`` of b where known."""
     keys = list(keys)
     sides = _sides(df, keys, generated, side)
@@ -149,21 +194,25 @@ def ssim(df: DataFrame, keys: Sequence[str] = ("pair_id",), generated: Made | No
         if ranges is None:
             ranges = pair_voxels(df).groupBy(*keys).agg((F.max("b") - F.min("b")).alias("_range"))
         ranged = attach(sides, ranges, keys, groups, "inner")
-    others = ("a", "g") if generated else ("a",)
+    others = ("a", "g") if "g" in sides.columns else ("a",)
     per_brick = stencil(ranged, _brick_similarity(others, win), {"n": "long", **{o: "double" for o in others}},
                         win // 2, keys, ["b", *others], ["_range"], side)
     return per_brick.groupBy(*keys).agg(*[
-        F.when(F.sum("n") > 0, F.sum(o) / F.sum("n")).alias(f"ssim_{o}") for o in others])
+        F.when((F.sum("n") > 0) & (F.count("n") == F.count(F.lit(1))), F.sum(o) / F.sum("n")).alias(f"ssim_{o}")
+        for o in others])
 
 
-def evaluate(df: DataFrame, generated: Made, keys: Sequence[str] = ("pair_id",), win: int = 7,
+def evaluate(df: DataFrame, generated: Made | None = None, keys: Sequence[str] = ("pair_id",), win: int = 7,
              groups: int | None = None) -> DataFrame:
-    """Input against target, generated against target, and the improvement between them."""
-    rows = pair_voxels(df).withColumn("g", generated(F.col("a"), F.col("b")))
+    """Input against target, generated against target, and the improvement between them. The generated
+    side is a formula of both, or the bricks given to ``pair_bricks``."""
+    rows = _with_generated(df, generated)
     a, b, g = F.col("a"), F.col("b"), F.col("g")
     agg = cut_lineage(rows.groupBy(*keys).agg(
-        F.avg(F.abs(a - b)).alias("l1_input"), F.avg(F.abs(g - b)).alias("l1_generated"),
-        F.avg((a - b) * (a - b)).alias("_ma"), F.avg((g - b) * (g - b)).alias("_mg"),
+        F.when(_whole(a, b), F.avg(F.abs(a - b))).alias("l1_input"),
+        F.when(_whole(g, b), F.avg(F.abs(g - b))).alias("l1_generated"),
+        F.when(_whole(a, b), F.avg((a - b) * (a - b))).alias("_ma"),
+        F.when(_whole(g, b), F.avg((g - b) * (g - b))).alias("_mg"),
         (F.max(b) - F.min(b)).alias("_range")), "errors")
     out = combine(agg, ssim(df, keys, generated, win, groups=groups, ranges=agg.select(*keys, "_range")), keys, groups)
     psnr_a, psnr_g = _decibel(F.col("_ma"), F.col("_range")), _decibel(F.col("_mg"), F.col("_range"))
@@ -191,7 +240,8 @@ def ks_2samp(df: DataFrame, keys: Sequence[str] = ("pair_id",), groups: int | No
     """Two-sample Kolmogorov-Smirnov statistic over all samples, with the asymptotic p-value."""
     flat = pair_voxels(df).select(*keys, F.explode(F.array(
         F.struct(F.col("a").alias("v"), F.lit(1).alias("na"), F.lit(0).alias("nb")),
-        F.struct(F.col("b").alias("v"), F.lit(0).alias("na"), F.lit(1).alias("nb")))).alias("_s")).select(*keys, "_s.*")
+        F.struct(F.col("b").alias("v"), F.lit(0).alias("na"), F.lit(1).alias("nb")))).alias("_s")).select(
+        *keys, "_s.*").where(F.col("v").isNotNull())
     steps = running_sums(flat, keys, "v", {"na": F.col("na"), "nb": F.col("nb")}, groups=groups)
     share = lambda c: (F.col(f"{c}_before") + F.col(c)) / F.col(f"{c}_total")
     stat = steps.groupBy(*keys).agg(
@@ -223,13 +273,13 @@ def eval_aggregate(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return aggregate_metrics(df, columns)
 
 
-def eval_histograms(df: DataFrame, generated: Made, keys: Sequence[str] = ("pair_id",), bins: int = 100,
+def eval_histograms(df: DataFrame, generated: Made | None = None, keys: Sequence[str] = ("pair_id",), bins: int = 100,
                     groups: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Histograms of input, target and generated samples, and their mean and std."""
-    rows = pair_voxels(df).withColumn("g", generated(F.col("a"), F.col("b")))
+    rows = _with_generated(df, generated)
     long = rows.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(n).alias("role"), F.col(c).alias("value")) for n, c in (("input", "a"), ("target", "b"), ("generated", "g"))
-    ])).alias("_s")).select(*keys, "_s.*")
+    ])).alias("_s")).select(*keys, "_s.*").where(F.col("value").isNotNull())
     by = [*keys, "role"]
     stats = long.groupBy(*by).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
     return histogram(long, by, "value", bins, groups=None if groups is None else 3 * groups), stats

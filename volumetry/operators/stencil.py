@@ -28,8 +28,10 @@ def stencil(packed: DataFrame, fn: Block, outputs: Mapping[str, str], reach: int
             keys: Sequence[str] = ("volume_id",), values: Sequence[str] = ("value",),
             params: Sequence[str] = (), side: int = BRICK_SIDE) -> DataFrame:
     """Calls ``fn(blocks, params)`` per brick; blocks are padded by ``reach`` on each side, NaN outside
-    the grid. ``outputs`` maps names to ``double``, ``long`` or ``array<double>`` (C order, the size of
-    the brick). Returns ``keys, origin, dims, outputs``."""
+    the grid. ``params["_inside"]`` are the slices of a block that lie inside the grid, so padding and a
+    NaN sample are told apart. ``outputs`` maps names to ``double``, ``long`` or ``array<double>`` (C
+    order, the size of the brick). A brick that lacks one of its values gives null outputs and sends
+    nothing. Returns ``keys, origin, dims, outputs``."""
     if reach > side:
         raise ValueError(f"a reach of {reach} does not fit bricks of side {side}")
     keys, values, params = list(keys), list(values), list(params)
@@ -38,6 +40,8 @@ def stencil(packed: DataFrame, fn: Block, outputs: Mapping[str, str], reach: int
         *keys, *params, at(0).alias("bx"), at(1).alias("by"), at(2).alias("bz"), F.lit(True).alias("center"), "origin", "dims",
         *[F.col(v).cast("array<double>").alias(v) for v in values])
     inner_edge = F.exists("origin", lambda o: o > 0) | F.exists("dims", lambda n: n >= side)
+    for v in values:
+        inner_edge = inner_edge & F.col(v).isNotNull()
     pieces = home.unionByName(home.where(inner_edge).mapInArrow(_cutter(home.columns, values, reach, side), home.schema))
     fields = [f for f in home.schema.fields if f.name in (*keys, "origin", "dims")]
     schema = T.StructType(fields + [T.StructField(n, T._parse_datatype_string(t)) for n, t in outputs.items()])
@@ -91,15 +95,20 @@ def _worker(fn: Block, outputs: Mapping[str, str], names: list[str], values: lis
             return pa.table({n: pa.array([], rows.schema.field(n).type) for n in names} | {
                 n: pa.array([], _arrow(t)) for n, t in outputs.items()})
         home = rows.slice(int(center[0]), 1)
+        if any(rows.column(v).null_count for v in values):
+            return pa.table({n: home.column(n) for n in names} | {n: pa.nulls(1, _arrow(t)) for n, t in outputs.items()})
         start, dims = (np.array(home.column(c)[0].as_py()) for c in ("origin", "dims"))
         blocks = {v: np.full(dims + 2 * reach, np.nan) for v in values}
+        first, last = np.full(3, reach), dims + reach
         for i in range(rows.num_rows):
             origin, size = rows.column("origin")[i].as_py(), rows.column("dims")[i].as_py()
             low = np.array(origin) - start + reach
             place = tuple(slice(a, a + n) for a, n in zip(low, size))
+            first, last = np.minimum(first, low), np.maximum(last, low + np.array(size))
             for v in values:
                 blocks[v][place] = rows.column(v)[i].values.to_numpy().reshape(size)
-        made = fn(blocks, {p: home.column(p)[0].as_py() for p in params})
+        inside = tuple(slice(int(a), int(b)) for a, b in zip(first, last))
+        made = fn(blocks, {p: home.column(p)[0].as_py() for p in params} | {"_inside": inside})
         return pa.table({n: home.column(n) for n in names} | {
             n: pa.array([np.asarray(made[n]).reshape(-1)] if t.startswith("array") else [made[n]], _arrow(t))
             for n, t in outputs.items()})

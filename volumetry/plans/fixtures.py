@@ -32,6 +32,19 @@ def packed_pos(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def uneven(spark: SparkSession, d: str) -> DataFrame:
+    """The volumes, with the last plane cut off from every sixth."""
+    short = F.col("volume_id") % 6 == 1
+    return packed(spark, d).withColumns({
+        "value": F.when(short, F.filter("value", lambda v, i: i % SIDE < SIDE - 1)).otherwise(F.col("value")),
+        "dims": F.when(short, ints(SIDE, SIDE, SIDE - 1)).otherwise(F.col("dims"))})
+
+
+def uneven_headers(spark: SparkSession, d: str) -> DataFrame:
+    return headers(spark, d).withColumn("shape", F.when(
+        F.col("volume_id") % 6 == 1, ints(SIDE, SIDE, SIDE - 1)).otherwise(F.col("shape")))
+
+
 def headers(spark: SparkSession, d: str) -> DataFrame:
     """Header rows only; the sample column is never read."""
     return table(spark, d, "embeddings").select(

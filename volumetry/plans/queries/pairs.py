@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from volumetry.operators import catalog, evaluate
+from volumetry.operators import catalog, evaluate, tiles
 from volumetry.plans import fixtures as fx
 from volumetry.plans.registry import query
 
@@ -172,3 +172,75 @@ def consistency_warnings(spark, d):
 def eval_histograms(spark, d):
     hist, stats = evaluate.eval_histograms(packed_pairs(spark, d), generated, groups=fx.volume_count(spark, d))
     return rounded(hist.join(stats, ["pair_id", "role"]).drop("lo", "hi"), 6, "mean", "std")
+
+
+UNEVEN = "(p.target_id % 6 <> 1)"  # the fixture cuts a plane from these targets
+
+
+@query("pair_unequal_grids", f"""with {fx.PAIRS}, {METRICS}, {ssim_sql('n.a', 'sa')}
+  select p.pair_id, {UNEVEN} as shape_match, case when {UNEVEN} then n else 0 end as n,
+    case when {UNEVEN} then round(l1, 6) end as l1, case when {UNEVEN} then round(10*log10(r*r/mse), 6) end as psnr,
+    case when {UNEVEN} then round(s, 6) end as ssim
+  from pairs p join pm using (pair_id) join sa using (pair_id)""")
+def pair_unequal_grids(spark, d):
+    """Pairs of different grids stay, without scores."""
+    packed = evaluate.pair_bricks(pairs(spark, d), fx.uneven(spark, d), n_pairs=fx.volume_count(spark, d))
+    out = evaluate.pair_metrics(packed).join(evaluate.ssim(packed, win=3, groups=fx.volume_count(spark, d)), "pair_id")
+    return rounded(out.withColumnRenamed("ssim_a", "ssim"), 6, "l1", "psnr", "ssim").select(
+        "pair_id", "shape_match", "n", "l1", "psnr", "ssim")
+
+
+@query("consistency_unequal_grids", f"""with {fx.PAIRS}, ub as (select pair_id, target_id, min(b.value) as b_min, max(b.value) as b_max,
+    avg(b.value) as b_mean, count(*) as n from pairs p join vox b on b.volume_id = p.target_id and ({UNEVEN} or b.z < 3) group by 1, 2),
+  ua as (select pair_id, min(value) as a_min, max(value) as a_max, avg(value) as a_mean from pairs join vox on volume_id = input_id group by 1)
+  select pair_id, {UNEVEN} as shape_match, case when {UNEVEN} then '' else 'shape_mismatch' end as warning, round(a_min, 6) as a_min,
+    round(a_max, 6) as a_max, round(a_mean, 6) as a_mean, round(b_min, 6) as b_min, round(b_max, 6) as b_max,
+    round(b_mean, 6) as b_mean from ub p join ua using (pair_id)""")
+def consistency_unequal_grids(spark, d):
+    """Statistics of each side over all of its own samples, and the warning of its grid."""
+    n = fx.volume_count(spark, d)
+    packed = evaluate.pair_bricks(pairs(spark, d), fx.uneven(spark, d), n_pairs=n)
+    shapes = evaluate.shape_check(pairs(spark, d), fx.uneven_headers(spark, d)).select("pair_id", "shape_match")
+    found = evaluate.consistency(packed, groups=n).join(evaluate.ks_2samp(packed, groups=n), "pair_id").join(shapes, "pair_id")
+    first = F.array_join(F.filter("warnings", lambda w: w == "shape_mismatch"), ",")
+    columns = ("a_min", "a_max", "a_mean", "b_min", "b_max", "b_mean")
+    return rounded(evaluate.consistency_warnings(found), 6, *columns).select("pair_id", "shape_match", first.alias("warning"), *columns)
+
+
+@query("pair_ssim_nan", f"""with {fx.PAIRS}, {METRICS}, {ssim_sql('n.a', 'sa')} select pair_id, pair_id % 6 = 0 as undefined,
+  case when pair_id % 6 <> 0 then round(s, 6) end as ssim from sa""")
+def pair_ssim_nan(spark, d):
+    """One NaN sample makes the similarity of its pair NaN."""
+    hole = F.transform("value", lambda v, i: F.when(
+        (F.col("volume_id") % 6 == 0) & (i == 21), F.lit(float("nan"))).otherwise(v.cast("double")))
+    volumes = fx.packed(spark, d).withColumn("value", hole)
+    packed = evaluate.pair_bricks(pairs(spark, d), volumes, n_pairs=fx.volume_count(spark, d))
+    out = evaluate.ssim(packed, win=3, groups=fx.volume_count(spark, d))
+    bad = F.isnan("ssim_a")
+    return out.select("pair_id", bad.alias("undefined"), F.when(~bad, F.round("ssim_a", 6)).alias("ssim"))
+
+
+@query("pair_ssim_norm", f"""with {fx.PAIRS.replace("pv as (", "raw as (")}, e as (select pair_id, min(a) as a0, max(a) as a1,
+    min(b) as b0, max(b) as b1 from raw group by 1),
+  pv as (select pair_id, x, y, z, (a-a0)/(a1-a0+1e-8) as a, (b-b0)/(b1-b0+1e-8) as b from raw join e using (pair_id)),
+  pm as (select pair_id, 1.0::double as r from e), {ssim_sql('n.a', 'sa')} select pair_id, round(s, 6) as ssim from sa""")
+def pair_ssim_norm(spark, d):
+    out = evaluate.normalized_ssim(packed_pairs(spark, d), win=3, groups=fx.volume_count(spark, d))
+    return out.select("pair_id", F.round("ssim_a", 6).alias("ssim"))
+
+
+@query("eval_generated", f"""with {fx.PAIRS}, {METRICS}, m as (select pair_id, avg(a) as mu from pv where x < 3 and y < 3 and z < 3 group by 1),
+  pg as (select pv.*, case when x < 3 and y < 3 and z < 3 then a * 2 - mu else a end as g from pv join m using (pair_id)),
+  gm as (select pair_id, avg(abs(g-b)) as l1g, avg(pow(g-b,2)) as mseg from pg group by 1),
+  {ssim_sql('n.a', 'sa')}, {ssim_sql('n.g', 'sg').replace('join pv n', 'join pg n')},
+  ev as (select pair_id, 10*log10(r*r/mse) as psnr_input, 10*log10(r*r/mseg) as psnr_generated,
+    10*log10(r*r/mseg) - 10*log10(r*r/mse) as psnr_improvement, sa.s as ssim_input, sg.s as ssim_generated,
+    sg.s - sa.s as ssim_improvement, l1 as l1_input, l1g as l1_generated
+  from pm join gm using (pair_id) join sa using (pair_id) join sg using (pair_id))
+  select pair_id, """ + ", ".join(f"round({c},6) as {c}" for c in EVAL) + " from ev")
+def eval_generated(spark, d):
+    """The volumes that a model made, tile by tile, scored against input and target."""
+    n = fx.volume_count(spark, d)
+    made = tiles.tiled_model(fx.packed(spark, d), fx.headers(spark, d), lambda cube: cube * 2 - cube.mean(), (3, 3, 3), 0.0, groups=n)
+    packed = evaluate.pair_bricks(pairs(spark, d), fx.packed(spark, d), n_pairs=n, generated=made)
+    return rounded(evaluate.evaluate(packed, win=3, groups=n), 6, *EVAL)

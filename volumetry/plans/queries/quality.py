@@ -207,7 +207,7 @@ def qc_summary(spark, d):
 
 def _dist_sql() -> str:
     parts = []
-    for m in ("snr", "foreground_fraction", "mean_intensity", "std_intensity"):
+    for m in qc.OUTLIER_METRICS:
         for which, w in (("all", ""), ("outliers", "where volume_id in (select volume_id from rs)")):
             parts.append(f"""select '{m}' as metric, '{which}' as which, cast(least(floor((v-lo)/(hi-lo)*20), 19) as int) as bin,
               count(*) as n from (select {m} as v from qc {w}) a, (select case when min({m})=max({m}) then min({m})-0.5
@@ -220,7 +220,7 @@ def _dist_sql() -> str:
 def qc_distributions(spark, d):
     table = cut_lineage(qc.qc_metrics(fx.line_samples(spark, d), groups=fx.supplier_count(spark, d)))
     flagged = qc.flag_outliers(table, qc.detect_outliers(table))
-    out = qc.qc_distributions(flagged, ["snr", "foreground_fraction", "mean_intensity", "std_intensity"])
+    out = qc.qc_distributions(flagged)
     return out.select("metric", "which", "bin", "n")
 
 

@@ -6,6 +6,7 @@ import struct
 
 import numpy as np
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from volumetry.config import PreprocessConfig
 from volumetry.operators import qc, splits, stats
@@ -153,8 +154,12 @@ def qc_summary_json(spark, d):
     return writers.qc_summary_json(rows, qc.qc_summary(rows))
 
 
+def numeric_columns(rows, item="volume_id"):
+    return [f.name for f in rows.schema.fields if isinstance(f.dataType, T.NumericType) and f.name != item]
+
+
 @query("qc_report_html")
 def qc_report_html(spark, d):
     rows = flagged(spark, d)
-    lines = report.qc_report(rows, qc.qc_summary(rows), stats.describe_exact(rows, ["snr", "entropy", "mean_intensity"]))
+    lines = report.qc_report(rows, qc.qc_summary(rows), stats.describe_exact(rows, numeric_columns(rows)))
     return lines.where(F.col("key") != "~")
