@@ -107,16 +107,16 @@ def attach_masks(images: DataFrame, masks: DataFrame, folder: str = "dir", stem:
                  mask_name: str = "mask_name", mask: str = "mask_path") -> DataFrame:
     """A mask of the same folder whose name contains the image stem, else any mask of the folder.
 
-    "Contains" becomes an equality: each mask name is cut into all of its substrings (bounded by
-    the length of a name) and reduced to one row per folder and substring, so no image ever meets
-    all masks of its folder. Ties take the first path.
+    "Contains" becomes an equality: each mask name is cut into its substrings of the lengths that the
+    stems of its folder have (few, and bounded by the length of a name) and reduced to one row per
+    folder and substring, so no image ever meets all masks of its folder. Ties take the first path.
     """
-    starts = F.sequence(F.lit(1), F.length(mask_name))
-    cut = masks.select(folder, mask_name, mask, F.explode(starts).alias("_i")).select(
-        folder, mask,
-        F.explode(F.transform(F.sequence(F.lit(1), F.length(mask_name) - F.col("_i") + 1),
-                              lambda n: F.substring(F.col(mask_name), F.col("_i"), n))).alias(stem),
-    )
+    lengths = images.where(F.length(stem) > 0).groupBy(folder).agg(F.collect_set(F.length(stem)).alias("_lengths"))
+    sized = masks.join(lengths, folder).select(folder, mask_name, mask, F.explode("_lengths").alias("_n")).where(
+        F.col("_n") <= F.length(mask_name))
+    starts = F.sequence(F.lit(1), F.length(mask_name) - F.col("_n") + 1)
+    cut = sized.select(folder, mask, "_n", mask_name, F.explode(starts).alias("_i")).select(
+        folder, mask, F.substring(F.col(mask_name), F.col("_i"), F.col("_n")).alias(stem))
     named = cut.groupBy(folder, stem).agg(F.min(mask).alias("_named"))
     any_mask = masks.groupBy(folder).agg(F.min(mask).alias("_any"))
     found = images.join(named, [folder, stem], "left").join(any_mask, folder, "left")

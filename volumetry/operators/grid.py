@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from volumetry.config import INTERPOLATIONS, check_choice
-from volumetry.schema import attach, voxels
+from volumetry.schema import attach, is_packed, voxels
 
 AXES = ("x", "y", "z")
 # Axis letters by world direction, negative first.
@@ -134,10 +134,18 @@ def pad_or_crop(df: DataFrame, volumes: DataFrame, size: Sequence[int], value: s
 
 def mid_slices(df: DataFrame, volumes: DataFrame, value: str = "value", at: Sequence[int] | None = None,
                groups: int | None = None) -> DataFrame:
-    """The middle (or given) slice on each axis, labelled by plane, in one pass."""
-    rows = voxels(attach(df, volumes.select("volume_id", "shape"), ["volume_id"], groups, "inner"), value)
+    """The middle (or given) slice on each axis, labelled by plane, in one pass. Bricks that no asked
+    plane crosses are left packed and dropped."""
     def index(i: int) -> Column:
         return F.lit(at[i]) if at else F.floor(F.col("shape")[i] / 2).cast("int")
 
+    based = attach(df, volumes.select("volume_id", "shape"), ["volume_id"], groups, "inner")
+    if is_packed(df, value):
+        crossed = F.lit(False)
+        for i in range(3):
+            start = F.col("origin")[i]
+            crossed = crossed | ((index(i) >= start) & (index(i) < start + F.col("dims")[i]))
+        based = based.where(crossed)
+    rows = voxels(based, value)
     hits = F.array_compact(F.array(*[F.when(F.col(c) == index(i), F.lit(PLANES[i])) for i, c in enumerate(AXES)]))
     return rows.withColumn("plane", F.explode(hits)).drop("shape")
