@@ -210,7 +210,8 @@ def qc_metrics(df: DataFrame, keys: Sequence[str] = ("volume_id",), value: str =
         out = combine(out, cnr(df, keys, value, mask, groups), keys, groups).withColumn("cnr", F.coalesce("cnr", zero))
     else:
         out = out.withColumn("cnr", zero)
-    return combine(out, volumes, keys, groups) if volumes is not None else out
+    # the caller's fields may be of any width, so the planner picks this join by their size
+    return combine(out, volumes, keys) if volumes is not None else out
 
 
 def _weighted(half: str) -> Column:
