@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tests import numpy_oracles as npo
 from tests.volumes import cubes_of, heads, packed
 from volumetry.config import Config, PreprocessConfig, SplitConfig
-from volumetry.operators import augment, catalog, evaluate, qc, splits, stats, tiles, tracking
+from volumetry.operators import augment, catalog, evaluate, grid, qc, splits, stats, tiles, tracking
 from volumetry.operators.harmonize import HarmonizerModel
 from volumetry.operators.normalize import normalize
 from volumetry.operators.stats import histogram
@@ -201,3 +201,24 @@ def test_a_generated_side_of_its_own(spark):
     assert row["l1_generated"] == pytest.approx(abs(g - b).mean())
     assert row["ssim_generated"] == pytest.approx(npo.ssim(g, b, 3), rel=1e-7)
     assert row["ssim_input"] == pytest.approx(npo.ssim(a, b, 3), rel=1e-7)
+
+
+@pytest.mark.parametrize("side", [3, 64])
+def test_middle_slices_over_bricks(spark, side):
+    cube = np.random.default_rng(6).random((7, 6, 5))
+    whole = bricks(voxels(packed(spark, {0: cube})), side=side)
+    rows = grid.mid_slices(whole, heads(spark, {0: cube})).collect()
+    for plane, axis in (("sagittal", 0), ("coronal", 1), ("axial", 2)):
+        got = {(r["x"], r["y"], r["z"]): r["value"] for r in rows if r["plane"] == plane}
+        want = {p: v for p, v in np.ndenumerate(cube) if p[axis] == cube.shape[axis] // 2}
+        assert got == want
+
+
+def test_masks_by_stems_of_several_lengths(spark):
+    images = spark.createDataFrame(
+        [("d", "a-1"), ("d", "a-12"), ("d", ""), ("d", None), ("e", "a-1")], "dir string, stem string")
+    masks = spark.createDataFrame(
+        [("d", "a-12_mask", "d/a-12"), ("d", "b", "d/b"), ("f", "a-1", "f/a-1")], "dir string, mask_name string, mask_path string")
+    got = {(r["dir"], r["stem"]): (r["mask_path"], r["mask_match"]) for r in catalog.attach_masks(images, masks).collect()}
+    assert got == {("d", "a-1"): ("d/a-12", "stem"), ("d", "a-12"): ("d/a-12", "stem"), ("d", ""): ("d/a-12", "folder"),
+                   ("d", None): ("d/a-12", "folder"), ("e", "a-1"): (None, "none")}
