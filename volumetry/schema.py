@@ -24,48 +24,6 @@ BRICK_SIDE = 64
 # (at most ~100 bytes a row); past it the same join runs as a shuffled join.
 BROADCAST_ROWS = 1_000_000
 
-CATALOG = T.StructType(
-    [
-        T.StructField("path", T.StringType()),
-        T.StructField("dir", T.StringType()),
-        T.StructField("file_name", T.StringType()),
-        T.StructField("subject", T.StringType()),
-        T.StructField("session", T.StringType()),
-        T.StructField("modality", T.StringType()),
-        T.StructField("field_strength", T.StringType()),
-        T.StructField("volume_id", T.LongType()),
-    ]
-)
-
-HEADERS = T.StructType(
-    [
-        T.StructField("volume_id", T.LongType()),
-        T.StructField("shape", T.ArrayType(T.IntegerType())),
-        T.StructField("spacing", T.ArrayType(T.DoubleType())),
-        T.StructField("affine", T.ArrayType(T.ArrayType(T.DoubleType()))),
-        T.StructField("orientation", T.StringType()),
-    ]
-)
-
-BRICKS = T.StructType(
-    [
-        T.StructField("volume_id", T.LongType()),
-        T.StructField("origin", T.ArrayType(T.IntegerType())),
-        T.StructField("dims", T.ArrayType(T.IntegerType())),
-        T.StructField("value", T.ArrayType(T.FloatType())),
-    ]
-)
-
-METRIC_LOG = T.StructType(
-    [
-        T.StructField("run", T.StringType()),
-        T.StructField("split", T.StringType()),
-        T.StructField("epoch", T.IntegerType()),
-        T.StructField("metric", T.StringType()),
-        T.StructField("value", T.DoubleType()),
-    ]
-)
-
 
 def is_packed(df: DataFrame, value: str = "value") -> bool:
     return isinstance(df.schema[value].dataType, T.ArrayType)
