@@ -7,8 +7,9 @@ texts and the names before such values are ordinary ones. The tasks count, one s
 counts, so the model has a fixed size. Training reads a bounded share of the documents (``SAMPLE`` of
 them, by a hash of the id; documented bound of a classifier fit); scanning reads every whole text.
 
-A further candidate is a run of key characters of 16 or more that no pattern has found. It is a secret
-if the mean log-likelihood ratio per character is above ``MARGIN`` and it mixes letters with digits.
+A further candidate is a run of key characters of 16 or more; where a pattern has found a part of it,
+what is left on either side. It is a secret if the mean log-likelihood ratio per character is above
+``MARGIN``.
 
 Null and empty texts have no spans. Spans are in code points, end exclusive. Repeated rows are rows like
 any other; an input column with the name of a result is replaced.
@@ -37,6 +38,7 @@ MARK = "[SECRET]"
 
 SAMPLE = 20_000
 MARGIN = 0.9  # nats per character
+REST = 4  # characters of a part of a run beside a span of the patterns
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
 CLASSES = len(ALPHABET) + 1  # and the edge of a string
 PLACE = np.full(128, -1, "int64")
@@ -88,6 +90,23 @@ class Markov:
         return float(self.ratio[at].mean()) if len(at) else 0.0
 
 
+def left(text: str, start: int, end: int, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int]]:
+    """The parts of a run outside the spans of the patterns; the whole run if none touches it. Separators
+    at the ends of a part are left out, and parts shorter than ``REST``."""
+    met = [(s, e) for s, e, _, _ in base if s < end and start < e]
+    if not met:
+        return [(start, end)]
+    out = []
+    for s, e in [*met, (end, end)]:
+        part = text[start:max(start, s)]
+        a = start + len(part) - len(part.lstrip("+/_=-"))
+        b = a + len(part.strip("+/_=-"))
+        if b - a >= REST:
+            out.append((a, b))
+        start = max(start, e)
+    return out
+
+
 def spans(text: str | None, model: Markov) -> list[tuple[int, int, str]]:
     """All spans of a text: those of the patterns, and runs that the model takes for random."""
     if not text:
@@ -95,13 +114,9 @@ def spans(text: str | None, model: Markov) -> list[tuple[int, int, str]]:
     base = patterns(text)
     out = [(s, e, k) for s, e, k, _ in base]
     for m in RUN.finditer(text):
-        run = m[0]
-        if run.isalpha() or run.isdigit() or not any(c.isdigit() for c in run):
-            continue
-        if any(s < m.end() and m.start() < e for s, e, _, _ in base):
-            continue
-        if model.mean(run) > MARGIN:
-            out.append((m.start(), m.end(), 3))
+        for start, end in left(text, m.start(), m.end(), base):
+            if model.mean(text[start:end]) > MARGIN:
+                out.append((start, end, 3))
     return [(s, e, KINDS[k]) for s, e, k in sorted(out, key=lambda x: (x[0], x[2]))]
 
 
