@@ -2,8 +2,9 @@
 
 One model is trained on random strings, one on ordinary identifiers. Both are tables of log
 probabilities of a character given the two before it, over ``CLASSES`` kinds of characters. The labelled
-samples come from the corpus itself: the values that the patterns find are random strings; words of
-texts and the names before such values are ordinary ones. The tasks count, one small sum gathers the
+samples come from the corpus itself: the values that the patterns find are random strings; the words,
+numbers, dates, paths and addresses of the rest, the names before such values, and identifiers joined
+from the words in the usual styles (``ordinary``) are ordinary ones. The tasks count, one small sum gathers the
 counts, so the model has a fixed size. Training reads a bounded share of the documents (``SAMPLE`` of
 them, by a hash of the id; documented bound of a classifier fit); scanning reads every whole text.
 
@@ -18,6 +19,7 @@ any other; an input column with the name of a result is replaced.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +36,14 @@ NAMED = re.compile("password|passwd|secret|token|api_?key", re.A | re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+TOKEN = re.compile(r"[A-Za-z0-9+/_=.-]+")
+MIXED = re.compile("[A-Za-z][0-9]|[0-9][A-Za-z]")
 MARK = "[SECRET]"
 
 SAMPLE = 20_000
 MARGIN = 0.9  # nats per character
+UNSEEN = 0.01  # share of characters that follow no context, in either model
+HELD = 1 << 20  # characters that are counted at once
 REST = 4  # characters of a part of a run beside a span of the patterns
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
 CLASSES = len(ALPHABET) + 1  # and the edge of a string
@@ -58,6 +64,15 @@ def steps(text: str) -> np.ndarray:
     return (c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:]
 
 
+def many_steps(words: list[str]) -> np.ndarray:
+    """The numbers of ``steps`` of all words at once."""
+    data = np.frombuffer("\n\n".join(words).encode("ascii", "ignore"), "u1")
+    placed = PLACE[data]
+    placed[data == 10] = 0
+    c = np.concatenate([[0, 0], placed[placed >= 0]])
+    return ((c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:])[c[2:] > 0]
+
+
 def patterns(text: str) -> list[tuple[int, int, int, str]]:
     """(start, end, kind, value) of what the patterns find, by start and kind."""
     low = text.lower() if text.isascii() else None
@@ -70,6 +85,34 @@ def patterns(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out, key=lambda x: (x[0], x[2]))
 
 
+def ordinary(text: str, names: list[str]) -> list[str]:
+    """The second sample from one text: its words, numbers, dates, paths and addresses, each once; the
+    given names; and identifiers joined from its words in the usual styles, with numbers in every other
+    one. Runs that are still to be decided (long, letters and digits mixed between separators) are left out."""
+    found = list(dict.fromkeys(TOKEN.findall(text)))
+    out = [w for w in found if not any(len(p) >= 16 and MIXED.search(p) for p in re.split("[+/_=.-]", w))] + names
+    plain = [w.lower() for w in found if w.isalpha() and len(w) < 16]
+    for i, at in enumerate(range(0, len(plain) - 2, 3)):
+        w = plain[at:at + 3]
+        n = zlib.crc32("".join(w).encode())
+        if i % 2:
+            year, month, day, few = 1990 + n % 45, n // 64 % 12 + 1, n // 1024 % 28 + 1, n >> 16
+            hour, minute, second = few % 24, few // 24 % 60, n % 60
+            w += [(f"v{few % 10}", f"{few % 10}", f"{few % 1000}", f"{year}", f"{year}{month:02}{day:02}", f"{few}",
+                   f"{year}-{month:02}-{day:02}", f"{year}-{month:02}-{day:02}T{hour:02}-{minute:02}-{second:02}Z")[n // 7 % 8]]
+            w = w[n % 4:] + w[:n % 4]
+        style = i // 2 % 7
+        if style == 4:
+            out.append(w[0] + "".join(x.capitalize() for x in w[1:]))
+        elif style == 5:
+            out.append("".join(x.capitalize() for x in w))
+        elif style == 6:
+            out.append("_".join(w).upper())
+        else:
+            out.append(("", "", "", "/")[style] + "_-./"[style].join(w))
+    return out
+
+
 class Markov:
     """Log-likelihood ratios of three-character runs: random over ordinary."""
 
@@ -78,12 +121,14 @@ class Markov:
 
     @staticmethod
     def logs(counts: np.ndarray) -> np.ndarray:
-        """Two characters back, smoothed by one back, smoothed by none."""
+        """Two characters back, smoothed by one back, smoothed by none; names in words that the corpus lacks
+        keep a share of their own, so large counts don't make an unknown context a proof."""
         three = counts.reshape(CLASSES, CLASSES, CLASSES).astype(float)
         two, one = three.sum(axis=0), three.sum(axis=(0, 1))
         p1 = (one + 1) / (one.sum() + CLASSES)
         p2 = (two + 8 * p1) / (two.sum(axis=1, keepdims=True) + 8)
-        return np.log((three + 8 * p2[None]) / (three.sum(axis=2, keepdims=True) + 8))
+        p3 = (three + 8 * p2[None]) / (three.sum(axis=2, keepdims=True) + 8)
+        return np.log((1 - UNSEEN) * p3 + UNSEEN * p1)
 
     def mean(self, text: str) -> float:
         at = steps(text)
@@ -126,6 +171,13 @@ def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [np.zeros(CLASSES**3, "int64"), np.zeros(CLASSES**3, "int64")]
+        held: list[np.ndarray] = []
+
+        def add() -> None:
+            if held:
+                kinds[1] += np.bincount(np.concatenate(held), minlength=CLASSES**3)
+                held.clear()
+
         for batch in batches:
             for piece in pieces(batch, "text"):
                 for t in piece.column("text").to_pylist():
@@ -139,10 +191,11 @@ def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int
                         rest.append(t[at:s])
                         at = max(at, e)
                     rest.append(t[at:])
-                    words = set(re.findall(r"[A-Za-z][A-Za-z0-9_.-]*", " ".join(rest)))
-                    joined = [steps(w) for w in words]
-                    if joined:
-                        kinds[1] += np.bincount(np.concatenate(joined), minlength=CLASSES**3)
+                    names = [m[1] for m in ASSIGN.finditer(t)] if NAMED.search(t) else []
+                    held.append(many_steps(ordinary(" ".join(rest), names)))
+                    if sum(map(len, held)) > HELD:
+                        add()
+        add()
         for kind, counts in enumerate(kinds):
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind), pa.int32()), pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())],
