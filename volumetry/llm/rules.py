@@ -1,10 +1,11 @@
 """Quality rules: a decision list learned by sequential covering, in DataFrame functions only.
 
-Statistics of each labelled text are put into bins of equal counts. A rule is a conjunction of
+Statistics of each labelled text are put into bins, cut at quantiles of all rows and of the rows of low
+quality, finer at both ends, so that a rare kind has cuts of its own. A rule is a conjunction of
 thresholds on them. It is grown on two thirds of the labelled rows, one condition at a time, by the gain
 in information about low quality; then its last conditions are pruned while that helps on the remaining
-third. Rows it covers leave, and the next rule is learned from the rest, until no rule is precise
-enough. Each step is one small aggregation: counts by statistic, bin and label. The list is one ordered
+third. Rows it covers leave, and the next rule is learned from the rest. If a rule is not precise enough,
+its first statistic and side are set aside and another beginning is tried, until none is left. Each step is one small aggregation: counts by statistic, bin and label. The list is one ordered
 CASE expression, so applying it is a projection of the scan.
 
 The rows to learn from are bounded (``SAMPLE`` rows, those with the smallest hash of their id); all
@@ -32,6 +33,7 @@ from volumetry.session import cut_lineage
 
 SAMPLE = 20_000
 BINS = 32
+TAILS = (6, 12)  # further bins at either end, of a share of 2^-6 to 2^-12 of the rows
 PRECISION = 0.9  # of a rule, on the rows kept apart for pruning
 SUPPORT = 5  # rows of low quality that a rule covers at least when grown
 CONDITIONS = 4
@@ -129,9 +131,12 @@ def labelled(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int
 def fit(rows: DataFrame) -> list[Rule]:
     """Learns the list from ``labelled`` rows."""
     rows = cut_lineage(rows.where(~(F.col("n_words") < 50)), "labelled")
-    points = [i / BINS for i in range(1, BINS)]
-    found = rows.agg(*[F.percentile_approx(f, points, 10_000).alias(f) for f in FEATURES]).first()
-    cuts = {f: sorted(set(found[f] or [])) for f in FEATURES}
+    tails = [2.0**-k for k in range(TAILS[0], TAILS[1] + 1)]
+    points = sorted([*(i / BINS for i in range(1, BINS)), *tails, *(1 - t for t in tails)])
+    bad = lambda f: F.when(F.col("_good") == 0, F.col(f))
+    found = rows.agg(*[F.percentile_approx(f, points, 10_000).alias(f) for f in FEATURES],
+                     *[F.percentile_approx(bad(f), points, 10_000).alias(f"bad_{f}") for f in FEATURES]).first()
+    cuts = {f: sorted({*(found[f] or []), *(found[f"bad_{f}"] or [])}) for f in FEATURES}
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(3))
     bins = [F.aggregate(F.array(*[F.lit(float(c)) for c in cuts[f]]), F.lit(0), (lambda f: lambda n, c: n + (F.col(f) > c).cast("int"))(f)).alias(f)
             if cuts[f] else F.lit(0).alias(f) for f in FEATURES]
@@ -154,7 +159,7 @@ def fit(rows: DataFrame) -> list[Rule]:
     def gain(good: int, bad: int, was: tuple[int, int]) -> float:
         return bad * (log2(bad / (good + bad)) - log2(was[1] / sum(was))) if bad else -1.0
 
-    def grow(rest: DataFrame) -> list[tuple[str, bool, int]]:
+    def grow(rest: DataFrame, aside: set[tuple[str, bool]]) -> list[tuple[str, bool, int]]:
         rule: list[tuple[str, bool, int]] = []
         while len(rule) < CONDITIONS:
             seen = counts(rest, rule)
@@ -167,6 +172,8 @@ def fit(rows: DataFrame) -> list[Rule]:
                 for k, (good, bad) in enumerate(seen[f][:-1]):
                     below = [below[0] + good, below[1] + bad]
                     for up, (g, b) in ((False, below), (True, (was[0] - below[0], was[1] - below[1]))):
+                        if not rule and (f, up) in aside:
+                            continue
                         if b >= SUPPORT and (score := gain(g, b, was)) > best[0] + 1e-9:
                             best = (score, (f, up, k))
             if best[1] is None:
@@ -187,14 +194,16 @@ def fit(rows: DataFrame) -> list[Rule]:
         best = max(worth)
         return starts[-best[1]], best[2]
 
-    rules, rest = [], grid
+    rules, rest, aside = [], grid, set()
     while len(rules) < RULES:
-        rule = grow(rest)
+        rule = grow(rest, aside)
         if not rule:
             break
         rule, precise = pruned(rest, rule)
-        if precise < PRECISION:
-            break
+        if precise < PRECISION:  # no rule begins this way until another one has taken rows away
+            aside.add(rule[0][:2])
+            continue
+        aside = set()
         rules.append(tuple(Condition(f, up, float(cuts[f][k])) for f, up, k in rule))
         rest = rest.where(~in_bins(rule))
     return rules
