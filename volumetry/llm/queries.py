@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volumetry.llm import bpe, chat, decontam, langid, markup, maxent, packing, rules, secret, simhash
+from volumetry.llm import bpe, chat, decontam, langid, markup, maxent, packing, periodic, rules, secret, simhash
 
 RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -157,3 +157,29 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return packing.pack(packing.encode(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN, keep=["doc_id"]))
+
+
+def planted_repeats(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)``; in a tenth of the documents, by the hash of the id, the words from some place on
+    repeat the words there with some period."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    cut = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))).alias("w"))
+    cut = cut.withColumn("n", F.size("w").cast("long")).withColumn("g", F.floor(F.col("h") / 10).cast("long"))
+    cut = cut.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    cut = cut.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)).cast("long"))
+    part = lambda start, length: F.slice("w", start.cast("int"), length.cast("int"))
+    again = F.flatten(F.array_repeat(part(F.col("a") + 1, F.col("p")), F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")))
+    new = F.slice(F.concat(part(F.lit(1), F.col("a")), again), F.lit(1), F.col("n").cast("int"))
+    return cut.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(new, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic.with_runs(planted_repeats(table(spark, folder, "documents")), keep=["doc_id"])
+    higher = lambda a, b: a["length"] * b["period"] < b["length"] * a["period"]
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda a, b: F.when(higher(a, b), b).otherwise(a))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    out = found.select("doc_id", "n_words", F.size("runs").cast("long").alias("n_runs"), best.alias("best"),
+                       F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return out.select("doc_id", "n_words", "n_runs", "best.start", "best.length", "best.period",
+                      F.floor(F.col("best.length") * 1000 / F.col("best.period")).cast("long").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
