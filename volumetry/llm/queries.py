@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volumetry.llm import bpe, chat, decontam, langid, markup, maxent, packing, periodic, rules, secret, simhash
+from volumetry.llm import bpe, chat, decontam, langid, markup, maxent, packing, periodic, rules, secret, simhash, stock
 
 RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -183,3 +183,9 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
                        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
     return out.select("doc_id", "n_words", "n_runs", "best.start", "best.length", "best.period",
                       F.floor(F.col("best.length") * 1000 / F.col("best.period")).cast("long").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+@query("op13_cutting_stock")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    coded = stock.encode(table(spark, folder, "documents"), word_vocabulary(), end=2, keep=["doc_id"])
+    return stock.pack(coded).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
