@@ -187,5 +187,5 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op13_cutting_stock")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
-    coded = stock.encode(table(spark, folder, "documents"), word_vocabulary(), end=2, keep=["doc_id"])
-    return stock.pack(coded).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    coded = stock.encoded(table(spark, folder, "documents"), word_vocabulary(), end=2)
+    return stock.pieces(coded).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

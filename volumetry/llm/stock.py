@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from volumetry.llm import wordbatch
-from volumetry.llm.batches import add_columns
-from volumetry.llm.bpe import lists, send
+from volumetry.llm.batches import pieces as pieces_of
+from volumetry.llm.bpe import send
 from volumetry.session import cut_lineage
 
 LENGTH = 4096
@@ -46,20 +46,10 @@ UNIT = 8
 GAP = 0.0005  # of the number of sequences, between the linear program and its bound
 ROUNDS = 8  # times the number of widths, prices at most; the patterns so far are packed then
 CELL = 512  # tokens of the line of gaps that one join key stands for
+TEXTS = 4 << 20  # bytes of text that are encoded at once, or one longer text
 RUN = 4096  # sequences whose gaps are added up before the sums are
 
 
-def encode(df: DataFrame, path: str, end: int | None = None, text: str = "text", out: str = "ids", keep: list[str] | None = None) -> DataFrame:
-    """Adds the ids of every whole text (null: empty), with ``end`` behind them."""
-    sent = send(df, path)
-    tail = np.array([] if end is None else [end], "int32")
-
-    def run(texts: list) -> list[pa.Array]:
-        return [lists([np.concatenate([a, tail]) for a in wordbatch.load(sent.value).encode_all(texts)])]
-
-    return add_columns(df, text, [T.StructField(out, T.ArrayType(T.IntegerType()))], run, keep)
-
-
 def priced(size: int, widths: np.ndarray, values: np.ndarray) -> tuple[float, np.ndarray]:
     """The most valuable multiset of widths of at most ``size`` in all: value and copies of each."""
     use = np.flatnonzero(values > 1e-12)
@@ -224,35 +214,65 @@ def planned(counts: dict[int, int], length: int, unit: int = UNIT) -> Plan:
     return Plan(unit, key, sequence, place, copies, before, tokens, kept, line, total - kept * length)
 
 
-def numbered(df: DataFrame, doc_id: str, ids: str, length: int) -> DataFrame:
-    """Documents with ids: their task and row, tokens, number of the first whole sequence in the task, the
-    rest's length and its number among rests of that length in the task."""
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("part", "row", "tokens", "whole", "rest", "nth")] + [
-        T.StructField("doc", df.schema[doc_id].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+class Numbers:
+    """Numbers the documents of one task: row, tokens, first whole sequence, rest and its number among rests
+    of its length. Ids go on as bytes; documents without any are left out."""
+
+    names = ("part", "row", "tokens", "whole", "rest", "nth")
+
+    def __init__(self, length: int):
+        self.length, self.part, self.row, self.whole = length, TaskContext.get().partitionId(), 0, 0
+        self.seen = np.zeros(length, "int64")
+
+    def batch(self, docs: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
+        n = np.array(list(map(len, ids)), "int64") // 4
+        some = np.flatnonzero(n)
+        n = n[some]
+        rest = n % self.length
+        order = np.argsort(rest, kind="stable")
+        value, start, many = np.unique(rest[order], return_index=True, return_counts=True)
+        nth = np.empty(len(rest), "int64")
+        nth[order] = np.arange(len(rest)) - np.repeat(start, many) + np.repeat(self.seen[value], many)
+        self.seen[value] += many
+        blocks = n // self.length
+        firsts = self.whole + np.cumsum(blocks) - blocks
+        cols = [np.full(len(n), self.part), self.row + np.arange(len(n)), n, firsts, rest, nth]
+        self.row, self.whole = self.row + len(n), self.whole + int(blocks.sum())
+        made = pa.array([ids[k] for k in some.tolist()], pa.binary())
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), docs.take(pa.array(some)), made], names=[*self.names, "doc", "ids"])
+
+    @classmethod
+    def schema(cls, doc: T.DataType) -> T.StructType:
+        return T.StructType([*(T.StructField(n, T.LongType()) for n in cls.names), T.StructField("doc", doc), T.StructField("ids", T.BinaryType())])
+
+
+def encoded(df: DataFrame, path: str, end: int | None = None, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+    """Numbered documents with the ids of every whole text (null: empty) and ``end`` behind them."""
+    sent = send(df, path)
+    tail = b"" if end is None else np.array([end], "<i4").tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, vocabulary = Numbers(length), wordbatch.load(sent.value)
+        for batch in batches:
+            for piece in pieces_of(batch, "text", TEXTS):
+                yield number.batch(piece.column(0), [ids + tail for ids in vocabulary.encode_all(piece.column(1).to_pylist())])
+
+    source = df.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
+    return source.mapInArrow(run, Numbers.schema(source.schema["doc"].dataType))
+
 
+def numbered(df: DataFrame, doc_id: str = "doc_id", ids: str = "ids", length: int = LENGTH) -> DataFrame:
+    """Numbered documents from a column of id lists."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, row, whole = TaskContext.get().partitionId(), 0, 0
-        seen = np.zeros(length, "int64")
+        number = Numbers(length)
         for batch in batches:
             column = batch.column(1)
-            offsets = np.asarray(column.offsets).astype("int64")
-            n = np.where(np.asarray(column.is_valid()), np.diff(offsets), 0)
-            some = np.flatnonzero(n)
-            n = n[some]
-            rest = n % length
-            order = np.argsort(rest, kind="stable")
-            value, start, many = np.unique(rest[order], return_index=True, return_counts=True)
-            nth = np.empty(len(rest), "int64")
-            nth[order] = np.arange(len(rest)) - np.repeat(start, many) + np.repeat(seen[value], many)
-            seen[value] += many
-            blocks = n // length
-            firsts = whole + np.cumsum(blocks) - blocks
-            cols = [np.full(len(n), part), row + np.arange(len(n)), n, firsts, rest, nth]
-            row, whole = row + len(n), whole + int(blocks.sum())
-            taken = pa.array(some)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), batch.column(0).take(taken), column.take(taken)], names=schema.names)
-
-    return df.select(doc_id, F.col(ids).cast("array<int>")).toDF("doc", "ids").mapInArrow(run, schema)
+            at, flat = np.asarray(column.offsets).tolist(), np.asarray(column.values).astype("<i4")
+            known = column.is_valid().to_pylist()
+            yield number.batch(batch.column(0), [flat[a:b].tobytes() if ok else b"" for a, b, ok in zip(at, at[1:], known)])
+
+    source = df.select(F.col(doc_id).alias("doc"), F.col(ids).cast("array<int>").alias("ids"))
+    return source.mapInArrow(run, Numbers.schema(source.schema["doc"].dataType))
 
 
 def placed(rests: DataFrame, plan: Plan) -> DataFrame:
@@ -311,11 +331,16 @@ def filled(cut: DataFrame, kept: DataFrame, plan: Plan, length: int) -> DataFram
 
 
 def pack(df: DataFrame, doc_id: str = "doc_id", ids: str = "ids", length: int = LENGTH, unit: int = UNIT) -> DataFrame:
-    """Pieces ``(doc_id, start, length, doc_tokens, sequence_id, offset, ids)`` of all documents of
-    ``(doc_id, ids)``; ``ids`` are the piece's as little-endian 32-bit numbers. ``unit`` divides ``length``."""
+    """``pieces`` of all documents of ``(doc_id, ids)``."""
+    return pieces(numbered(df, doc_id, ids, length), length, unit)
+
+
+def pieces(documents: DataFrame, length: int = LENGTH, unit: int = UNIT) -> DataFrame:
+    """Pieces ``(doc_id, start, length, doc_tokens, sequence_id, offset, ids)`` of all numbered documents;
+    ``ids`` are the piece's as little-endian 32-bit numbers. ``unit`` divides ``length``."""
     if length % unit:
         raise ValueError("unit must divide length")
-    rows = cut_lineage(numbered(df, doc_id, ids, length), "ids")
+    rows = cut_lineage(documents, "ids")
     meta = rows.drop("ids", "doc")
     held = cut_lineage(meta.groupBy("part", "rest").agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor(F.col("tokens") / length)).alias("whole")), "lengths")
     by_length = held.where("rest > 0")
@@ -338,33 +363,22 @@ def pack(df: DataFrame, doc_id: str = "doc_id", ids: str = "ids", length: int =
     long = long.select("part", "row", F.col("base") + F.col("whole") + plan.kept + plan.left.bit_count(), F.explode(F.sequence(F.lit(0), F.floor(F.col("tokens") / length) - 1)).alias("k")).toDF("part", "row", "seq", "k")
     whole = long.select("part", "row", (F.col("k") * length).alias("start"), F.lit(length).cast("long").alias("length"), (F.col("seq") + F.col("k")).alias("seq"), F.lit(0).cast("long").alias("offset"))
 
-    pieces = regular.unionByName(gaps).unionByName(whole)
-    pieces = pieces.groupBy("part", "row").agg(F.sort_array(F.collect_list(F.struct("start", "length", "seq", "offset"))).alias("pieces"))
-    both = rows.select("part", "row", "doc", "tokens", "ids").join(pieces, ["part", "row"])
-    schema = T.StructType([T.StructField("doc_id", rows.schema["doc"].dataType)] + [
-        T.StructField(n, T.LongType()) for n in ("start", "length", "doc_tokens", "sequence_id", "offset")] + [T.StructField("ids", T.BinaryType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, ids_ = batch.column(3), batch.column(2)
-            at, flat = np.asarray(ids_.offsets).astype("int64"), np.asarray(ids_.values).astype("<i4")
-            n = np.diff(np.asarray(found.offsets))
-            owner = np.repeat(np.arange(len(n)), n)
-            start, size, seq, offset = (np.asarray(found.flatten().field(k)) for k in range(4))
-            low = at[owner] + start
-            made = [flat[a:b].tobytes() for a, b in zip(low.tolist(), (low + size).tolist())]
-            owned = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(owned), pa.array(start), pa.array(size), batch.column(1).take(owned), pa.array(seq),
-                                              pa.array(offset), pa.array(made, pa.binary())], names=schema.names)
-
-    return both.select("doc", "tokens", "ids", "pieces").mapInArrow(run, schema)
+    every = regular.unionByName(gaps).unionByName(whole)
+    every = every.groupBy("part", "row").agg(F.sort_array(F.collect_list(F.struct("start", "length", "seq", "offset"))).alias("pieces"))
+    both = rows.select("part", "row", "doc", "tokens", "ids").join(every, ["part", "row"])
+    cut = F.transform("pieces", lambda p: F.struct(
+        p["start"].alias("start"), p["length"].alias("length"), p["seq"].alias("seq"), p["offset"].alias("offset"),
+        F.substring("ids", (4 * p["start"] + 1).cast("int"), (4 * p["length"]).cast("int")).alias("ids")))
+    both = both.select("doc", "tokens", F.explode(cut).alias("p"))
+    return both.select(F.col("doc").alias("doc_id"), "p.start", "p.length", F.col("tokens").alias("doc_tokens"), F.col("p.seq").alias("sequence_id"),
+                       "p.offset", "p.ids")
 
 
-def matrices(pieces: DataFrame, length: int = LENGTH, pad: int = 0) -> DataFrame:
+def matrices(cut: DataFrame, length: int = LENGTH, pad: int = 0) -> DataFrame:
     """One row per sequence: ``ids`` and ``position_ids`` (restarting with each piece) as little-endian 32-bit
     numbers, padded to ``length`` unless the tokens are a power of two; ``cu_seqlens``, ``doc_ids``, ``starts``."""
     every = F.sort_array(F.collect_list(F.struct("offset", "length", "start", "doc_id", "ids")))
-    rows = pieces.groupBy("sequence_id").agg(every.alias("p"))
+    rows = cut.groupBy("sequence_id").agg(every.alias("p"))
     tokens = F.aggregate("p", F.lit(0).cast("long"), lambda n, p: n + p["length"])
     rows = rows.select("sequence_id", tokens.alias("n_tokens"), "p")
     rows = rows.withColumn("width", F.when(F.bit_count("n_tokens") == 1, F.col("n_tokens")).otherwise(F.lit(length).cast("long")))

@@ -18,7 +18,7 @@ import regex
 from volumetry.llm import bpe
 
 NEVER = np.int32(2**31 - 1)
-CACHE = 400_000  # chunks and pieces that a worker remembers, each
+CACHE = 300_000  # chunks and pieces that a worker remembers, each
 
 
 class Batch(bpe.Vocabulary):
@@ -98,8 +98,8 @@ class Batch(bpe.Vocabulary):
         self.chunks.update(found)
         return found
 
-    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of whole texts; null and empty texts have none."""
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of whole texts as 32-bit numbers; null and empty texts have none."""
         get = self.chunks.get
         done: list[list[bytes | None]] = []
         missing: list[tuple[int, list[int], list[str]]] = []
@@ -122,7 +122,7 @@ class Batch(bpe.Vocabulary):
                 found = done[n]
                 for i, c in zip(at, chunks):
                     found[i] = new[c] if c in new else self.chunk(c)
-        return [np.frombuffer(b"".join(f), "int32") for f in done]
+        return [b"".join(f) for f in done]
 
 
 _LOADED: dict[str, Batch] = {}
