@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volumetry.llm import bpe, chat, decontam, langid, markup, maxent, packing, periodic, rules, secret, simhash, stock
+from volumetry.llm import bpe, chat, decontam, langid, markup, maxent, packing, periodic, ranked, rules, secret, simhash, stock
 
 RUNS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -189,3 +189,24 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     coded = stock.encoded(table(spark, folder, "documents"), word_vocabulary(), end=2)
     return stock.pieces(coded).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op12_ranked_search", r"""
+WITH d AS (SELECT row_number() OVER () rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') t FROM documents),
+  b AS (SELECT row_number() OVER () qid, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') t FROM benchmark),
+  q AS (SELECT qid, w, count(*) c FROM (SELECT qid, unnest(t) w FROM b) GROUP BY qid, w),
+  s AS (SELECT count(*) FILTER (len(t) > 0) nd, CAST(sum(len(t)) AS BIGINT) l FROM d),
+  p AS (SELECT rid, w, count(*) tf FROM (SELECT rid, unnest(t) w FROM d) GROUP BY rid, w),
+  f AS (SELECT w, CAST(floor(1000 * ln(CAST(2 * nd + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) g
+      FROM (SELECT w, count(*) df FROM p GROUP BY w), s),
+  m AS (SELECT rid, doc_id, 25 + (75 * len(t) * nd) // l m FROM d, s),
+  r AS (SELECT qid, rid, CAST(sum(c * g * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) score
+      FROM q JOIN f USING (w) JOIN p USING (w) JOIN m USING (rid) GROUP BY qid, rid),
+  o AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id, rid) rank
+      FROM r JOIN m USING (rid) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) rank, doc_id, score FROM o JOIN b USING (qid) WHERE rank <= 10
+""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=10)
