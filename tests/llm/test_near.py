@@ -42,3 +42,34 @@ def test_large_group_and_odd_rows(spark, odd, none, rng):
     assert near.one_each(none).count() == 0
     out = near.one_each(odd).collect()
     assert {r.doc_id for r in out} == {1, 3, 6, 7, 8} and len(out) == 5
+
+
+def test_long_lists_in_blocks(spark, rng, monkeypatch):
+    """Families around a base that is not there: rows link in twos and threes, some rows to none."""
+    monkeypatch.setattr(near, "FEW", 4)
+    monkeypatch.setattr(near, "BLOCK", 40)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for f in range(30):
+        own = [f"f{f}x{k}" if k % 25 == f % 25 else w for k, w in enumerate(base)]  # about 0.5 between families
+        for m in range(rng.randint(1, 5)):
+            w = list(own)
+            w[rng.randrange(300)] = f"m{f}x{m}"
+            rows.append((len(rows), " ".join(w)))
+    sets = {i: shingle_set(t) for i, t in rows}
+    group = {i: {i} for i in sets}
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and len(a & b) >= 0.8 * len(a | b) and group[i] is not group[j]:
+                group[i] |= group[j]
+                for k in group[j]:
+                    group[k] = group[i]
+    got = [r.doc_id for r in near.one_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == sorted({min(g) for g in group.values()})
+
+
+def test_columns_stay(spark):
+    rows = [(1, "a b c d e f", 7, 1), (2, "a b c d e f", 8, 2), (2, "x", 9, 3), (2, "x", 9, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark long, _mark long")
+    for keep in (near.one_each, simhash.one_each):
+        assert sorted(tuple(r) for r in keep(docs).collect()) == [rows[0], rows[2]]

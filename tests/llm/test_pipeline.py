@@ -1,19 +1,24 @@
 import re
 
 import corpus_pipeline
-from volumetry.llm import decontam, queries, rules, secret, simhash
+from tests.llm.test_near import shingle_set
+from volumetry.llm import decontam, queries, rules, secret
 
 
 def test_stages(spark, data):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     judged = {r.doc_id: r.kept for r in queries.RUNS["op2_rules"](spark, data).collect()}
     kept = {i for i, k in judged.items() if k}
-    groups = {}
+    sets = {i: shingle_set(docs[i].text) for i in kept}
+    groups = {i: {i} for i in sorted(kept)}
     for i in sorted(kept):
-        fp = simhash.fingerprint((docs[i].text or "").encode()) & (2**64 - 1)
-        near = [g for g, members in groups.items() if any((fp ^ m).bit_count() <= 4 for m in members)]
-        joined = [fp] + [m for g in near for m in groups.pop(g)]
-        groups[min([i, *near])] = joined
+        for j in sorted(kept):
+            a, b = sets[i], sets[j]
+            if i < j and groups[i] is not groups[j] and (a == b or len(a & b) >= 0.8 * len(a | b)):
+                groups[i] |= groups[j]
+                for k in groups[j]:
+                    groups[k] = groups[i]
+    groups = {min(g) for g in groups.values()}
     bench = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r.text.lower()) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
     windows = {tuple(w[i:i + 10]) for w in bench for i in range(max(1, len(w) - 9)) if w}
     lower = {i: i + 32 for i in range(65, 91)}

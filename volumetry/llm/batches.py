@@ -23,6 +23,14 @@ def chosen(value: Column, sample: int, total: int) -> Column:
     return F.pmod(value, F.lit(HASHES)) < F.lit(HASHES * sample // total)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, longer by underscores until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts hold about ``limit`` bytes each."""
     if not batch.num_rows:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from volumetry.llm.batches import add_columns
+from volumetry.llm.batches import add_columns, unused
 from volumetry.llm.graph import components
 from volumetry.session import cut_lineage
 
@@ -156,15 +156,14 @@ def one_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """The rows of ``docs`` that stand for their class: the smallest id, and of several rows with it the
     one with the smallest hash of its text. Columns and their order stay. A class without any id keeps a
     row with null id."""
-    mark = F.coalesce(F.xxhash64(text), F.lit(0))
-    named = docs.withColumn("_mark", mark)
-    made = fingerprints(named.select(F.col(doc_id).alias("_id"), "_mark", F.col(text).alias("_text")), "_text", "fp", ["_id", "_mark"])
+    mark = unused(docs, "mark")
+    named = docs.withColumn(mark, F.coalesce(F.xxhash64(text), F.lit(0)))
+    made = fingerprints(named.select(F.col(doc_id).alias("_id"), F.col(mark).alias("_mark"), F.col(text).alias("_text")), "_text", "fp", ["_id", "_mark"])
     made = cut_lineage(made, "fingerprints")
     firsts = made.groupBy("fp").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_mark").alias("mark"))).alias("first"))
     found = cut_lineage(components(links(firsts.select("fp"))), "classes").withColumnsRenamed({"node": "fp"})
     classed = firsts.join(found, "fp", "left").select("first", F.coalesce("root", "fp").alias("root"))
-    chosen = classed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("_id"), F.col("first.mark").alias("_mark2"))
-    same = named[doc_id].eqNullSafe(chosen["_id"]) & (named["_mark"] == chosen["_mark2"])
-    kept = named.join(chosen, same, "left_semi")
+    chosen = classed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("_id"), F.col("first.mark").alias("_of"))
+    kept = named.join(chosen, named[doc_id].eqNullSafe(chosen["_id"]) & (named[mark] == chosen["_of"]), "left_semi")
     # the same id and text may be there several times
-    return kept.dropDuplicates([doc_id, "_mark"]).select(docs.columns)
+    return kept.dropDuplicates([doc_id, mark]).select(docs.columns)
