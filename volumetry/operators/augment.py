@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from volumetry.config import AugmentConfig
 from volumetry.functions.hashing import between, normal, uniform, whole_between
+from volumetry.operators.pull import pull, vector, with_map
 from volumetry.operators.stencil import line_sums, stencil
 from volumetry.schema import BRICK_SIDE, attach, bricks, is_packed, samples, voxels
 
@@ -194,46 +195,41 @@ def _affine_params(cfg: AugmentConfig, seed: int, key: str) -> dict[str, Column]
     return {f"_m{c}": F.array(*[m[i][j] * size[j] for j in range(3)], move[i]) for i, c in enumerate(AXES)}
 
 
+def _centre(shape: Column) -> list[Column]:
+    return [(shape[i] - 1) / 2.0 for i in range(3)]
+
+
 def rand_affine(df: DataFrame, volumes: DataFrame, cfg: AugmentConfig | None = None, seed: int = 42,
                 key: str = "volume_id", value: str = "value", groups: int | None = None,
-                also: Sequence[str] = ()) -> DataFrame:
-    """Small rotation, shift and scaling about the centre, trilinear, border samples repeated. Each
-    target sample asks for eight clamped corners; corners meet their samples by equality. ``also``
-    names further values of long rows that move together with ``value``."""
+                also: Sequence[str] = (), side: int = BRICK_SIDE) -> DataFrame:
+    """Small rotation, shift and scaling about the centre, trilinear, border samples repeated. Bricks send
+    each new brick the box that it can ask for. ``also`` names further values that move together with
+    ``value``; long rows are packed first."""
     cfg = cfg or AugmentConfig()
     values = [value, *also]
-    marked = df.withColumn("_hit", _gate(cfg.affine_prob, seed, F.col(key), "affine"))
-    calm = voxels(marked.where(~F.col("_hit")).drop("_hit"), value).withColumns(
-        {v: F.col(v).cast("double") for v in values})
-    moving = marked.where("_hit").drop("_hit")
-    source = voxels(moving, value).select(key, *AXES, *[F.col(v).cast("double").alias(f"_v_{v}") for v in values])
-    rest = [c for c in calm.columns if c not in (*AXES, *values)]
-    based = _with_shape(moving, volumes, key, groups).withColumns(_affine_params(cfg, seed, key))
-    rows = voxels(based, value).select(*rest, *AXES, "shape", "_mx", "_my", "_mz")
-    center = [(F.col("shape")[i] - 1) / 2.0 for i in range(3)]
-    off = [F.col(c) - center[i] for i, c in enumerate(AXES)]
-    where = {}
-    for i, c in enumerate(AXES):
-        m = F.col(f"_m{c}")
-        pos = m[0] * off[0] + m[1] * off[1] + m[2] * off[2] + m[3] + center[i]
-        where[f"_s{c}"] = F.greatest(F.least(pos, (F.col("shape")[i] - 1).cast("double")), F.lit(0.0))
-    rows = rows.withColumns(where)
-    corners = []
-    for bits in range(8):
-        fields, weight = [], F.lit(1.0)
-        for i, c in enumerate(AXES):
-            s = F.col(f"_s{c}")
-            low, part = F.floor(s).cast("int"), s - F.floor(s)
-            up = bits >> i & 1
-            fields.append((F.least(low + 1, F.col("shape")[i] - 1) if up else low).alias(f"_c{c}"))
-            weight = weight * (part if up else 1 - part)
-        corners.append(F.struct(*fields, weight.alias("_w")))
-    asked = rows.select(*rest, *AXES, F.explode(F.array(*corners)).alias("_c")).select(*rest, *AXES, "_c.*").where("_w > 0")
-    met = asked.join(source.withColumnsRenamed({c: f"_c{c}" for c in AXES}), [key, *[f"_c{c}" for c in AXES]])
-    extra = [c for c in rest if c != key]
-    out = met.groupBy(key, *AXES).agg(*[F.sum(F.col("_w") * F.col(f"_v_{v}")).alias(v) for v in values],
-                                      *[F.first(c).alias(c) for c in extra])
-    return out.unionByName(calm)
+    rest = [c for c in df.columns if c not in ("origin", "dims", *AXES, *values)]
+    hit = _gate(cfg.affine_prob, seed, F.col(key), "affine")
+    calm = voxels_of(df.where(~hit), values).withColumns({v: F.col(v).cast("double") for v in values})
+    moving = df.where(hit)
+    packed = moving if is_packed(df, value) else bricks(moving, rest, values, side)
+    heads = volumes.select(key, "shape").withColumns(_affine_params(cfg, seed, key))
+    rows = [F.col(f"_m{c}") for c in AXES]
+    centre = _centre(F.col("shape"))
+    maps = with_map(heads, vector(*[m[i] for m in rows for i in range(3)]), vector(*centre), vector(1, 1, 1),
+                    vector(*[m[3] + c for m, c in zip(rows, centre)]))
+    made = pull(packed, maps, "trilinear", rest, values, key, groups, side)
+    return voxels_of(made, values).unionByName(calm)
+
+
+def voxels_of(df: DataFrame, values: Sequence[str]) -> DataFrame:
+    """Long rows of bricks with several values; long rows as they are."""
+    if not is_packed(df, values[0]):
+        return df
+    if len(values) == 1:
+        return voxels(df, values[0])
+    rest = [c for c in df.columns if c not in ("origin", "dims", *values)]
+    zipped = df.select(*rest, "origin", "dims", F.arrays_zip(*values).alias("_v"))
+    return voxels(zipped, "_v").select(*rest, *AXES, *[F.col(f"_v.{v}").alias(v) for v in values])
 
 
 def augment(df: DataFrame, volumes: DataFrame, cfg: AugmentConfig | None = None, seed: int = 42, split: str | None = None,
@@ -277,17 +273,55 @@ def compose(steps: Sequence[Step]) -> Step:
 PAIRED_AFFINE = AugmentConfig(translate=(5.0, 5.0, 5.0), scale=(0.0, 0.0, 0.0))
 
 
+def _paired_map(volumes: DataFrame, p: float, seed: int, key: str, affine: AugmentConfig | None) -> DataFrame:
+    """Headers with one map for flip, quarter turns and affine step, in that order, and the new shape."""
+    s, k = F.col("shape"), _turns(p, seed, key)
+    flipped = _gate(p, seed, F.col(key), "flip0")
+    heads = volumes.select(key, "shape").withColumns({"_k": k, "_f": flipped})
+    k, one, zero = F.col("_k"), F.lit(1.0), F.lit(0.0)
+    pick = lambda *four: F.when(k == 1, four[1]).when(k == 2, four[2]).when(k == 3, four[3]).otherwise(four[0])
+    nx, ny = (s[0] - 1).cast("double"), (s[1] - 1).cast("double")
+    # from the turned grid back to the given one: a row of signs for each old axis, and what is added
+    old_x, add_x = [pick(one, zero, -one, zero), pick(zero, one, zero, -one)], pick(zero, zero, nx, nx)
+    old_y, add_y = [pick(zero, -one, zero, one), pick(one, zero, -one, zero)], pick(zero, ny, ny, zero)
+    sign = F.when(F.col("_f"), -one).otherwise(one)
+    old_x, add_x = [sign * x for x in old_x], F.when(F.col("_f"), nx - add_x).otherwise(add_x)
+    back = [[*old_x, zero], [*old_y, zero], [zero, zero, one]]
+    add = [add_x, add_y, zero]
+    target = F.when(k % 2 == 1, F.array(s[1], s[0], s[2])).otherwise(s)
+    if not affine:
+        return with_map(heads, vector(*[x for row in back for x in row]), vector(0, 0, 0), vector(1, 1, 1), vector(*add), target)
+    cfg = replace(affine, affine_prob=p)
+    hit = _gate(p, seed, F.col(key), "affine")
+    made = _affine_params(cfg, seed, key)
+    unit = {c: F.array(*[F.lit(float(i == j)) for j in range(3)], zero) for i, c in enumerate(AXES)}
+    heads = heads.withColumns({f"_m{c}": F.when(hit, made[f"_m{c}"]).otherwise(unit[c]) for c in AXES})
+    step = [F.col(f"_m{c}") for c in AXES]
+    centre = _centre(target)
+    move = [m[3] + c for m, c in zip(step, centre)]
+    m = [sum((row[j] * step[j][i] for j in range(1, 3)), row[0] * step[0][i]) for row in back for i in range(3)]
+    d = [sum((row[j] * move[j] for j in range(1, 3)), row[0] * move[0]) + a for row, a in zip(back, add)]
+    return with_map(heads, vector(*m), vector(*centre), vector(1, 1, 1), vector(*d), target)
+
+
 def augment_pairs(rows: DataFrame, volumes: DataFrame, p: float = 0.5, seed: int = 42, key: str = "pair_id",
-                  groups: int | None = None, affine: AugmentConfig | None = PAIRED_AFFINE) -> DataFrame:
+                  groups: int | None = None, affine: AugmentConfig | None = PAIRED_AFFINE, side: int = BRICK_SIDE) -> DataFrame:
     """Spatial steps move both sides together (one coordinate for ``a`` and ``b``); intensity steps
-    change the input ``a`` only. ``rows`` are long pairs."""
-    spatial = {"seed": seed, "key": key, "value": "a", "groups": groups}
+    change the input ``a`` only. ``rows`` are packed pairs, whose spatial steps are one map and one exchange of
+    boxes, or long pairs."""
     tone = {"seed": seed, "key": key, "value": "a"}
-    out = rand_flip(rows, volumes, p, 0, **spatial)
-    out = rand_rot90(out, volumes, p, **spatial)
-    if affine:
-        turned = rot90_headers(volumes, p, seed, key)
-        out = rand_affine(out, turned, replace(affine, affine_prob=p), also=("b",), **spatial)
+    if "ab" in rows.columns:
+        rows = rows.select(key, "origin", "dims", F.col("ab.a").alias("a"), F.col("ab.b").alias("b"))
+    if is_packed(rows, "a"):
+        maps = _paired_map(volumes, p, seed, key, affine)
+        out = voxels_of(pull(rows, maps, "trilinear", [key], ["a", "b"], key, groups, side), ["a", "b"])
+    else:
+        spatial = {"seed": seed, "key": key, "value": "a", "groups": groups}
+        out = rand_flip(rows, volumes, p, 0, **spatial)
+        out = rand_rot90(out, volumes, p, **spatial)
+        if affine:
+            turned = rot90_headers(volumes, p, seed, key)
+            out = rand_affine(out, turned, replace(affine, affine_prob=p), also=("b",), side=side, **spatial)
     out = rand_scale(out, p, 0.1, **tone)
     out = rand_shift(out, p, 0.1, **tone)
     return rand_noise(out, p * 0.5, 0.01, **tone)

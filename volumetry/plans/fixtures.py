@@ -45,6 +45,39 @@ def uneven_headers(spark: SparkSession, d: str) -> DataFrame:
         F.col("volume_id") % 6 == 1, ints(SIDE, SIDE, SIDE - 1)).otherwise(F.col("shape")))
 
 
+WIDE = 16  # 64 vectors in a row are the bricks of one volume of this side
+SMALL = 1_000_000  # added to the numbers of the vectors left over, which are volumes of their own
+
+
+def _wide_id(spark: SparkSession, d: str):
+    whole = volume_count(spark, d) // SIDE**3 * SIDE**3
+    v = F.col("vec_id")
+    return v < whole, F.when(v < whole, F.floor(v / SIDE**3).cast("long")).otherwise(v + SMALL)
+
+
+def wide(spark: SparkSession, d: str) -> DataFrame:
+    """Volumes of many bricks of side 4, and small ones of one brick."""
+    brick, number = _wide_id(spark, d)
+    at = lambda by: F.when(brick, (F.floor(F.col("vec_id") / by) % SIDE * SIDE).cast("int")).otherwise(F.lit(0))
+    return table(spark, d, "embeddings").select(
+        number.alias("volume_id"), F.array(at(SIDE * SIDE), at(SIDE), at(1)).alias("origin"), ints(SIDE, SIDE, SIDE).alias("dims"),
+        F.col("embedding").alias("value"))
+
+
+def wide_headers(spark: SparkSession, d: str) -> DataFrame:
+    brick, number = _wide_id(spark, d)
+    rows = table(spark, d, "embeddings").select(number.alias("volume_id"), F.when(brick, WIDE).otherwise(SIDE).alias("n")).distinct()
+    return rows.select("volume_id", F.array("n", "n", "n").alias("shape"), F.array(*[F.lit(1.0)] * 3).alias("spacing"))
+
+
+def wide_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Packed pairs of a volume with an even number and the one after it."""
+    rows = wide(spark, d)
+    a = rows.where("volume_id % 2 = 0").withColumnsRenamed({"volume_id": "pair_id", "value": "a"})
+    b = rows.select((F.col("volume_id") - 1).alias("pair_id"), "origin", F.col("value").alias("b"))
+    return a.join(b, ["pair_id", "origin"])
+
+
 def headers(spark: SparkSession, d: str) -> DataFrame:
     """Header rows only; the sample column is never read."""
     return table(spark, d, "embeddings").select(
@@ -101,6 +134,13 @@ VOX = """vox as (select volume_id, cast(floor(pos/16.0) as int) as x,
   cast(floor(pos/4.0) as int) % 4 as y, cast(pos % 4 as int) as z, cast(v as double) as value
   from (select vec_id as volume_id, generate_subscripts(embedding,1)-1 as pos, unnest(embedding) as v
         from embeddings) q)"""
+VOXW = """cnt as (select count(*) // 64 * 64 as whole from embeddings),
+  vox as (select case when vec_id < whole then vec_id // 64 else 1000000 + vec_id end as volume_id,
+  cast(case when vec_id < whole then vec_id // 16 % 4 * 4 else 0 end + pos // 16 as int) as x,
+  cast(case when vec_id < whole then vec_id // 4 % 4 * 4 else 0 end + pos // 4 % 4 as int) as y,
+  cast(case when vec_id < whole then vec_id % 4 * 4 else 0 end + pos % 4 as int) as z,
+  cast(case when vec_id < whole then 16 else 4 end as int) as n, cast(v as double) as value
+  from (select vec_id, generate_subscripts(embedding,1)-1 as pos, unnest(embedding) as v from embeddings) q, cnt)"""
 POS = VOX + ", pos as (select volume_id, x, y, z, greatest(value, 0) as value from vox)"
 CAT = """cat as (select vec_id as volume_id,
   concat('sub-', lpad(cast(cast(floor(vec_id/4.0) as bigint) as varchar), 4, '0')) as subject,

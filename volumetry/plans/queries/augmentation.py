@@ -100,10 +100,43 @@ def aug_smooth(spark, d):
     return rounded(augment.rand_smooth(fx.packed(spark, d), 0.5))
 
 
-@query("aug_affine")
+def affine_sql(source: str, cfg: AugmentConfig, key: str = "volume_id", values: tuple[str, ...] = ("value",), out: str = "af") -> str:
+    """Rows of ``source`` (with the side ``n`` of the cube) after the affine step, as the table ``out``."""
+    draw = lambda name, size: f"(-{size}::double + {dr('affine', repr(name), key=key)} * {2 * size}::double)"
+    drawn = ", ".join(f"{draw(f'{what}{c}', size)} as {what}{c}" for what, sizes in (("rotate", cfg.rotate), ("move", cfg.translate), ("size", cfg.scale))
+                      for c, size in zip("xyz", sizes))
+    turns = ", ".join(f"{f}(rotate{c}) as {f[0]}{c}" for f in ("cos", "sin") for c in "xyz")
+    m = [["cy*cz", "-cy*sz", "sy"], ["sx*sy*cz+cx*sz", "cx*cz-sx*sy*sz", "-sx*cy"], ["sx*sz-cx*sy*cz", "cx*sy*sz+sx*cz", "cx*cy"]]
+    place = lambda i: " + ".join(f"({m[i][j]})*(1+size{c})*({c}-(n-1)/2.0::double)" for j, c in enumerate("xyz"))
+    at = ", ".join(f"greatest(least({place(i)} + move{c} + (n-1)/2.0::double, n-1), 0) as p{c}" for i, c in enumerate("xyz"))
+    corner = ", ".join(f"cast(least(floor(p{c}) + e{c}, n-1) as int) as k{c}, case when e{c} = 1 then p{c} - floor(p{c}) else 1 - (p{c} - floor(p{c})) end as w{c}" for c in "xyz")
+    bit = "(select cast(unnest([0, 1]) as int) as e{0}) q{0}"
+    sums = ", ".join(f"sum(wx * wy * wz * s.{v}) as {v}" for v in values)
+    gate = f"{dr('affine', repr('gate'), key=key)} < {cfg.affine_prob}::double"
+    return f"""{out}v as (select distinct {key} from {source}), {out}d as (select {key}, {gate} as hit, {drawn} from {out}v),
+  {out}t as (select *, {turns} from {out}d), {out}p as (select s.*, {at} from {source} s join {out}t using ({key}) where hit),
+  {out}c as (select {key}, x, y, z, n, {corner} from {out}p, {", ".join(bit.format(c) for c in "xyz")}),
+  {out} as (select c.{key}, c.x, c.y, c.z, {sums} from {out}c c join {source} s on s.{key} = c.{key} and s.x = kx and s.y = ky and s.z = kz
+    where wx * wy * wz > 0 group by 1, 2, 3, 4
+    union all select {key}, x, y, z, {", ".join(values)} from {source} join {out}t using ({key}) where not hit)"""
+
+
+CUBE = "cube as (select *, 4 as n from vox)"
+SHIFTED = AugmentConfig(translate=(1.0, 1.0, 1.0))
+
+
+@query("aug_affine", f"with {fx.VOX}, {CUBE}, {affine_sql('cube', SHIFTED)} select volume_id, x, y, z, round(value, 6) as value from af")
 def aug_affine(spark, d):
-    cfg = AugmentConfig(translate=(1.0, 1.0, 1.0))
-    return rounded(augment.rand_affine(fx.packed(spark, d), fx.headers(spark, d), cfg, groups=fx.volume_count(spark, d)))
+    return rounded(augment.rand_affine(fx.packed(spark, d), fx.headers(spark, d), SHIFTED, groups=fx.volume_count(spark, d)))
+
+
+FAR = AugmentConfig(affine_prob=0.8, rotate=(0.5, 0.9, 0.3), translate=(3.0, 2.0, 4.0), scale=(0.3, 0.2, 0.1))
+
+
+@query("aug_affine_wide", f"with {fx.VOXW}, {affine_sql('vox', FAR)} select volume_id, x, y, z, round(value, 6) as value from af")
+def aug_affine_wide(spark, d):
+    """Volumes of many bricks, turned far enough to ask bricks beyond the next."""
+    return rounded(augment.rand_affine(fx.wide(spark, d), fx.wide_headers(spark, d), FAR, groups=fx.volume_count(spark, d), side=fx.SIDE))
 
 
 @query("aug_train_only", f"""with {fx.CAT}, {fx.VOX} select volume_id, modality as split,
@@ -132,9 +165,29 @@ def aug_paired(spark, d):
     return rounded(augment.augment_pairs(rows, heads, groups=fx.volume_count(spark, d), affine=None), "a", "b")
 
 
-@query("aug_paired_affine")
+def paired_sql(source: str, p: float = 0.5) -> str:
+    """The paired chain with its affine step on rows ``(pair_id, x, y, z, n, a, b)``."""
+    one = lambda *parts: dr(*parts, key="pair_id")
+    return f"""f as (select pair_id, case when {one('flip0', repr('gate'))} < {p} then n-1-x else x end as x, y, z, n, a, b,
+    case when {one('rot90', repr('gate'))} < {p} then cast(1 + floor({one('rot90', repr('turns'))} * 3.0) as int) else 0 end as k from {source}),
+  r as (select pair_id, case k when 1 then n-1-y when 2 then n-1-x when 3 then y else x end as x,
+    case k when 1 then x when 2 then n-1-y when 3 then n-1-x else y end as y, z, n, a, b from f),
+  {affine_sql('r', augment.PAIRED_AFFINE, 'pair_id', ('a', 'b'))}
+  select pair_id, x, y, z, round(a * (1 + {amount('scale', p, 0.1, 'pair_id')}) + {amount('shift', p, 0.1, 'pair_id')}
+    + (case when {one('noise', repr('gate'))} < {p / 2} then {one('noise', repr('std'))} * 0.01 else 0 end)
+    * sqrt(-2.0 * ln(1.0 - {one('noise', 'x', 'y', 'z', repr('radius'))})) * cos(2 * pi() * {one('noise', 'x', 'y', 'z', repr('angle'))}), 6) as a,
+    round(b, 6) as b from af"""
+
+
+@query("aug_paired_affine", f"with {fx.PAIRS}, cube as (select *, 4 as n from pv), {paired_sql('cube')}")
 def aug_paired_affine(spark, d):
-    """The full paired chain; the affine step has no SQL here and is checked against numpy."""
+    """The full paired chain; flip, turns and affine step are one map, and pairs stay packed until then."""
     heads = fx.headers(spark, d).select(F.col("volume_id").alias("pair_id"), "shape")
-    rows = evaluate.pair_voxels(packed_pairs(spark, d))
-    return rounded(augment.augment_pairs(rows, heads, groups=fx.volume_count(spark, d)), "a", "b")
+    return rounded(augment.augment_pairs(packed_pairs(spark, d), heads, groups=fx.volume_count(spark, d)), "a", "b")
+
+
+@query("aug_paired_affine_wide", f"""with {fx.VOXW}, pw as (select a.volume_id as pair_id, a.x, a.y, a.z, a.n, a.value as a, b.value as b
+    from vox a join vox b on b.volume_id = a.volume_id + 1 and a.volume_id % 2 = 0 and a.x = b.x and a.y = b.y and a.z = b.z), {paired_sql('pw')}""")
+def aug_paired_affine_wide(spark, d):
+    heads = fx.wide_headers(spark, d).select(F.col("volume_id").alias("pair_id"), "shape")
+    return rounded(augment.augment_pairs(fx.wide_pairs(spark, d), heads, groups=fx.volume_count(spark, d), side=fx.SIDE), "a", "b")
