@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from volumetry.config import INTERPOLATIONS, check_choice
-from volumetry.schema import attach, is_packed, voxels
+from volumetry.operators.pull import pull, vector, with_map
+from volumetry.schema import BRICK_SIDE, attach, is_packed, voxels
 
 AXES = ("x", "y", "z")
 # Axis letters by world direction, negative first.
@@ -33,9 +34,9 @@ def _opposite(letter: str) -> str:
     return next(b if letter == a else a for a, b in LETTERS if letter in (a, b))
 
 
-def reorient(df: DataFrame, volumes: DataFrame, target: str = "RAS", value: str = "value",
-             groups: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Permutes and flips axes to ``target``: a projection of coordinates by the header row."""
+def _picker(target: str):
+    """``pick(i, same, flipped)``: for axis i of ``target``, the value that a function gives for the old axis
+    it comes from, by whether that keeps its direction."""
     def pick(i: int, same, flipped) -> Column:
         letter, out = target[i], None
         for j in range(3):
@@ -43,10 +44,21 @@ def reorient(df: DataFrame, volumes: DataFrame, target: str = "RAS", value: str
             out = (F if out is None else out).when(code == letter, same(j)).when(code == _opposite(letter), flipped(j))
         return out
 
-    shape = lambda j: F.col("shape")[j]
+    return pick
+
+
+def reorient(df: DataFrame, volumes: DataFrame, target: str = "RAS", value: str = "value",
+             groups: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Permutes and flips axes to ``target``: a projection of coordinates by the header row."""
+    pick, shape = _picker(target), lambda j: F.col("shape")[j]
     rows = voxels(attach(df, volumes.select("volume_id", "shape", "orientation"), ["volume_id"], groups, "inner"), value)
     moved = {c: pick(i, lambda j: F.col(AXES[j]), lambda j: shape(j) - 1 - F.col(AXES[j])) for i, c in enumerate(AXES)}
-    out = rows.withColumns(moved).drop("shape", "orientation")
+    return rows.withColumns(moved).drop("shape", "orientation"), turned_headers(volumes, target)
+
+
+def turned_headers(volumes: DataFrame, target: str = "RAS") -> DataFrame:
+    """Headers after ``reorient``."""
+    pick, shape = _picker(target), lambda j: F.col("shape")[j]
     new_shape = F.array(*[pick(i, shape, shape) for i in range(3)])
     head = {"shape": new_shape, "orientation": F.lit(target)}
     if "spacing" in volumes.columns:
@@ -54,7 +66,7 @@ def reorient(df: DataFrame, volumes: DataFrame, target: str = "RAS", value: str
         head["spacing"] = F.array(*[pick(i, space, space) for i in range(3)])
     if "affine" in volumes.columns:
         head["affine"] = _turned_affine(pick)
-    return out, volumes.withColumns(head)
+    return volumes.withColumns(head)
 
 
 def _turned_affine(pick) -> Column:
@@ -107,14 +119,18 @@ def resample(df: DataFrame, volumes: DataFrame, spacing: Sequence[float], mode:
     return out, head.withColumns({"shape": F.col("_new"), "spacing": space}).drop("_new")
 
 
+def _shift(n: Column, size: int) -> Column:
+    """Steps that an axis of ``n`` samples moves when it is centred in ``size``."""
+    pad = F.floor((F.lit(size) - n) / 2).cast("int")
+    return F.when(n <= size, pad).otherwise(F.lit(size // 2) - F.floor(n / 2).cast("int"))
+
+
 def pad_or_crop(df: DataFrame, volumes: DataFrame, size: Sequence[int], value: str = "value",
                 groups: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Centres a dense volume in ``size``: shifts and filters its samples and adds the zeros around
     them from the header alone, so nothing is joined to the full grid."""
     head = volumes.select("volume_id", "shape")
-    pad = lambda i: F.floor((F.lit(size[i]) - F.col("shape")[i]) / 2).cast("int")
-    crop = lambda i: F.floor(F.col("shape")[i] / 2).cast("int") - size[i] // 2
-    shift = [F.when(F.col("shape")[i] <= size[i], pad(i)).otherwise(-crop(i)) for i in range(3)]
+    shift = [_shift(F.col("shape")[i], size[i]) for i in range(3)]
     rows = voxels(attach(df, head, ["volume_id"], groups, "inner"), value)
     moved = rows.withColumns({c: F.col(c) + shift[i] for i, c in enumerate(AXES)})
     inside = F.lit(True)
@@ -132,6 +148,40 @@ def pad_or_crop(df: DataFrame, volumes: DataFrame, size: Sequence[int], value: s
     return kept.unionByName(around), volumes.withColumn("shape", F.array(*[F.lit(s) for s in size]))
 
 
+def fitted(packed: DataFrame, volumes: DataFrame, target: str | None = "RAS", spacing: Sequence[float] | None = None, mode: str = "trilinear",
+           size: Sequence[int] | None = None, value: str = "value", groups: int | None = None, side: int = BRICK_SIDE) -> tuple[DataFrame, DataFrame]:
+    """``reorient``, ``resample`` and ``pad_or_crop`` of bricks as one map a volume: samples are read once,
+    boxes are exchanged once, and new bricks come out. A step without its argument is left out."""
+    pick = _picker(target) if target else lambda i, same, flipped: same(i)
+    shape, heads = lambda j: F.col("shape")[j], volumes
+    number = lambda x: F.lit(float(x))
+    turned = [pick(i, shape, shape) for i in range(3)]
+    ratio, new = [number(1)] * 3, turned
+    if spacing:
+        space = lambda j: F.col("spacing")[j]
+        old = F.array(*[pick(i, space, space) for i in range(3)])
+        new = [resampled_shape(old, F.array(*turned), spacing)[i] for i in range(3)]
+        ratio = [old[i] / number(spacing[i]) for i in range(3)]
+    goal = [F.lit(n) for n in size] if size else new
+    shift = [_shift(n, s) for n, s in zip(new, size)] if size else [F.lit(0)] * 3
+    turn = [pick(i, lambda k: number(k == j), lambda k: number(-(k == j))) for j in range(3) for i in range(3)]
+    back = [sum((pick(i, lambda k: number(0), lambda k: F.when(F.lit(k == j), shape(k) - 1).otherwise(0).cast("double")) for i in range(3)), number(0))
+            for j in range(3)]
+    low = [F.greatest(s, F.lit(0)) for s in shift]
+    high = [F.least(s + n, g) - 1 for s, n, g in zip(shift, new, goal)]
+    maps = with_map(volumes.select("volume_id", *[c for c in ("shape", "spacing", "orientation") if c in volumes.columns]), vector(*turn), vector(*shift),
+                    vector(*ratio), vector(*back), F.array(*goal), F.array(*low), F.array(*high))
+    out = pull(packed, maps, mode, ["volume_id"], [value], groups=groups, side=side)
+    if target:
+        heads = turned_headers(heads, target)
+    if spacing:
+        new_shape = resampled_shape(F.col("spacing"), F.col("shape"), spacing)
+        heads = heads.withColumns({"shape": new_shape, "spacing": F.array(*[number(s) for s in spacing])})
+    if size:
+        heads = heads.withColumn("shape", F.array(*[F.lit(n) for n in size]))
+    return out, heads
+
+
 def mid_slices(df: DataFrame, volumes: DataFrame, value: str = "value", at: Sequence[int] | None = None,
                groups: int | None = None) -> DataFrame:
     """The middle (or given) slice on each axis, labelled by plane, in one pass. Bricks that no asked

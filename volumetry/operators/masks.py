@@ -43,6 +43,22 @@ def apply_mask(df: DataFrame, mask: DataFrame, keys: Sequence[str] = ("volume_id
     return rows.withColumn(value, F.col(value).cast("double") * F.coalesce("_in", F.lit(0.0))).drop("_in")
 
 
+def packed_mask(rows: DataFrame, packed: DataFrame, side: int = BRICK_SIDE, keys: Sequence[str] = ("volume_id",)) -> DataFrame:
+    """A set of voxels as bricks of 0 and 1, cut like ``packed`` (bricks that start at multiples of
+    ``side``); bricks without a voxel of the set are missing. Only the set is moved, not the samples."""
+    start = F.array(*[(F.floor(F.col(c) / side) * side).cast("int").alias(c) for c in XYZ])
+    held = rows.groupBy(*keys, start.alias("origin")).agg(F.collect_list(F.struct(*XYZ)).alias("_set"))
+    cut = packed.select(*keys, "origin", "dims").join(held, [*keys, "origin"])
+    at = lambda v: ((v["x"] - F.col("origin")[0]) * F.col("dims")[1] + v["y"] - F.col("origin")[1]) * F.col("dims")[2] + v["z"] - F.col("origin")[2]
+    found = F.array_sort(F.transform("_set", at))
+    size = F.col("dims")[0] * F.col("dims")[1] * F.col("dims")[2]
+    # ordered places turn into stretches of zeros, each with a one behind it
+    before = lambda v, i: F.when(i == 0, v).otherwise(v - F.get("_at", i - 1) - 1)
+    stretches = F.transform("_at", lambda v, i: F.concat(F.array_repeat(F.lit(0.0), before(v, i)), F.array(F.lit(1.0))))
+    tail = F.array_repeat(F.lit(0.0), size - 1 - F.element_at("_at", -1))
+    return cut.withColumn("_at", found).select(*keys, "origin", F.concat(F.flatten(stretches), tail).alias("value"))
+
+
 def _spread(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     steps = F.array(*[F.struct(*[(F.col(c) + o).alias(c) for c, o in zip(XYZ, off)]) for off in CROSS])
     return rows.select(*keys, F.explode(steps).alias("_p")).select(*keys, "_p.*")

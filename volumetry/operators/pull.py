@@ -83,10 +83,11 @@ def _sender(columns: list[str], values: list[str], side: int, schema: pa.Schema)
     return scatter(columns, values, pieces, schema)
 
 
-def gathered(box: np.ndarray, at: np.ndarray, places: np.ndarray, mode: str) -> np.ndarray:
-    """Values of a box of old samples that starts at ``at`` for places of the old grid (one a row)."""
+def gathered(box: np.ndarray, at: np.ndarray, places: np.ndarray, mode: str, flipped: np.ndarray) -> np.ndarray:
+    """Values of a box of old samples that starts at ``at`` for places of the old grid (one a row). The
+    nearest of two samples is the one farther on in the new grid."""
     if mode == "nearest":
-        k = np.floor(places + 0.5).astype("int64") - at
+        k = np.where(flipped, np.ceil(places - 0.5), np.floor(places + 0.5)).astype("int64") - at
         return box[tuple(k.T)]
     low = np.floor(places).astype("int64")
     part = places - low
@@ -119,7 +120,7 @@ def _gatherer(keys: list[str], values: list[str], mode: str, side: int, schema:
                     place = tuple(slice(o, o + n) for o, n in zip(np.array(rows.column("origin")[i].as_py()) - low, dims))
                     if all(dims):
                         box[place] = rows.column(v)[i].values.to_numpy().reshape(dims)
-                out[v][inside] = gathered(box, low, places, mode).reshape(last + 1 - first)
+                out[v][inside] = gathered(box, low, places, mode, p["m"].sum(axis=1) < 0).reshape(last + 1 - first)
         made = {"origin": [start.tolist()], "dims": [size.tolist()], **{v: [a.reshape(-1)] for v, a in out.items()}}
         return pa.table([rows.column(k).slice(0, 1) for k in keys] + [pa.array(made[f.name], f.type) for f in list(schema)[len(keys):]], schema=schema)
 

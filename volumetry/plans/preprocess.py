@@ -7,19 +7,29 @@ from pyspark.sql import DataFrame
 from volumetry.config import PreprocessConfig
 from volumetry.operators import grid, masks, stats
 from volumetry.operators.normalize import normalize
-from volumetry.schema import bricks
+from volumetry.schema import BRICK_SIDE, bricks, is_packed
 from volumetry.session import cut_lineage
 
 
 def preprocess(df: DataFrame, volumes: DataFrame, cfg: PreprocessConfig | None = None, mask: DataFrame | None = None,
-               groups: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+               groups: int | None = None, side: int = BRICK_SIDE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Mask, reorient, resample, pad or crop, normalise, then statistics, in that order.
 
-    Returns long samples, headers and statistics. The spatial result is packed and stored before it
-    is normalised: normalisation reads its input several times.
+    Returns long samples, headers and statistics. Of packed volumes the samples stay in bricks up to the
+    normalisation: the mask meets them as bricks, and the steps between are one map and one exchange of
+    boxes. The spatial result is stored before it is normalised, as normalisation reads it several times.
     """
     cfg = cfg or PreprocessConfig()
     rows, heads = df, volumes
+    clip = (cfg.clip_lower, cfg.clip_upper) if cfg.clip_values else None
+    ways = {"method": cfg.normalization, "lower": cfg.percentile_lower, "upper": cfg.percentile_upper, "clip_range": clip, "groups": groups}
+    if is_packed(df):
+        if cfg.skull_strip:
+            found = mask if mask is not None else masks.simple_mask(df, heads, groups=groups)
+            rows = masks.apply_mask(df, masks.packed_mask(found, df, side))
+        rows, heads = grid.fitted(rows, heads, cfg.orientation, cfg.spacing, cfg.interpolation, cfg.size, groups=groups, side=side)
+        out = normalize(cut_lineage(rows), **ways)
+        return out, heads, stats.volume_stats(out, groups=groups)
     if cfg.skull_strip:
         rows = masks.skull_strip(rows, heads, mask, groups=groups)
     rows, heads = grid.reorient(rows, heads, cfg.orientation, groups=groups)
@@ -28,7 +38,5 @@ def preprocess(df: DataFrame, volumes: DataFrame, cfg: PreprocessConfig | None =
     if cfg.size:
         rows, heads = grid.pad_or_crop(rows, heads, cfg.size, groups=groups)
     stored = cut_lineage(bricks(rows))
-    clip = (cfg.clip_lower, cfg.clip_upper) if cfg.clip_values else None
-    out = normalize(stored, method=cfg.normalization, lower=cfg.percentile_lower, upper=cfg.percentile_upper,
-                    clip_range=clip, groups=groups)
+    out = normalize(stored, **ways)
     return out, heads, stats.volume_stats(out, groups=groups)

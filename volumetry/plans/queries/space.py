@@ -197,3 +197,32 @@ def resample_trilinear(spark, d):
 def pad_crop(spark, d):
     out, _ = grid.pad_or_crop(fx.packed(spark, d), fx.headers(spark, d), (6, 3, 5), groups=fx.volume_count(spark, d))
     return out.withColumn("value", F.round("value", 6))
+
+
+GOAL = (18, 12, 20)
+
+
+def _axis_sql(i: int) -> str:
+    """Places of one axis of the new grid for both sides of the cubes: source samples and weights."""
+    new = f"cast(round((n-1)/{SPACE[i]}::double) as int) + 1"
+    shift = f"case when {new} <= {GOAL[i]} then cast(floor(({GOAL[i]} - ({new}))/2.0) as int) else {GOAL[i] // 2} - cast(floor(({new})/2.0) as int) end"
+    return f"""(select n, t, cast(least(floor(p) + e, n-1) as int) as k, case when e = 1 then p - floor(p) else 1 - (p - floor(p)) end as w from
+      (select n, t, least((t - sh) / (1.0::double / {SPACE[i]}::double), n-1) as p from (select n, t, {shift} as sh, {new} as m from
+        (select unnest([16, 4]) as n) q, (select cast(unnest(range({GOAL[i]})) as int) as t) r) s where t >= sh and t < sh + m) u,
+      (select cast(unnest([0, 1]) as int) as e) v)"""
+
+
+@query("grid_chain_wide", f"""with {fx.VOXW}, re as (select volume_id, n, value, case when volume_id % 2 = 1 then n-1-x else z end as x,
+    case when volume_id % 2 = 1 then y else n-1-x end as y, case when volume_id % 2 = 1 then z else y end as z from vox),
+  made as (select volume_id, a.t as x, b.t as y, c.t as z, sum(a.w * b.w * c.w * value) as value from re
+    join {_axis_sql(0)} a on a.n = re.n and a.k = re.x join {_axis_sql(1)} b on b.n = re.n and b.k = re.y
+    join {_axis_sql(2)} c on c.n = re.n and c.k = re.z where a.w * b.w * c.w > 0 group by 1, 2, 3, 4),
+  g as (select volume_id, a.i::int as x, b.i::int as y, c.i::int as z from (select distinct volume_id from vox) q,
+    (select unnest(range({GOAL[0]})) as i) a, (select unnest(range({GOAL[1]})) as i) b, (select unnest(range({GOAL[2]})) as i) c)
+  select g.volume_id, g.x, g.y, g.z, round(coalesce(value, 0), 6) as value from g
+    left join made m on m.volume_id = g.volume_id and m.x = g.x and m.y = g.y and m.z = g.z""")
+def grid_chain_wide(spark, d):
+    """Turned, resampled, cropped and padded in one exchange of boxes, on volumes of many bricks."""
+    heads = fx.wide_headers(spark, d).withColumn("orientation", F.when(F.col("volume_id") % 2 == 1, "LAS").otherwise("PSR"))
+    out, _ = grid.fitted(fx.wide(spark, d), heads, "RAS", SPACE, "trilinear", GOAL, groups=fx.volume_count(spark, d), side=fx.SIDE)
+    return voxels(out).withColumn("value", F.round("value", 6))
