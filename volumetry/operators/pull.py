@@ -145,7 +145,7 @@ def pull(packed: DataFrame, maps: DataFrame, mode: str = "trilinear", keys: Sequ
 
 def _arrow(schema: T.StructType) -> pa.Schema:
     plain = {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.DoubleType: pa.float64(), T.StringType: pa.string(), T.FloatType: pa.float32(),
-             T.ShortType: pa.int16(), T.ByteType: pa.int8(), T.BooleanType: pa.bool_()}
+             T.ShortType: pa.int16(), T.ByteType: pa.int8(), T.BooleanType: pa.bool_(), T.BinaryType: pa.binary()}
 
     def kind(t: T.DataType) -> pa.DataType:
         return pa.list_(kind(t.elementType)) if isinstance(t, T.ArrayType) else plain[type(t)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from volumetry.operators import masks
+from volumetry.operators import bitmasks, masks
 from volumetry.plans import fixtures as fx
 from volumetry.plans.registry import query
 from volumetry.schema import positive, voxels
@@ -131,3 +131,65 @@ def simple_mask(spark, d):
 def skull_strip(spark, d):
     out = masks.skull_strip(lifted(spark, d), fx.headers(spark, d), groups=fx.volume_count(spark, d))
     return out.withColumn("value", F.round("value", 6))
+
+
+def wide_bits(spark, d, cut: float):
+    return bitmasks.above(fx.wide(spark, d), F.lit(cut))
+
+
+def on_wide(spark, d) -> dict:
+    """The arguments that operators on the volumes of many bricks share."""
+    return {"volumes": fx.wide_headers(spark, d), "groups": fx.volume_count(spark, d), "side": fx.SIDE}
+
+
+SPREAD = """{out} as (select distinct s.volume_id, s.x+dx as x, s.y+dy as y, s.z+dz as z, s.n from {src} s, o
+    where s.x+dx between 0 and n-1 and s.y+dy between 0 and n-1 and s.z+dz between 0 and n-1)"""
+
+
+@query("mask_open_wide", f"""with {fx.VOXW}, st as (select volume_id, x, y, z, n from vox where value > -0.2), {OFF},
+  e1 as (select volume_id, x+dx as x, y+dy as y, z+dz as z, n from st, o group by all having count(*) = 7),
+  {SPREAD.format(out='d1', src='e1')}, {SPREAD.format(out='d2', src='d1')}
+  select volume_id, cast(x as int) as x, cast(y as int) as y, cast(z as int) as z from d2""")
+def mask_open_wide(spark, d):
+    """One erosion and two dilations of volumes of many bricks, in one exchange."""
+    return bitmasks.set_voxels(bitmasks.morph(wide_bits(spark, d, -0.2), steps=[("erode", 1), ("dilate", 2)], **on_wide(spark, d)))
+
+
+WFLOOD = """bg as (select volume_id, x, y, z, n from vox where value <= {cut}),
+  op as (select volume_id, x, y, z from bg where x in (0,n-1) or y in (0,n-1) or z in (0,n-1)
+    union select n.volume_id, n.x, n.y, n.z from op r join bg n on n.volume_id = r.volume_id
+      and abs(n.x-r.x)+abs(n.y-r.y)+abs(n.z-r.z) = 1)"""
+
+
+@query("fill_holes_wide", f"""with recursive {fx.VOXW}, {WFLOOD.format(cut=-0.05)}
+  select volume_id, x, y, z from vox v where not exists (select 1 from op where op.volume_id = v.volume_id
+    and op.x = v.x and op.y = v.y and op.z = v.z)""")
+def fill_holes_wide(spark, d):
+    return bitmasks.set_voxels(bitmasks.filled(wide_bits(spark, d, -0.05), **on_wide(spark, d)))
+
+
+WCOMP = """fg as (select volume_id, (x*n+y)*n+z as p, x, y, z from vox where value > 0.12),
+  rc as (select volume_id, p as label, p, x, y, z from fg
+    union select n.volume_id, r.label, n.p, n.x, n.y, n.z from rc r join fg n on n.volume_id = r.volume_id
+      and abs(n.x-r.x)+abs(n.y-r.y)+abs(n.z-r.z) = 1),
+  cp as (select volume_id, x, y, z, min(label) as label from rc group by 1, 2, 3, 4)"""
+
+
+@query("components_wide", f"""with recursive {fx.VOXW}, {WCOMP}, s as (select volume_id, label, count(*) as n from cp group by 1, 2)
+  select volume_id, count(*) as n_components, cast(sum(n) as bigint) as n_voxels, max(n) as n_largest from s group by 1""")
+def components_wide(spark, d):
+    parts = bitmasks.components(wide_bits(spark, d, 0.12), **on_wide(spark, d))
+    whole = parts.groupBy("volume_id", "label").agg(F.sum("n").alias("n"))
+    return whole.groupBy("volume_id").agg(F.count(F.lit(1)).alias("n_components"), F.sum("n").alias("n_voxels"), F.max("n").alias("n_largest"))
+
+
+@query("largest_component_wide", f"""with recursive {fx.VOXW}, {WCOMP},
+  sz as (select volume_id, label, row_number() over (partition by volume_id order by count(*) desc, label) as rn from cp group by 1, 2)
+  select cp.volume_id, x, y, z from cp join sz using (volume_id, label) where rn = 1""")
+def largest_component_wide(spark, d):
+    return bitmasks.set_voxels(bitmasks.largest(wide_bits(spark, d, 0.12), **on_wide(spark, d)))
+
+
+@query("simple_mask_bricks", f"with recursive {LIFT}, {THRESH}, {BRAIN} select volume_id, cast(x as int) as x, cast(y as int) as y, cast(z as int) as z from bm")
+def simple_mask_bricks(spark, d):
+    return bitmasks.set_voxels(bitmasks.simple(lifted(spark, d), fx.headers(spark, d), groups=fx.volume_count(spark, d)))
