@@ -107,10 +107,13 @@ def pair_metrics(df: DataFrame, keys: Sequence[str] = ("pair_id",), a: str = "a"
 
 
 def batch_psnr(df: DataFrame, batch: Sequence[str], by: Sequence[str] = (), a: str = "a", b: str = "b") -> DataFrame:
-    """Mean over batches of the PSNR for peak 1; a perfect batch adds 0 but counts."""
-    mse = pair_voxels(df).groupBy(*by, *batch).agg(F.avg((F.col(a) - F.col(b)) * (F.col(a) - F.col(b))).alias("_mse"))
-    one = F.when(F.col("_mse") > 0, F.lit(20.0) * F.log10(F.lit(1.0) / F.sqrt("_mse"))).otherwise(F.lit(0.0))
-    return mse.groupBy(*by).agg(F.avg(one).alias("psnr"), F.count(F.lit(1)).alias("n_batches"))
+    """Mean over batches of the PSNR for peak 1; a perfect batch adds 0 but counts. A batch with samples of
+    one side only has no score: it enters neither the mean, which is null without any, nor ``n_batches``."""
+    x, y = F.col(a), F.col(b)
+    mse = pair_voxels(df).groupBy(*by, *batch).agg(F.when(_whole(x, y), F.avg((x - y) * (x - y))).alias("_mse"))
+    score = F.lit(20.0) * F.log10(F.lit(1.0) / F.sqrt("_mse"))
+    one = F.when(F.col("_mse") > 0, score).when(F.col("_mse").isNotNull(), F.lit(0.0))
+    return mse.groupBy(*by).agg(F.avg(one).alias("psnr"), F.count("_mse").alias("n_batches"))
 
 
 def normalized_metrics(df: DataFrame, keys: Sequence[str] = ("pair_id",), groups: int | None = None,

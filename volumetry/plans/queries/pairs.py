@@ -190,6 +190,17 @@ def pair_unequal_grids(spark, d):
         "pair_id", "shape_match", "n", "l1", "psnr", "ssim")
 
 
+@query("batch_psnr_unequal", f"""with {fx.PAIRS}, bm as (select p.pair_id, e.label, {UNEVEN} as whole, avg(pow(a-b,2)) as mse from pairs p join pv using (pair_id)
+    join embeddings e on e.vec_id = p.pair_id group by 1, 2, 3)
+  select label, round(avg(case when whole then case when mse > 0 then 20*log10(1/sqrt(mse)) else 0 end end), 6) as psnr,
+    count(case when whole then 1 end) as n_batches from bm group by 1""")
+def batch_psnr_unequal(spark, d):
+    """Batches of different grids have no score."""
+    labels = fx.headers(spark, d).select(F.col("volume_id").alias("pair_id"), "label")
+    rows = evaluate.pair_bricks(pairs(spark, d), fx.uneven(spark, d), n_pairs=fx.volume_count(spark, d)).join(labels, "pair_id")
+    return rounded(evaluate.batch_psnr(rows, ["pair_id"], ["label"]), 6, "psnr")
+
+
 @query("consistency_unequal_grids", f"""with {fx.PAIRS}, ub as (select pair_id, target_id, min(b.value) as b_min, max(b.value) as b_max,
     avg(b.value) as b_mean, count(*) as n from pairs p join vox b on b.volume_id = p.target_id and ({UNEVEN} or b.z < 3) group by 1, 2),
   ua as (select pair_id, min(value) as a_min, max(value) as a_max, avg(value) as a_mean from pairs join vox on volume_id = input_id group by 1)
