@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from volumetry.operators.masks import ORDER_BITS, _stars
 from volumetry.operators.ordering import percentiles
-from volumetry.operators.pull import _arrow
+from volumetry.operators.pull import arrow_schema
 from volumetry.schema import BRICK_SIDE, attach, finite, positive
 from volumetry.session import cut_lineage
 
@@ -70,7 +70,7 @@ def above(packed: DataFrame, cut: Column, keys: Sequence[str] = ("volume_id",),
             limit = row["cut"].as_py()
             return (_pack(row["value"].values.to_numpy(zero_copy_only=False) > (np.inf if limit is None else limit)),)
 
-        return _mapped(batches, [*keys, "origin", "dims"], _arrow(schema), bits)
+        return _mapped(batches, [*keys, "origin", "dims"], arrow_schema(schema), bits)
 
     return given.mapInArrow(run, schema)
 
@@ -110,7 +110,7 @@ def morph(bits: DataFrame, volumes: DataFrame, steps: Sequence[tuple[str, int]],
                     if part.any():  # empty sides say nothing
                         out.append({**row, "origin": [s + c[0] for s, c in zip(row["origin"], cut)], "dims": list(part.shape), "bits": _pack(part),
                                     "center": False, **{b: row[b] + o for b, o in zip(CELL, off)}})
-            yield pa.RecordBatch.from_pylist(out, schema=_arrow(kinds))
+            yield pa.RecordBatch.from_pylist(out, schema=arrow_schema(kinds))
 
     made = _fields(home, keys, BITS)
 
@@ -136,7 +136,7 @@ def morph(bits: DataFrame, volumes: DataFrame, steps: Sequence[tuple[str, int]],
                         new = new & moved if step == "erode" else new | moved
                 block = new & grid
         inner = block[tuple(slice(reach, reach + n) for n in dims)]
-        keep = pa.Table.from_pylist([{**{k: mine[k] for k in keys}, "origin": mine["origin"], "dims": mine["dims"], "bits": _pack(inner)}], schema=_arrow(made))
+        keep = pa.Table.from_pylist([{**{k: mine[k] for k in keys}, "origin": mine["origin"], "dims": mine["dims"], "bits": _pack(inner)}], schema=arrow_schema(made))
         return keep
 
     return home.mapInArrow(faces, kinds).groupBy(*keys, *CELL).applyInArrow(work, made)
@@ -180,7 +180,7 @@ def components(bits: DataFrame, volumes: DataFrame, keys: Sequence[str] = ("volu
     plane = T.ArrayType(T.LongType())
     part = T.ArrayType(T.StructType([T.StructField("part", T.LongType()), T.StructField("n", T.LongType()), T.StructField("border", T.BooleanType())]))
     schema = _fields(home, keys, T.StructField("low", T.ArrayType(plane)), T.StructField("high", T.ArrayType(plane)))
-    kind = _arrow(schema)
+    kind = arrow_schema(schema)
     struct = pa.list_(pa.struct([("part", pa.int64()), ("n", pa.int64()), ("border", pa.bool_())]))
     kind = kind.append(pa.field("parts", struct))
     schema = T.StructType([*schema.fields, T.StructField("parts", part)])
@@ -232,7 +232,7 @@ def _chosen(bits: DataFrame, parts: DataFrame, keys: list[str], empty: bool) ->
             inside = np.isin(labels(mask != empty, row["origin"]), row["parts"] or [])
             return (_pack(inside | mask if empty else inside),)
 
-        return _mapped(batches, [*keys, "origin", "dims"], _arrow(schema), keep)
+        return _mapped(batches, [*keys, "origin", "dims"], arrow_schema(schema), keep)
 
     return both.mapInArrow(run, schema)
 
@@ -274,7 +274,7 @@ def applied(packed: DataFrame, bits: DataFrame, keys: Sequence[str] = ("volume_i
             v, data = row["value"].values.to_numpy(zero_copy_only=False), row["bits"].as_py()
             return (v * (_unpack(data, [len(v)]) if data is not None else 0),)
 
-        return _mapped(batches, [*keys, "origin", "dims"], _arrow(schema), cut)
+        return _mapped(batches, [*keys, "origin", "dims"], arrow_schema(schema), cut)
 
     return both.mapInArrow(run, schema).withColumnRenamed("value", value)
 
@@ -289,6 +289,6 @@ def set_voxels(bits: DataFrame, keys: Sequence[str] = ("volume_id",)) -> DataFra
         def places(row: dict) -> tuple:
             return tuple((c + o).tolist() for c, o in zip(np.nonzero(_unpack(row["bits"], row["dims"])), row["origin"]))
 
-        return _mapped(batches, keys, _arrow(schema), places)
+        return _mapped(batches, keys, arrow_schema(schema), places)
 
     return bits.select(*keys, "origin", "dims", "bits").mapInArrow(run, schema).select(*keys, F.inline(F.arrays_zip("x", "y", "z")))

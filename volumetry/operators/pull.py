@@ -137,13 +137,13 @@ def pull(packed: DataFrame, maps: DataFrame, mode: str = "trilinear", keys: Sequ
     given = packed.select(*keys, "origin", "dims", *[F.col(v).cast("array<double>").alias(v) for v in values])
     home = attach(given, maps.select(key, *MAP), [key], groups, "inner")
     kinds = T.StructType([*home.schema.fields, *[T.StructField(c, T.IntegerType()) for c in CELL]])
-    sent = home.mapInArrow(_sender(home.columns, values, side, _arrow(kinds)), kinds)
+    sent = home.mapInArrow(_sender(home.columns, values, side, arrow_schema(kinds)), kinds)
     made = T.StructType([*(given.schema[k] for k in keys), *(T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("origin", "dims")),
                          *(T.StructField(v, T.ArrayType(T.DoubleType())) for v in values)])
-    return sent.groupBy(*keys, *CELL).applyInArrow(_gatherer(keys, values, mode, side, _arrow(made)), made)
+    return sent.groupBy(*keys, *CELL).applyInArrow(_gatherer(keys, values, mode, side, arrow_schema(made)), made)
 
 
-def _arrow(schema: T.StructType) -> pa.Schema:
+def arrow_schema(schema: T.StructType) -> pa.Schema:
     plain = {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.DoubleType: pa.float64(), T.StringType: pa.string(), T.FloatType: pa.float32(),
              T.ShortType: pa.int16(), T.ByteType: pa.int8(), T.BooleanType: pa.bool_(), T.BinaryType: pa.binary()}
 

@@ -9,8 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from volumetry.functions.hashing import whole_between
+from volumetry.operators.pull import arrow_schema
 from volumetry.operators.stencil import part_of, scatter
 from volumetry.schema import BRICK_SIDE, attach, voxels
 
@@ -211,6 +213,49 @@ def extract_patches(origins: DataFrame, rows: DataFrame, size: Sequence[int], va
     return near.select(key, "patch", "dx", "dy", (F.col("z") - F.col("z0")).alias("dz"), *values)
 
 
+def routed_patches(origins: DataFrame, packed: DataFrame, size: Sequence[int], values: Sequence[str] = ("a", "b"), key: str = "pair_id",
+                   side: int = BRICK_SIDE) -> DataFrame:
+    """Patches ``(key, patch, x0, y0, z0, values)`` cut from bricks that start at multiples of ``side``: each
+    patch asks the bricks under it, those send the box they share with it, and a group of one patch puts the
+    boxes together. Samples outside the grid, if the patch begins where it does not fit, are 0."""
+    values, size = list(values), tuple(size)
+    cells = ["bx", "by", "bz"]
+    asked = origins.select(key, "patch", *TILE)
+    for name, t, p in zip(cells, TILE, size):
+        first, last = F.floor(F.col(t) / side).cast("int"), F.floor((F.col(t) + p - 1) / side).cast("int")
+        asked = asked.withColumn(name, F.explode(F.sequence(first, last)))
+    at = [F.floor(F.col("origin")[i] / side).cast("int").alias(c) for i, c in enumerate(cells)]
+    # a brick gets the requests of one cell as one list, so it is unpacked once
+    asked = asked.groupBy(key, *cells).agg(F.collect_list(F.struct("patch", *TILE)).alias("asked"))
+    held = packed.select(key, "origin", "dims", *[F.col(v).cast("array<double>").alias(v) for v in values], *at).join(asked, [key, *cells])
+    given = T.StructType([held.schema[key], T.StructField("patch", T.IntegerType()), *(T.StructField(t, T.IntegerType()) for t in TILE),
+                          *(T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("origin", "dims")),
+                          *(T.StructField(v, T.ArrayType(T.DoubleType())) for v in values)])
+
+    def pieces(row: dict) -> Iterator[dict]:
+        for want in row["asked"]:
+            cut = [(max(want[t] - o, 0), min(want[t] + p - o, n)) for t, p, o, n in zip(TILE, size, row["origin"], row["dims"])]
+            if all(a < b for a, b in cut):
+                part = part_of(row, cut, values)
+                yield {key: row[key], "patch": want["patch"], **{t: want[t] for t in TILE}, **{c: part[c] for c in ("origin", "dims", *values)}}
+
+    made = T.StructType([given[key], given["patch"], *(given[t] for t in TILE), *(given[v] for v in values)])
+
+    def whole(rows: pa.Table) -> pa.Table:
+        start = [rows.column(t)[0].as_py() for t in TILE]
+        out = {v: np.zeros(size) for v in values}
+        for i in range(rows.num_rows):
+            dims = rows.column("dims")[i].as_py()
+            place = tuple(slice(o - s, o - s + n) for o, s, n in zip(rows.column("origin")[i].as_py(), start, dims))
+            for v in values:
+                out[v][place] = rows.column(v)[i].values.to_numpy().reshape(dims)
+        first = rows.slice(0, 1).select([key, "patch", *TILE])
+        return pa.table([*first.columns, *(pa.array([a.reshape(-1)], pa.list_(pa.float64())) for a in out.values())], schema=arrow_schema(made))
+
+    cut = scatter([key, "origin", "dims", "asked", *values], values, pieces, arrow_schema(given))
+    return held.select(key, "origin", "dims", "asked", *values).mapInArrow(cut, given).groupBy(key, "patch").applyInArrow(whole, made)
+
+
 def pack_patches(patches: DataFrame, values: Sequence[str] = ("a", "b"), key: str = "pair_id") -> DataFrame:
     """One row per patch with C-order arrays; a group is one patch."""
     cells = F.array_sort(F.collect_list(F.struct("dx", "dy", "dz", *values)))

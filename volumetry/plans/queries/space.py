@@ -226,3 +226,20 @@ def grid_chain_wide(spark, d):
     heads = fx.wide_headers(spark, d).withColumn("orientation", F.when(F.col("volume_id") % 2 == 1, "LAS").otherwise("PSR"))
     out, _ = grid.fitted(fx.wide(spark, d), heads, "RAS", SPACE, "trilinear", GOAL, groups=fx.volume_count(spark, d), side=fx.SIDE)
     return voxels(out).withColumn("value", F.round("value", 6))
+
+
+@query("patch_arrays_wide", f"""with {fx.VOXW}, pv as (select a.volume_id as pair_id, a.x, a.y, a.z, a.n, a.value as a, b.value as b
+    from vox a join vox b on b.volume_id = a.volume_id + 1 and a.volume_id % 2 = 0 and a.x = b.x and a.y = b.y and a.z = b.z),
+  og as (select pair_id, k as patch, """ + ", ".join(f"cast(floor({u('42', 'pair_id', 'k', repr(c))} * (n - 2)) as int) as {c}0" for c in "xyz") + """
+    from (select distinct pair_id, n from pv) q, (select cast(unnest(range(4)) as int) as k) r)
+  select o.pair_id, patch, cast(x - x0 as int) as dx, cast(y - y0 as int) as dy, cast(z - z0 as int) as dz, round(a, 6) as a, round(b, 6) as b
+  from og o join pv on pv.pair_id = o.pair_id and x >= x0 and x < x0+3 and y >= y0 and y < y0+3 and z >= z0 and z < z0+3""")
+def patch_arrays_wide(spark, d):
+    """Patches of pairs of many bricks, sample by sample."""
+    heads = fx.wide_headers(spark, d).where("volume_id % 2 = 0").select(F.col("volume_id").alias("pair_id"), "shape")
+    rows = fx.wide_pairs(spark, d)
+    heads = heads.join(rows.select("pair_id").distinct(), "pair_id", "left_semi")
+    cut = tiles.routed_patches(tiles.patch_origins(heads, (3, 3, 3), 4), rows, (3, 3, 3), side=fx.SIDE)
+    flat = cut.select("pair_id", "patch", F.posexplode(F.arrays_zip("a", "b")).alias("pos", "v"))
+    at = lambda by: (F.floor(F.col("pos") / by) % 3).cast("int")
+    return flat.select("pair_id", "patch", at(9).alias("dx"), at(3).alias("dy"), at(1).alias("dz"), F.round("v.a", 6).alias("a"), F.round("v.b", 6).alias("b"))
