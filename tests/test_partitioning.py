@@ -75,3 +75,18 @@ def test_no_window_orders_a_whole_group(spark, hot):
     for line in plan.splitlines():
         if "windowspecdefinition" in line:
             assert "_cell" in line or "sum(_c" in line
+
+
+def test_small_samples_are_cut_in_each_task(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from volumetry.functions.hashing import digest
+    from volumetry.operators import ordering
+
+    df = spark.range(5000).select(F.col("id"), (F.col("id") % 3).alias("g")).repartition(6)
+    for keys in ([], ["g"]):
+        small = ordering.hash_sample(df, digest(1, F.col("id")), ["id"], 40, keys)
+        assert small._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 1
+        monkeypatch.setattr(ordering, "BOTTOM", 0)
+        assert sorted(small.collect()) == sorted(ordering.hash_sample(df, digest(1, F.col("id")), ["id"], 40, keys).collect())
+        monkeypatch.undo()

@@ -146,10 +146,18 @@ def hash_rank(df: DataFrame, digest: Column, ties: Sequence[str], keys: Sequence
     )
 
 
+BOTTOM = 10_000  # sampled rows a group that one task takes from every other
+
+
 def hash_sample(df: DataFrame, digest: Column, ties: Sequence[str], n: int,
                 keys: Sequence[str] = ()) -> DataFrame:
-    """Exactly ``min(n, size)`` rows of each group without replacement: the smallest digests."""
+    """Exactly ``min(n, size)`` rows of each group without replacement: the smallest digests. Up to ``BOTTOM``
+    rows a group, each task keeps its own n smallest and sends no more; beyond, digests are cut into buckets."""
     keys = list(keys)
+    if n <= BOTTOM:
+        every = Window.partitionBy(*keys).orderBy("_digest", *ties)
+        ranked = df.withColumn("_digest", digest).withColumn("_rn", F.row_number().over(every))
+        return ranked.where(F.col("_rn") <= n).drop("_digest", "_rn")
     marked = df.withColumn("_digest", digest).withColumn(
         "_bucket", F.conv(F.substring("_digest", 1, 3), 16, 10).cast("int")
     )
