@@ -84,9 +84,9 @@ def test_small_samples_are_cut_in_each_task(spark, monkeypatch):
     from volumetry.operators import ordering
 
     df = spark.range(5000).select(F.col("id"), (F.col("id") % 3).alias("g")).repartition(6)
-    for keys in ([], ["g"]):
+    for keys, step in (([], "TakeOrderedAndProject"), (["g"], "WindowGroupLimit")):
         small = ordering.hash_sample(df, digest(1, F.col("id")), ["id"], 40, keys)
-        assert small._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 1
+        assert small._jdf.queryExecution().executedPlan().toString().count(step) >= 1
         monkeypatch.setattr(ordering, "BOTTOM", 0)
         assert sorted(small.collect()) == sorted(ordering.hash_sample(df, digest(1, F.col("id")), ["id"], 40, keys).collect())
         monkeypatch.undo()

@@ -154,6 +154,8 @@ def hash_sample(df: DataFrame, digest: Column, ties: Sequence[str], n: int,
     """Exactly ``min(n, size)`` rows of each group without replacement: the smallest digests. Up to ``BOTTOM``
     rows a group, each task keeps its own n smallest and sends no more; beyond, digests are cut into buckets."""
     keys = list(keys)
+    if n <= BOTTOM and not keys:
+        return df.withColumn("_digest", digest).orderBy("_digest", *ties).limit(n).drop("_digest")
     if n <= BOTTOM:
         every = Window.partitionBy(*keys).orderBy("_digest", *ties)
         ranked = df.withColumn("_digest", digest).withColumn("_rn", F.row_number().over(every))
@@ -170,7 +172,7 @@ def hash_sample(df: DataFrame, digest: Column, ties: Sequence[str], n: int,
     near = combine(marked, starts, bucket_keys, None if keys else HASH_BUCKETS, "inner")
     local = Window.partitionBy(*bucket_keys).orderBy("_digest", *ties)
     ranked = near.withColumn("_rn", F.row_number().over(local) + F.col("_start"))
-    return ranked.where(F.col("_rn") <= n).drop("_digest", "_bucket", "_start", "_rn")
+    return ranked.where(F.col("_rn") <= n).select(df.columns)
 
 
 assert HASH_BUCKETS <= BROADCAST_ROWS
