@@ -32,3 +32,12 @@ def test_imprecise_rule_does_not_end_the_list(spark):
     rows += [(0, {"digit_share": r.uniform(0.6, 0.9)}) for _ in range(60)]
     out = rejected(rows, rules.fit(rows_of(spark, rows)))
     assert len([i for i in out if i >= 2300]) > 54 and len([i for i in out if i < 2000]) == 0
+
+
+def test_columns_of_any_name_stay(spark):
+    from volumetry.llm import rules
+
+    docs = spark.createDataFrame([(1, "a b a b", 7, 8, "x")], "doc_id long, text string, _words long, _lines long, n_words string")
+    row = rules.with_statistics(docs).first()
+    assert (row._words, row._lines, row.n_words) == (7, 8, 4)
+    assert rules.judged(docs, []).first()._words == 7

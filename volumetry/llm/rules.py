@@ -28,7 +28,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from volumetry.llm.batches import chosen
+from volumetry.llm.batches import chosen, unused
 from volumetry.session import cut_lineage
 
 SAMPLE = 20_000
@@ -42,9 +42,21 @@ RULES = 16
 FEATURES = ("n_words", "symbol_share", "dup_line_share", "repeat_share", "mean_word", "digit_share", "distinct_share")
 
 
+# Names that the steps of ``_with_statistics`` take.
+STEPS = ("_words", "_lines", "_digits", "_hashes", "_two", "_three", "_windows", "_twice", "_n_lines", "_distinct")
+
+
 def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words`` and the shares
-    that rules use."""
+    that rules use, in place of input columns of these names; all others stay as they are."""
+    aside = {c: f"{c}_given" for c in df.columns if c.lower() in STEPS}
+    for c, name in aside.items():
+        aside[c] = unused(df, name)
+    out = _with_statistics(df.withColumnsRenamed(aside), aside.get(text, text))
+    return out.withColumnsRenamed({name: c for c, name in aside.items()})
+
+
+def _with_statistics(df: DataFrame, text: str) -> DataFrame:
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *FEATURES]
     keep = [c for c in df.columns if c not in made]
     body = F.coalesce(F.col(text), F.lit(""))
