@@ -1,32 +1,45 @@
 """Main text of web pages by two passes of block rules.
 
 The page is cut into blocks at block-level tags. Parts that never hold article text (scripts, styles,
-forms, menus, headers and footers of the page, sidebars, adverts, notices, comments of readers, known by
-tag or by the words of class, id and role) are left out with all they contain. First pass: each block is
-decided by its length, the share of its text inside links and the share of stop words; blocks inside an
-``article`` or ``main`` part are good unless they are mostly links. Second pass: a short block that the first pass could
-not decide takes the label of its nearest decided neighbours; good wins where both sides agree or the
-nearer one is good.
-
-If a page marks its article (``article``, ``main``, an article role), blocks outside of it are dropped.
+menus, headers and footers of the page, sidebars, adverts, notices, comments of readers, known by
+tag or by the words of class, id and role) are left out with all they contain, and so are forms, unless a
+form is wrapped around a marked article or, on a page without a mark, around most words.
+
+First pass: each block is decided by its length, the share of its text inside links and the share of stop
+words. Blocks that are mostly links are bad; dense in stop words, good; headings, short blocks and those
+between the limits stay open. The mark of an article (``article``, ``main``, an article role) is one more feature: beside
+a marked part blocks are bad, inside it a single block of links stays open and only lists of links are bad. Where a page
+has hardly any known stop word, length and links decide alone. Second pass: an open block takes the label
+of its nearest decided neighbours. Where they differ, the nearer one counts; at equal distance the one below a
+heading, and bad otherwise. The edge of a page is a bad neighbour of blocks that have no decided one in the same
+part. Inside a mark a block is bad only between bad ones.
+
+Stop words are learned (``learn``): words that are in ``COMMON`` or more of the long blocks of pages of one language
+(the page's own ``lang``), counted over all pages. To them comes a short list for pages without one.
+
 Character references are decoded, white space inside a block becomes one space, blocks are joined in
-page order by an empty line. Null or empty pages give an empty text. Unclosed tags end with the part
-they are in; a page may end anywhere. Repeated rows are rows like any other; an input column with the
-name of a result is replaced.
+page order by an empty line. Null or empty pages give an empty text, and an empty table no rows and no stop words.
+Unclosed tags end with the part they are in; a page may end anywhere. Time grows with the length of a page,
+however deep its tags are. Repeated rows are rows like any other; an input column with the name of a result is replaced.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Mapping
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from volumetry.llm.batches import add_columns
+from volumetry.llm.batches import add_columns, pieces
+from volumetry.session import cut_lineage
 
-SKIP = {"script", "style", "noscript", "template", "head", "svg", "math", "iframe", "object", "form", "button", "select",
+SKIP = {"script", "style", "noscript", "template", "head", "svg", "math", "iframe", "object", "button", "select",
         "textarea", "nav", "footer", "aside", "dialog", "menu", "canvas", "video", "audio"}
 RAW = {"script", "style", "textarea", "title"}  # text up to their end tag is no markup
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -36,13 +49,18 @@ BLOCK = {"address", "article", "blockquote", "body", "br", "center", "dd", "deta
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 # names of parts beside the article, as whole words of class, id, role or aria-label
 BESIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|captcha|comments?|consent|contentinfo|cookies?|disqus|footer|gdpr|header|"
-    r"login|masthead|menu|modal|nav\w*|newsletter|notices?|overlay|pagination|popup|promo\w*|related|repl(?:y|ies)|search|share|sharing|"
+    r"(?:^|(?<!\bhas)(?<!\bno)(?<!\bwith)[\s_-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|captcha|comments?|consent|contentinfo|cookies?|disqus|footer|gdpr|"
+    r"login|menu|modal|nav\w*|newsletter|notices?|overlay|pagination|popup|promo\w*|related|repl(?:y|ies)|share|sharing|"
     r"sidebar\w*|signup|social|sponsor\w*|subscribe|tags|toolbar|widget\w*)(?:$|[\s_-])", re.I)
+# the same on a page, but not inside an article, nor as the head of one
+ABOVE = re.compile(r"(?:^|(?<!\barticle)(?<!\bcontent)(?<!\bentry)(?<!\bhas)(?<!\bno)(?<!\bpost)(?<!\bstory)(?<!\bwith)[\s_-])"
+                   r"(?:header|masthead|search)(?:$|[\s_-])", re.I)
 ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|main|entry-content|post-content|article-body|story)(?:$|[\s_-])", re.I)
 TAG = re.compile(r"<(?:!--.*?(?:-->|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$))", re.S)
 NAMES = re.compile(r"\b(class|id|role|aria-label|hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-# the commonest small words of English, German, French and Spanish
+LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2,3})\b", re.I)
+LETTERS = re.compile(r"[^\W\d_]+")
+# the commonest small words of English, German, French and Spanish, for pages whose language has not been learned
 STOP = frozenset(
     "the of and to in a is that it for on was be with as by this are from at an or not have but his they which you he "
     "der die das und ist von mit den zu ein eine im nicht des dem auf für sich auch als an es "
@@ -52,36 +70,64 @@ STOP = frozenset(
 LONG, SHORT = 25, 10  # words
 LINKS = 0.5
 STOPS = 0.12
-GOOD, BAD, SHORT_BLOCK = 1, 0, 2
+COMMON = 0.3  # share of the long blocks of a language that hold a stop word, at least
+ENOUGH = 20  # long blocks of a language to learn from
+HELD_WORDS = 300_000  # different words that a task counts before it sends them on
+GOOD, BAD, OPEN = 1, 0, 2
 
 
-class Block:
-    __slots__ = ("heading", "inside", "linked", "parts")
+class Block(NamedTuple):
+    text: str
+    words: int
+    links: float  # share of the words
+    inside: bool  # of a marked article
+    heading: bool
+    part: int  # number of the tag around it
+    form: bool
 
-    def __init__(self, inside: bool, heading: bool):
-        self.parts: list[str] = []
-        self.linked = 0
-        self.inside, self.heading = inside, heading
 
+class Open(NamedTuple):
+    name: str
+    skipped: bool
+    inside: bool
+    form: bool
+    number: int
+    block: int  # depth of the innermost block-level tag
+    heading: bool
 
-def blocks(html: str) -> list[tuple[str, float, bool, bool]]:
-    """(text, link share, inside a marked article, heading) of each block outside the skipped parts."""
-    out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, skipped, inside an article
-    links, at, size = 0, 0, len(html)
-    now: Block | None = None
-    skipped = inside = False
+
+def blocks(html: str) -> list[Block]:
+    """The blocks outside the skipped parts, in page order."""
+    made: list[Block] = []
+    root = Open("", False, False, False, 0, 0, False)
+    stack, depths, tags = [root], {}, 0  # depths of the open tags by name
+    links, linked, at, size = 0, 0, 0, len(html)
+    parts: list[str] = []
+    first = root  # where the block begins
 
     def add(text: str) -> None:
-        nonlocal now
-        if skipped or not text:
+        nonlocal first, linked
+        top = stack[-1]
+        if top.skipped or not text:
             return
-        if now is None:
-            now = Block(inside, any(t in HEADINGS for t, _, _ in stack[-3:]))
-            out.append(now)
-        now.parts.append(text)
+        if not parts:
+            first = top
+        parts.append(text)
         if links:
-            now.linked += len(text.split())
+            linked += len(text.split())
+
+    def finish() -> None:
+        nonlocal linked
+        words = unescape("".join(parts)).split()
+        if words:
+            around = stack[0] if first.block == 0 else first
+            made.append(Block(" ".join(words), len(words), linked / len(words), first.inside, first.heading, around.number, first.form))
+        parts.clear()
+        linked = 0
+
+    def leave(depth: int) -> None:
+        while len(stack) > depth:
+            depths[stack.pop().name].pop()
 
     while at < size:
         m = TAG.search(html, at)
@@ -94,14 +140,13 @@ def blocks(html: str) -> list[tuple[str, float, bool, bool]]:
         if not name:
             continue
         if name in BLOCK:
-            now = None
+            finish()
         if m[1]:
             if name == "a":
                 links = max(0, links - 1)
-            if any(t == name for t, _, _ in stack):
-                while stack.pop()[0] != name:
-                    pass
-            skipped, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            # the end of a tag inside a line doesn't end a block
+            if depths.get(name) and (name in BLOCK or name in SKIP or depths[name][-1] > stack[-1].block):
+                leave(depths[name][-1])
             continue
         if name in VOID:
             continue
@@ -109,74 +154,157 @@ def blocks(html: str) -> list[tuple[str, float, bool, bool]]:
             end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
             at = end.end() if end else size
             continue
+        if name in BLOCK and depths.get("p") and depths["p"][-1] == stack[-1].block:  # a block ends an open paragraph
+            leave(depths["p"][-1])
+        if name == "li" and depths.get("li") and depths["li"][-1] == stack[-1].block:
+            leave(depths["li"][-1])
+        top = stack[-1]
         said = {k.lower(): a or b or c for k, a, b, c in NAMES.findall(m[3])} if m[3] else {}
         labels = " ".join(v for k, v in said.items() if k != "hidden")
-        marked = name in ("article", "main") or (name not in ("body", "html") and bool(ARTICLE.search(labels)))
-        beside = name in SKIP or "hidden" in said or (name not in ("body", "html", "article", "main") and bool(BESIDE.search(labels)))
-        if name == "header" and not inside:
+        page = name in ("body", "html")
+        marked = name in ("article", "main") or (not page and bool(ARTICLE.search(labels)))
+        beside = name in SKIP or "hidden" in said or not (page or name in ("article", "main")) and bool(BESIDE.search(labels))
+        if not top.inside and not marked and not page:
+            beside = beside or name == "header" or bool(ABOVE.search(labels))
+        if name == "form" and top.inside:
             beside = True
-        if name == "p" and stack and stack[-1][0] == "p":
-            stack.pop()
-        if name == "li" and stack and stack[-1][0] == "li":
-            stack.pop()
         if name == "a":
             links += 1
         elif name in BLOCK:
             links = 0
-        skipped = skipped or beside
-        inside = inside or (marked and not skipped)
-        stack.append((name, skipped, inside))
-    made = []
-    for b in out:
-        text = " ".join(unescape("".join(b.parts)).split())
-        if text:
-            made.append((text, b.linked / max(1, len(text.split())), b.inside, b.heading))
+        skipped = top.skipped or beside
+        inside = top.inside or (marked and not skipped)
+        tags += 1
+        depths.setdefault(name, []).append(len(stack))
+        block = name in BLOCK
+        # blocks know the part around them, so the number is that of the parent of their own tag
+        number = top.number if name in ("p", "li") or name in HEADINGS or not block else tags
+        stack.append(Open(name, skipped, inside, (top.form or name == "form") and not inside, number, len(stack) if block else top.block,
+                          name in HEADINGS or (top.heading and not block)))
+    finish()
     return made
 
 
-def first_pass(text: str, links: float, inside: bool, heading: bool) -> int:
-    """Good, bad, or short and undecided."""
-    words = text.split()
-    if links > LINKS:
-        return BAD
-    if inside:
-        return GOOD
-    if heading or len(words) < SHORT:
-        return SHORT_BLOCK
-    stops = sum(w.lower().strip(".,;:!?") in STOP for w in words) / len(words)
-    if stops >= STOPS or len(words) >= LONG and stops >= STOPS / 2:
-        return GOOD
-    return SHORT_BLOCK if len(words) < LONG else BAD
+def candidates(html: str) -> list[Block]:
+    """The blocks of a page without those of forms; of a page without a mark with them, if they hold most words."""
+    found = blocks(html)
+    if any(b.form for b in found):
+        total, held = sum(b.words for b in found), sum(b.words for b in found if b.form)
+        if any(b.inside for b in found) or 2 * held <= total:
+            found = [b for b in found if not b.form]
+    return found
+
+
+def stop_words(text: str, stops: frozenset) -> int:
+    return sum(map(stops.__contains__, LETTERS.findall(text.lower())))
+
+
+def first_pass(found: list[Block], stops: frozenset) -> list[int]:
+    """Good, bad, or open, for each block."""
+    marked = any(b.inside for b in found)
+    dense = [0.0 if b.links > LINKS else stop_words(b.text, stops) / b.words for b in found]
+    prose = [(b.words, d) for b, d in zip(found, dense) if b.links <= LINKS]
+    known = sum(n * d for n, d in prose) >= STOPS / 4 * sum(n for n, _ in prose)
+    out = []
+    for i, b in enumerate(found):
+        if marked and not b.inside:
+            label = BAD
+        elif b.links > LINKS:
+            beside = [found[k].links > LINKS for k in (i - 1, i + 1) if 0 <= k < len(found)]
+            label = OPEN if b.inside and not any(beside) else BAD
+        elif b.heading or b.words < SHORT:
+            label = OPEN
+        elif dense[i] >= STOPS or b.words >= LONG and (dense[i] >= STOPS / 2 or not known):
+            label = GOOD
+        else:
+            label = BAD if b.words >= LONG and not b.inside else OPEN
+        out.append(label)
+    return out
 
 
-def second_pass(labels: list[int]) -> list[bool]:
-    """Undecided blocks take the label of the nearest decided ones; a tie between them is bad."""
+def second_pass(found: list[Block], labels: list[int]) -> list[bool]:
+    """Open blocks take the label of the nearest decided ones, as told at the top."""
     n = len(labels)
-    before, after = [(-1, BAD)] * n, [(n, BAD)] * n
+    before, after, last = [-1] * n, [n] * n, -1
     for i in range(n):
-        before[i] = (i, labels[i]) if labels[i] != SHORT_BLOCK else before[i - 1] if i else (-1, BAD)
+        last = i if labels[i] != OPEN else last
+        before[i] = last
+    last = n
     for i in reversed(range(n)):
-        after[i] = (i, labels[i]) if labels[i] != SHORT_BLOCK else after[i + 1] if i + 1 < n else (n, BAD)
+        last = i if labels[i] != OPEN else last
+        after[i] = last
     out = []
-    for i in range(n):
-        (p, a), (q, b) = before[i], after[i]
-        out.append(a == GOOD if a == b else (a if i - p < q - i else b if q - i < i - p else BAD) == GOOD)
+    for i, b in enumerate(found):
+        p, q = before[i], after[i]
+        sides = [labels[k] if 0 <= k < n else None for k in (p, q)]
+        if labels[i] != OPEN:
+            good = labels[i] == GOOD
+        elif b.inside:
+            good = GOOD in sides or sides == [None, None]
+        elif None in sides:
+            k = q if sides[0] is None else p
+            good = 0 <= k < n and labels[k] == GOOD and (found[k].part == b.part or b.heading and k == q)
+        elif sides[0] == sides[1]:
+            good = sides[0] == GOOD
+        elif i - p != q - i:
+            good = sides[i - p > q - i] == GOOD
+        else:
+            good = b.heading and sides[1] == GOOD
+        out.append(good)
     return out
 
 
-def main_text(html: str | None) -> str:
+def language(html: str) -> str:
+    """The language a page names in its first tags, or an empty string."""
+    m = LANG.search(html, 0, 2048)
+    return m[1].lower() if m else ""
+
+
+def main_text(html: str | None, learned: Mapping[str, frozenset] | None = None) -> str:
     if not html:
         return ""
-    found = blocks(html)
-    if any(inside for _, _, inside, _ in found):
-        found = [b for b in found if b[2]]
-    keep = second_pass([first_pass(*b) for b in found])
-    return "\n\n".join(b[0] for b, good in zip(found, keep) if good)
+    found = candidates(html)
+    stops = STOP | (learned or {}).get(language(html), frozenset())
+    keep = second_pass(found, first_pass(found, stops))
+    return "\n\n".join(b.text for b, good in zip(found, keep) if good)
+
+
+def learn(df: DataFrame, html: str = "html") -> dict[str, frozenset]:
+    """Stop words by language: those in ``COMMON`` or more of all its long blocks that are no links. A language has at
+    most the mean number of different words in a block, divided by ``COMMON``."""
+    def run(batches):
+        held: Counter = Counter()
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.string()),
+                                               pa.array(list(held.values()), pa.int64())], names=["lang", "word", "n"])
+
+        for batch in batches:
+            for piece in pieces(batch, "html"):
+                for page in piece.column("html").to_pylist():
+                    if not page:
+                        continue
+                    name = language(page)
+                    for b in candidates(page):
+                        if b.words >= LONG and b.links <= LINKS:
+                            held.update((name, w) for w in {"", *LETTERS.findall(b.text.lower())})  # the empty word counts blocks
+                    if len(held) > HELD_WORDS:
+                        yield out()
+                        held.clear()
+        yield out()
+
+    counted = df.select(F.col(html).alias("html")).mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = cut_lineage(counted, "words")
+    totals = counted.where((F.col("word") == "") & (F.col("n") >= ENOUGH)).select("lang", F.col("n").alias("total"))  # a row a language
+    common = counted.where("word != ''").join(totals, "lang").where(F.col("n") >= COMMON * F.col("total"))
+    found = common.groupBy("lang").agg(F.collect_list("word").alias("words")).toArrow().to_pydict()
+    return {name: frozenset(words) for name, words in zip(found["lang"], found["words"])}
 
 
-def extract(df: DataFrame, html: str = "html", out: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds the main text of each page."""
+def extract(df: DataFrame, html: str = "html", out: str = "text", keep: list[str] | None = None,
+            learned: Mapping[str, frozenset] | None = None) -> DataFrame:
+    """Adds the main text of each page, by the stop words ``learned`` (or the short list alone)."""
     def run(pages: list) -> list[pa.Array]:
-        return [pa.array([main_text(p) for p in pages], pa.string())]
+        return [pa.array([main_text(p, learned) for p in pages], pa.string())]
 
     return add_columns(df, html, [T.StructField(out, T.StringType())], run, keep)

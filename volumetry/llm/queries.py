@@ -96,7 +96,8 @@ def remainder(parts: int):
 
 @query("op3_markup")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
-    found = markup.extract(table(spark, folder, "pages"), keep=["page_id", "url"])
+    pages = table(spark, folder, "pages")
+    found = markup.extract(pages, keep=["page_id", "url"], learned=markup.learn(pages))
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
