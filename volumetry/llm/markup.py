@@ -295,8 +295,8 @@ def learn(df: DataFrame, html: str = "html") -> dict[str, frozenset]:
 
     counted = df.select(F.col(html).alias("html")).mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counted = cut_lineage(counted, "words")
-    totals = counted.where((F.col("word") == "") & (F.col("n") >= ENOUGH)).select("lang", F.col("n").alias("total"))  # a row a language
-    common = counted.where("word != ''").join(totals, "lang").where(F.col("n") >= COMMON * F.col("total"))
+    totals = counted.where((F.col("word") == "") & (F.col("n") >= ENOUGH)).select("lang", F.col("n").alias("total"))  # at most 26^2 + 26^3 + 1 rows
+    common = counted.where("word != ''").join(F.broadcast(totals), "lang").where(F.col("n") >= COMMON * F.col("total"))
     found = common.groupBy("lang").agg(F.collect_list("word").alias("words")).toArrow().to_pydict()
     return {name: frozenset(words) for name, words in zip(found["lang"], found["words"])}
 
