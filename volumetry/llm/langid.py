@@ -2,12 +2,13 @@
 
 Each text is the mean embedding of its runs of two and three characters (lower case), hashed into
 ``BUCKETS`` rows; a linear layer gives one logit per language. Both are trained by stochastic gradient
-descent in numpy on a bounded sample of labelled texts (``SAMPLE``: different texts with the smallest
-hashes; copies count once, so a large group of copies doesn't fill the sample). A fifth of the sample is held apart to fit the temperature of the softmax and the
-score below which a prediction is rejected. Every whole text is then scored in the tasks with the
+descent in numpy on a bounded sample of labelled texts (about ``SAMPLE`` different texts of each language, by
+their hashes; copies count once, so a large group of copies doesn't fill the sample, and a rare language keeps
+its texts). Every fifth text of a language is held apart to fit the temperature of the softmax and the
+score below which a prediction is rejected. The driver holds the sample: languages are taken to be few, hundreds at most. Every whole text is then scored in the tasks with the
 product of both layers (buckets x languages).
 
-Null texts and texts without a letter are ``und`` with score 0. Without labelled rows everything is.
+At equal scores the first language in order wins. Null texts and texts without a letter are ``und`` with score 0. Without labelled rows everything is.
 Repeated rows are rows like any other; input columns with the names of results are replaced.
 """
 
@@ -27,9 +28,9 @@ from volumetry.llm.batches import add_columns, chosen, pieces
 
 BUCKETS = 1 << 15
 SIZE = 16
-SAMPLE = 2_000
+SAMPLE = 500  # texts of a language
 BATCH = 32
-STEPS = 300  # gradient steps, whatever the size of the sample
+STEPS = 300  # gradient steps; more if an epoch takes more
 RATE = 4.0
 TRUST = 0.99  # share of right answers among the accepted ones, on the rows held apart
 LETTER = re.compile(r"[^\W\d_]")
@@ -66,7 +67,7 @@ class Model:
 
 
 def descend(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, n: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Embeddings, weights and bias after ``STEPS`` steps, in epochs over (buckets, shares) rows."""
+    """Embeddings, weights and bias after ``STEPS`` steps, in whole epochs over (buckets, shares) rows."""
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.1, (BUCKETS, SIZE)).astype("float32")
     out = rng.normal(0, 0.1, (SIZE, n)).astype("float32")
@@ -116,11 +117,14 @@ def calibrated(model: Model, texts: list[np.ndarray], target: np.ndarray) -> Mod
 
 
 def train(rows: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE, seed: int = 7) -> Model:
-    """Learns from about ``sample`` different texts with a language and a letter."""
+    """Learns from about ``sample`` different texts with a letter of each language."""
     good = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null and text is not null")
-    different = good.agg(F.approx_count_distinct(F.xxhash64("text", "lang"))).first()[0]
+    different = good.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()  # a row a language
+    kept = F.lit(False)
+    for r in different:
+        kept = F.when(F.col("lang") == r.lang, chosen(F.xxhash64("text"), sample, r.n)).otherwise(kept)
     # copies merge before the shuffle, so what is moved is the sample
-    some = good.where(chosen(F.xxhash64("text"), sample, different)).dropDuplicates(["text", "lang"])
+    some = good.where(kept).dropDuplicates(["text", "lang"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,7 +144,7 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", sample: int =
         return Model([], np.zeros((BUCKETS, 0), "float32"), np.zeros(0, "float32"))
     target = np.array([languages.index(found["lang"][i]) for i in order])
     data = [(np.frombuffer(found["at"][i], "<i4").astype("int64"), np.frombuffer(found["share"][i], "<f4")) for i in order]
-    apart = np.arange(len(data)) % 5 == 4
+    apart = (np.arange(len(data)) - np.searchsorted(target, target)) % 5 == 4
     inner = np.flatnonzero(~apart)
     emb, out, bias = descend([data[i] for i in inner], target[inner], len(languages), seed)
     model = Model(languages, (emb @ out).astype("float32"), bias)
