@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -135,14 +136,28 @@ class Markov:
         return float(self.ratio[at].mean()) if len(at) else 0.0
 
 
-def left(text: str, start: int, end: int, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int]]:
-    """The parts of a run outside the spans of the patterns; the whole run if none touches it. Separators
+def merged(base: list[tuple[int, int, int, str]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that the spans of the patterns cover, in order and apart."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, e, _, _ in sorted(base):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
+def left(text: str, start: int, end: int, covered: tuple[list[int], list[int]]) -> list[tuple[int, int]]:
+    """The parts of a run outside the covered stretches; the whole run if none touches it. Separators
     at the ends of a part are left out, and parts shorter than ``REST``."""
-    met = [(s, e) for s, e, _, _ in base if s < end and start < e]
-    if not met:
+    starts, ends = covered
+    first, last = bisect_right(ends, start), bisect_left(starts, end)
+    if first >= last:
         return [(start, end)]
     out = []
-    for s, e in [*met, (end, end)]:
+    for s, e in [*zip(starts[first:last], ends[first:last]), (end, end)]:
         part = text[start:max(start, s)]
         a = start + len(part) - len(part.lstrip("+/_=-"))
         b = a + len(part.strip("+/_=-"))
@@ -158,8 +173,9 @@ def spans(text: str | None, model: Markov) -> list[tuple[int, int, str]]:
         return []
     base = patterns(text)
     out = [(s, e, k) for s, e, k, _ in base]
+    covered = merged(base)
     for m in RUN.finditer(text):
-        for start, end in left(text, m.start(), m.end(), base):
+        for start, end in left(text, m.start(), m.end(), covered):
             if model.mean(text[start:end]) > MARGIN:
                 out.append((start, end, 3))
     return [(s, e, KINDS[k]) for s, e, k in sorted(out, key=lambda x: (x[0], x[2]))]
