@@ -39,6 +39,63 @@ def test_percentiles_match_numpy_on_awkward_values(spark):
     np.testing.assert_allclose(whole, np.percentile(np.concatenate(list(groups.values())), ps), rtol=1e-12)
 
 
+@pytest.mark.parametrize("keys", [["g"], []])
+def test_uneven_values_are_cut_until_every_interval_is_small(spark, monkeypatch, keys):
+    """Values the first cut can't tell apart: one far outlier, a narrow cluster, one value in most rows, tiny numbers."""
+    rng = np.random.default_rng(8)
+    groups = {
+        "uniform": rng.random(4000), "lognormal": rng.lognormal(0, 4, 4000),
+        "cluster": np.append(1e12 + rng.random(4000), [-1e300]), "hot": np.append(np.full(3000, 2.5), 2.5 + rng.random(1500) * 1e-12),
+        "tiny": np.append(rng.lognormal(-300, 20, 3000), 1e10),
+    }
+    df = spark.createDataFrame([(k, float(v)) for k, a in groups.items() for v in a], "g string, v double").repartition(6)
+    monkeypatch.setattr(ordering, "CELL_ROWS", 40)
+    parts, sizes = ordering.cut_lineage, []
+
+    def seen(table, name="stage"):
+        out = parts(table, name)
+        if name == "steps":
+            sizes.append(out.where("_open").agg({"_c": "max"}).first()[0])
+        return out
+
+    monkeypatch.setattr(ordering, "cut_lineage", seen)
+    ps = [0.0, 1.0, 33.3, 50.0, 75.0, 99.0, 100.0]
+    got = {r["g"] if keys else None: (r["n"], r["pct"]) for r in ordering.percentiles(df, keys, "v", ps).collect()}
+    want = groups if keys else {None: np.concatenate(list(groups.values()))}
+    for g, a in want.items():
+        assert got[g][0] == len(a)
+        np.testing.assert_allclose(got[g][1], np.percentile(a, ps), rtol=1e-12)
+    assert sizes[0] > 1000 and (sizes[-1] or 0) <= 40
+
+
+@pytest.mark.parametrize("rows", [30, 100_000])
+def test_ks_opens_few_intervals(spark, monkeypatch, rows):
+    monkeypatch.setattr(ordering, "CELL_ROWS", rows)
+    rng = np.random.default_rng(9)
+    sides = {0: (rng.normal(0, 1, 6000), rng.normal(0.1, 1, 6000)), 1: (rng.lognormal(0, 3, 6000), rng.lognormal(0.3, 3, 6000)),
+             2: (np.round(rng.random(6000), 2), np.round(rng.random(6000), 2)), 3: (np.full(6000, 1.0), np.full(6000, 2.0))}
+    df = spark.createDataFrame([(p, 0, 0, i, float(x), float(y)) for p, (a, b) in sides.items() for i, (x, y) in enumerate(zip(a, b))],
+                               "pair_id int, x int, y int, z int, a double, b double")
+    got = {r["pair_id"]: r for r in evaluate.ks_2samp(df, groups=4, report=True).collect()}
+    for p, (a, b) in sides.items():
+        every = np.union1d(a, b)
+        gap = abs(np.searchsorted(np.sort(a), every, "right") - np.searchsorted(np.sort(b), every, "right")).max() / 6000
+        assert got[p]["ks_statistic"] == pytest.approx(gap, abs=1e-12)
+        assert got[p]["n_samples"] == 12_000 and got[p]["n_opened"] < 3000
+
+
+def test_contrast_opens_only_the_ends_of_its_bands(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "CELL_ROWS", 25)
+    rng = np.random.default_rng(10)
+    cubes = {1: rng.normal(500, 90, 5000), 2: np.round(rng.lognormal(3, 1, 5000)), 3: np.full(5000, 4.0)}
+    masks = {i: rng.random(5000) < 0.7 for i in cubes}
+    df = spark.createDataFrame([(i, float(v), bool(m)) for i in cubes for v, m in zip(cubes[i], masks[i])],
+                               "volume_id int, value double, in_mask boolean")
+    got = {r["volume_id"]: r["cnr"] for r in qc.cnr(df).collect()}
+    for i in cubes:
+        assert got[i] == pytest.approx(npo.cnr(cubes[i], masks[i]))
+
+
 def test_approximate_percentiles_are_close(spark):
     a = np.random.default_rng(2).normal(0, 1, 20000)
     df = spark.createDataFrame([(1, float(v)) for v in a], "g int, v double")

@@ -77,6 +77,18 @@ def test_no_window_orders_a_whole_group(spark, hot):
             assert "_cell" in line or "sum(_c" in line
 
 
+def test_order_by_a_key_that_fills_a_third_of_all_rows(spark):
+    from volumetry.operators.splits import range_rank
+
+    df = spark.range(9000).select(F.col("id"), F.when(F.col("id") % 3 == 0, 7.0).when(F.col("id") % 100 == 1, F.lit(None)).otherwise(
+        F.exp((F.col("id") * 31 % 9000) / 50.0)).alias("k")).repartition(7)
+    got = [(r["k"], r["rn"]) for r in range_rank(df, "k").orderBy("rn").collect()]
+    assert [n for _, n in got] == list(range(1, 9001))
+    keys = [float("-inf") if k is None else k for k, _ in got]
+    assert keys == sorted(keys) and keys[0] == float("-inf")
+    assert range_rank(df.limit(0), "k").count() == 0
+
+
 def test_small_samples_are_cut_in_each_task(spark, monkeypatch):
     from pyspark.sql import functions as F
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,3 +37,14 @@ def cell_of(v: Column, lo: Column, hi: Column, n: int) -> Column:
     a, b, s = _spread(lo), _spread(hi), _spread(v)
     raw = F.floor((s - a) / (b - a) * F.lit(float(n)))
     return F.when(b > a, F.least(F.greatest(raw, F.lit(0)), F.lit(n - 1))).otherwise(F.lit(0)).cast("int")
+
+
+def count_below(df: DataFrame, points: str, v: Column, n: int, name: str) -> DataFrame:
+    """Adds the number of ``points`` (a sorted array of ``n`` values) that are not above ``v``. A binary search
+    of one projection a step, so every step is compiled and reads the one before once."""
+    out, step = df.withColumn(name, F.lit(0)), 1 << (n.bit_length() - 1)
+    while step:
+        reached = F.get(points, F.col(name) + (step - 1)) <= v
+        out = out.withColumn(name, F.col(name) + F.when(reached, step).otherwise(0))
+        step //= 2
+    return out

@@ -12,10 +12,10 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from volumetry.operators.ordering import running_sums
+from volumetry.operators.ordering import steps
 from volumetry.operators.stats import aggregate_metrics, histogram
 from volumetry.operators.stencil import line_sums, stencil
 from volumetry.schema import BRICK_SIDE, BROADCAST_ROWS, attach, bricks, combine, voxels
@@ -239,21 +239,29 @@ def consistency(df: DataFrame, keys: Sequence[str] = ("pair_id",), groups: int |
     return combine(base, second, keys, groups)
 
 
-def ks_2samp(df: DataFrame, keys: Sequence[str] = ("pair_id",), groups: int | None = None) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov statistic over all samples, with the asymptotic p-value."""
+def ks_2samp(df: DataFrame, keys: Sequence[str] = ("pair_id",), groups: int | None = None, report: bool = False) -> DataFrame:
+    """Two-sample Kolmogorov-Smirnov statistic over all samples, with the asymptotic p-value. Counts of an interval
+    of values give its gap at the end and bound the gap inside; only intervals whose bound is above the best gap of
+    their pair are opened. ``report`` adds ``n_samples`` and ``n_opened``, the samples in opened intervals."""
     flat = pair_voxels(df).select(*keys, F.explode(F.array(
         F.struct(F.col("a").alias("v"), F.lit(1).alias("na"), F.lit(0).alias("nb")),
         F.struct(F.col("b").alias("v"), F.lit(0).alias("na"), F.lit(1).alias("nb")))).alias("_s")).select(
         *keys, "_s.*").where(F.col("v").isNotNull())
-    steps = running_sums(flat, keys, "v", {"na": F.col("na"), "nb": F.col("nb")}, groups=groups)
-    share = lambda c: (F.col(f"{c}_before") + F.col(c)) / F.col(f"{c}_total")
-    stat = steps.groupBy(*keys).agg(
-        F.max(F.abs(share("na") - share("nb"))).alias("ks_statistic"), F.max("na_total").alias("_m"), F.max("nb_total").alias("_n"))
+    low = lambda c: F.try_divide(f"{c}_before", f"{c}_total")
+    high = lambda c: F.try_divide(F.col(f"{c}_before") + F.col(c), f"{c}_total")
+    gap = F.abs(high("na") - high("nb"))
+    cut = steps(flat, keys, "v", {"na": F.col("na"), "nb": F.col("nb")},
+                lambda: F.greatest(high("na") - low("nb"), high("nb") - low("na")) > F.max(gap).over(Window.partitionBy(*keys)),
+                groups=groups)
+    both = F.col("na") + F.col("nb")
+    seen = [F.sum(both).alias("n_samples"), F.sum(F.when(F.col("_opened"), both).otherwise(0)).alias("n_opened")]
+    stat = cut.groupBy(*keys).agg(
+        F.max(gap).alias("ks_statistic"), F.max("na_total").alias("_m"), F.max("nb_total").alias("_n"), *seen)
     lam = F.sqrt(F.col("_m") * F.col("_n") / (F.col("_m") + F.col("_n"))) * F.col("ks_statistic")
     series = F.aggregate(F.sequence(F.lit(1), F.lit(KS_TERMS)), F.lit(0.0), lambda s, k: s + F.when(
         k % 2 == 1, F.lit(2.0)).otherwise(F.lit(-2.0)) * F.exp(F.lit(-2.0) * k * k * lam * lam))
     p = F.when(lam < 0.2, F.lit(1.0)).otherwise(F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0)))
-    return stat.select(*keys, "ks_statistic", p.alias("ks_pvalue"))
+    return stat.select(*keys, "ks_statistic", p.alias("ks_pvalue"), *(["n_samples", "n_opened"] if report else []))
 
 
 def consistency_warnings(checks: DataFrame) -> DataFrame:

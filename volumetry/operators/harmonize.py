@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from volumetry.config import check_choice
-from volumetry.functions.binning import bin_of
+from volumetry.functions.binning import count_below
 from volumetry.operators.ordering import percentiles
 from volumetry.operators.stats import cdf, histogram
 from volumetry.schema import attach, finite, positive, samples, voxels, with_row
@@ -23,7 +23,6 @@ from volumetry.session import cut_lineage
 
 METHODS = ("histogram", "zscore", "quantile")
 POINTS = 100
-LOOKUP = 1024
 
 
 def _kept(v):
@@ -83,36 +82,23 @@ class HarmonizerModel:
         return rows.withColumn(value, F.when(own, (v - F.col("mean")) / F.col("std")).otherwise(v)).drop("mean", "std")
 
     def _quantile(self, df: DataFrame, value: str) -> DataFrame:
-        """Own quantile position by an equality join on coarse cells, then the reference value there."""
+        """Own quantile position by a binary search in the group's values, which lie beside the brick, then the
+        reference value there. No join sees a sample."""
         g, last = self.group, POINTS - 1
         reference = self.table.where(F.col(g) == self.reference).select(F.col("vals").alias("_ref"))
         if reference.isEmpty():
             raise KeyError(f"reference group {self.reference!r} was not fitted")
         v = F.col(value).cast("double")
-        ends = self.table.select(g, F.col("vals")[0].alias("_min"), F.col("vals")[last].alias("_max"))
-        cell = lambda x: F.when(F.col("_max") > F.col("_min"),
-                                bin_of(x, F.col("_min"), F.col("_max"), LOOKUP))
-        steps = self.table.select(g, F.posexplode(F.slice("vals", 1, last)).alias("_j", "_x0"), "vals").select(
-            g, "_j", "_x0", F.col("vals")[F.col("_j") + 1].alias("_x1"), F.col("vals")[0].alias("_min"),
-            F.col("vals")[last].alias("_max")).where(F.col("_x1") > F.col("_x0"))
-        steps = with_row(steps, reference).select(
-            g, "_x0", "_x1", F.col("_ref")[F.col("_j")].alias("_y0"), F.col("_ref")[F.col("_j") + 1].alias("_y1"),
-            F.explode(F.sequence(cell(F.col("_x0")), cell(F.col("_x1")))).alias("_cell"))
-        ref_ends = self.table.where(F.col(g) == self.reference).select(
-            F.col("vals")[0].alias("_ref_min"), F.col("vals")[last].alias("_ref_max"))
-        ends = with_row(ends, ref_ends)
-        flat = voxels(attach(df, ends, [g], self.rows), value).withColumn("_cell", F.when(
-            positive(v) & (v >= F.col("_min")) & (v < F.col("_max")), cell(v)))
-        # every fitted group has at most LOOKUP cells plus one more row per step
-        small = self.rows * (LOOKUP + POINTS) <= 1_000_000
-        side = (F.broadcast(steps) if small else steps).alias("s")
-        hit = flat.alias("d").join(side, (F.col(f"d.{g}") == F.col(f"s.{g}")) & (F.col("d._cell") == F.col("s._cell"))
-                                   & (v >= F.col("_x0")) & (v < F.col("_x1")), "left")
-        inside = F.col("_y0") + (v - F.col("_x0")) / (F.col("_x1") - F.col("_x0")) * (F.col("_y1") - F.col("_y0"))
-        out = F.when(~positive(v) | F.col("_min").isNull(), v).when(v < F.col("_min"), F.col("_ref_min")).when(
-            v >= F.col("_max"), F.col("_ref_max")).otherwise(inside)
-        keep = [F.col(f"d.{c}") for c in flat.columns if c not in (value, "_min", "_max", "_cell", "_ref_min", "_ref_max")]
-        return hit.select(*keep, out.alias(value))
+        # a row of the model holds POINTS values, about ten times what the bound on parameters counts
+        flat = voxels(with_row(attach(df, self.table.withColumnRenamed("vals", "_own"), [g], self.rows * POINTS // 10), reference), value)
+        names = [c for c in flat.columns if c not in ("_own", "_ref")]
+        placed = count_below(flat, "_own", v, POINTS, "_at")
+        point = lambda c, i: F.get(c, F.col("_at") + i)
+        x0, x1, y0, y1 = point("_own", -1), point("_own", 0), point("_ref", -1), point("_ref", 0)
+        inside = y0 + (v - x0) / (x1 - x0) * (y1 - y0)
+        out = F.when(~positive(v) | F.col("_own").isNull(), v).when(F.col("_at") == 0, F.col("_ref")[0]).when(
+            F.col("_at") > last, F.col("_ref")[last]).otherwise(inside)
+        return placed.select(*[out.alias(c) if c == value else F.col(c) for c in names])
 
     def _histogram(self, df: DataFrame, keys: list[str], value: str, groups: int | None) -> DataFrame:
         """Per volume: reference CDF read in the source CDF, giving a new value for each source bin.

@@ -8,13 +8,15 @@ bin centre) splits signal and background exactly without a third pass.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from volumetry.config import check_choice
 from volumetry.functions.binning import bin_center, bin_of, widened
-from volumetry.operators.ordering import percentiles, running_sums
+from volumetry.operators.ordering import percentiles, steps
 from volumetry.operators.stats import histogram, unpivot
 from volumetry.schema import attach, combine, finite, positive, samples, voxels
 from volumetry.session import cut_lineage
@@ -81,17 +83,24 @@ def _ratio(mean: Column, std: Column) -> Column:
 def cnr(df: DataFrame, keys: Sequence[str] = ("volume_id",), value: str = "value", mask: str = "in_mask",
         groups: int | None = None) -> DataFrame:
     """Contrast of two rank bands of in-mask samples over the background std."""
-    inside = running_sums(df.where(F.col(mask)).select(*keys, value), keys, value, {"m": F.lit(1)}, groups=groups)
     n = F.col("m_total").cast("double")
+    start, end = F.col("m_before"), F.col("m_before") + F.col("m")
+    at = lambda share: F.floor(F.lit(share) * n)
+
+    def crossed() -> Column:
+        """Only intervals with an end of a band inside them are opened; the others lie in a band or beside it."""
+        return reduce(or_, [(start < at(x)) & (at(x) < end) for x in (*GREY_BAND, *WHITE_BAND)])
+
+    cut = steps(df.where(F.col(mask)).select(*keys, value), keys, value,
+                {"m": F.lit(1), "_sum": F.col(value).cast("double")}, crossed, groups=groups)
 
     def band(share: tuple[float, float]) -> Column:
-        a, b = F.floor(F.lit(share[0]) * n), F.floor(F.lit(share[1]) * n)
-        inner = F.least(F.col("m_before") + F.col("m"), b) - F.greatest(F.col("m_before"), a)
-        weight = F.greatest(inner, F.lit(0))
+        weight = F.greatest(F.least(end, at(share[1])) - F.greatest(start, at(share[0])), F.lit(0))
         total = F.sum(weight)
-        return F.when(total > 0, F.sum(F.col(value).cast("double") * weight) / F.when(total > 0, total))
+        part = F.when(weight == F.col("m"), F.col("_sum")).otherwise(F.col("_vlo") * weight)
+        return F.when(total > 0, F.sum(part) / F.when(total > 0, total))
 
-    tissue = inside.groupBy(*keys).agg(band(GREY_BAND).alias("_g"), band(WHITE_BAND).alias("_w"))
+    tissue = cut.groupBy(*keys).agg(band(GREY_BAND).alias("_g"), band(WHITE_BAND).alias("_w"))
     noise = df.groupBy(*keys).agg(F.stddev_pop(F.when(~F.col(mask), F.col(value).cast("double"))).alias("_s"))
     joined = combine(noise, tissue, keys, groups)
     return joined.select(*keys, _ratio(F.abs(F.col("_g") - F.col("_w")), F.col("_s")).alias("cnr"))

@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from volumetry.config import check_ratios
-from volumetry.functions.binning import cell_of
+from volumetry.functions.binning import count_below
 from volumetry.functions.hashing import digest
-from volumetry.operators.ordering import CELLS, before, hash_rank
+from volumetry.operators.ordering import CELLS, hash_rank
 from volumetry.schema import with_row
 
 SPLITS = ("train", "val", "test")
+SPREAD = 64  # parts of the rows that share one key
 
 
 def ordered_subjects(df: DataFrame, subject: str = "subject", seed: int = 42) -> DataFrame:
@@ -82,15 +83,23 @@ def to_batches(df: DataFrame, size: int, key: str, shuffle: bool = True, seed: i
 
 
 def range_rank(df: DataFrame, key: str) -> DataFrame:
-    """``row_number`` in the order of a numeric key without one global sort."""
-    v = F.col(key).cast("double")
-    bounds = df.agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
-    celled = with_row(df, bounds).withColumn("_cell", cell_of(v, F.col("_lo"), F.col("_hi"), CELLS))
-    counts = celled.groupBy("_cell").agg(F.count(F.lit(1)).alias("_c"))
-    starts = counts.select("_cell", F.coalesce(F.sum("_c").over(before([], "_cell")), F.lit(0)).alias("_start"))
-    local = Window.partitionBy("_cell").orderBy(key)
-    return celled.join(F.broadcast(starts), "_cell").withColumn(
-        "rn", F.row_number().over(local) + F.col("_start")).drop("_cell", "_lo", "_hi", "_start")
+    """``row_number`` in the order of a numeric key without one global sort; null keys come first.
+
+    Rows are cut at the quantiles of a sketch of the keys. Rows equal to a cut are a cell of their own that
+    any order fits, so a key that fills many rows is spread over ``SPREAD`` parts."""
+    shares = [i / CELLS for i in range(1, CELLS)]
+    found = with_row(df, df.agg(F.percentile_approx(key, shares, 10 * CELLS).alias("_cuts")))
+    placed = count_below(found, "_cuts", F.col(key), CELLS - 1, "_at")
+    equal = F.col(key).isNull() | F.coalesce(F.get("_cuts", F.col("_at") - 1) == F.col(key), F.lit(False))
+    cell = F.when(F.col(key).isNull(), -1).otherwise(2 * F.col("_at") - equal.cast("int"))
+    part = F.when(equal, F.pmod(F.xxhash64(*df.columns), F.lit(SPREAD))).otherwise(0)
+    celled = placed.select(*df.columns, cell.alias("_cell"), part.alias("_part"))
+    counts = celled.groupBy("_cell", "_part").agg(F.count(F.lit(1)).alias("_c"))
+    first = Window.orderBy("_cell", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_cell", "_part", F.coalesce(F.sum("_c").over(first), F.lit(0)).alias("_start"))
+    local = Window.partitionBy("_cell", "_part").orderBy(key)
+    return celled.join(F.broadcast(starts), ["_cell", "_part"]).withColumn(
+        "rn", F.row_number().over(local) + F.col("_start")).select(*df.columns, "rn")
 
 
 def run_kfold(df: DataFrame, k: int, fn: Callable[[DataFrame, DataFrame], dict], subject: str = "subject",
