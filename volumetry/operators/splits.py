@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from volumetry.config import check_ratios
-from volumetry.functions.binning import count_below
 from volumetry.functions.hashing import digest
 from volumetry.operators.ordering import CELLS, hash_rank
 from volumetry.schema import with_row
@@ -89,7 +88,10 @@ def range_rank(df: DataFrame, key: str) -> DataFrame:
     any order fits, so a key that fills many rows is spread over ``SPREAD`` parts."""
     shares = [i / CELLS for i in range(1, CELLS)]
     found = with_row(df, df.agg(F.percentile_approx(key, shares, 10 * CELLS).alias("_cuts")))
-    placed = count_below(found, "_cuts", F.col(key), CELLS - 1, "_at")
+    # one expression, not a chain of projections: the filter that the join below infers would unfold a chain
+    halves = F.array(*[F.lit(CELLS >> i) for i in range(1, CELLS.bit_length())])
+    place = F.aggregate(halves, F.lit(0), lambda at, step: at + F.when(F.get("_cuts", at + step - 1) <= F.col(key), step).otherwise(0))
+    placed = found.withColumn("_at", place)
     equal = F.col(key).isNull() | F.coalesce(F.get("_cuts", F.col("_at") - 1) == F.col(key), F.lit(False))
     cell = F.when(F.col(key).isNull(), -1).otherwise(2 * F.col("_at") - equal.cast("int"))
     part = F.when(equal, F.pmod(F.xxhash64(*df.columns), F.lit(SPREAD))).otherwise(0)
