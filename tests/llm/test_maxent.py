@@ -37,3 +37,29 @@ def test_tables_grow():
     assert maxent.sizes(0) == maxent.sizes(10**6) == (maxent.KNOWN, maxent.BITS)
     (a, b), (c, d) = maxent.sizes(10**9), maxent.sizes(10**11)
     assert c >= 9 * a > 9 * maxent.KNOWN and d > b > maxent.BITS
+
+
+def test_words_inside_a_class_are_learned(spark, rng):
+    """Of 300 pairs of words the second follows from the first; shares after a class would leave -1.3 for it at best."""
+    texts = [(i, " ".join(f"l{k} r{k}" for k in (rng.randrange(300) for _ in range(50)))) for i in range(3000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    _, out = maxent.fit_and_score(docs.where("doc_id % 5 != 1"), docs.where("doc_id % 5 = 1"))
+    rows = out.collect()
+    assert sum(r.score for r in rows) / sum(r.n_tokens for r in rows) > -1.7
+
+
+def test_leaves_of_a_tree_share_one(rng):
+    n = 700
+    classes = np.array([0] + [rng.choice([1, 1, 1, 2, 3]) for _ in range(n)] + [4])
+    counts = np.array([0.0] + [float(rng.randint(3, 10**rng.randint(1, 6))) for _ in range(n + 1)])
+    route, turn, shares = maxent.trees(classes, counts)
+    noise = np.random.default_rng(1).normal(size=shares.shape)
+    for table in (shares, shares + noise):
+        logs = table - np.log(np.exp(table).sum(axis=1, keepdims=True))
+        leaf = np.where(route >= 0, logs[route, turn], 0.0).sum(axis=0)
+        for g in range(1, 5):
+            assert abs(np.exp(leaf[classes == g]).sum() - 1) < 1e-9
+        if table is shares:
+            mine = classes == 1
+            assert np.allclose(np.exp(leaf[mine]), (counts[mine] + 0.5) / (counts[mine] + 0.5).sum())
+    assert maxent.trees(np.zeros(1, "int64"), np.zeros(1))[0].shape == (0, 1)

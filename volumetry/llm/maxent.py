@@ -9,8 +9,9 @@ counts), and one for all other words. The class has a softmax over hashed featur
 the one before that (a skip), and both together. Weights are trained by gradient steps in shards over
 all their training texts, then averaged over the shards by their tokens (``ROUNDS`` times). Shards and the order in them go by
 hashes of the rows and the number of tokens, so files and partitions of the input don't change the model. Inside a class,
-the softmax has a weight for the token and one for the token after a class; each such context has weights
-of its own, so their best values are smoothed shares of counts. Other words share the mass of their
+the words are leaves of a tree of ``FAN`` children a node (Huffman's, so common words are near its root), and every node has a
+softmax of its own over its children, trained in the same steps: hashed features of the node with the word before and
+with the class before, and a weight for each child, which starts at the child's share. Other words share the mass of their
 class by count plus one half; one more share is for all words never seen.
 
 The probabilities of all words add up to one for every context.
@@ -26,6 +27,7 @@ result, each its own row. Without training texts every count is 0 and the model
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -43,17 +45,22 @@ KNOWN = 65_536  # known words at least, if there are as many
 WORDS_A_ROOT = 8  # known words for each unit of the root of the training tokens
 LEAST = 3  # count of a known word at least; rarer ones show what unseen words look like
 CLASSES = 15
+FAN = CLASSES + 1  # children of a node of a tree of words
 CONTEXTS = 24  # commonest words that tell classes apart
 BITS = 14  # of a bucket's number, at least
+TREE_BITS = 1  # more than that for features of the nodes of trees
 BUCKETS_A_ROOT = 2
 SHARD = 2_000_000  # training tokens of a shard, at least
 ROUNDS = 1
 BATCH = 8192
 RATE = 0.5
+WORD_RATE = 2.0  # times that for the nodes of trees
+WORD_POWER = 0.75  # of the tokens of a batch that share a row of theirs, which its step is divided by
 OTHER = 0  # class of all other words
 TAILS = 251  # kinds of other words as features, by their last two bytes
 HELD_WORDS = 300_000  # distinct words that a task counts before it sends them on
 TEXT_BYTES = 2 << 20  # of the texts whose tokens a task holds at once
+ROWS = 1024  # rows of weights that are sent as one value
 CELLS = 1 << 22  # counts that a task holds at once
 END = b""
 
@@ -98,7 +105,9 @@ class Model:
     bits: int
     weights: np.ndarray  # buckets x classes
     bias: np.ndarray
-    inside: np.ndarray | None = None  # class before x id: log probability within the class
+    route: np.ndarray | None = None  # level x id: node on the way to the id, -1 beyond its last
+    turn: np.ndarray | None = None  # level x id: child to take there
+    inside: np.ndarray | None = None  # buckets of node features, then nodes, x children
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """Ids; an other word becomes a number by its last bytes, above all ids."""
@@ -115,8 +124,7 @@ class Model:
         one[begins] = two[begins] = 0
         later = begins[begins + 1 < len(ids)] + 1
         two[later] = 0
-        mix = lambda x, salt: ((x * 0x9E3779B1 + salt * 0x85EBCA77) & 0xFFFFFFFF) >> (32 - self.bits)
-        return [mix(one, 1), mix(two, 2), mix(one * 70_001 + two, 3)]
+        return [mix(one, 1, self.bits), mix(two, 2, self.bits), mix(one * 70_001 + two, 3, self.bits)]
 
     @staticmethod
     def before(classes: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -126,23 +134,99 @@ class Model:
         return out
 
     def logits(self, features: list[np.ndarray]) -> np.ndarray:
-        out = self.bias + self.weights.take(features[0], axis=0)
-        for f in features[1:]:
-            out += self.weights.take(f, axis=0)
-        return out
+        return self.bias + summed(self.weights, features)
+
+    def ways(self, ids: np.ndarray, one: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """The nodes passed on the way to known ids in their trees: places of their tokens, rows of ``inside`` and the
+        children taken. ``one`` and ``group`` are the id and the class before each token."""
+        known = np.flatnonzero(ids <= len(self.ids))
+        nodes = self.route[:, ids[known]]
+        level, which = np.nonzero(nodes >= 0)
+        at, node = known[which], nodes[level, which].astype("int64")
+        bits = self.bits + TREE_BITS
+        rows = [mix(node * 1_000_003 + one[at], 4, bits), mix(node * FAN + group[at], 5, bits), (1 << bits) + node]
+        return at, rows, self.turn[level, ids[at]]
 
     def learn(self, features: list[np.ndarray], target: np.ndarray, rate: float) -> None:
-        """One gradient step on a batch."""
-        _, grad, total = softmax_parts(self.logits(features))
-        grad /= total[:, None]
-        grad[np.arange(len(target)), target] -= 1
-        for f in features:
-            by = np.argsort(f.astype("uint16" if self.bits <= 16 else "uint32"), kind="stable")  # of 16 bits a radix sort
-            at = f[by]
-            cuts = np.flatnonzero(np.diff(at, prepend=-1))
-            sizes = np.diff(np.append(cuts, len(at)))
-            self.weights[at[cuts]] -= rate * np.add.reduceat(grad.take(by, axis=0), cuts, axis=0) / np.sqrt(sizes)[:, None] / 4
-        self.bias -= rate * grad.mean(axis=0)
+        """One gradient step on the classes of a batch."""
+        grad = self.bias + summed(self.weights, features)
+        self.bias -= rate * descent(self.weights, features, grad, target, rate).mean(axis=0)
+
+    def learn_words(self, rows: list[np.ndarray], turn: np.ndarray, rate: float) -> None:
+        """One gradient step on the nodes that a batch passes."""
+        if len(turn):
+            descent(self.inside, rows, summed(self.inside, rows), turn, rate, WORD_POWER)
+
+
+def mix(x: np.ndarray, salt: int, bits: int) -> np.ndarray:
+    return ((x * 0x9E3779B1 + salt * 0x85EBCA77) & 0xFFFFFFFF) >> (32 - bits)
+
+
+def summed(table: np.ndarray, features: list[np.ndarray]) -> np.ndarray:
+    out = table.take(features[0], axis=0)
+    for f in features[1:]:
+        out += table.take(f, axis=0)
+    return out
+
+
+def descent(table: np.ndarray, features: list[np.ndarray], logits: np.ndarray, target: np.ndarray, rate: float, power: float = 0.5) -> np.ndarray:
+    """Moves the rows that are features of a batch against their gradient, which comes back for each token."""
+    _, grad, total = softmax_parts(logits)
+    grad /= total[:, None]
+    grad[np.arange(len(target)), target] -= 1
+    for f in features:
+        by = np.argsort(f.astype("uint16" if len(table) <= 1 << 16 else "uint32"), kind="stable")  # of 16 bits a radix sort
+        at = f[by]
+        cuts = np.flatnonzero(np.diff(at, prepend=-1))
+        sizes = np.diff(np.append(cuts, len(at)))
+        table[at[cuts]] -= rate * np.add.reduceat(grad.take(by, axis=0), cuts, axis=0) / (sizes ** power)[:, None] / 4
+    return grad
+
+
+def trees(classes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``route`` and ``turn`` of a model, and log shares of the children of every node (far below all for none)."""
+    levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+    shares: list[np.ndarray] = []
+    nodes = 0
+    for g in range(1, CLASSES + 1):
+        mine = np.flatnonzero(classes == g)
+        mine = mine[mine > 0]
+        if len(mine) < 2:
+            continue
+        mass = (counts[mine] + 0.5).tolist()
+        heap = [(m, i) for i, m in enumerate(mass)]
+        heapq.heapify(heap)
+        parent, place = [0] * len(mass), [0] * len(mass)
+        take = (len(mass) - 2) % (FAN - 1) + 2  # the first node takes what leaves all others full
+        while len(heap) > 1:
+            inner = len(mass)
+            total = 0.0
+            for k in range(take):
+                m, item = heapq.heappop(heap)
+                parent[item], place[item] = inner, k
+                total += m
+            mass.append(total)
+            parent.append(inner)
+            place.append(0)
+            heapq.heappush(heap, (total, inner))
+            take = FAN
+        up, child, root = np.array(parent), np.array(place), len(mass) - 1
+        depth = np.zeros(len(mass), "int64")
+        for item in range(root - 1, len(mine) - 1, -1):  # a node is made before its parent
+            depth[item] = depth[up[item]] + 1
+        own = np.full((len(mass) - len(mine), FAN), -1e9)
+        own[up[:root] - len(mine), child[:root]] = np.log(np.array(mass[:root]) / np.array(mass)[up[:root]])
+        shares.append(own)
+        item, word = np.arange(len(mine)), mine
+        while len(item):
+            levels.append((depth[up[item]], word, up[item] - len(mine) + nodes, child[item]))
+            item, word = up[item][up[item] != root], word[up[item] != root]
+        nodes += len(own)
+    top = 1 + max((int(level[0].max()) for level in levels), default=-1)
+    route, turn = np.full((top, len(classes)), -1, "int32"), np.zeros((top, len(classes)), "int8")
+    for level, word, node, child in levels:
+        route[level, word], turn[level, word] = node, child
+    return route, turn, np.vstack(shares) if shares else np.zeros((0, FAN))
 
 
 def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
@@ -231,24 +315,24 @@ def prepare(train: DataFrame, counts: DataFrame) -> tuple[Model, DataFrame]:
     rows = numbered(train, model)
     if len(words):
         follow = np.zeros((len(words) + 1, CONTEXTS + 1))
-        at, k = pairs(rows, model, "follow")
+        at, k = pairs(rows, model)
         follow.ravel()[at] = k
         model.classes[1:] = 1 + clusters(follow[1:], np.sqrt(c), CLASSES)
     mass = np.bincount(model.classes[1:], weights=c, minlength=CLASSES + 1)
     mass[OTHER] += model.other_n
     model.bias = np.log((mass + 1) / (mass + 1).sum()).astype("float32")
+    model.route, model.turn, shares = trees(model.classes, model.counts)
+    model.inside = np.vstack([np.zeros((1 << bits + TREE_BITS, FAN)), shares]).astype("float32")
     return model, rows
 
 
-def pairs(rows: DataFrame, model: Model, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of (known word, common word before it), or of (class before, known word), over all numbered training
-    texts, as places and counts; at most the known words x ``CONTEXTS`` or x ``CLASSES`` numbers."""
-    sent = rows.sparkSession.sparkContext.broadcast((model.classes, len(model.ids)))
+def pairs(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of (known word, common word before it) over all numbered training texts, as places and counts; at most
+    the known words x ``CONTEXTS`` numbers."""
+    width = len(model.ids) + 1
 
     def run(batches):
-        classes, top = sent.value
-        width = top + 1
-        cells = width * (CONTEXTS + 1 if kind == "follow" else CLASSES + 1)
+        cells = width * (CONTEXTS + 1)
         total, held, waiting = np.zeros(cells if cells <= CELLS else 0, "int64"), [], 0
 
         def out(at, n):
@@ -256,10 +340,8 @@ def pairs(rows: DataFrame, model: Model, kind: str) -> tuple[np.ndarray, np.ndar
 
         for batch in batches:
             for ids, begins in stored(batch):
-                known = ids < width
-                other = np.where(ids <= CONTEXTS, ids, 0) if kind == "follow" else np.where(known, classes[np.where(known, ids, 0)], OTHER)
-                one = Model.before(other, begins)
-                places = (ids * (CONTEXTS + 1) + one if kind == "follow" else one * width + ids)[known]
+                one = Model.before(np.where(ids <= CONTEXTS, ids, 0), begins)
+                places = (ids * (CONTEXTS + 1) + one)[ids < width]
                 if len(total):
                     total += np.bincount(places, minlength=cells)
                     continue
@@ -274,7 +356,6 @@ def pairs(rows: DataFrame, model: Model, kind: str) -> tuple[np.ndarray, np.ndar
             yield out(*np.unique(np.concatenate(held), return_counts=True))
 
     found = rows.select("ids").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    sent.unpersist()
     return found.column("at").to_numpy(), found.column("n").to_numpy()
 
 
@@ -291,12 +372,11 @@ def descend(rows: DataFrame, model: Model, rounds: int) -> None:
             own, seen, shard = None, 0, None
 
             def out():
-                moved = np.vstack([own.weights - old.weights, own.bias - old.bias]) * seen
-                at = np.flatnonzero(np.abs(moved).sum(axis=1))
-                moved = moved[at].astype("float64")
-                return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(np.full(len(at), seen), pa.int64()),
-                                                   *(pa.array(moved[:, k]) for k in range(CLASSES + 1))],
-                                                  names=["at", "seen", *(f"w{k}" for k in range(CLASSES + 1))])
+                moved = np.vstack([own.weights - old.weights, own.bias - old.bias, own.inside - old.inside])
+                for at in range(0, len(moved), ROWS):
+                    if moved[at:at + ROWS].any():
+                        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([shard], pa.int32()), pa.array([seen], pa.int64()),
+                                                          pa.array([moved[at:at + ROWS].tobytes()], pa.binary())], names=["at", "shard", "seen", "moved"])
 
             for batch in batches:
                 names = batch.column("shard").to_numpy()
@@ -306,49 +386,45 @@ def descend(rows: DataFrame, model: Model, rounds: int) -> None:
                         continue
                     if shard != names[a]:  # a task may hold several shards, one after the other
                         if own is not None:
-                            yield out()
-                        own, seen, shard = Model(**{**vars(old), "weights": old.weights.copy(), "bias": old.bias.copy()}), 0, names[a]
+                            yield from out()
+                        own, seen, shard = Model(**{**vars(old), "weights": old.weights.copy(), "bias": old.bias.copy(), "inside": old.inside.copy()}), 0, names[a]
                     for ids, begins in stored(batch.slice(a, b - a)):
                         target, features = own.classed(ids), own.features(ids, begins)
+                        one, group = own.before(ids, begins), own.before(target, begins)
                         for start in range(0, len(ids), BATCH):
+                            part = slice(start, start + BATCH)
                             rate = RATE / (1 + number) / (1 + seen / 2e6) ** 0.5
-                            own.learn([f[start:start + BATCH] for f in features], target[start:start + BATCH], rate)
-                            seen += len(target[start:start + BATCH])
+                            own.learn([f[part] for f in features], target[part], rate)
+                            _, ways, turn = own.ways(ids[part], one[part], group[part])
+                            own.learn_words(ways, turn, WORD_RATE * rate)
+                            seen += len(target[part])
             if own is not None:
-                yield out()
+                yield from out()
 
-        schema = "at int, seen long, " + ", ".join(f"w{k} double" for k in range(CLASSES + 1))
-        moved = dealt.mapInArrow(run, schema).groupBy("at").agg(F.sum("seen").alias("seen"), *[F.sum(f"w{k}").alias(f"w{k}") for k in range(CLASSES + 1)])
-        found = moved.toArrow()  # a row a bucket
+        moved = dealt.mapInArrow(run, "at long, shard int, seen long, moved binary")
+        found = moved.groupBy("at").applyInArrow(averaged, "at long, step binary").toArrow()  # the weights once
         sent.unpersist()
-        if not found.num_rows:
-            return
-        at = found.column("at").to_numpy()
-        # a row of weights is averaged over the shards that moved it
-        step = np.column_stack([found.column(f"w{k}").to_numpy() for k in range(CLASSES + 1)]) / found.column("seen").to_numpy()[:, None]
-        whole = np.vstack([model.weights, model.bias])
-        whole[at] += step.astype("float32")
-        model.weights, model.bias = whole[:-1], whole[-1]
+        whole = np.vstack([model.weights, model.bias, model.inside])
+        for at, step in zip(found.column("at").to_pylist(), found.column("step").to_pylist()):
+            whole[at:at + ROWS] += np.frombuffer(step, "<f4").reshape(-1, CLASSES + 1)
+        n = len(model.weights)
+        model.weights, model.bias, model.inside = whole[:n], whole[n], whole[n + 1:]
+
+
+def averaged(rows: pa.Table) -> pa.Table:
+    """The steps of ``ROWS`` rows of weights, each averaged over the shards that moved it."""
+    total, weight = 0.0, 0.0
+    for i in np.argsort(rows.column("shard").to_numpy(), kind="stable").tolist():
+        step, seen = np.frombuffer(rows.column("moved")[i].as_py(), "<f4").reshape(-1, CLASSES + 1).astype("float64"), rows.column("seen")[i].as_py()
+        total, weight = total + step * seen, weight + step.any(axis=1) * float(seen)
+    step = (total / np.where(weight > 0, weight, 1.0)[:, None]).astype("<f4")
+    return pa.table({"at": rows.column("at").slice(0, 1), "step": pa.array([step.tobytes()], pa.binary())})
 
 
 def train_model(train: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Model:
     model, rows = prepare(train, counts)
     if model.n:
         descend(rows, model, rounds)
-    width = len(model.ids) + 1
-    seen = np.zeros((CLASSES + 1, width))
-    if model.n:
-        at, k = pairs(rows, model, "inside")
-        seen.ravel()[at] = k
-    share = np.zeros((CLASSES + 1, width))
-    for g in range(1, CLASSES + 1):
-        mine = np.flatnonzero(model.classes == g)
-        mine = mine[mine > 0]
-        if len(mine):
-            plain = (model.counts[mine] + 0.5) / (model.counts[mine] + 0.5).sum()
-            own = seen[:, mine]
-            share[:, mine] = (own + 200 * plain) / (own.sum(axis=1, keepdims=True) + 200)
-    model.inside = np.log(np.maximum(share, 1e-300)).astype("float32")
     return model
 
 
@@ -368,6 +444,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         for piece, split in texts(batches):
             ids, begins = flat(m, split)
             classes, features = m.classed(ids), m.features(ids, begins)
+            one, group = m.before(ids, begins), m.before(classes, begins)
             known = ids < width
             value = np.empty(len(ids))
             for start in range(0, len(ids), BATCH):
@@ -375,8 +452,9 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                 logits = m.logits([f[part] for f in features])
                 logits[:, empty] = -np.inf
                 value[part] = log_share(logits, classes[part])
-            one = m.before(classes, begins)
-            value += np.where(known, m.inside[one, np.where(known, ids, 0)], 0.0)
+                at, ways, turn = m.ways(ids[part], one[part], group[part])
+                if len(at):
+                    value[part] += np.bincount(at, log_share(summed(m.inside, ways), turn), len(ids[part]))
             # an other word's own share, (c + 1/2) over the mass of its class, is added where its count is joined
             value[~known] -= other
             base = np.where(known, np.log10(m.counts[np.where(known, ids, 0)] + 0.5), 0.0)
