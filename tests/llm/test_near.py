@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from volumetry.llm import near, simhash
 
@@ -73,3 +75,23 @@ def test_columns_stay(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, mark long, _mark long")
     for keep in (near.one_each, simhash.one_each):
         assert sorted(tuple(r) for r in keep(docs).collect()) == [rows[0], rows[2]]
+
+
+def test_simhash_links_come_first(spark, rng, monkeypatch):
+    """Without any band, copies within the bits of SimHash still go; texts of close fingerprints that differ stay."""
+    monkeypatch.setattr(near, "bands", lambda low: [])
+    rows = []
+    for i in range(20):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        rows += [(i, " ".join(w)), (100 + i, " ".join(w[:-1]))]
+    prints = {i: near.fingerprint(near.shingles(t.encode())) & (2**64 - 1) for i, t in rows}
+    near_bits = {i for i in range(20) if (prints[i] ^ prints[100 + i]).bit_count() <= 4}
+    assert len(near_bits) > 15
+    rows += [(200, "a b c d e"), (201, "a b c d f"), (202, None), (203, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    named = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"), "text")
+    made = near.keyed(docs.select(F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark")).alias("_row"), "text"), "text", ["_row"])
+    keys = {r["key"]: r["_row"]["id"] for r in made.where("_row.id < 200").collect()}
+    assert {min(keys[r.u], keys[r.v]) for r in near.close(named, made.where("_row.id < 200")).collect()} == near_bits
+    kept = {r.doc_id for r in near.one_each(docs).collect()}
+    assert kept == {*range(20), *(100 + i for i in range(20) if i not in near_bits), 200, 201, 202}
