@@ -166,3 +166,13 @@ def test_pending_work(spark):
     done = spark.createDataFrame([("a",)], "path string")
     assert [r["path"] for r in catalog.pending(cat, done, ["path"]).collect()] == ["b"]
     assert CohortConfig().file_pattern.endswith(catalog.DEFACED_FILE)
+
+
+def test_files_are_python_bytes_one_at_a_time(spark):
+    """No frame of a whole batch of contents: files go through Arrow, null ones and broken ones as rows with an error."""
+    files = spark.createDataFrame([(1, None), (2, bytearray(b"short")), (None, bytearray(400))], "volume_id long, content binary")
+    out = volumes.decode_volumes(files)
+    plan = out._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
+    found = {r.volume_id: r.error for r in out.collect()}
+    assert found[1].startswith("TypeError") and "shorter than a header" in found[2] and "not a NIfTI-1" in found[None]

@@ -11,7 +11,7 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,10 +80,13 @@ def decode(content: bytes) -> tuple[dict, np.ndarray]:
     return head, cube.astype("float32")
 
 
+_SHAPE, _SPACING = pa.list_(pa.int32()), pa.list_(pa.float64())
+BATCH = pa.schema([("volume_id", pa.int64()), ("shape", _SHAPE), ("spacing", _SPACING), ("affine", pa.list_(_SPACING)), ("brick", pa.int32()),
+                   ("origin", _SHAPE), ("dims", _SHAPE), ("value", pa.list_(pa.float32())), ("error", pa.string())])
+
+
 def decode_volumes(files: DataFrame, side: int = BRICK_SIDE) -> DataFrame:
     """``(volume_id, content)`` rows to brick rows; every brick carries its header."""
-    names = [c.split()[0] for c in DECODED.split(", ")]
-
     def rows(volume_id: int, content: bytes) -> Iterator[tuple]:
         try:
             head, cube = decode(bytes(content))
@@ -97,23 +100,23 @@ def decode_volumes(files: DataFrame, side: int = BRICK_SIDE) -> DataFrame:
             yield (volume_id, list(cube.shape), head["spacing"], head["affine"], i, [x, y, z], list(part.shape),
                    part.reshape(-1), None)
 
-    def frame(held: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame({n: pd.Series([r[i] for r in held], dtype="object") for i, n in enumerate(names)})
+    def made(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), BATCH)], schema=BATCH)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for pdf in batches:
-            for volume_id, content in zip(pdf["volume_id"], pdf["content"]):
-                for row in rows(volume_id, content):
+        for batch in batches:
+            for volume_id, content in zip(batch.column(0), batch.column(1)):  # one file is Python bytes at a time
+                for row in rows(volume_id.as_py(), content.as_py()):
                     held.append(row)
                     size += 0 if row[7] is None else len(row[7])
                     if size >= HELD_SAMPLES or len(held) >= HELD_ROWS:  # keeps the Python worker small
-                        yield frame(held)
+                        yield made(held)
                         held, size = [], 0
         if held:
-            yield frame(held)
+            yield made(held)
 
-    return files.select("volume_id", "content").mapInPandas(run, DECODED)
+    return files.select(F.col("volume_id").cast("long").alias("volume_id"), "content").mapInArrow(run, DECODED)
 
 
 def load_volumes(spark: SparkSession, root: str, catalog: DataFrame, pattern: str = "*.nii.gz") -> DataFrame:
