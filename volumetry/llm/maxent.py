@@ -107,7 +107,7 @@ class Model:
     bias: np.ndarray
     route: np.ndarray | None = None  # level x id: node on the way to the id, -1 beyond its last
     turn: np.ndarray | None = None  # level x id: child to take there
-    inside: np.ndarray | None = None  # buckets of node features, then nodes, x children
+    tree: np.ndarray | None = None  # buckets of node features, then nodes, x children
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """Ids; an other word becomes a number by its last bytes, above all ids."""
@@ -137,7 +137,7 @@ class Model:
         return self.bias + summed(self.weights, features)
 
     def ways(self, ids: np.ndarray, one: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-        """The nodes passed on the way to known ids in their trees: places of their tokens, rows of ``inside`` and the
+        """The nodes passed on the way to known ids in their trees: places of their tokens, rows of ``tree`` and the
         children taken. ``one`` and ``group`` are the id and the class before each token."""
         known = np.flatnonzero(ids <= len(self.ids))
         nodes = self.route[:, ids[known]]
@@ -147,6 +147,17 @@ class Model:
         rows = [mix(node * 1_000_003 + one[at], 4, bits), mix(node * FAN + group[at], 5, bits), (1 << bits) + node]
         return at, rows, self.turn[level, ids[at]]
 
+    @property
+    def inside(self) -> np.ndarray:
+        """Class before x id: log probability within the class, with no word known before. To look at; scores don't need it."""
+        ids = np.arange(len(self.ids) + 1)
+        out = np.zeros((CLASSES + 1, len(ids)), "float32")
+        for g in range(CLASSES + 1):
+            at, rows, turn = self.ways(ids, np.zeros_like(ids), np.full_like(ids, g))
+            if len(at):
+                out[g] = np.bincount(at, log_share(summed(self.tree, rows), turn), len(ids))
+        return out
+
     def learn(self, features: list[np.ndarray], target: np.ndarray, rate: float) -> None:
         """One gradient step on the classes of a batch."""
         grad = self.bias + summed(self.weights, features)
@@ -155,7 +166,7 @@ class Model:
     def learn_words(self, rows: list[np.ndarray], turn: np.ndarray, rate: float) -> None:
         """One gradient step on the nodes that a batch passes."""
         if len(turn):
-            descent(self.inside, rows, summed(self.inside, rows), turn, rate, WORD_POWER)
+            descent(self.tree, rows, summed(self.tree, rows), turn, rate, WORD_POWER)
 
 
 def mix(x: np.ndarray, salt: int, bits: int) -> np.ndarray:
@@ -322,7 +333,7 @@ def prepare(train: DataFrame, counts: DataFrame) -> tuple[Model, DataFrame]:
     mass[OTHER] += model.other_n
     model.bias = np.log((mass + 1) / (mass + 1).sum()).astype("float32")
     model.route, model.turn, shares = trees(model.classes, model.counts)
-    model.inside = np.vstack([np.zeros((1 << bits + TREE_BITS, FAN)), shares]).astype("float32")
+    model.tree = np.vstack([np.zeros((1 << bits + TREE_BITS, FAN)), shares]).astype("float32")
     return model, rows
 
 
@@ -372,7 +383,7 @@ def descend(rows: DataFrame, model: Model, rounds: int) -> None:
             own, seen, shard = None, 0, None
 
             def out():
-                moved = np.vstack([own.weights - old.weights, own.bias - old.bias, own.inside - old.inside])
+                moved = np.vstack([own.weights - old.weights, own.bias - old.bias, own.tree - old.tree])
                 for at in range(0, len(moved), ROWS):
                     if moved[at:at + ROWS].any():
                         yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([shard], pa.int32()), pa.array([seen], pa.int64()),
@@ -387,7 +398,7 @@ def descend(rows: DataFrame, model: Model, rounds: int) -> None:
                     if shard != names[a]:  # a task may hold several shards, one after the other
                         if own is not None:
                             yield from out()
-                        own, seen, shard = Model(**{**vars(old), "weights": old.weights.copy(), "bias": old.bias.copy(), "inside": old.inside.copy()}), 0, names[a]
+                        own, seen, shard = Model(**{**vars(old), "weights": old.weights.copy(), "bias": old.bias.copy(), "tree": old.tree.copy()}), 0, names[a]
                     for ids, begins in stored(batch.slice(a, b - a)):
                         target, features = own.classed(ids), own.features(ids, begins)
                         one, group = own.before(ids, begins), own.before(target, begins)
@@ -404,11 +415,11 @@ def descend(rows: DataFrame, model: Model, rounds: int) -> None:
         moved = dealt.mapInArrow(run, "at long, shard int, seen long, moved binary")
         found = moved.groupBy("at").applyInArrow(averaged, "at long, step binary").toArrow()  # the weights once
         sent.unpersist()
-        whole = np.vstack([model.weights, model.bias, model.inside])
+        whole = np.vstack([model.weights, model.bias, model.tree])
         for at, step in zip(found.column("at").to_pylist(), found.column("step").to_pylist()):
             whole[at:at + ROWS] += np.frombuffer(step, "<f4").reshape(-1, CLASSES + 1)
         n = len(model.weights)
-        model.weights, model.bias, model.inside = whole[:n], whole[n], whole[n + 1:]
+        model.weights, model.bias, model.tree = whole[:n], whole[n], whole[n + 1:]
 
 
 def averaged(rows: pa.Table) -> pa.Table:
@@ -454,7 +465,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                 value[part] = log_share(logits, classes[part])
                 at, ways, turn = m.ways(ids[part], one[part], group[part])
                 if len(at):
-                    value[part] += np.bincount(at, log_share(summed(m.inside, ways), turn), len(ids[part]))
+                    value[part] += np.bincount(at, log_share(summed(m.tree, ways), turn), len(ids[part]))
             # an other word's own share, (c + 1/2) over the mass of its class, is added where its count is joined
             value[~known] -= other
             base = np.where(known, np.log10(m.counts[np.where(known, ids, 0)] + 0.5), 0.0)
