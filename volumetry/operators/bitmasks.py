@@ -16,10 +16,12 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from volumetry.operators import stacks
 from volumetry.operators.masks import ORDER_BITS, _stars
 from volumetry.operators.ordering import percentiles
 from volumetry.operators.pull import arrow_schema
@@ -50,15 +52,40 @@ def _fields(df: DataFrame, keys: Sequence[str], *more: T.StructField) -> T.Struc
 BITS = T.StructField("bits", T.BinaryType())
 
 
+def _unpacked(data: pa.Array, dims: Sequence[int]) -> np.ndarray:
+    """Masks of bricks of equal dims and bytes, one above the other."""
+    raw = np.frombuffer(b"".join(data.to_pylist()), "u1").reshape(len(data), -1)
+    return np.unpackbits(raw, axis=1, count=int(np.prod(dims))).reshape(len(data), *dims).astype(bool)
+
+
+def _packed(masks: np.ndarray) -> pa.Array:
+    raw = np.packbits(masks.reshape(len(masks), -1), axis=1)
+    return pa.array([r.tobytes() for r in raw], pa.binary())
+
+
 def _mapped(batches: Iterator[pa.RecordBatch], keep: list[str], schema: pa.Schema, fn) -> Iterator[pa.RecordBatch]:
     """Batches with the kept columns and, behind them, what ``fn(row)`` gives for each row."""
     for batch in batches:
-        rows = batch.to_pylist() if "value" not in batch.schema.names else None
-        made = [fn(r) for r in rows] if rows is not None else [fn({c: batch.column(c)[i] for c in batch.schema.names}) for i in range(batch.num_rows)]
+        made = [fn(r) for r in batch.to_pylist()]
         new = [pa.array([m[k] for m in made], f.type) for k, f in enumerate(list(schema)[len(keep):])]
         yield pa.RecordBatch.from_arrays([*(batch.column(c).cast(schema.field(c).type) for c in keep), *new], schema=schema)
 
 
+def _stacked(batches: Iterator[pa.RecordBatch], keep: list[str], schema: pa.Schema, same: list[str], sized: list[str], fn) -> Iterator[pa.RecordBatch]:
+    """Batches with the kept columns and, behind them, what ``fn(rows)`` gives for rows that agree in ``same`` and in the lengths of ``sized``."""
+    def run(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        new = [a.cast(f.type) for a, f in zip(fn(rows), list(schema)[len(keep):])]
+        yield pa.RecordBatch.from_arrays([*(rows.column(c).cast(schema.field(c).type) for c in keep), *new], schema=schema)
+
+    def samples(row: pa.RecordBatch) -> int:
+        if "value" in row.schema.names:
+            return len(row.column("value").flatten())
+        return int(np.prod(row.column("dims")[0].as_py()))
+
+    for batch in batches:
+        yield from stacks.sent(stacks.stacked(batch, same, sized, samples, run), "value" if "value" in schema.names else None)
+
+
 def above(packed: DataFrame, cut: Column, keys: Sequence[str] = ("volume_id",), value: str = "value") -> DataFrame:
     """Bits of the samples above ``cut``, a column of the rows; none where it is null, and NaN is not above."""
     keys = list(keys)
@@ -66,11 +93,11 @@ def above(packed: DataFrame, cut: Column, keys: Sequence[str] = ("volume_id",),
     schema = _fields(given, keys, BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def bits(row: dict) -> tuple[bytes]:
-            limit = row["cut"].as_py()
-            return (_pack(row["value"].values.to_numpy(zero_copy_only=False) > (np.inf if limit is None else limit)),)
+        def bits(rows: pa.RecordBatch) -> tuple[pa.Array]:
+            limit = rows.column("cut").fill_null(np.inf).to_numpy()
+            return (_packed(stacks.matrix(rows.column("value")) > limit[:, None]),)
 
-        return _mapped(batches, [*keys, "origin", "dims"], arrow_schema(schema), bits)
+        return _stacked(batches, [*keys, "origin", "dims"], arrow_schema(schema), [], ["value"], bits)
 
     return given.mapInArrow(run, schema)
 
@@ -96,9 +123,15 @@ def morph(bits: DataFrame, volumes: DataFrame, steps: Sequence[tuple[str, int]],
                     T.StructField("center", T.BooleanType()))
 
     def faces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = arrow_schema(kinds)
         for batch in batches:
+            ends = [(stacks.matrix(batch.column(c)) if batch.num_rows else np.zeros((0, 3))) for c in ("origin", "dims", "shape")]
+            inner = ((ends[0] != 0) | (ends[0] + ends[1] < ends[2])).any(axis=1)
+            if not inner.all():  # bricks that are whole volumes have no neighbours
+                whole = batch.filter(pa.array(~inner))
+                yield pa.RecordBatch.from_arrays([whole.column(f.name).cast(f.type) for f in kind], schema=kind)
             out = []
-            for row in batch.to_pylist():
+            for row in batch.filter(pa.array(inner)).to_pylist():
                 out.append(row)
                 mask = None
                 for off in product((-1, 0, 1), repeat=3):
@@ -110,47 +143,72 @@ def morph(bits: DataFrame, volumes: DataFrame, steps: Sequence[tuple[str, int]],
                     if part.any():  # empty sides say nothing
                         out.append({**row, "origin": [s + c[0] for s, c in zip(row["origin"], cut)], "dims": list(part.shape), "bits": _pack(part),
                                     "center": False, **{b: row[b] + o for b, o in zip(CELL, off)}})
-            yield pa.RecordBatch.from_pylist(out, schema=arrow_schema(kinds))
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=kind)
 
     made = _fields(home, keys, BITS)
+    kind = arrow_schema(made)
 
-    def work(rows: pa.Table) -> pa.Table:
-        held = rows.to_pylist()
-        mine = next(r for r in held if r["center"])
-        start, dims = np.array(mine["origin"]), np.array(mine["dims"])
-        block = np.zeros(dims + 2 * reach, bool)
-        for r in held:
-            place = tuple(slice(a, a + n) for a, n in zip(np.array(r["origin"]) - start + reach, r["dims"]))
-            block[place] = _unpack(r["bits"], r["dims"])
-        grid = np.zeros(block.shape, bool)
-        grid[tuple(slice(max(0, reach - s), min(reach - s + t, n)) for s, t, n in zip(start, mine["shape"], block.shape))] = True
+    def stepped(block: np.ndarray, start: np.ndarray, dims: np.ndarray, shape: np.ndarray) -> np.ndarray:
+        """Blocks of one place, one above the other, after all steps and without their padding."""
+        grid = np.zeros(block.shape[1:], bool)
+        grid[tuple(slice(max(0, reach - s), min(reach - s + t, n)) for s, t, n in zip(start, shape, grid.shape))] = True
         for step, n in steps:
             for _ in range(n):
                 new = block.copy()
-                for axis in range(3):
+                for axis in range(1, 4):
                     for way in (1, -1):
                         moved = np.zeros_like(block)
-                        to, by = [slice(None)] * 3, [slice(None)] * 3
+                        to, by = [slice(None)] * 4, [slice(None)] * 4
                         to[axis], by[axis] = (slice(1, None), slice(None, -1))[::way]
                         moved[tuple(to)] = block[tuple(by)]
                         new = new & moved if step == "erode" else new | moved
                 block = new & grid
-        inner = block[tuple(slice(reach, reach + n) for n in dims)]
-        keep = pa.Table.from_pylist([{**{k: mine[k] for k in keys}, "origin": mine["origin"], "dims": mine["dims"], "bits": _pack(inner)}], schema=arrow_schema(made))
-        return keep
+        return block[(slice(None), *(slice(reach, reach + n) for n in dims))]
+
+    def several(rows: pa.RecordBatch) -> pa.RecordBatch:
+        held = rows.to_pylist()
+        mine = next(r for r in held if r["center"])
+        start, dims = np.array(mine["origin"]), np.array(mine["dims"])
+        block = np.zeros(dims + 2 * reach, bool)
+        for r in held:
+            place = tuple(slice(a, a + n) for a, n in zip(np.array(r["origin"]) - start + reach, r["dims"]))
+            block[place] = _unpack(r["bits"], r["dims"])
+        inner = stepped(block[None], start, dims, mine["shape"])
+        return pa.RecordBatch.from_pylist([{**{k: mine[k] for k in keys}, "origin": mine["origin"], "dims": mine["dims"], "bits": _pack(inner)}], schema=kind)
 
-    return home.mapInArrow(faces, kinds).groupBy(*keys, *CELL).applyInArrow(work, made)
+    def single(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        start, dims, shape = (np.array(rows.column(c)[0].as_py()) for c in ("origin", "dims", "shape"))
+        block = np.pad(_unpacked(rows.column("bits"), dims), [(0, 0), *[(reach, reach)] * 3])
+        yield pa.RecordBatch.from_arrays([*(rows.column(f.name).cast(f.type) for f in list(kind)[:-1]), _packed(stepped(block, start, dims, shape))], schema=kind)
 
+    def padded(row: pa.RecordBatch) -> int:
+        return int(np.prod(np.array(row.column("dims")[0].as_py()) + 2 * reach))
 
-def labels(mask: np.ndarray, origin: Sequence[int]) -> np.ndarray:
-    """For each voxel of a brick the grid place of its component's first voxel there, -1 where not set."""
-    place = np.flatnonzero(mask.reshape(-1))
-    number = np.full(mask.size, -1)
+    def work(one: pa.RecordBatch, more: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from stacks.stacked(one, ["origin", "dims", "shape"], ["bits"], padded, single)
+        yield from (several(r) for r in more)
+
+    return stacks.in_groups(home.mapInArrow(faces, kinds), [*keys, *CELL], volumes, "shape", made, work, kind)
+
+
+def orders(dims: Sequence[int], origin: Sequence[int]) -> np.ndarray:
+    """Grid place of each voxel of a brick, in C order."""
+    x, y, z = (c.reshape(-1).astype("int64") + o for c, o in zip(np.indices(dims), origin))
+    return (x << 2 * ORDER_BITS) + (y << ORDER_BITS) + z
+
+
+def roots(masks: np.ndarray) -> np.ndarray:
+    """For each voxel of a stack of masks the place in the stack of its component's first voxel, -1 where not set."""
+    place = np.flatnonzero(masks.reshape(-1))
+    number = np.full(masks.size, -1)
     number[place] = np.arange(len(place))
-    number = number.reshape(mask.shape)
+    number = number.reshape(masks.shape)
     ends = []
-    for axis in range(3):
-        a, b = number.take(range(mask.shape[axis] - 1), axis).reshape(-1), number.take(range(1, mask.shape[axis]), axis).reshape(-1)
+    for axis in range(1, 4):
+        to, by = [slice(None)] * 4, [slice(None)] * 4
+        to[axis], by[axis] = slice(None, -1), slice(1, None)
+        a, b = number[tuple(to)].reshape(-1), number[tuple(by)].reshape(-1)
         both = (a >= 0) & (b >= 0)
         ends.append(np.stack([a[both], b[both]]))
     u, v = np.concatenate(ends, axis=1)
@@ -163,11 +221,15 @@ def labels(mask: np.ndarray, origin: Sequence[int]) -> np.ndarray:
             parent = parent[parent]
         apart = parent[u] != parent[v]
         u, v = u[apart], v[apart]
-    x, y, z = (c.astype("int64") + o for c, o in zip(np.unravel_index(place, mask.shape), origin))
-    order = (x << 2 * ORDER_BITS) + (y << ORDER_BITS) + z
-    out = np.full(mask.size, -1, "int64")
-    out[place] = order[parent]
-    return out.reshape(mask.shape)
+    out = np.full(masks.size, -1, "int64")
+    out[place] = place[parent]
+    return out
+
+
+def labels(mask: np.ndarray, origin: Sequence[int]) -> np.ndarray:
+    """For each voxel of a brick the grid place of its component's first voxel there, -1 where not set."""
+    found = roots(mask[None])
+    return np.where(found >= 0, orders(mask.shape, origin)[found], -1).reshape(mask.shape)
 
 
 def components(bits: DataFrame, volumes: DataFrame, keys: Sequence[str] = ("volume_id",), empty: bool = False, groups: int | None = None,
@@ -186,23 +248,31 @@ def components(bits: DataFrame, volumes: DataFrame, keys: Sequence[str] = ("volu
     schema = T.StructType([*schema.fields, T.StructField("parts", part)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def label(row: dict) -> tuple:
-            mask = _unpack(row["bits"], row["dims"]) != empty
-            found = labels(mask, row["origin"])
-            parts, n = np.unique(found[mask], return_counts=True)
-            edge, low, high = set(), [], []
+        def label(rows: pa.RecordBatch) -> tuple:
+            origin, dims, shape = (rows.column(c)[0].as_py() for c in ("origin", "dims", "shape"))
+            n, size = rows.num_rows, int(np.prod(dims))
+            found, order = roots(_unpacked(rows.column("bits"), dims) != empty), orders(dims, origin)
+            named = np.where(found >= 0, order[found % size], -1).reshape(n, *dims)
+            parts, counts = np.unique(found[found >= 0], return_counts=True)
+            edge, faces, found = np.zeros(n * size, bool), [], found.reshape(n, *dims)
             for axis in range(3):
-                first, last = found.take(0, axis).reshape(-1), found.take(-1, axis).reshape(-1)
-                ends = row["origin"][axis] + row["dims"][axis] >= row["shape"][axis]
-                if row["origin"][axis] == 0:
-                    edge.update(first.tolist())
-                if ends:
-                    edge.update(last.tolist())
-                low.append(first.tolist() if row["origin"][axis] else [])
-                high.append([] if ends else last.tolist())
-            return low, high, [{"part": p, "n": k, "border": p in edge} for p, k in zip(parts.tolist(), n.tolist())]
-
-        return _mapped(batches, [*keys, "origin", "dims"], kind, label)
+                ends = origin[axis] + dims[axis] >= shape[axis]
+                for at, outside in ((0, origin[axis] == 0), (-1, ends)):
+                    if outside:
+                        face = found.take(at, axis + 1).reshape(-1)
+                        edge[face[face >= 0]] = True
+                faces.append([None if outside else named.take(at, axis + 1).reshape(n, -1) for at, outside in ((0, not origin[axis]), (-1, ends))])
+            sides = []
+            for way in range(2):
+                planes = [np.zeros((n, 0), "int64") if f[way] is None else f[way] for f in faces]
+                at = np.cumsum([0, *([p.shape[1] for p in planes] * n)])
+                inner = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.hstack(planes).reshape(-1), pa.int64()))
+                sides.append(pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * 3, pa.int32()), inner))
+            each = pa.StructArray.from_arrays([pa.array(order[parts % size], pa.int64()), pa.array(counts, pa.int64()), pa.array(edge[parts])], ["part", "n", "border"])
+            cuts = np.searchsorted(parts // size, np.arange(n + 1))
+            return *sides, pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), each)
+
+        return _stacked(batches, [*keys, "origin", "dims"], kind, ["origin", "dims", "shape"], ["bits"], label)
 
     made = cut_lineage(home.mapInArrow(run, schema), "labels")
     cell = _cells(side)
@@ -227,12 +297,20 @@ def _chosen(bits: DataFrame, parts: DataFrame, keys: list[str], empty: bool) ->
     schema = _fields(both, keys, BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def keep(row: dict) -> tuple[bytes]:
-            mask = _unpack(row["bits"], row["dims"])
-            inside = np.isin(labels(mask != empty, row["origin"]), row["parts"] or [])
-            return (_pack(inside | mask if empty else inside),)
-
-        return _mapped(batches, [*keys, "origin", "dims"], arrow_schema(schema), keep)
+        def keep(rows: pa.RecordBatch) -> tuple[pa.Array]:
+            origin, dims = (rows.column(c)[0].as_py() for c in ("origin", "dims"))
+            masks, size, parts = _unpacked(rows.column("bits"), dims), int(np.prod(dims)), rows.column("parts")
+            found = roots(masks != empty)
+            name, row = parts.flatten().to_numpy(), pc.list_parent_indices(parts).to_numpy()
+            at = [((name >> k * ORDER_BITS) & (1 << ORDER_BITS) - 1) - o for k, o in zip((2, 1, 0), origin)]
+            here = np.all([(a >= 0) & (a < n) for a, n in zip(at, dims)], axis=0)
+            chosen = np.zeros(masks.size + 1, bool)
+            chosen[row[here] * size + np.ravel_multi_index([a[here] for a in at], dims)] = True
+            chosen[-1] = False  # of voxels that are not set
+            inside = chosen[found].reshape(masks.shape)
+            return (_packed(inside | masks if empty else inside),)
+
+        return _stacked(batches, [*keys, "origin", "dims"], arrow_schema(schema), ["origin", "dims"], ["bits"], keep)
 
     return both.mapInArrow(run, schema)
 
@@ -270,11 +348,12 @@ def applied(packed: DataFrame, bits: DataFrame, keys: Sequence[str] = ("volume_i
     schema = _fields(both, keys, T.StructField("value", T.ArrayType(T.DoubleType())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def cut(row: dict) -> tuple[np.ndarray]:
-            v, data = row["value"].values.to_numpy(zero_copy_only=False), row["bits"].as_py()
-            return (v * (_unpack(data, [len(v)]) if data is not None else 0),)
+        def cut(rows: pa.RecordBatch) -> tuple[pa.Array]:
+            v, data = stacks.matrix(rows.column("value")), rows.column("bits")
+            inside = 0 if data.null_count else _unpacked(data, [v.shape[1]])  # rows of one stack have bits all or none
+            return (stacks.lists(v * inside, pa.list_(pa.float64())),)
 
-        return _mapped(batches, [*keys, "origin", "dims"], arrow_schema(schema), cut)
+        return _stacked(batches, [*keys, "origin", "dims"], arrow_schema(schema), [], ["value", "bits"], cut)
 
     return both.mapInArrow(run, schema).withColumnRenamed("value", value)
 

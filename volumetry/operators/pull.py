@@ -7,7 +7,8 @@ padding and cropping are such maps and fold into one, so a chain of them reads i
 The corners of a new brick bound the box of old samples that it can ask for, as a linear map takes boxes
 into the hull of their corners. Old bricks send each new brick their share of its box, and a group of one
 new brick puts the box together and gathers by numpy. Boxes are the only thing that is shuffled, once; a
-group holds one box, whose size follows from the side of a brick and the scale of the map.
+group holds one box, whose size follows from the side of a brick and the scale of the map. Bricks of one place,
+shape and map are cut, and boxes of one row are gathered, a stack at a time (``stacks``).
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from volumetry.config import INTERPOLATIONS, check_choice
-from volumetry.operators.stencil import part_of, scatter
+from volumetry.operators import stacks
 from volumetry.schema import BRICK_SIDE, attach
 
 CELL = ["bx", "by", "bz"]
@@ -64,67 +65,105 @@ def _boxes(p: dict, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np
             np.minimum(np.floor(places.max(axis=0)) + 2, p["shape"] - 1).astype("int64"))
 
 
-def _sender(columns: list[str], values: list[str], side: int, schema: pa.Schema):
-    def pieces(row: dict) -> Iterator[dict]:
+GEOMETRY = ["origin", "dims", *MAP]
+
+
+def _first(rows: pa.RecordBatch) -> dict:
+    """Place and map of a row, for all rows of its stack."""
+    return {k: rows.column(k)[0].as_py() for k in GEOMETRY}
+
+
+def _sender(values: list[str], side: int, schema: pa.Schema):
+    def pieces(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        row, n = _first(rows), rows.num_rows
         p = _numbers(row)
         counts = -(-p["target"] // side)
-        start = np.stack(np.meshgrid(*[np.arange(n) * side for n in counts], indexing="ij"), -1).reshape(-1, 3)
+        start = np.stack(np.meshgrid(*[np.arange(k) * side for k in counts], indexing="ij"), -1).reshape(-1, 3)
         first, last = _filled(p, start, side)
         filled = (first <= last).all(axis=1)
         low, high = _boxes(p, np.minimum(first, last), last)
         mine = np.array(row["origin"])
         a, b = np.maximum(low - mine, 0), np.minimum(high + 1 - mine, np.array(row["dims"]))
-        for k in np.flatnonzero(filled & (a < b).all(axis=1)):
-            yield part_of(row, list(zip(a[k].tolist(), b[k].tolist())), values) | dict(zip(CELL, (start[k] // side).tolist()))
+        blocks = {v: stacks.matrix(rows.column(v)).reshape(n, *row["dims"]) for v in values}
+        none = np.zeros((len(start), 3), "int64")
+        cuts = [(k, a, b) for k in np.flatnonzero(filled & (a < b).all(axis=1))]
         if not mine.any():  # new bricks without any source come from the first brick
-            for k in np.flatnonzero(~filled):
-                yield part_of(row, [(0, 0)] * 3, values) | dict(zip(CELL, (start[k] // side).tolist()))
+            cuts += [(k, none, none) for k in np.flatnonzero(~filled)]
+        for k, a, b in cuts:
+            place = (slice(None), *(slice(i, j) for i, j in zip(a[k], b[k])))
+            made = {"origin": stacks.lists(np.tile(mine + a[k], (n, 1)), schema.field("origin").type),
+                    "dims": stacks.lists(np.tile(b[k] - a[k], (n, 1)), schema.field("dims").type)}
+            made |= {v: stacks.lists(blocks[v][place].reshape(n, -1), schema.field(v).type) for v in values}
+            made |= {c: pa.array(np.full(n, i), pa.int32()) for c, i in zip(CELL, start[k] // side)}
+            yield pa.RecordBatch.from_arrays([made[f.name] if f.name in made else rows.column(f.name).cast(f.type) for f in schema], schema=schema)
+
+    def samples(row: pa.RecordBatch) -> int:
+        return len(row.column(values[0]).flatten()) * len(values)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from stacks.sent(stacks.stacked(batch, GEOMETRY, values, samples, pieces), values[0])
 
-    return scatter(columns, values, pieces, schema)
+    return run
 
 
 def gathered(box: np.ndarray, at: np.ndarray, places: np.ndarray, mode: str, flipped: np.ndarray) -> np.ndarray:
-    """Values of a box of old samples that starts at ``at`` for places of the old grid (one a row). The
-    nearest of two samples is the one farther on in the new grid."""
+    """Values of boxes of old samples, one above the other, that start at ``at`` for places of the old grid (one a
+    row). The nearest of two samples is the one farther on in the new grid."""
+    every = slice(None)
     if mode == "nearest":
         k = np.where(flipped, np.ceil(places - 0.5), np.floor(places + 0.5)).astype("int64") - at
-        return box[tuple(k.T)]
+        return box[every, *k.T]
     low = np.floor(places).astype("int64")
     part = places - low
-    top = at + np.array(box.shape) - 1
-    out = np.zeros(len(places))
+    top = at + np.array(box.shape[1:]) - 1
+    out = np.zeros((len(box), len(places)))
     for bits in product((0, 1), repeat=3):
         weight = np.prod(np.where(bits, part, 1 - part), axis=1)
         k = np.minimum(low + bits, top) - at
-        out += np.where(weight > 0, weight * box[tuple(k.T)], 0.0)  # a corner without weight may be NaN
+        out += np.where(weight > 0, weight * box[every, *k.T], 0.0)  # a corner without weight may be NaN
     return out
 
 
-def _gatherer(keys: list[str], values: list[str], mode: str, side: int, schema: pa.Schema):
-    def run(rows: pa.Table) -> pa.Table:
-        p = _numbers({k: rows.column(k)[0].as_py() for k in MAP})
+def _gatherer(values: list[str], mode: str, side: int, schema: pa.Schema):
+    def gather(rows: pa.RecordBatch, several: bool) -> pa.RecordBatch:
+        """New bricks of the rows: one of all rows, or one of each in a stack of one place and map."""
+        p = _numbers(_first(rows))
+        n = 1 if several else rows.num_rows
         start = np.array([rows.column(c)[0].as_py() for c in CELL]) * side
         size = np.minimum(start + side, p["target"]) - start
         first, last = _filled(p, start[None], side)
-        out = {v: np.zeros(size) for v in values}
+        out = {v: np.zeros((n, *size)) for v in values}
         if (first <= last).all():
             low, high = _boxes(p, first, last)
             low, high, first, last = low[0], high[0], first[0], last[0]
             places = np.stack(np.meshgrid(*[np.arange(a, b + 1) for a, b in zip(first, last)], indexing="ij"), -1).reshape(-1, 3)
             places = np.clip(((places - p["c"]) / p["r"]) @ p["m"].T + p["d"], 0, p["shape"] - 1)
-            inside = tuple(slice(a, b) for a, b in zip(first - start, last + 1 - start))
+            inside = (slice(None), *(slice(a, b) for a, b in zip(first - start, last + 1 - start)))
             for v in values:
-                box = np.full(high + 1 - low, np.nan)
-                for i in range(rows.num_rows):
-                    dims = rows.column("dims")[i].as_py()
-                    place = tuple(slice(o, o + n) for o, n in zip(np.array(rows.column("origin")[i].as_py()) - low, dims))
+                box = np.full((n, *(high + 1 - low)), np.nan)
+                for i in range(rows.num_rows if several else 1):
+                    some = rows.slice(i, 1) if several else rows
+                    dims = some.column("dims")[0].as_py()
+                    place = (slice(None), *(slice(o, o + k) for o, k in zip(np.array(some.column("origin")[0].as_py()) - low, dims)))
                     if all(dims):
-                        box[place] = rows.column(v)[i].values.to_numpy().reshape(dims)
-                out[v][inside] = gathered(box, low, places, mode, p["m"].sum(axis=1) < 0).reshape(last + 1 - first)
-        made = {"origin": [start.tolist()], "dims": [size.tolist()], **{v: [a.reshape(-1)] for v, a in out.items()}}
-        return pa.table([rows.column(k).slice(0, 1) for k in keys] + [pa.array(made[f.name], f.type) for f in list(schema)[len(keys):]], schema=schema)
+                        box[place] = stacks.matrix(some.column(v)).reshape(n, *dims)
+                out[v][inside] = gathered(box, low, places, mode, p["m"].sum(axis=1) < 0).reshape(n, *(last + 1 - first))
+        kind = {f.name: f.type for f in schema}
+        made = {"origin": stacks.lists(np.tile(start, (n, 1)), kind["origin"]), "dims": stacks.lists(np.tile(size, (n, 1)), kind["dims"])}
+        made |= {v: stacks.lists(out[v].reshape(n, -1), kind[v]) for v in values}
+        return pa.RecordBatch.from_arrays([made[f.name] if f.name in made else rows.column(f.name).slice(0, n).cast(f.type) for f in schema], schema=schema)
 
-    return run
+    def samples(row: pa.RecordBatch) -> int:
+        return max(len(row.column(values[0]).flatten()), int(np.prod(np.minimum(row.column("target")[0].as_py(), side)))) * len(values)
+
+    def work(one: pa.RecordBatch, more: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = stacks.lists(np.stack([one.column(c).to_numpy() for c in CELL], axis=1), pa.list_(pa.int32()))
+        placed = pa.RecordBatch.from_arrays([*one.columns, cells], names=[*one.schema.names, "_cell"])
+        yield from stacks.stacked(placed, [*GEOMETRY, "_cell"], values, samples, lambda r: iter([gather(r, False)]))
+        yield from (gather(r, True) for r in more)
+
+    return work
 
 
 def pull(packed: DataFrame, maps: DataFrame, mode: str = "trilinear", keys: Sequence[str] = ("volume_id",),
@@ -137,10 +176,11 @@ def pull(packed: DataFrame, maps: DataFrame, mode: str = "trilinear", keys: Sequ
     given = packed.select(*keys, "origin", "dims", *[F.col(v).cast("array<double>").alias(v) for v in values])
     home = attach(given, maps.select(key, *MAP), [key], groups, "inner")
     kinds = T.StructType([*home.schema.fields, *[T.StructField(c, T.IntegerType()) for c in CELL]])
-    sent = home.mapInArrow(_sender(home.columns, values, side, arrow_schema(kinds)), kinds)
+    sent = home.mapInArrow(_sender(values, side, arrow_schema(kinds)), kinds)
     made = T.StructType([*(given.schema[k] for k in keys), *(T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("origin", "dims")),
                          *(T.StructField(v, T.ArrayType(T.DoubleType())) for v in values)])
-    return sent.groupBy(*keys, *CELL).applyInArrow(_gatherer(keys, values, mode, side, arrow_schema(made)), made)
+    kind = arrow_schema(made)
+    return stacks.in_groups(sent, [*keys, *CELL], maps, "target", made, _gatherer(values, mode, side, kind), kind)
 
 
 def arrow_schema(schema: T.StructType) -> pa.Schema:
