@@ -63,3 +63,15 @@ def test_leaves_of_a_tree_share_one(rng):
             mine = classes == 1
             assert np.allclose(np.exp(leaf[mine]), (counts[mine] + 0.5) / (counts[mine] + 0.5).sum())
     assert maxent.trees(np.zeros(1, "int64"), np.zeros(1))[0].shape == (0, 1)
+
+
+def test_softmax_without_a_shift():
+    x = np.random.default_rng(2).normal(scale=9.0, size=(500, 16)).astype("float32")
+    x[:, 3] = -1e9  # no such child
+    shift, e, total = maxent.softmax_parts(x)
+    assert not shift.any()  # these rows need no largest value
+    for rows in (x, x + 200, x - 200, np.vstack([x, x[:1] - 300])):
+        wide = rows.astype("float64")
+        want = wide - np.log(np.exp(wide - wide.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True)) - wide.max(axis=1, keepdims=True)
+        assert np.allclose(maxent.log_share(rows, np.full(len(rows), 5)), want[:, 5], atol=1e-3)
+    assert len(maxent.softmax_parts(x[:0])[2]) == 0

@@ -53,6 +53,7 @@ BUCKETS_A_ROOT = 2
 SHARD = 2_000_000  # training tokens of a shard, at least
 ROUNDS = 1
 BATCH = 8192
+SAFE = 60.0  # logits up to this have sums of exponentials that float32 holds in full, and so have rows whose sum is above exp of minus that
 RATE = 0.5
 WORD_RATE = 2.0  # times that for the nodes of trees
 WORD_POWER = 0.75  # of the tokens of a batch that share a row of theirs, which its step is divided by
@@ -78,7 +79,13 @@ def sizes(n: int) -> tuple[int, int]:
 
 
 def softmax_parts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Largest value, exponentials and their sum of each row. Rows are short, so halves are folded."""
+    """A shift, the exponentials of what is above it and their sum for each row. Values that float32 takes as they are need
+    no shift; else it is the largest of the row. Rows are short, so halves are folded."""
+    if x.size and x.max() < SAFE:
+        e = np.exp(x)
+        total = e @ np.ones(x.shape[1], x.dtype)
+        if total.min() > np.exp(-SAFE):
+            return np.zeros(len(x), x.dtype), e, total
     top = x
     while top.shape[1] > 1:
         half = (top.shape[1] + 1) // 2
@@ -190,7 +197,7 @@ def descent(table: np.ndarray, features: list[np.ndarray], logits: np.ndarray, t
         at = f[by]
         cuts = np.flatnonzero(np.diff(at, prepend=-1))
         sizes = np.diff(np.append(cuts, len(at)))
-        table[at[cuts]] -= rate * np.add.reduceat(grad.take(by, axis=0), cuts, axis=0) / (sizes ** power)[:, None] / 4
+        table[at[cuts]] -= np.add.reduceat(grad.take(by, axis=0), cuts, axis=0) * (rate / 4 / sizes ** power).astype(grad.dtype)[:, None]
     return grad
 
 
