@@ -95,3 +95,15 @@ def test_simhash_links_come_first(spark, rng, monkeypatch):
     assert {min(keys[r.u], keys[r.v]) for r in near.close(named, made.where("_row.id < 200")).collect()} == near_bits
     kept = {r.doc_id for r in near.one_each(docs).collect()}
     assert kept == {*range(20), *(100 + i for i in range(20) if i not in near_bits), 200, 201, 202}
+
+
+def test_texts_of_no_pair_are_not_moved(spark, rng, monkeypatch):
+    rows = [(i, i * 7, f"t{i}") for i in range(3000)] + [(None, 5, "n"), (None, 5, "n"), (4, 28, "t4")]
+    texts = spark.createDataFrame(rows, "id long, mark long, text string")
+    sides = spark.createDataFrame([(4, 28), (None, 5), (2999, 2999 * 7)], "i long, m long")
+    got = [tuple(r) for r in near.sieved(texts, sides).collect()]
+    want = [(4, 28, "t4"), (4, 28, "t4"), (None, 5, "n"), (None, 5, "n"), (2999, 2999 * 7, "t2999")]
+    assert all(got.count(r) == want.count(r) for r in want) and len(got) < 600
+    assert near.sieved(texts, sides.limit(0)).count() == 0
+    monkeypatch.setattr(near, "SLOTS", 1)  # no room to tell rows apart
+    assert near.sieved(texts, sides).count() == len(rows)
