@@ -75,3 +75,26 @@ def test_softmax_without_a_shift():
         want = wide - np.log(np.exp(wide - wide.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True)) - wide.max(axis=1, keepdims=True)
         assert np.allclose(maxent.log_share(rows, np.full(len(rows), 5)), want[:, 5], atol=1e-3)
     assert len(maxent.softmax_parts(x[:0])[2]) == 0
+
+
+def test_steps_move_whole_rows():
+    r = np.random.default_rng(3)
+    for kind, columns in (("f4", 16), ("f8", 16), ("f4", 5)):
+        table, logits = r.normal(size=(40, columns)).astype(kind), r.normal(size=(300, columns)).astype(kind)
+        features, target = [r.integers(0, n, 300) for n in (40, 7)], r.integers(0, columns, 300)
+        assert np.array_equal(maxent.rows_at(table, features[0]), table[features[0]])
+        want = table.astype("f8")
+        grad = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True) - np.eye(columns)[target]
+        for f in features:
+            sums = np.zeros_like(want)
+            np.add.at(sums, f, grad)
+            want -= sums * (0.8 / 4 / np.maximum(np.bincount(f, minlength=40), 1) ** 0.75)[:, None]
+        got = maxent.descent(table, features, logits, target, 0.8, 0.75)
+        assert np.allclose(table, want, atol=1e-4) and np.allclose(got, grad, atol=1e-5)
+
+
+def test_places_of_other_words():
+    known = np.array([True, False, False, True, True, False])
+    assert [a.tolist() for a in maxent.unknown(known, np.array([0, 2, 4, 5]))] == [[1], [0], [], [0]]
+    none = maxent.unknown(np.ones(3, bool), np.array([0, 1]))
+    assert [a.tolist() for a in none] == [[], []]

@@ -32,6 +32,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -118,8 +119,11 @@ class Model:
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """Ids; an other word becomes a number by its last bytes, above all ids."""
-        get, top = self.ids.get, len(self.ids) + 1
-        return np.array([get(w) or top + int.from_bytes(w[-2:]) % TAILS for w in words], "int64")
+        out = np.fromiter(map(self.ids.get, words, repeat(0)), "int64", len(words))
+        other = np.flatnonzero(out == 0)
+        out[other] = [int.from_bytes(words[i][-2:]) % TAILS for i in other.tolist()]
+        out[other] += len(self.ids) + 1
+        return out
 
     def classed(self, ids: np.ndarray) -> np.ndarray:
         return np.where(ids <= len(self.ids), self.classes[np.minimum(ids, len(self.ids))], OTHER)
@@ -187,6 +191,27 @@ def summed(table: np.ndarray, features: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def whole_rows(table: np.ndarray) -> np.ndarray:
+    """Each row of a table as one value, which is copied at once."""
+    return table.view(np.dtype((np.void, table.itemsize * table.shape[1])))[:, 0]
+
+
+def rows_at(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return whole_rows(table).take(at).view(table.dtype).reshape(-1, table.shape[1])
+
+
+def move(table: np.ndarray, at: np.ndarray, by: np.ndarray) -> None:
+    """Takes ``by`` from rows that are all different."""
+    new = rows_at(table, at)
+    new -= by
+    whole_rows(table)[at] = whole_rows(new)
+
+
+def paired(rows: np.ndarray) -> np.ndarray:
+    """Two columns as the parts of a complex number: a sum over rows then goes through half as many columns."""
+    return rows.view("c8" if rows.dtype == "f4" else "c16") if rows.shape[1] % 2 == 0 else rows
+
+
 def descent(table: np.ndarray, features: list[np.ndarray], logits: np.ndarray, target: np.ndarray, rate: float, power: float = 0.5) -> np.ndarray:
     """Moves the rows that are features of a batch against their gradient, which comes back for each token."""
     _, grad, total = softmax_parts(logits)
@@ -197,7 +222,8 @@ def descent(table: np.ndarray, features: list[np.ndarray], logits: np.ndarray, t
         at = f[by]
         cuts = np.flatnonzero(np.diff(at, prepend=-1))
         sizes = np.diff(np.append(cuts, len(at)))
-        table[at[cuts]] -= np.add.reduceat(grad.take(by, axis=0), cuts, axis=0) * (rate / 4 / sizes ** power).astype(grad.dtype)[:, None]
+        step = (rate / 4 / sizes ** power).astype(grad.dtype)[:, None]
+        move(table, at[cuts], np.add.reduceat(paired(rows_at(grad, by)), cuts, axis=0).view(grad.dtype) * step)
     return grad
 
 
@@ -258,6 +284,13 @@ def flat(model: Model, split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray
     return model.numbers([w for t in split for w in t]), begins
 
 
+def unknown(known: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
+    """The places of other words in each text."""
+    at = np.flatnonzero(~known)
+    cuts = np.searchsorted(at, begins)
+    return [at[a:b] - begin for a, b, begin in zip(cuts, [*cuts[1:], len(at)], begins)]
+
+
 def word_counts(train: DataFrame) -> DataFrame:
     """``(word, c)`` over all training texts; stored."""
     def run(batches):
@@ -479,11 +512,14 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
             doc_score, doc_base = np.add.reduceat(value, begins) / ln10, np.add.reduceat(base, begins)
             sizes = [len(t) for t in split]
             doc_known = np.add.reduceat(known.astype("int64"), begins)
-            rest: list = [Counter(w for w, k in zip(t, known[b:b + len(t)].tolist()) if not k) for t, b in zip(split, begins.tolist())]
+            rest: list = [Counter([t[i] for i in at.tolist()]) if len(at) else {} for t, at in zip(split, unknown(known, begins))]
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.cumsum([0, *map(len, rest)]), pa.int32()),
+                pa.StructArray.from_arrays([pa.array([w for r in rest for w in r], pa.binary()), pa.array([k for r in rest for k in r.values()], pa.int64())],
+                                           names=["word", "tf"]))
             yield pa.RecordBatch.from_arrays(
                 [piece.column("doc_id"), piece.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(doc_known, pa.int64()),
-                 pa.array(doc_base, pa.float64()), pa.array(doc_score, pa.float64()),
-                 pa.array([[{"word": w, "tf": k} for w, k in r.items()] for r in rest], pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())])))],
+                 pa.array(doc_base, pa.float64()), pa.array(doc_score, pa.float64()), lists],
                 names=["doc_id", "text_hash", "n_tokens", "known", "base", "model", "others"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
