@@ -55,6 +55,7 @@ SHARD = 2_000_000  # training tokens of a shard, at least
 ROUNDS = 1
 BATCH = 8192
 SAFE = 60.0  # logits up to this have sums of exponentials that float32 holds in full, and so have rows whose sum is above exp of minus that
+SHORT = 8  # tokens that share a row of weights up to which reduceat adds one after the other
 RATE = 0.5
 WORD_RATE = 2.0  # times that for the nodes of trees
 WORD_POWER = 0.75  # of the tokens of a batch that share a row of theirs, which its step is divided by
@@ -207,9 +208,23 @@ def move(table: np.ndarray, at: np.ndarray, by: np.ndarray) -> None:
     whole_rows(table)[at] = whole_rows(new)
 
 
-def paired(rows: np.ndarray) -> np.ndarray:
-    """Two columns as the parts of a complex number: a sum over rows then goes through half as many columns."""
-    return rows.view("c8" if rows.dtype == "f4" else "c16") if rows.shape[1] % 2 == 0 else rows
+def segment_sums(grad: np.ndarray, by: np.ndarray, cuts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the rows ``by`` of each segment and the order of the segments they come in. Short segments are added up
+    row by row for all of them at once, in the order of ``reduceat``, which goes through the others."""
+    kind = np.minimum(sizes, SHORT + 1).astype("u1")
+    order = np.argsort(kind, kind="stable")
+    several, *ends = np.searchsorted(kind[order], np.arange(2, SHORT + 2)).tolist()
+    short = cuts[order[:ends[-1]]]
+    total = rows_at(grad, by[short])
+    rest = rows_at(grad, by[short[several:] + 1])
+    for k, start in enumerate(ends[:-1], 2):
+        rest[start - several:] += rows_at(grad, by[short[start:] + k])
+    total[several:] += rest
+    if ends[-1] < len(order):
+        long = sizes[order[ends[-1]:]]
+        more = np.add.reduceat(rows_at(grad, by[np.repeat(sizes > SHORT, sizes)]), np.cumsum(long) - long, axis=0)
+        total = np.concatenate([total, more])
+    return total, order
 
 
 def descent(table: np.ndarray, features: list[np.ndarray], logits: np.ndarray, target: np.ndarray, rate: float, power: float = 0.5) -> np.ndarray:
@@ -222,8 +237,8 @@ def descent(table: np.ndarray, features: list[np.ndarray], logits: np.ndarray, t
         at = f[by]
         cuts = np.flatnonzero(np.diff(at, prepend=-1))
         sizes = np.diff(np.append(cuts, len(at)))
-        step = (rate / 4 / sizes ** power).astype(grad.dtype)[:, None]
-        move(table, at[cuts], np.add.reduceat(paired(rows_at(grad, by)), cuts, axis=0).view(grad.dtype) * step)
+        total, order = segment_sums(grad, by, cuts, sizes)
+        move(table, at[cuts[order]], total * (rate / 4 / sizes[order] ** power).astype(grad.dtype)[:, None])
     return grad
 
 
