@@ -1,6 +1,10 @@
 """The model doesn't depend on the partitions of its input, and its tables grow with it."""
 
+import re
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 
 from volumetry.llm import maxent
 
@@ -98,3 +102,49 @@ def test_places_of_other_words():
     assert [a.tolist() for a in maxent.unknown(known, np.array([0, 2, 4, 5]))] == [[1], [0], [], [0]]
     none = maxent.unknown(np.ones(3, bool), np.array([0, 1]))
     assert [a.tolist() for a in none] == [[], []]
+
+
+def split(text):
+    low = re.sub("[A-Z]+", lambda m: m[0].lower(), text or "")
+    return [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", low)] + [maxent.END]
+
+
+def test_different_words_of_many_texts():
+    """Words of a piece are looked up once each, so its tokens are places among the different words."""
+    every = "".join(f"x{chr(i)}" for i in range(128))
+    texts = ["Ba be  bA", None, "", " \t\n", "be", " \x0b\x0cÀÉ ſ K\u212a 漢字\u00a0😀\x85\x1c ", every, "Ba\n", "\x00 a\x00"]
+    for array in (pa.array(texts), pa.array(["left out", *texts, "too"]).slice(1, len(texts))):
+        begins, codes, words = maxent.tokens(array)
+        found = [words[c].as_py() for c in codes.tolist()]
+        assert [found[a:b] for a, b in zip(begins.tolist(), [*begins.tolist()[1:], len(found)])] == [split(t) for t in texts]
+        assert len(set(found)) == len(words)
+    of = np.repeat(np.arange(len(texts)), np.diff(np.append(begins, len(codes))))
+    some = (codes % 2 == 0) & (of != 2)
+    want = [dict(Counter(w for w, k, s in zip(found, of.tolist(), some.tolist()) if s and k == i)) for i in range(len(texts))]
+    got = maxent.tallied(of[some], codes[some], len(texts), words).to_pylist()
+    assert [{r["word"]: r["tf"] for r in rows} for rows in got] == want
+    assert maxent.tallied(of[:0], codes[:0], 2, words).to_pylist() == [[], []]
+    assert maxent.last_bytes(words).tolist() == [int.from_bytes(w[-2:]) for w in maxent.listed(words)]
+
+
+def test_rows_in_order():
+    r = np.random.default_rng(4)
+    for top, n in ((70_000, 9000), (1 << 20, 9000), (5, 40), (1, 1), (1 << 16, 0)):  # keys of 31, 34, 9, 0 and 16 bits
+        f = r.integers(0, top, n)
+        at, by = maxent.in_order(f, top)
+        want = np.argsort(f, kind="stable")
+        assert np.array_equal(by, want) and np.array_equal(at, f[want])
+
+
+def test_ways_are_those_of_the_routes():
+    n = 900
+    r = np.random.default_rng(5)
+    classes, counts = np.append(0, r.integers(1, 4, n)), np.append(0.0, r.integers(3, 10**6, n))
+    route, turn, shares = maxent.trees(classes, counts)
+    model = maxent.Model({b"%d" % i: i for i in range(1, n + 1)}, classes, counts, 0, 0, 0, 0, 14, None, None, route, turn, None)
+    ids, one = r.integers(1, n + 200, 3000), r.integers(0, 10**6, 3000)
+    at, rows, turns = model.ways(ids, one, one % 16)
+    want = [(i, node, turn[level, ids[i]]) for level in range(len(route)) for i in np.flatnonzero(ids <= n).tolist() if (node := int(route[level, ids[i]])) >= 0]
+    assert list(zip(at.tolist(), (rows[2] - (1 << 15)).tolist(), turns.tolist())) == want
+    assert rows[0].tolist() == [(node * 1_000_003 + int(one[i])) * 0x9E3779B1 + 4 * 0x85EBCA77 >> 17 & 0x7FFF for i, node, _ in want]
+    assert rows[1].tolist() == [(node * maxent.FAN + int(one[i]) % 16) * 0x9E3779B1 + 5 * 0x85EBCA77 >> 17 & 0x7FFF for i, node, _ in want]

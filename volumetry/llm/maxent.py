@@ -36,6 +36,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,10 +69,13 @@ CELLS = 1 << 22  # counts that a task holds at once
 END = b""
 
 
-def tokens(data: bytes | None) -> list[bytes]:
-    out = (data or b"").lower().split()  # ASCII letters and white space only
-    out.append(END)
-    return out
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.BinaryArray]:
+    """Where each text begins among the tokens of all, their places among the different words, and those words."""
+    text = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))  # ASCII letters and white space only
+    blank = pc.equal(text, "")
+    found = pc.ascii_split_whitespace(pc.if_else(blank, text, pc.binary_join_element_wise(text, "", " ")))  # what is behind the last blank is END
+    coded = found.flatten().dictionary_encode()
+    return found.offsets.to_numpy()[:-1].astype("int64"), coded.indices.to_numpy(), coded.dictionary.cast(pa.binary())
 
 
 def sizes(n: int) -> tuple[int, int]:
@@ -118,13 +122,11 @@ class Model:
     turn: np.ndarray | None = None  # level x id: child to take there
     tree: np.ndarray | None = None  # buckets of node features, then nodes, x children
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
+    def numbers(self, words: list[bytes] | pa.BinaryArray) -> np.ndarray:
         """Ids; an other word becomes a number by its last bytes, above all ids."""
-        out = np.fromiter(map(self.ids.get, words, repeat(0)), "int64", len(words))
-        other = np.flatnonzero(out == 0)
-        out[other] = [int.from_bytes(words[i][-2:]) % TAILS for i in other.tolist()]
-        out[other] += len(self.ids) + 1
-        return out
+        words = pa.array(words, pa.binary())
+        out = np.fromiter(map(self.ids.get, listed(words), repeat(0)), "int64", len(words))
+        return np.where(out == 0, last_bytes(words) % TAILS + len(self.ids) + 1, out)
 
     def classed(self, ids: np.ndarray) -> np.ndarray:
         return np.where(ids <= len(self.ids), self.classes[np.minimum(ids, len(self.ids))], OTHER)
@@ -136,6 +138,7 @@ class Model:
         one[begins] = two[begins] = 0
         later = begins[begins + 1 < len(ids)] + 1
         two[later] = 0
+        one, two = one.astype("uint32"), two.astype("uint32")
         return [mix(one, 1, self.bits), mix(two, 2, self.bits), mix(one * 70_001 + two, 3, self.bits)]
 
     @staticmethod
@@ -151,13 +154,18 @@ class Model:
     def ways(self, ids: np.ndarray, one: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         """The nodes passed on the way to known ids in their trees: places of their tokens, rows of ``tree`` and the
         children taken. ``one`` and ``group`` are the id and the class before each token."""
-        known = np.flatnonzero(ids <= len(self.ids))
-        nodes = self.route[:, ids[known]]
-        level, which = np.nonzero(nodes >= 0)
-        at, node = known[which], nodes[level, which].astype("int64")
-        bits = self.bits + TREE_BITS
-        rows = [mix(node * 1_000_003 + one[at], 4, bits), mix(node * FAN + group[at], 5, bits), (1 << bits) + node]
-        return at, rows, self.turn[level, ids[at]]
+        at = np.flatnonzero(ids <= len(self.ids))
+        passed = [(at[:0], np.zeros(0, "int32"), np.zeros(0, "int8"))]
+        for route, turn in zip(self.route, self.turn):  # a way that has ended has no later level
+            node = route.take(ids[at])
+            going = node >= 0
+            at = at[going]
+            passed.append((at, node[going], turn.take(ids[at])))
+        at, node, turn = map(np.concatenate, zip(*passed))
+        bits, short = self.bits + TREE_BITS, node.astype("uint32")  # a bucket is made of the last 32 bits
+        rows = [mix(short * 1_000_003 + one.astype("uint32")[at], 4, bits), mix(short * FAN + group.astype("uint32")[at], 5, bits),
+                (1 << bits) + node.astype("int64")]
+        return at, rows, turn
 
     @property
     def inside(self) -> np.ndarray:
@@ -182,7 +190,8 @@ class Model:
 
 
 def mix(x: np.ndarray, salt: int, bits: int) -> np.ndarray:
-    return ((x * 0x9E3779B1 + salt * 0x85EBCA77) & 0xFFFFFFFF) >> (32 - bits)
+    """Buckets of 32-bit numbers, whose products keep their last 32 bits."""
+    return (x * 0x9E3779B1 + (salt * 0x85EBCA77 & 0xFFFFFFFF) >> (32 - bits)).astype("int64")
 
 
 def summed(table: np.ndarray, features: list[np.ndarray]) -> np.ndarray:
@@ -227,15 +236,23 @@ def segment_sums(grad: np.ndarray, by: np.ndarray, cuts: np.ndarray, sizes: np.n
     return total, order
 
 
+def in_order(f: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers below ``top`` in their order and the place of each, equal ones by place: number and place are sorted as one."""
+    low = (len(f) - 1).bit_length()
+    kind = np.uint32 if low + (top - 1).bit_length() <= 32 else np.uint64
+    key = f.astype(kind) << kind(low) | np.arange(len(f), dtype=kind)
+    key.sort()
+    return (key >> kind(low)).astype("int64"), (key & kind((1 << low) - 1)).astype("int64")
+
+
 def descent(table: np.ndarray, features: list[np.ndarray], logits: np.ndarray, target: np.ndarray, rate: float, power: float = 0.5) -> np.ndarray:
     """Moves the rows that are features of a batch against their gradient, which comes back for each token."""
     _, grad, total = softmax_parts(logits)
     grad /= total[:, None]
     grad[np.arange(len(target)), target] -= 1
     for f in features:
-        by = np.argsort(f.astype("uint16" if len(table) <= 1 << 16 else "uint32"), kind="stable")  # of 16 bits a radix sort
-        at = f[by]
-        cuts = np.flatnonzero(np.diff(at, prepend=-1))
+        at, by = in_order(f, len(table))
+        cuts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
         sizes = np.diff(np.append(cuts, len(at)))
         total, order = segment_sums(grad, by, cuts, sizes)
         move(table, at[cuts[order]], total * (rate / 4 / sizes[order] ** power).astype(grad.dtype)[:, None])
@@ -288,15 +305,29 @@ def trees(classes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return route, turn, np.vstack(shares) if shares else np.zeros((0, FAN))
 
 
-def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
+def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, pa.BinaryArray]]:
     for batch in batches:
         for piece in pieces(batch, "text", TEXT_BYTES):
-            yield piece, [tokens(t) for t in piece.column("text").cast(pa.binary()).to_pylist()]
+            yield piece, *tokens(piece.column("text"))
+
+
+def listed(words: pa.BinaryArray) -> list[bytes]:
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
+def last_bytes(words: pa.BinaryArray) -> np.ndarray:
+    """The last two bytes of each word as a number."""
+    padded = pc.binary_join_element_wise(b"\0\0", words, b"").buffers()
+    ends, raw = np.frombuffer(padded[1], "<i4")[1:len(words) + 1], np.frombuffer(padded[2], "u1").astype("int64")
+    return raw[ends - 2] * 256 + raw[ends - 1]
 
 
-def flat(model: Model, split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    begins = np.cumsum([0, *map(len, split[:-1])])
-    return model.numbers([w for t in split for w in t]), begins
+def tallied(of: np.ndarray, codes: np.ndarray, texts: int, words: pa.BinaryArray) -> pa.ListArray:
+    """The different words of every text and how often each is there, from the text and the word of each token."""
+    key, n = np.unique(of * len(words) + codes, return_counts=True)
+    ends = np.searchsorted(key, np.arange(texts + 1) * len(words))
+    found = pa.StructArray.from_arrays([words.take(pa.array(key % len(words))), pa.array(n, pa.int64())], names=["word", "tf"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)
 
 
 def unknown(known: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
@@ -314,9 +345,9 @@ def word_counts(train: DataFrame) -> DataFrame:
         def out():
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
 
-        for _, split in texts(batches):
-            for t in split:
-                held.update(t)
+        for _, _, codes, words in texts(batches):
+            for word, c in zip(listed(words), np.bincount(codes).tolist()):
+                held[word] += c
             if len(held) > HELD_WORDS:
                 yield out()
                 held = Counter()
@@ -349,8 +380,8 @@ def numbered(train: DataFrame, model: Model) -> DataFrame:
     sent = train.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for piece, split in texts(batches):
-            ids, begins = flat(sent.value, split)
+        for piece, begins, codes, words in texts(batches):
+            ids = sent.value.numbers(words)[codes]
             ends = np.append(begins[1:], len(ids)) * 4
             raw = ids.astype("<i4").tobytes()
             yield pa.RecordBatch.from_arrays([piece.column("mark"), pa.array([raw[a:b] for a, b in zip((begins * 4).tolist(), ends.tolist())], pa.binary())],
@@ -507,8 +538,8 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     def run(batches):
         m = sent.value
         width = len(m.ids) + 1
-        for piece, split in texts(batches):
-            ids, begins = flat(m, split)
+        for piece, begins, codes, words in texts(batches):
+            ids = m.numbers(words)[codes]
             classes, features = m.classed(ids), m.features(ids, begins)
             one, group = m.before(ids, begins), m.before(classes, begins)
             known = ids < width
@@ -525,13 +556,10 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
             value[~known] -= other
             base = np.where(known, np.log10(m.counts[np.where(known, ids, 0)] + 0.5), 0.0)
             doc_score, doc_base = np.add.reduceat(value, begins) / ln10, np.add.reduceat(base, begins)
-            sizes = [len(t) for t in split]
+            sizes = np.diff(np.append(begins, len(ids)))
             doc_known = np.add.reduceat(known.astype("int64"), begins)
-            rest: list = [Counter([t[i] for i in at.tolist()]) if len(at) else {} for t, at in zip(split, unknown(known, begins))]
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.cumsum([0, *map(len, rest)]), pa.int32()),
-                pa.StructArray.from_arrays([pa.array([w for r in rest for w in r], pa.binary()), pa.array([k for r in rest for k in r.values()], pa.int64())],
-                                           names=["word", "tf"]))
+            of = np.repeat(np.arange(len(begins)), list(map(len, unknown(known, begins))))
+            lists = tallied(of, codes[~known], len(begins), words)
             yield pa.RecordBatch.from_arrays(
                 [piece.column("doc_id"), piece.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(doc_known, pa.int64()),
                  pa.array(doc_base, pa.float64()), pa.array(doc_score, pa.float64()), lists],
