@@ -211,10 +211,13 @@ def rows_at(table: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def move(table: np.ndarray, at: np.ndarray, by: np.ndarray) -> None:
-    """Takes ``by`` from rows that are all different."""
-    new = rows_at(table, at)
-    new -= by
-    whole_rows(table)[at] = whole_rows(new)
+    """Takes ``by`` from rows that are all different, as many at a time as caches hold."""
+    rows = whole_rows(table)
+    for start in range(0, len(at), ROWS):
+        some = at[start:start + ROWS]
+        new = rows_at(table, some)
+        new -= by[start:start + ROWS]
+        rows[some] = whole_rows(new)
 
 
 def segment_sums(grad: np.ndarray, by: np.ndarray, cuts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -242,20 +245,22 @@ def in_order(f: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
     kind = np.uint32 if low + (top - 1).bit_length() <= 32 else np.uint64
     key = f.astype(kind) << kind(low) | np.arange(len(f), dtype=kind)
     key.sort()
-    return (key >> kind(low)).astype("int64"), (key & kind((1 << low) - 1)).astype("int64")
+    return key >> kind(low), (key & kind((1 << low) - 1)).astype("int64")
 
 
 def descent(table: np.ndarray, features: list[np.ndarray], logits: np.ndarray, target: np.ndarray, rate: float, power: float = 0.5) -> np.ndarray:
     """Moves the rows that are features of a batch against their gradient, which comes back for each token."""
     _, grad, total = softmax_parts(logits)
     grad /= total[:, None]
-    grad[np.arange(len(target)), target] -= 1
+    grad.ravel()[np.arange(0, grad.size, grad.shape[1]) + target] -= 1
     for f in features:
         at, by = in_order(f, len(table))
-        cuts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        sizes = np.diff(np.append(cuts, len(at)))
+        new = np.ones(len(at) + 1, bool)
+        np.not_equal(at[1:], at[:-1], out=new[1:-1])
+        cuts = np.flatnonzero(new)
+        cuts, sizes = cuts[:-1], np.diff(cuts)
         total, order = segment_sums(grad, by, cuts, sizes)
-        move(table, at[cuts[order]], total * (rate / 4 / sizes[order] ** power).astype(grad.dtype)[:, None])
+        move(table, at[cuts[order]].astype("int64"), total * (rate / 4 / sizes[order] ** power).astype(grad.dtype)[:, None])
     return grad
 
 
@@ -322,12 +327,10 @@ def last_bytes(words: pa.BinaryArray) -> np.ndarray:
     return raw[ends - 2] * 256 + raw[ends - 1]
 
 
-def tallied(of: np.ndarray, codes: np.ndarray, texts: int, words: pa.BinaryArray) -> pa.ListArray:
+def tallied(of: np.ndarray, codes: np.ndarray, words: pa.BinaryArray) -> tuple[np.ndarray, pa.BinaryArray, np.ndarray]:
     """The different words of every text and how often each is there, from the text and the word of each token."""
     key, n = np.unique(of * len(words) + codes, return_counts=True)
-    ends = np.searchsorted(key, np.arange(texts + 1) * len(words))
-    found = pa.StructArray.from_arrays([words.take(pa.array(key % len(words))), pa.array(n, pa.int64())], names=["word", "tf"])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)
+    return key // len(words), words.take(pa.array(key % len(words))), n
 
 
 def unknown(known: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
@@ -559,23 +562,19 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
             sizes = np.diff(np.append(begins, len(ids)))
             doc_known = np.add.reduceat(known.astype("int64"), begins)
             of = np.repeat(np.arange(len(begins)), list(map(len, unknown(known, begins))))
-            lists = tallied(of, codes[~known], len(begins), words)
-            yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), piece.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(doc_known, pa.int64()),
-                 pa.array(doc_base, pa.float64()), pa.array(doc_score, pa.float64()), lists],
-                names=["doc_id", "text_hash", "n_tokens", "known", "base", "model", "others"])
+            of, others, tf = tallied(of, codes[~known], words)
+            columns = [piece.column(c) for c in ("doc_id", "text_hash")]
+            totals = [pa.array(sizes, pa.int64()), pa.array(doc_known, pa.int64()), pa.array(doc_base, pa.float64()), pa.array(doc_score, pa.float64())]
+            columns = [pa.concat_arrays([c.take(pa.array(of)), c]) for c in columns]
+            columns += [pa.concat_arrays([others, pa.nulls(len(begins), pa.binary())]), pa.array(np.append(tf, np.zeros(len(begins), "int64")))]
+            columns += [pa.concat_arrays([pa.nulls(len(of), c.type), c]) for c in totals]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "word", "tf", "n_tokens", "known", "base", "model"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, text_hash long, n_tokens long, known long, base double, model double, others array<struct<word:binary,tf:bigint>>"
-    made = keys.mapInArrow(run, schema)
-    # one row of totals per text, under a name that is no word, beside one row per other word
+    schema = f"doc_id {kind}, text_hash long, word binary, tf long, n_tokens long, known long, base double, model double"
+    # one row for each other word of a text, beside one row of its totals under a name that is no word
     name = F.encode(F.concat(F.lit(" "), F.col("text_hash").cast("string"), F.lit(" "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "UTF-8")
-    none = F.lit(None)
-    total = F.struct(name.alias("word"), F.lit(0).cast("long").alias("tf"), "n_tokens", "known", "base", "model")
-    others = F.transform("others", lambda w: F.struct(
-        w["word"].alias("word"), w["tf"].alias("tf"), none.cast("long").alias("n_tokens"), none.cast("long").alias("known"),
-        none.cast("double").alias("base"), none.cast("double").alias("model")))
-    rows = made.select("doc_id", "text_hash", F.explode_outer(F.concat(F.array(total), others)).alias("r")).select("doc_id", "text_hash", "r.*")
+    rows = keys.mapInArrow(run, schema).withColumn("word", F.coalesce("word", name))
     # no other word is commoner than the rarest known one; a known word among them does no harm
     rare = counts.where(F.col("c") <= float(model.counts[-1])) if model.ids else counts
     met = rows.join(rare, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
