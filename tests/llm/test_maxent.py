@@ -149,3 +149,10 @@ def test_ways_are_those_of_the_routes():
     assert list(zip(at.tolist(), (rows[2] - (1 << 15)).tolist(), turns.tolist())) == want
     assert rows[0].tolist() == [(node * 1_000_003 + int(one[i])) * 0x9E3779B1 + 4 * 0x85EBCA77 >> 17 & 0x7FFF for i, node, _ in want]
     assert rows[1].tolist() == [(node * maxent.FAN + int(one[i]) % 16) * 0x9E3779B1 + 5 * 0x85EBCA77 >> 17 & 0x7FFF for i, node, _ in want]
+
+
+def test_tables_begin_at_a_cache_line():
+    for rows in (0, 1, 700):
+        table = np.random.default_rng(6).normal(size=(rows, 16)).astype("f4")
+        copy = maxent.lined_up(table)
+        assert copy.ctypes.data % 64 == 0 and np.array_equal(copy, table) and not np.shares_memory(copy, table)
