@@ -107,3 +107,39 @@ def test_texts_of_no_pair_are_not_moved(spark, rng, monkeypatch):
     assert near.sieved(texts, sides.limit(0)).count() == 0
     monkeypatch.setattr(near, "SLOTS", 1)  # no room to tell rows apart
     assert near.sieved(texts, sides).count() == len(rows)
+
+
+def twins(rng, n):
+    """Texts of 0.71 and more to each other (five words of 300 are others), and to each of them a twin of 0.82, which has
+    two of the five, too."""
+    base, rows = [f"w{i}" for i in range(300)], []
+    for i in range(n):
+        places = [8 + 36 * k + rng.randrange(24) for k in rng.sample(range(8), 8)]
+        for side in (2, 5):
+            new = {**{at: f"x{i}" for at in places[:2]}, **{at: f"y{i}" for at in places[side:side + 3]}}
+            rows.append((len(rows), " ".join(new.get(k, w) for k, w in enumerate(base))))
+    return rows
+
+
+def least_ids(rows):
+    """The smallest id of each class, by brute force over all pairs."""
+    sets = {i: shingle_set(t) for i, t in rows}
+    group = {i: {i} for i in sets}
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and group[i] is not group[j] and (a == b or len(a & b) >= 0.8 * len(a | b)):
+                group[i] |= group[j]
+                for k in group[j]:
+                    group[k] = group[i]
+    return sorted({min(g) for g in group.values()})
+
+
+def test_many_partners_that_look_alike(spark, rng, monkeypatch):
+    """Rows of long lists with more likely partners than they name: none of their pairs is left out."""
+    rows = twins(rng, 100)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = least_ids(rows)
+    assert sorted(r.doc_id for r in near.one_each(docs).collect()) == want
+    monkeypatch.setattr(near, "BLOCK", 20)
+    monkeypatch.setattr(near, "HELD", 3000)
+    assert sorted(r.doc_id for r in near.one_each(docs.union(docs)).collect()) == want
