@@ -1,5 +1,8 @@
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.test_near import shingle_set
 from volumetry.llm import decontam, queries, rules, secret
@@ -37,3 +40,19 @@ def test_each_stage_alone(spark, data, odd, none):
                 assert got.columns == docs.columns
             got.collect()
     assert rules and decontam and secret
+
+
+def test_fits_read_all_rows(spark, data, monkeypatch):
+    """Rules and Markov models of the stages are learned on every labelled document and on every text."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model, labels = secret.train(docs), spark.read.parquet(f"{data}/labels.parquet").where("quality is not null")
+    want = rules.labelled(docs, labels).collect()
+    learned = []
+    for module in (rules, secret):
+        monkeypatch.setattr(module, "chosen", lambda *a: F.lit(False))
+    monkeypatch.setattr(rules, "fit", lambda rows: learned.extend(rows.collect()) or [])
+    corpus_pipeline.quality(spark, docs, data)
+    assert sorted(map(str, learned)) == sorted(map(str, want)) and len(want) == labels.count() > 0
+    monkeypatch.setattr(secret, "redacted", lambda df, model: learned.append(model) or df)
+    corpus_pipeline.secrets(spark, docs, data)
+    assert learned[-1].ratio == pytest.approx(model.ratio)

@@ -8,8 +8,8 @@ third. Rows it covers leave, and the next rule is learned from the rest. If a ru
 its first statistic and side are set aside and another beginning is tried, until none is left. Each step is one small aggregation: counts by statistic, bin and label. The list is one ordered
 CASE expression, so applying it is a projection of the scan.
 
-The rows to learn from are bounded (``SAMPLE`` rows, those with the smallest hash of their id); all
-statistics of all documents are computed, on whole texts.
+The rows to learn from are those of a sample (about ``SAMPLE``, by a hash of the id) or, if none is asked for, all
+that have a label; all statistics of all documents are computed, on whole texts.
 
 Windows of three words are compared by 64-bit hashes within one text.
 
@@ -132,9 +132,13 @@ def verdict(rules: list[Rule]) -> Column:
     return out
 
 
-def labelled(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """Statistics of at most about ``sample`` labelled documents: those with a small hash of their id."""
+def labelled(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int | None = SAMPLE) -> DataFrame:
+    """Statistics of at most about ``sample`` labelled documents: those with a small hash of their id; of all of them
+    without a sample."""
     good = labels.where("quality is not null and doc_id is not null").select("doc_id", F.col("quality").alias("_good"))
+    if sample is None:  # labels may be too many to be sent to the texts; what moves are statistics
+        made = with_statistics(docs.select("doc_id", F.col(text).alias("text"))).select("doc_id", *FEATURES)
+        return made.join(good, "doc_id").select("doc_id", "_good", *FEATURES)
     small = chosen(F.xxhash64("doc_id"), sample, good.count())
     some = docs.select("doc_id", F.col(text).alias("text")).where(small).join(good.where(small), "doc_id")
     return with_statistics(some).select("doc_id", "_good", *FEATURES)

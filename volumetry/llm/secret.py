@@ -6,7 +6,8 @@ samples come from the corpus itself: the values that the patterns find are rando
 numbers, dates, paths and addresses of the rest, the names before such values, and identifiers joined
 from the words in the usual styles (``ordinary``) are ordinary ones. The tasks count, one small sum gathers the
 counts, so the model has a fixed size. Training reads a bounded share of the documents (``SAMPLE`` of
-them, by a hash of the id; documented bound of a classifier fit); scanning reads every whole text.
+them, by a hash of the id; documented bound of a classifier fit) or, if none is asked for, all of them; scanning
+reads every whole text.
 
 A further candidate is a run of key characters of 16 or more; where a pattern has found a part of it,
 what is left on either side. It is a secret if the mean log-likelihood ratio per character is above
@@ -181,9 +182,11 @@ def spans(text: str | None, model: Markov) -> list[tuple[int, int, str]]:
     return [(s, e, KINDS[k]) for s, e, k in sorted(out, key=lambda x: (x[0], x[2]))]
 
 
-def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Markov:
-    """Counts of both models over about ``sample`` documents."""
-    some = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(chosen(F.xxhash64("doc_id"), sample, df.count()))
+def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int | None = SAMPLE) -> Markov:
+    """Counts of both models over about ``sample`` documents, over all without a sample."""
+    some = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    if sample is not None:
+        some = some.where(chosen(F.xxhash64("doc_id"), sample, df.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [np.zeros(CLASSES**3, "int64"), np.zeros(CLASSES**3, "int64")]
